@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.llm import media, packing, piece_codec
+from marlstone.llm import exact_dedup, media, packing, piece_codec, simhash
 
-MODULES = (packing, media, piece_codec)
+MODULES = (simhash, packing, exact_dedup, media, piece_codec)
 
 
 def queries() -> dict:
