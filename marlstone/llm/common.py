@@ -84,3 +84,34 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def crc_mod(column: str, n: int):
     """crc32 of the column's value as decimal text, modulo n (null: as the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
+class WordCache(dict):
+    """What make() gives for a word, kept by a worker in two generations of bounded size.
+
+    Use self[word]. When the younger generation is full it becomes the older one, and what is
+    asked for again moves back. Long words are made anew each time.
+    """
+
+    def __init__(self, limit: int, longest: int = 100):
+        self.limit, self.longest, self.older = limit, longest, {}
+
+    def make(self, word):
+        raise NotImplementedError
+
+    def __missing__(self, word):
+        made = self.older.get(word)
+        if made is None:
+            made = self.make(word)
+            if len(word) > self.longest:
+                return made
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[word] = made
+        return made
+
+
+def hash_sample(df: DataFrame, column: str, most: int) -> DataFrame:
+    """At most so many rows, those with the smallest hash of the column: bounded, and the same each time."""
+    return df.orderBy(F.xxhash64(F.lit(17), column), column).limit(most)

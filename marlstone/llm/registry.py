@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.llm import exact_dedup, media, packing, piece_codec, simhash
+from marlstone.llm import exact_dedup, language, media, packing, piece_codec, simhash, toxicity
 
-MODULES = (simhash, packing, exact_dedup, media, piece_codec)
+MODULES = (simhash, packing, exact_dedup, media, language, piece_codec, toxicity)
 
 
 def queries() -> dict:
