@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.llm import exact_dedup, language, media, packing, piece_codec, simhash, toxicity
+from marlstone.llm import exact_dedup, language, media, packing, piece_codec, simhash, toxicity, url_filter, warc
 
-MODULES = (simhash, packing, exact_dedup, media, language, piece_codec, toxicity)
+MODULES = (simhash, packing, exact_dedup, media, warc, url_filter, language, piece_codec, toxicity)
 
 
 def queries() -> dict:
