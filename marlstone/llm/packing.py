@@ -18,15 +18,17 @@ packed like any others; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import deque
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm.common import batch, small_batches, table, text_bytes
+from marlstone.llm.common import WordCache, batch, small_batches, table, text_bytes
 
 WINDOW = 4096
 SENTENCE_CUT, HARD_CUT = 4.0, 32.0
@@ -37,7 +39,8 @@ GAP, STEP = 128, 64
 #: Shorter windows that count as full.
 FULL = (256, 512, 1024, 2048)
 END = 2
-WORDS = 300_000
+#: Words kept by one worker in each of two generations.
+WORDS = 500_000
 
 
 def default_tokenizer() -> str:
@@ -46,7 +49,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTable(dict):
+class WordTable(WordCache):
     """Word (UTF-8, no ASCII white space) -> its ids as little-endian uint32 bytes.
 
     The tokenizer splits at white space and drops it, so a text's ids are its words' ids.
@@ -55,14 +58,12 @@ class WordTable(dict):
     def __init__(self, path: str, limit: int = WORDS):
         from tokenizers import Tokenizer
 
-        self.library, self.limit = Tokenizer.from_file(path), limit
+        super().__init__(limit)
+        self.library = Tokenizer.from_file(path)
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
+    def make(self, word: bytes) -> bytes:
         ids = self.library.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = packed = np.array(ids, "<u4").tobytes()
-        return packed
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: bytes) -> bytes:
         return b"".join([self[w] for w in text.split()])
@@ -76,6 +77,12 @@ class WordTable(dict):
         return ends
 
 
+@lru_cache(maxsize=1)
+def word_table(path: str) -> WordTable:
+    """One for a worker: it outlives the tasks."""
+    return WordTable(path)
+
+
 def windows(places: np.ndarray, costs: np.ndarray, size: int = WINDOW) -> list[int]:
     """Indices into places of the cheapest cuts, from 0 to the last place.
 
@@ -196,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text") -> D
     end = np.array([END], "<u4").tobytes()
 
     def run(batches):
-        words = WordTable(path)
+        words = word_table(path)
         packer = Packer(words.sentence_ends(), TaskContext.get().partitionId() << 32)
         columns = lambda rows: batch(schema, *(list(c) for c in zip(*rows, strict=True)))
         for b in batches:
