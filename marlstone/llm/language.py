@@ -198,6 +198,16 @@ def predictor(model: Model):
     return predict
 
 
+def accepted(model: Model, least: float = REJECT):
+    """A column function: whether a text has a known language with at least that score."""
+
+    @F.pandas_udf("boolean")
+    def accept(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: model.predict(t)[1] >= least).astype(bool)
+
+    return accept
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     remainder = crc_mod("doc_id", 5)

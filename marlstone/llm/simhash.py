@@ -51,16 +51,20 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long); one row per row of docs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, fp (the fingerprint as a signed long), mark (a hash of the text); one row per row of docs."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("mark", pa.int64())])
 
     def run(batches):
         for b in batches:
-            found = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64)
-            yield batch(schema, b.column(0), pa.array(found.view(np.int64)))
+            found = np.array([fingerprint(t.as_py(), words) for t in b.column(2)], np.uint64)
+            yield batch(schema, b.column(0), pa.array(found.view(np.int64)), b.column(1))
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", text_bytes(text)).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", mark_of(text).alias("mark"), text_bytes(text)).mapInArrow(run, "doc_id long, fp long, mark long")
+
+
+def mark_of(text: str = "text"):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -166,18 +170,32 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable, itself included). prints: doc_id, fp."""
+    """prints (doc_id, fp and other columns) with component_id, the smallest doc_id reachable, itself
+    included, and root, the component's smallest fingerprint."""
     prints = settle(prints, "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     root = roots(links(distinct.select("fp"), radius)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     rooted = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    component = rooted.join(lowest, "root").select("fp", "component_id")
-    return prints.join(component, "fp").select("doc_id", "fp", "component_id")
+    component = rooted.join(lowest, "root").select("fp", "component_id", "root")
+    return prints.join(component, "fp")
+
+
+def near_deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component that with the smallest doc_id.
+
+    Rows with the same doc_id and text count as one row; deduplicate exactly before.
+    """
+    found = settle(near_components(fingerprints(docs), radius).select("doc_id", "mark", "root"), "near-components")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    first = found.groupBy("root").agg(F.min(rank).alias("first"))
+    rest = found.join(first, "root").where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.mark") == F.col("mark"))))
+    rest = rest.select(F.col("doc_id").alias("gone"), "mark").distinct()
+    return docs.join(rest, docs["doc_id"].eqNullSafe(rest["gone"]) & (mark_of() == rest["mark"]), "left_anti")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_components(fingerprints(table(spark, sf_dir, "documents")))
+    found = near_components(fingerprints(table(spark, sf_dir, "documents")).drop("mark"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

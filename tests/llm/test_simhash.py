@@ -80,3 +80,14 @@ def test_components_of_a_chain(spark):
     found = {r.a: r.b for r in components.roots(links).collect()}
     assert found == {**{i: 0 for i in range(1, 301)}, 1001: 1000}
     assert components.roots(links.limit(0)).count() == 0
+
+
+def test_near_deduplicate_keeps_one_of_each_component(spark, sf_dir, odd):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    components = {r.component_id for r in s.op1_simhash(spark, sf_dir).select("component_id").distinct().collect()}
+    kept = s.near_deduplicate(docs)
+    assert kept.schema.names == docs.schema.names
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(components)
+    assert s.near_deduplicate(odd.limit(0)).count() == 0
+    rows = s.near_deduplicate(odd.where("text is null or text in ('', '\n') or doc_id is null")).collect()
+    assert sorted((str(r.doc_id) for r in rows)) == ["2", "None"]
