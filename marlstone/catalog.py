@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from marlstone.plans import gold_queries, model_queries, source_queries
+from marlstone.plans import gold_queries, learning_queries, model_queries, place_queries, source_queries
 from marlstone.session import ship
 
-MODULES = (gold_queries, source_queries, model_queries)
+MODULES = (gold_queries, source_queries, model_queries, place_queries, learning_queries)
 
 
 def shipped(query):

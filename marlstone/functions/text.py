@@ -99,4 +99,4 @@ def html_text(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """An address's parts, the last first: split at commas, semicolons and slashes."""
-    return F.reverse(F.filter(F.transform(F.split(text(c), "[,;/]"), F.trim), lambda x: x != ""))
+    return F.reverse(F.filter(F.transform(F.split(text(c), "[,;/]"), lambda x: F.trim(x)), lambda x: x != ""))

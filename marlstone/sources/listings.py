@@ -108,7 +108,7 @@ def finalize(df: DataFrame, now: str) -> DataFrame:
 
 def from_tabular(df: DataFrame, colmap: dict[str, str] | None = None, source: str = "kaggle", now: str = "") -> DataFrame:
     """CSV rows to canonical ones. Equal rows are told apart by their number among equals."""
-    rows = canonical_select(df, colmap).withColumns({"source": F.lit(source), "crawled_at": F.lit(None).cast("string")})
+    rows = canonical_select(df, colmap).withColumns({"source": F.lit(source), "crawled_at": F.lit(None).cast("string"), "price_per_m2": F.lit(None).cast("double")})
     copy = F.row_number().over(Window.partitionBy(*ALIASES).orderBy(F.lit(0)))
     rows = rows.withColumn("_copy", copy)
     return in_order(finalize(rows.withColumn("listing_id", listing_id(source, F.col("address_raw"), F.col("area"), F.col("price"), F.xxhash64(*ALIASES), F.col("_copy"))), now))
