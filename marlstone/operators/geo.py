@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
+from marlstone.session import cut
 
 EXACT, CONTAINED, ALIKE = 100.0, 97.0, 88.0
 DISSOLVED_SCORE, UNIQUE_SCORE = 95.0, 90.0
@@ -97,16 +98,18 @@ def address_key() -> Column:
 def resolve_addresses(df: DataFrame, dims: Dimensions, bridge: DataFrame | None = None, dissolved: Sequence[tuple] = tuple(DISSOLVED)) -> DataFrame:
     """df with province, district and ward and their codes, geo_match_score and geo_source.
 
-    Tiers of the district: the old hierarchy, merged districts, the bridge from new wards, a
+    Between tiers one row per distinct address is written to the shared folder, so that the
+    plan of a tier does not hold those before it. Tiers of the district: the old hierarchy, merged districts, the bridge from new wards, a
     name that is unique nationwide. A token that names a ward by its unit matches no district.
     """
     spark = df.sparkSession
     for c in RAW:
         df = df if c in df.columns else df.withColumn(c, F.lit(None).cast("string"))
     keyed = df.withColumn("_key", address_key())
-    tuples = keyed.select(F.col("_key").alias("key"), *RAW).distinct().persist()  # read once for each tier
+    tuples = cut(keyed.select(F.col("_key").alias("key"), *RAW).distinct())
     parts = tuples.select("key", F.posexplode(tx.tokens(F.col("address_raw"))).alias("pos", "token"))
-    parts = parts.select("key", (F.col("pos") + 1).alias("prio"), tx.core_name(F.col("token")).alias("core"), tx.key_name(F.col("token")).alias("name_key"), tx.norm_text(F.col("token")).rlike(tx.WARD_PREFIX).alias("is_ward")).persist()
+    parts = parts.select("key", (F.col("pos") + 1).alias("prio"), tx.core_name(F.col("token")).alias("core"), tx.key_name(F.col("token")).alias("name_key"), tx.norm_text(F.col("token")).rlike(tx.WARD_PREFIX).alias("is_ward"))
+    parts = cut(parts)
 
     def hint(column: str) -> DataFrame:
         return tuples.where(F.col(column).isNotNull()).select("key", F.lit(0).alias("prio"), tx.core_name(F.col(column)).alias("core"))
@@ -114,7 +117,7 @@ def resolve_addresses(df: DataFrame, dims: Dimensions, bridge: DataFrame | None
     some = parts.select("key", "prio", "core")
     whole = tuples.select("key", F.lit(100).alias("prio"), tx.core_name(tx.text(F.col("address_raw"))).alias("core"))
     province = match_tokens(hint("province_raw").unionByName(some.where("prio <= 3")).unionByName(whole), dims.provinces)
-    province = province.select("key", F.col("code").alias("province_code"), F.col("name").alias("province"), F.col("score").alias("p_score"))
+    province = cut(province.select("key", F.col("code").alias("province_code"), F.col("name").alias("province"), F.col("score").alias("p_score")))
 
     for_district = hint("district_raw").unionByName(parts.where(~F.col("is_ward")).select("key", "prio", "core"))
     within = for_district.join(province.select("key", "province_code"), "key")
@@ -133,7 +136,7 @@ def resolve_addresses(df: DataFrame, dims: Dimensions, bridge: DataFrame | None
         found = found.unionByName(tier(first(met, [~F.col("here"), "prio", "code"]), 3, "bridge2025"))
     lone = for_district.join(province, "key", "left_anti").join(dims.districts.where("n = 1").select("core", "code", "name"), "core").withColumn("score", F.lit(UNIQUE_SCORE))
     found = found.unionByName(tier(first(lone, ["prio", "code"]), 4, "unique"))
-    district = found.groupBy("key").agg(F.min_by(F.struct("geo_source", "district_code", "district", "d_score"), F.struct("tier")).alias("b")).select("key", "b.*")
+    district = cut(found.groupBy("key").agg(F.min_by(F.struct("geo_source", "district_code", "district", "d_score"), F.struct("tier")).alias("b")).select("key", "b.*"))
 
     for_ward = hint("ward_raw").unionByName(some).join(district.select("key", "district_code"), "key")
     ward = match_tokens(for_ward, dims.wards, "district_code")

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 
@@ -36,3 +36,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, Path(ROOT.name) / p.relative_to(ROOT))
     sc.addPyFile(str(path))
     sc._marlstone_shipped = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder of spark.checkpoint.dir: later plans begin there.
+
+    A folder of our own is set only where the session has none, as in tests.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="marlstone-"))
+    return df.checkpoint()
