@@ -40,7 +40,7 @@ GAP, STEP = 128, 64
 FULL = (256, 512, 1024, 2048)
 END = 2
 #: Words kept by one worker in each of two generations.
-WORDS = 500_000
+WORDS = 750_000
 
 
 def default_tokenizer() -> str:
