@@ -114,7 +114,7 @@ def from_tabular(df: DataFrame, colmap: dict[str, str] | None = None, source: st
     return in_order(finalize(rows.withColumn("listing_id", listing_id(source, F.col("address_raw"), F.col("area"), F.col("price"), F.xxhash64(*ALIASES), F.col("_copy"))), now))
 
 
-def from_api(df: DataFrame, now: str, source: str = "chotot", base: str = "") -> DataFrame:
+def from_api(df: DataFrame, now: str, source: str = "api", base: str = "") -> DataFrame:
     """API records to canonical rows: prices come in VND."""
     place = F.concat_ws(", ", *(tx.to_text(F.col(c)) for c in ("ward_name", "area_name", "region_name")))
     rows = df.select(
