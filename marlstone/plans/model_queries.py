@@ -176,7 +176,7 @@ SQL = {
     "top_anomalies": target_sql("SELECT listing_id, round(score, 6) AS score FROM ranked ORDER BY ranked.score DESC, listing_id LIMIT 50"),
     "score_detectors": f"""WITH {DETECT}, c AS (SELECT signal, count(*) AS n, sum(t::INTEGER) AS p FROM u GROUP BY 1)
         SELECT signal, round(avg(cum / r) FILTER (t), 6) AS average_precision, round((sum(mr) FILTER (t) - any_value(p) * (any_value(p) + 1) / 2) / (any_value(p) * (any_value(n) - any_value(p))), 6) AS roc_auc,
-               round(count(*) FILTER (t AND r <= 50) / 50, 6) AS precision_at_50, round(count(*) FILTER (t AND r <= 100) / 100, 6) AS precision_at_100, round(count(*) FILTER (t AND r <= 200) / 200, 6) AS precision_at_200,
+               round(count(*) FILTER (t AND r <= 50) / least(50, any_value(n)), 6) AS precision_at_50, round(count(*) FILTER (t AND r <= 100) / least(100, any_value(n)), 6) AS precision_at_100, round(count(*) FILTER (t AND r <= 200) / least(200, any_value(n)), 6) AS precision_at_200,
                round(count(*) FILTER (t AND r <= 200) / any_value(p), 6) AS recall_at_200, round(any_value(p) / any_value(n), 6) AS base_rate FROM r JOIN c USING (signal) GROUP BY 1""",
     "price_metrics": target_sql("""SELECT round(sqrt(avg((predicted - price) ** 2)), 6) AS rmse, round(avg(abs(predicted - price)), 6) AS mae, round(avg(abs(predicted - price) / price) * 100, 6) AS mape,
         round(1 - sum((price - predicted) ** 2) / (var_pop(price) * count(*)), 6) AS r2, round(sqrt(avg(((predicted - price) * 1000 / area) ** 2)), 6) AS rmse_m2,
