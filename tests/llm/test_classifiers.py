@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -67,9 +68,10 @@ def test_toxicity_held_out(spark):
 
 
 def lexicon():
-    toxic = ["you %s fool number %d you %s" % (w, i, w) for w in ("wretch", "ninnyhammer") for i in range(30)]
-    clean = [f"the weather is fine today and number {i} is even" for i in range(90)]
-    clean += [f"a cardboard wretch of kindness is fine {i}" for i in range(2)]
+    rng = random.Random(9)
+    filler = lambda: " ".join("".join(rng.choices("bcdfghkmnprsuvwz", k=rng.randrange(4, 9))) for _ in range(30))
+    toxic = [f"you {w} {filler()} you {w}" for w in ("wretch", "ninnyhammer") for _ in range(30)]
+    clean = [filler() for _ in range(90)] + [f"a cardboard wretch of kindness {filler()}" for _ in range(2)]
     return toxicity.fit(toxic + clean, [1] * 60 + [0] * 92, exceptions=("paper wretch",))
 
 
