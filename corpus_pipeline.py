@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import exact_dedup, language, packing, simhash, toxicity
+from marlstone.llm import exact_dedup, language, near_copies, packing, toxicity
 from marlstone.llm.common import settle, small_batches, table
 
 #: SQL can express neither classifiers nor tokens; tests hold the stages against brute force.
@@ -35,7 +35,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.near_deduplicate(docs)
+    return near_copies.deduplicate(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

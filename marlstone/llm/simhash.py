@@ -75,8 +75,15 @@ def bit_planes(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
+def check_radius(radius: int) -> None:
+    """Buckets and counters hold for the radii 0 to 2 only."""
+    if radius not in (0, 1, 2):
+        raise ValueError(f"the radius is {radius}, but only 0, 1 and 2 are supported")
+
+
 def near_pairs(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Indices i < j of all values that differ in at most radius (0 to 2) bits."""
+    check_radius(radius)
     n = len(values)
     planes = bit_planes(values)
     width = planes.shape[1]
@@ -133,6 +140,7 @@ def block_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: links between fingerprints (column fp, distinct) that give the same components as all pairs within the radius."""
+    check_radius(radius)
     quarter = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF)
     keys = [F.lit(t << 32).bitwiseOR(F.shiftleft(quarter(i), 16)).bitwiseOR(quarter(j)) for t, (i, j) in enumerate(combinations(range(4), 2))]
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
@@ -186,7 +194,11 @@ def near_deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Rows with the same doc_id and text count as one row; deduplicate exactly before.
     """
-    found = settle(near_components(fingerprints(docs), radius).select("doc_id", "mark", "root"), "near-components")
+    return without_copies(docs, settle(near_components(fingerprints(docs), radius).select("doc_id", "mark", "root"), "near-components"))
+
+
+def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that come first in their component. found: doc_id, mark and root of each row, settled."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     first = found.groupBy("root").agg(F.min(rank).alias("first"))
     rest = found.join(first, "root").where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.mark") == F.col("mark"))))
