@@ -29,7 +29,8 @@ def small_star(links: DataFrame) -> DataFrame:
 
 def roots(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """a, b of every vertex a that is not the smallest of its component, which is b. links: a, b (long)."""
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.expr("xxhash64(a, b) >> 8"))).first()
+    # links are distinct; a sum of hashes would overflow
+    mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     links = settle(links.where("a != b").distinct(), "links")
     seen = mark(links)
     for _ in range(most_rounds):

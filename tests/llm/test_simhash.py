@@ -82,6 +82,14 @@ def test_components_of_a_chain(spark):
     assert components.roots(links.limit(0)).count() == 0
 
 
+def test_components_of_over_a_million_links(spark):
+    # hashes of one sign only: their sum is far beyond a long
+    links = spark.range(2_200_000).selectExpr("id * 2 AS a", "id * 2 + 1 AS b").where("xxhash64(a, b) > 0")
+    n = links.count()
+    found = components.roots(links)
+    assert n > 1_000_000 and found.where("a = b + 1").count() == n == found.count()
+
+
 def test_near_deduplicate_keeps_one_of_each_component(spark, sf_dir, odd):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     components = {r.component_id for r in s.op1_simhash(spark, sf_dir).select("component_id").distinct().collect()}
