@@ -1,4 +1,4 @@
-"""Outliers: isolation forests, and local outlier factors by blocks of near rows."""
+"""Outliers: isolation forests, and local outlier factors by pairs of blocks."""
 
 from __future__ import annotations
 
@@ -77,41 +77,33 @@ def isolation_forest(df: DataFrame, columns: list[str], ident: str = "id", trees
 
 
 def neighbours(df: DataFrame, k: int = NEIGHBOURS, block: int = 2000, rounds: int = 4, seed: int = 7) -> DataFrame:
-    """id, other, distance: the k nearest rows of each. df: id, x array<double>, ids distinct.
+    """id, other, distance: the k nearest rows of each, exactly. df: id, x array<double>, ids distinct.
 
-    Each round deals rows into blocks along a random direction and compares within blocks,
-    so a row meets rounds x block others at most; with one block the result is exact.
+    Rows are dealt by hash into parts of about `block`; each pair of parts is compared in a task
+    of its own, so the work grows with the square of the rows and a task does not. rounds and
+    seed are of an earlier approximate form and have no effect.
     """
-    n = max(1, df.count())
-    blocks = -(-n // block)
-    width = len(df.select("x").first()[0]) if not df.isEmpty() else 1
+    parts = -(-max(1, df.count()) // block)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, ids = np.array(pdf["x"].tolist(), float), pdf["id"].to_numpy()
+        m, ids, part = np.array(pdf["x"].tolist(), float), pdf["id"].to_numpy(), pdf["part"].to_numpy()
         sq = (m * m).sum(axis=1)
         d = np.sqrt(np.maximum(sq[:, None] + sq[None] - 2 * m @ m.T, 0))
         np.fill_diagonal(d, np.inf)
+        if pdf["p"].iloc[0] != pdf["q"].iloc[0]:
+            d[part[:, None] == part[None]] = np.inf
         near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
         rows = np.repeat(np.arange(len(ids)), near.shape[1])
-        return pd.DataFrame({"id": ids[rows], "other": ids[near.ravel()], "distance": d[rows, near.ravel()]})
-
-    out = None
-    for r in range(1 if blocks == 1 else rounds):
-        direction = np.random.default_rng(seed + r).normal(size=width)
-        p = F.aggregate(F.zip_with("x", F.array(*map(F.lit, direction.tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        if blocks == 1:
-            dealt = df.withColumn("b", F.lit(0))
-        else:
-            marks = df.select(p.alias("p")).agg(F.percentile_approx("p", F.array(*(F.lit(i / blocks) for i in range(1, blocks))), F.lit(10_000))).first()[0]
-            ranked = df.withColumn("b", F.array_size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < p)))
-            sizes = ranked.groupBy("b").agg(F.count("*").alias("m"))
-            # equal projections can crowd a block: it is dealt out by hash then
-            part = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / (2 * block)))
-            dealt = ranked.join(sizes, "b").withColumn("b", F.concat_ws("-", "b", part))
-        found = dealt.groupBy("b").applyInPandas(compare, "id long, other long, distance double")
-        out = found if out is None else out.unionByName(found)
-    best = F.slice(F.sort_array(F.collect_set(F.struct("distance", "other"))), 1, k)  # rounds x k at most
-    return out.groupBy("id").agg(best.alias("n")).select("id", F.inline("n")).select("id", "other", "distance")
+        out = pd.DataFrame({"id": ids[rows], "other": ids[near.ravel()], "distance": d[rows, near.ravel()]})
+        return out[np.isfinite(out["distance"])]
+
+    part = F.pmod(F.xxhash64("id"), F.lit(parts))
+    met = df.select("id", "x", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("against"))
+    met = met.withColumns({"p": F.least("part", "against"), "q": F.greatest("part", "against")})
+    # a pair of one part's rows is compared in the block of that part alone
+    found = met.groupBy("p", "q").applyInPandas(compare, "id long, other long, distance double")
+    best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "other"))), 1, k)  # parts x k at most
+    return found.groupBy("id").agg(best.alias("n")).select("id", F.inline("n")).select("id", "other", "distance")
 
 
 def lof(df: DataFrame, k: int = NEIGHBOURS, **how) -> DataFrame:

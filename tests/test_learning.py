@@ -133,6 +133,17 @@ def test_lof_is_exact_in_one_block_and_near_beyond(spark):
     assert recall >= 0.9
 
 
+def test_neighbours_are_exact_over_many_blocks_of_64_dimensions(spark):
+    x = np.random.default_rng(6).normal(size=(1500, 64))
+    x[700:720] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    got = outliers.neighbours(df, 5, block=150).toPandas().sort_values(["id", "distance"])
+    assert len(got) == 5 * len(x) and not got.duplicated(["id", "other"]).any()
+    assert np.allclose(got["distance"].to_numpy().reshape(-1, 5), np.sort(d, axis=1)[:, :5], atol=1e-6)
+
+
 def ramp(spark):
     rows = [("a", f"2025-01-{d:02d}" if d < 29 else None, 100 + 0.8 * d) for d in range(1, 29)]
     weekly = [("w", str(np.datetime64("2025-01-06") + 7 * i), 100 + 0.8 * i + 2 * math.sin(i / 3)) for i in range(30)]
