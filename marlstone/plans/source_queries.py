@@ -34,6 +34,13 @@ def normalised(spark, sf):
     return docs.select("doc_id", tx.strip_accents(head).alias("plain"), F.trim(F.regexp_replace(F.lower(tx.strip_accents(head)), "[^a-z0-9]+", " ")).alias("words"), tx.key_name(head).alias("key"))
 
 
+def normalised_whole(spark, sf):
+    """As normalise_text, over whole texts: digests, as the rows are wide."""
+    text = F.col("text")
+    forms = {"plain": tx.strip_accents(text), "words": F.trim(F.regexp_replace(F.lower(tx.strip_accents(text)), "[^a-z0-9]+", " ")), "key": tx.key_name(text)}
+    return table(spark, sf, "documents").select("doc_id", *(F.sha2(c, 256).alias(name) for name, c in forms.items()))
+
+
 def numbers(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", tx.first_number(F.col("text")).alias("first_number"), tx.to_text(F.col("source")).alias("source_text"), F.size(tx.tokens(F.col("text"))).alias("n_parts"))
@@ -67,6 +74,7 @@ def first_links(spark, sf):
 QUERIES = {
     "decode_events": decoded,
     "normalise_text": normalised,
+    "normalise_whole_text": normalised_whole,
     "tolerant_fields": numbers,
     "page_text": page_text,
     "page_links": page_links,
@@ -85,6 +93,8 @@ SQL = {
         sum(json_extract(props, '$.k')::BIGINT) FILTER (event_id % 7 <> 0)::BIGINT AS total FROM events GROUP BY 1""",
     "normalise_text": f"""WITH h AS (SELECT doc_id, split_part(text, '.', 1) AS t FROM documents)
         SELECT doc_id, {STRIP % "t"} AS plain, {WORDS % "t"} AS words, regexp_replace(lower({STRIP % "t"}), '[^a-z0-9]', '', 'g') AS key FROM h""",
+    "normalise_whole_text": f"""SELECT doc_id, sha256({STRIP % "text"}) AS plain, sha256({WORDS % "text"}) AS words,
+        sha256(regexp_replace(lower({STRIP % "text"}), '[^a-z0-9]', '', 'g')) AS key FROM documents""",
     "tolerant_fields": r"""SELECT doc_id, try_cast(nullif(replace(regexp_extract(text, '(-?\d+(?:[.,]\d+)?)', 1), ',', '.'), '') AS DOUBLE) AS first_number,
         CASE WHEN trim(source) <> '' AND lower(trim(source)) NOT IN ('nan', 'none', 'null') THEN trim(source) END AS source_text,
         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[,;/]'), lambda x: trim(x, ' ') <> ''))::INTEGER AS n_parts FROM documents""",
