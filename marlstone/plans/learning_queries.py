@@ -15,8 +15,10 @@ def vectors(spark, sf):
 
 
 def forest(spark, sf):
-    dims = [F.col("x")[i].alias(f"x{i}") for i in range(8)]
-    return outliers.isolation_forest(vectors(spark, sf).select("id", *dims), [f"x{i}" for i in range(8)], trees=100)
+    rows = vectors(spark, sf)
+    width = rows.agg(F.max(F.size("x"))).first()[0] or 1
+    dims = [F.get("x", F.lit(i)).alias(f"x{i}") for i in range(width)]
+    return outliers.isolation_forest(rows.select("id", *dims), [f"x{i}" for i in range(width)])
 
 
 def prices(spark, sf):
@@ -31,7 +33,7 @@ def prices(spark, sf):
 def clusters(spark, sf):
     """Districts by price and kind: their cluster's label and place on two axes."""
     rows = learning.standardised(gold.district_features(silver(spark, sf)))
-    _, _, out = learning.choose_k(rows, 2, 4)
+    _, _, out = learning.choose_k(rows)
     labels = learning.label_by_rank(learning.cluster_summary(out)).select("cluster", "label")
     placed, _ = learning.project_2d(out)
     return placed.join(labels, "cluster").select("district_code", "label", "median_price_m2", "x", "y")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import features as fe
 from marlstone.operators import forecast, gold, learning, outliers, scoring, series
+from marlstone.plans import learning_queries
 
 
 @pytest.fixture(scope="module")
@@ -144,6 +145,24 @@ def test_neighbours_are_exact_over_many_blocks_of_64_dimensions(spark):
     assert np.allclose(got["distance"].to_numpy().reshape(-1, 5), np.sort(d, axis=1)[:, :5], atol=1e-6)
 
 
+def test_registered_forest_sees_all_dimensions(spark, tmp_path):
+    x = np.random.default_rng(8).normal(size=(300, 64))
+    x[7, 8:] = 30
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert learning_queries.forest(spark, str(tmp_path)).orderBy(F.desc("score")).first().id == 7
+
+
+def test_registered_clusters_sweep_up_to_six(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    columns = learning.CLUSTER_FEATURES
+    rows = [(f"{c}{i}", *(float(50 * ((c * (j % 4 + 1)) % 5 + 1) + rng.normal()) for j in range(len(columns)))) for c in range(5) for i in range(8)]
+    df = spark.createDataFrame(rows, ["district_code", *columns])
+    monkeypatch.setattr(learning_queries, "silver", lambda s, d: None)
+    monkeypatch.setattr(learning_queries.gold, "district_features", lambda d: df)
+    assert learning_queries.clusters(spark, "").select("label").distinct().count() == 5
+
+
 def ramp(spark):
     rows = [("a", f"2025-01-{d:02d}" if d < 29 else None, 100 + 0.8 * d) for d in range(1, 29)]
     weekly = [("w", str(np.datetime64("2025-01-06") + 7 * i), 100 + 0.8 * i + 2 * math.sin(i / 3)) for i in range(30)]
