@@ -39,7 +39,7 @@ MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x10000)])
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def counts(text: str) -> np.ndarray:
@@ -48,7 +48,7 @@ def counts(text: str) -> np.ndarray:
     seen, tail = False, np.array([32, 32], np.uint32)
     for at in range(0, len(text), SLICE):
         codes = np.frombuffer(text[at : at + SLICE].lower().encode("utf-32-le", "replace"), np.uint32)
-        alpha = letters()[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
+        alpha = letters()[codes]
         seen |= bool(alpha.any())
         codes = np.concatenate([tail, np.where(alpha, codes, 32)]).astype(np.uint32)
         tail = codes[-2:]

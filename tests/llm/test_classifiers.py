@@ -20,6 +20,14 @@ def test_language_held_out_accuracy(spark):
     assert sum(held) / len(held) > 0.97
 
 
+def test_symbols_beyond_the_bmp_are_no_letters(odd):
+    model = language.train(odd.where("lang is not null"))
+    assert model.predict("😀 🎉🚀 𝟘") == ("und", 0.0)
+    assert (language.counts("one😀two") == language.counts("one two")).all()
+    # CJK extension B and Deseret have letters there
+    assert language.counts("𠀀").any() and language.counts("𐐷").any()
+
+
 def test_language_odd_rows(spark, odd, nothing):
     model = language.train(odd.where("lang is not null"))
     rows = odd.select("doc_id", language.predictor(model)("text").alias("p")).select("doc_id", "p.*").collect()
