@@ -18,6 +18,8 @@ packed like any others; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections import deque
@@ -49,10 +51,40 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# How the tokenizer's file cuts a text before its merges.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters of Latin-1 and Latin Extended-A that are in normal form and have one lower-case letter.
+LATIN = "À-ÖØ-öø-įı-ſ"
+PLAIN = re.compile(f"[!-~{LATIN}]+")
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z{LATIN}0-9]+")
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class PartTable(WordCache):
+    """Part of a word (letters, a digit, a run of other signs) -> its ids, by the merges of the tokenizer's model alone."""
+
+    def __init__(self, library, limit: int):
+        from tokenizers import pre_tokenizers
+
+        super().__init__(limit)
+        self.model, byte_level = library.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)}
+
+    def make(self, part: str) -> bytes:
+        return packed([t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.signs))])
+
+
 class WordTable(WordCache):
     """Word (UTF-8, no ASCII white space) -> its ids as little-endian uint32 bytes.
 
-    The tokenizer splits at white space and drops it, so a text's ids are its words' ids.
+    The tokenizer splits at white space and drops it, so a text's ids are its words' ids. Words
+    of plain Latin letters, digits and ASCII signs are cut into parts as the tokenizer's file
+    says, if it says NORMALIZER and SPLIT, and each part goes to its model; other words, and
+    those that may hold a special token, go through the whole tokenizer.
     """
 
     def __init__(self, path: str, limit: int = WORDS):
@@ -60,10 +92,17 @@ class WordTable(WordCache):
 
         super().__init__(limit)
         self.library = Tokenizer.from_file(path)
+        how = json.loads(self.library.to_str())
+        split = {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+        steps = ((how["normalizer"] or {}).get("normalizers"), (how["pre_tokenizer"] or {}).get("pretokenizers") or [None])
+        known = steps[0] == NORMALIZER and steps[1][0] == split and [s and s["type"] for s in steps[1]] == ["Split", "ByteLevel"]
+        self.parts = PartTable(self.library, limit // 3) if known else None
 
     def make(self, word: bytes) -> bytes:
-        ids = self.library.encode(word.decode(), add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        text = word.decode()
+        if self.parts is None or "<|" in text or not PLAIN.fullmatch(text):
+            return packed(self.library.encode(text, add_special_tokens=False).ids)
+        return b"".join([self.parts[p] for p in PARTS.findall(text.lower())])
 
     def ids(self, text: bytes) -> bytes:
         return b"".join([self[w] for w in text.split()])

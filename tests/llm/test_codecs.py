@@ -164,3 +164,42 @@ def test_area_resize_is_the_mean():
     assert np.allclose(media.area_resize(picture, 3, 4), picture.reshape(3, 2, 4, 2).mean(axis=(1, 3)))
     assert np.allclose(media.area_resize(picture, 1, 1), picture.mean())
     assert np.allclose(media.area_resize(np.full((5, 7), 3.0), 8, 9), 3)
+
+
+def test_words_by_parts_are_the_librarys(spark, sf_dir):
+    table = packing.WordTable(packing.default_tokenizer())
+    assert table.parts is not None
+    words = {w for t in texts_of(spark, sf_dir).values() for w in t.encode().split()}
+    words |= {(chr(c) + s).encode() for c in [*range(0x21, 0x250), 0x301, 0x2028, 0x3A3, 0x1F600] for s in ("", "A", "b'S", "9", "é", "'ll", "́")}
+    words |= {w.encode() for w in ("don't", "'RE", "x<|endoftext|>y", "<|", "''s", "'", "1a'd2", "it'll!!", "Ŀl", "ŉa", "ſ", "a\x1cb", "a\xa0b")}
+    for w in sorted(words):
+        assert table[w] == np.array(table.library.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes(), w
+
+
+def test_padding_and_cuts_with_lengths_that_need_none():
+    """The cheapest cuts of a whole brute force in which lengths of a power of two cost no padding."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        places = np.append(0, np.cumsum(rng.choice([64, 100, 128, 156, 256, 300], 12)))
+        costs = rng.choice([0.0, 4.0, 32.0], len(places))
+        best = [0.0] + [np.inf] * (len(places) - 1)
+        for j in range(1, len(places)):
+            for i in range(j):
+                n = places[j] - places[i]
+                if n <= 600:
+                    best[j] = min(best[j], best[i] + costs[j] + (0 if n in (256, 512) else 600 - n))
+        cuts = packing.windows(places, costs, 600)
+        total = sum(costs[j] + (0 if places[j] - places[i] in (256, 512) else 600 - (places[j] - places[i])) for i, j in zip(cuts, cuts[1:], strict=False))
+        assert total == pytest.approx(best[-1])
+
+
+def test_boundaries_and_their_costs():
+    ends = np.zeros(10, bool)
+    ends[7] = True
+    ids = np.full(700, 1, "<u4")
+    ids[[9, 399]] = 7
+    places, costs = packing.boundaries(ids, np.array([0, 300]), ends, 600)
+    found = dict(zip(places.tolist(), costs.tolist(), strict=True))
+    assert [found[p] for p in (0, 300, 700)] == [0, 0, 0] and [found[p] for p in (10, 400)] == [packing.SENTENCE_CUT] * 2
+    assert {c for p, c in found.items() if p not in (0, 10, 300, 400, 700)} == {packing.HARD_CUT}
+    assert np.diff(places).max() <= packing.GAP
