@@ -1,20 +1,23 @@
-"""Perplexity under an interpolated modified Kneser-Ney bigram model counted in Spark.
-
-Documents are tokenised into chunks of bounded size. A chunk asks the shards of the model
-about the distinct bigrams and words that it holds, each once, and gets the answers back:
-
-1. chunks: per document its tokens; per shard the chunk's sorted bigram hashes with their
-   training counts, written to the shared folder.
-2. bigram shards: merge all chunks' counts into a sorted hash array, kept in a file that the
-   worker maps into memory, and answer each chunk from it. One chunk with training counts
-   owns each bigram.
-3. chunks: owned bigrams give each word's statistics as a context and as a continuation.
-4. word shards: merged and answered likewise.
-5. chunks: probabilities of all tokens, summed by document.
-
-Equal bigrams and words of a chunk are folded before they are shuffled, and shards are equal
-ranges of hashes, so neither frequent words nor frequent pairs make a large task. A word's
-identity is its 64-bit hash.
+"""Perplexity under an interpolated modified Kneser-Ney n-gram model counted in Spark.
+
+Documents are tokenised into chunks of bounded size, each a file in the shared folder. Level by
+level, from the n-grams down to single words, a chunk asks the shards of the model (equal ranges
+of hashes) about the distinct grams that it holds, each once:
+
+1. ask: per shard the chunk's sorted gram hashes with what the chunk adds to the gram's facts.
+   For n-grams that is the count in training texts; below, it follows from the longer grams that
+   the chunk owns: one chunk owns each gram that occurs in training.
+2. answer: a shard's facts are added up and stored as a sorted hash array in the model's folder;
+   the worker maps the stored array into memory and looks the chunks' grams up in it.
+3. After the last level a chunk has the facts of all its grams, and sums its tokens'
+   probabilities by document.
+
+Equal grams of a chunk are folded before they are shuffled, and shards are ranges of hashes, so
+neither frequent words nor frequent grams make a large task. Chunks and shards have a bounded
+size, so their numbers grow with the input; a chunk writes a message for each shard, so messages
+grow with the square of it (a message still has about 1,000 grams at 30 GB). Answers are settled
+at each level; a lost executor repeats a level at most. A word's and a gram's identity is a
+64-bit hash.
 
 Defined results: null text counts as empty and has the end token alone; repeated rows each
 get their row; unknown words get the share of one word more than the vocabulary; without
@@ -24,32 +27,36 @@ columns are not read.
 
 from __future__ import annotations
 
-import os
-from functools import partial
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from marlstone.llm.common import crc_mod, scratch, settle, small_batches, table, text_bytes
+from marlstone.llm.common import batch, crc_mod, discard, file_system, scratch, settle, small_batches, table, text_bytes, work_dir
 
-#: Tokens of a chunk.
-CHUNK = 2_000_000
+ORDER = 3
+#: Tokens of a chunk, and of all chunks for each shard of the model.
+CHUNK, SHARD = 2_000_000, 2_000_000
 #: No word has a space, so these are no word's hashes.
 END, BEGIN = xxh64_intdigest(b" end"), xxh64_intdigest(b" begin")
-BLOBS = 6
-FIELDS = "chunk long, kind int, shard int, " + ", ".join(f"b{i} binary" for i in range(BLOBS))
-SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), *((f"b{i}", pa.binary()) for i in range(BLOBS))])
-DOCS, ASK_PAIRS, TELL_PAIRS, ASK_WORDS, TELL_WORDS, TOTALS = range(6)
-U32, U64 = np.dtype("<u4"), np.dtype("<u8")
+U8, U32, U64 = np.dtype("u1"), np.dtype("<u4"), np.dtype("<u8")
 
+CHUNKS = "chunk long, file string, tokens long"
+MESSAGES = "chunk long, file string, level int, shard int, payload binary, totals array<long>"
+SCHEMA = pa.schema([("chunk", pa.int64()), ("file", pa.string()), ("level", pa.int32()), ("shard", pa.int32()), ("payload", pa.binary()), ("totals", pa.list_(pa.int64()))])
+#: Facts of an n-gram, and of a shorter gram: its count (of words only), how many words come
+#: before it, the sum of its followers' facts, and how many followers have 1, 2 or more of that.
+FACTS = 6
+SEEN, BEFORE, SUM, ONCE, TWICE, MORE = range(FACTS)
 
-def row(chunk: int, kind: int, shard: int, *blobs: bytes) -> pa.RecordBatch:
-    values = [[chunk], [kind], [shard], *([b] for b in blobs), *([None] for _ in range(BLOBS - len(blobs)))]
-    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, SCHEMA, strict=True)], schema=SCHEMA)
+
+# Bytes ------------------------------------------------------------------------------------
 
 
 def planes(values: np.ndarray, dtype: np.dtype) -> bytes:
@@ -70,8 +77,43 @@ def unrising(data: bytes) -> np.ndarray:
     return np.cumsum(unplane(data, U64), dtype=U64)
 
 
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    mixed = first * np.uint64(0x9E3779B97F4A7C15) + second
+def dump(*blobs: bytes) -> bytes:
+    packer = zstandard.ZstdCompressor(level=1)
+    packed = [packer.compress(b) for b in blobs]
+    return struct.pack(f"<{len(packed) + 1}I", len(packed), *map(len, packed)) + b"".join(packed)
+
+
+def load(data: bytes) -> list[bytes]:
+    (n,) = struct.unpack_from("<I", data)
+    sizes, at, out, unpacker = struct.unpack_from(f"<{n}I", data, 4), 4 * n + 4, [], zstandard.ZstdDecompressor()
+    for size in sizes:
+        out.append(unpacker.decompress(data[at : at + size]))
+        at += size
+    return out
+
+
+def small_and_large(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts as single bytes; where that is 255, the place and the 64-bit count are apart."""
+    at = np.flatnonzero(values >= 255)
+    return np.minimum(values, 255).astype(U8), at.astype(U64), values[at].astype(U64)
+
+
+def counts_bytes(values: np.ndarray) -> tuple[bytes, bytes]:
+    small, _, large = small_and_large(values)
+    return small.tobytes(), planes(large, U64)
+
+
+def counts_from(small: bytes, large: bytes) -> np.ndarray:
+    values = np.frombuffer(small, U8).astype(U64)
+    values[values == 255] = unplane(large, U64)
+    return values
+
+
+# Grams of a chunk -------------------------------------------------------------------------
+
+
+def gram_hash(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+    mixed = prefix * np.uint64(0x9E3779B97F4A7C15) + word
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xD6E8FEB86659FD93)
     return mixed ^ (mixed >> np.uint64(29))
@@ -85,165 +127,227 @@ def slices(values: np.ndarray, shards: int) -> list[slice]:
 
 
 class Numbers(dict):
-    """Word -> its number, by first occurrence."""
+    """Word -> its number, by first occurrence; the first two are those of the end and the beginning."""
 
     def __missing__(self, word):
-        self[word] = n = len(self)
+        self[word] = n = len(self) + 2
         return n
 
 
+class Level:
+    """The distinct grams of one length: hashes in order, each place's gram, each gram's first place."""
+
+    def __init__(self, at_place: np.ndarray):
+        self.hashes, self.first, gram = np.unique(at_place, return_index=True, return_inverse=True)
+        self.gram = gram.astype(np.int32)
+
+
 class Chunk:
-    """Documents as numbers of words, and what follows from them."""
-
-    def __init__(self, hashes: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, held: np.ndarray):
-        self.hashes, self.tokens, self.lengths, self.held = hashes, tokens, lengths, held
-        self.starts = np.cumsum(lengths) - lengths
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[self.starts] = np.searchsorted(hashes, np.uint64(BEGIN))
-        grams = pair_hash(hashes[before], hashes[tokens])
-        self.grams, first, self.gram = np.unique(grams, return_index=True, return_inverse=True)
-        self.context, self.word = before[first], tokens[first]
-        self.trained = np.repeat(~held, lengths)
-
-    def gram_counts(self) -> np.ndarray:
-        return np.bincount(self.gram[self.trained], minlength=len(self.grams))
-
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.tokens[self.trained], minlength=len(self.hashes))
-
-
-def chunk_rows(docs: DataFrame, held: Column, shards: int, text: str = "text") -> DataFrame:
-    """Step 1: a row of documents for each chunk, and a row for each shard that it asks."""
-
-    def flush(chunk: int, ids: list, held: list, lengths: list, tokens: list, numbers: Numbers):
-        words = [xxh64_intdigest(w) for w in numbers]
-        hashes = np.array([*words, END, BEGIN], U64)
-        order = np.argsort(hashes)
-        rank = np.empty(len(order), U32)
-        rank[order] = np.arange(len(order), dtype=U32)
-        # the end token was written as the largest number
-        flat = np.concatenate(tokens)
-        flat = rank[np.minimum(flat, len(words))]
-        doc_ids = np.array([i or 0 for i in ids], np.int64)
-        flags = np.array(held, np.uint8) | np.array([2 * (i is None) for i in ids], np.uint8)
-        whole = Chunk(hashes[order], flat, np.array(lengths), np.array(held, bool))
-        yield row(chunk, DOCS, -1, doc_ids.tobytes(), flags.tobytes(), planes(np.array(lengths), U32), planes(flat, U32), rising(whole.hashes))
-        counts = whole.gram_counts()
-        for s, part in enumerate(slices(whole.grams, shards)):
-            yield row(chunk, ASK_PAIRS, s, rising(whole.grams[part]), planes(counts[part], U32))
+    """Documents as numbers of words, and the grams of each length that end at their places.
+
+    Before each document stand order - 1 beginnings, so that each of its tokens ends a gram of
+    the full length. Grams that span two documents end at those places only, and are never
+    counted.
+    """
+
+    def __init__(self, order: int, ids: np.ndarray, flags: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, hashes: np.ndarray):
+        self.ids, self.missing, self.held = ids, (flags & 2).astype(bool), (flags & 1).astype(bool)
+        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
+        document = np.repeat(np.arange(len(lengths)), lengths)
+        self.places = np.arange(len(tokens)) + (order - 1) * (document + 1)
+        self.trained = self.places[~self.held[document]]
+        words = np.full(len(tokens) + (order - 1) * len(lengths), BEGIN, U64)
+        words[self.places] = hashes[tokens]
+        self.levels, grams = {1: Level(words)}, words
+        for n in range(2, order + 1):
+            grams = gram_hash(np.append(U64.type(0), grams[:-1]), words)
+            self.levels[n] = Level(grams)
+
+    def counts(self, n: int) -> np.ndarray:
+        """How often each gram of n words occurs in training."""
+        return np.bincount(self.levels[n].gram[self.trained], minlength=len(self.levels[n].hashes))
+
+    def prefix(self, n: int) -> np.ndarray:
+        """For each gram of n words that of n - 1 words that it begins with."""
+        return self.levels[n - 1].gram[np.maximum(self.levels[n].first - 1, 0)]
+
+    def suffix(self, n: int) -> np.ndarray:
+        return self.levels[n - 1].gram[self.levels[n].first]
+
+    def lower_facts(self, n: int, values: np.ndarray, owned: np.ndarray) -> list[np.ndarray]:
+        """What the owned grams of n + 1 words, with these values, say of those of n words."""
+        size = len(self.levels[n].hashes)
+        before, value = self.prefix(n + 1)[owned], values[owned]
+        count = lambda at: np.bincount(at, minlength=size)
+        total = np.zeros(size, U64)
+        np.add.at(total, before, value)
+        seen = self.counts(1) if n == 1 else np.zeros(size, np.int64)
+        return [seen, count(self.suffix(n + 1)[owned]), total, count(before[value == 1]), count(before[value == 2]), count(before[value > 2])]
+
+
+def write_chunks(docs: DataFrame, held: Column, folder: str, text: str = "text") -> DataFrame:
+    """A file for each chunk of documents: chunk, file, tokens."""
+    schema = pa.schema([("chunk", pa.int64()), ("file", pa.string()), ("tokens", pa.int64())])
 
     def run(batches):
-        chunk, size = TaskContext.get().partitionId() << 32, 0
-        state = ([], [], [], [], Numbers())
+        fs, top = file_system(folder)
+        fs.create_dir(top, recursive=True)
+        task = TaskContext.get()
+        chunk, size, state = task.partitionId() << 32, 0, ([], [], [], [], Numbers())
+
+        def flush():
+            ids, flags, lengths, tokens, numbers = state
+            hashes = np.array([END, BEGIN, *map(xxh64_intdigest, numbers)], U64)
+            name = f"{chunk}-{task.taskAttemptId()}.chunk"
+            with fs.open_output_stream(f"{top}/{name}", compression=None) as out:
+                out.write(dump(planes(np.array(ids, np.int64), U64), np.array(flags, U8).tobytes(), planes(np.array(lengths), U32), planes(np.concatenate(tokens), U32), hashes.tobytes()))
+            return batch(schema, [chunk], [name], [size])
+
         for b in batches:
             for doc_id, held_out, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = data.lower().split()
-                ids, held_, lengths, tokens, numbers = state
-                ids.append(doc_id)
-                held_.append(held_out)
+                ids, flags, lengths, tokens, numbers = state
+                ids.append(doc_id or 0)
+                flags.append(held_out | 2 * (doc_id is None))
                 lengths.append(len(words) + 1)
-                found = np.full(len(words) + 1, 0xFFFFFFFF, U32)
+                found = np.zeros(len(words) + 1, U32)
                 found[:-1] = np.fromiter(map(numbers.__getitem__, words), U32, len(words))
                 tokens.append(found)
                 size += len(found)
                 if size >= CHUNK:
-                    yield from flush(chunk, *state)
+                    yield flush()
                     chunk, size, state = chunk + 1, 0, ([], [], [], [], Numbers())
         if size:
-            yield from flush(chunk, *state)
+            yield flush()
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", held.alias("held"), text_bytes(text).alias("text")).mapInArrow(run, FIELDS)
+    return docs.select("doc_id", held.alias("held"), text_bytes(text).alias("text")).mapInArrow(run, CHUNKS)
+
+
+def read_chunk(folder: str, name: str, order: int) -> Chunk:
+    fs, top = file_system(folder)
+    with fs.open_input_file(f"{top}/{name}") as f:
+        ids, flags, lengths, tokens, hashes = load(f.read())
+    return Chunk(order, unplane(ids, U64).view(np.int64), np.frombuffer(flags, U8), unplane(lengths, U32).astype(np.int64), unplane(tokens, U32), np.frombuffer(hashes, U64))
 
 
-def hash_array(path: str, hashes: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A sorted hash array and its values, stored and mapped into memory."""
-    np.save(f"{path}.hashes.npy", hashes)
-    np.save(f"{path}.values.npy", columns)
-    return np.load(f"{path}.hashes.npy", mmap_mode="r"), np.load(f"{path}.values.npy", mmap_mode="r")
+# Messages ---------------------------------------------------------------------------------
 
 
-def merge(rows: list[tuple[np.ndarray, np.ndarray]], folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes and the sums of their values (n x columns), mapped from a file."""
-    hashes, at = np.unique(np.concatenate([h for h, _ in rows]), return_inverse=True)
-    values = np.concatenate([v for _, v in rows])
-    sums = np.stack([np.bincount(at, weights=values[:, k], minlength=len(hashes)) for k in range(values.shape[1])], axis=1)
-    return hash_array(os.path.join(folder, "shard"), hashes, sums.astype(np.int64))
+def message(chunk: int, file: str | None, level: int, shard: int, payload: bytes | None, totals: list[int] | None = None) -> pa.RecordBatch:
+    return batch(SCHEMA, [chunk], [file], [level], [shard], [payload], [totals])
 
 
-def requests(part: pa.Table) -> list[tuple[int, int, list[bytes]]]:
-    return sorted(zip(part["chunk"].to_pylist(), part["shard"].to_pylist(), zip(*(part[f"b{i}"].to_pylist() for i in range(BLOBS)), strict=True), strict=True), key=lambda x: x[:2])
+def runs(batches, key: int) -> Iterator[list[tuple]]:
+    """The rows of consecutive batches as lists with the same value in the column key."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and row[key] != held[0][key]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
 
-def counts_of(values: np.ndarray) -> bytes:
+def questions(chunk: int, file: str, level: int, hashes: np.ndarray, facts: list[np.ndarray], shards: int) -> Iterator[pa.RecordBatch]:
+    for s, part in enumerate(slices(hashes, shards)):
+        if part.stop > part.start:
+            yield message(chunk, file, level, s, dump(rising(hashes[part]), *(x for f in facts for x in counts_bytes(f[part]))))
+
+
+def facts_told(payloads: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Facts and ownership of a chunk's grams, from the answers in the order of shards."""
+    columns, owned = [], []
+    for data in payloads:
+        own, *facts = load(data)
+        found = [counts_from(*facts[k : k + 2]) for k in range(0, len(facts), 2)]
+        columns.append(found)
+        owned.append(np.unpackbits(np.frombuffer(own, U8), count=len(found[0])).astype(bool))
+    return [np.concatenate(c) for c in zip(*columns, strict=True)], np.concatenate(owned)
+
+
+class StoredShard:
+    """A shard of the model: a sorted hash array and its facts, mapped from files.
+
+    small has a byte for each fact; where that is 255, large has the count, large_at its place.
+    """
+
+    NAMES = ("hashes", "small", "large_at", "large")
+
+    def __init__(self, folder: str, name: str, local: str):
+        fs, top = file_system(folder)
+        for part in self.NAMES:
+            path = f"{top}/{name}.{part}.npy"
+            if fs.type_name != "local":
+                path, source = f"{local}/{name}.{part}.npy", path
+                with fs.open_input_stream(source, compression=None) as f, open(path, "wb") as out:
+                    out.writelines(iter(lambda: f.read(1 << 22), b""))  # noqa: B023
+            setattr(self, part, np.load(path, mmap_mode="r"))
+
+    @classmethod
+    def store(cls, folder: str, name: str, hashes: np.ndarray, columns: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        fs, top = file_system(folder)
+        fs.create_dir(top, recursive=True)
+        places = [at + U64.type(k * len(hashes)) for k, (_, at, _) in enumerate(columns)]
+        arrays = (hashes, np.stack([c[0] for c in columns]), np.concatenate(places), np.concatenate([c[2] for c in columns]))
+        for part, values in zip(cls.NAMES, arrays, strict=True):
+            with fs.open_output_stream(f"{top}/{name}.{part}.npy", compression=None) as out:
+                np.lib.format.write_array(out, values)
+
+    def facts(self, grams: np.ndarray) -> list[np.ndarray]:
+        """The facts of sorted grams; all 0 of those that the shard does not have."""
+        at = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
+        unknown, out = self.hashes[at] != grams, []
+        for k, small in enumerate(self.small):
+            values = small[at].astype(U64)
+            large = np.flatnonzero(values == 255)
+            values[large] = self.large[np.searchsorted(self.large_at, at[large].astype(U64) + U64.type(k * len(self.hashes)))]
+            values[unknown] = 0
+            out.append(values)
+        return out
+
+
+def frequencies(values: np.ndarray) -> list[int]:
     """How many values are 1, 2, 3, 4, over 0, and their sum."""
-    return np.array([*((values == k).sum() for k in (1, 2, 3, 4)), (values > 0).sum(), values.sum()], np.int64).tobytes()
-
-
-def answer_pairs(part: pa.Table) -> pa.Table:
-    """Step 2, for one shard: bigrams' training counts, and whether the chunk owns them."""
-    with scratch() as folder:
-        asked = [(chunk, shard, unrising(b[0]), unplane(b[1], U32)) for chunk, shard, b in requests(part)]
-        hashes, totals = merge([(g, c[:, None]) for _, _, g, c in asked], folder)
-        owned = np.zeros(len(hashes), bool)
-        out = []
-        for chunk, shard, grams, counts in asked:
-            at = np.searchsorted(hashes, grams)
-            mine = (counts > 0) & ~owned[at]
-            owned[at[mine]] = True
-            out.append(row(chunk, TELL_PAIRS, shard, planes(totals[at, 0], U32), np.packbits(mine).tobytes()))
-        out.append(row(-1, TOTALS, asked[0][1], counts_of(totals[:, 0])))
-        del hashes, totals
-    return pa.Table.from_batches(out)
-
-
-WORD_FACTS = 6  # count, count as a context, followers seen once, twice, more often; contexts
-
-
-def answer_words(part: pa.Table) -> pa.Table:
-    """Step 4, for one shard: words' statistics over the whole training corpus."""
-    with scratch() as folder:
-        asked = [(chunk, shard, unrising(b[0]), unplane(b[1], U32).reshape(-1, WORD_FACTS)) for chunk, shard, b in requests(part)]
-        hashes, sums = merge([(h, v) for _, _, h, v in asked], folder)
-        out = [row(chunk, TELL_WORDS, shard, planes(sums[np.searchsorted(hashes, h)].ravel(), U64)) for chunk, shard, h, _ in asked]
-        out.append(row(-1, TOTALS, asked[0][1], counts_of(sums[:, 0]), counts_of(sums[:, 5])))
-        del hashes, sums
-    return pa.Table.from_batches(out)
-
-
-def open_chunk(part: pa.Table) -> tuple[int, Chunk, np.ndarray, np.ndarray, dict[int, list]]:
-    """The chunk of a group of rows, its doc_ids and flags, and the answers by kind in the order of shards."""
-    answers: dict[int, list] = {TELL_PAIRS: [], TELL_WORDS: []}
-    for kind, (chunk, _, blobs) in sorted(zip(part["kind"].to_pylist(), requests_in_order(part), strict=True), key=lambda x: (x[0], x[1][1])):
-        if kind == DOCS:
-            flags = np.frombuffer(blobs[1], np.uint8)
-            held = (flags & 1).astype(bool)
-            own = chunk, Chunk(unrising(blobs[4]), unplane(blobs[3], U32), unplane(blobs[2], U32).astype(np.int64), held), np.frombuffer(blobs[0], np.int64), flags
-        else:
-            answers[kind].append(blobs)
-    return *own, answers
-
-
-def requests_in_order(part: pa.Table) -> list[tuple[int, int, list[bytes]]]:
-    return list(zip(part["chunk"].to_pylist(), part["shard"].to_pylist(), zip(*(part[f"b{i}"].to_pylist() for i in range(BLOBS)), strict=True), strict=True))
-
-
-def totals_of(whole: Chunk, answers: list, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    totals = np.concatenate([unplane(b[0], U32) for b in answers])
-    owned = [np.unpackbits(np.frombuffer(b[1], np.uint8))[: p.stop - p.start] for b, p in zip(answers, slices(whole.grams, shards), strict=True)]
-    return totals, np.concatenate(owned).astype(bool)
-
-
-def ask_words(part: pa.Table, shards: int) -> pa.Table:
-    """Step 3: what a chunk knows of its words."""
-    chunk, whole, _, _, answers = open_chunk(part)
-    totals, owned = totals_of(whole, answers[TELL_PAIRS], shards)
-    count = partial(np.bincount, minlength=len(whole.hashes))
-    context, word, n = whole.context[owned], whole.word[owned], totals[owned]
-    facts = [whole.word_counts(), count(context, weights=n), count(context[n == 1]), count(context[n == 2]), count(context[n > 2]), count(word)]
-    facts = np.stack(facts, axis=1).astype(U32)
-    return pa.Table.from_batches([row(chunk, ASK_WORDS, s, rising(whole.hashes[p]), planes(facts[p].ravel(), U32)) for s, p in enumerate(slices(whole.hashes, shards))])
+    return [*(int((values == k).sum()) for k in (1, 2, 3, 4)), int((values > 0).sum()), int(values.sum(dtype=U64))]
+
+
+def answer_shard(rows: list[tuple], folder: str) -> Iterator[pa.RecordBatch]:
+    """Add up and store a shard's facts, then answer the chunks' questions from the stored arrays."""
+    level, shard = rows[0][2:4]
+    name = f"{shard:08d}-{TaskContext.get().taskAttemptId()}"
+    asked = [load(r[4]) for r in rows]
+    hashes = np.concatenate([unrising(a[0]) for a in asked])
+    order = np.argsort(hashes, kind="stable")  # the questions are sorted runs
+    first = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]))
+    distinct, asker = hashes[order[first]], order[first]
+    columns, totals = [], []
+    for k in range(1, len(asked[0]), 2):
+        sums = np.add.reduceat(np.concatenate([counts_from(*a[k : k + 2]) for a in asked])[order], first)
+        columns.append(small_and_large(sums))
+        if len(asked[0]) == 3 or k == 1 + 2 * BEFORE:  # what the discounts of this level are of
+            value = sums
+        if k == 1 + 2 * SEEN:
+            totals = frequencies(sums)
+    owned = np.zeros(len(hashes), bool)
+    owned[asker[value > 0]] = True
+    del hashes, order
+    StoredShard.store(folder, name, distinct, columns)
+    yield message(-1, None, level, shard, None, frequencies(value) + totals)
+    del distinct, columns, sums, value
+    with scratch() as local:
+        stored, at = StoredShard(folder, name, local), 0
+        for (chunk, file, *_), a in zip(rows, asked, strict=True):
+            grams = unrising(a[0])
+            facts = stored.facts(grams)
+            yield message(chunk, file, level, shard, dump(np.packbits(owned[at : at + len(grams)]).tobytes(), *(x for f in facts for x in counts_bytes(f))))
+            at += len(grams)
+        del stored
+
+
+# Scores -----------------------------------------------------------------------------------
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -259,57 +363,97 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
-def score_chunk(part: pa.Table, shards: int, pair_counts: np.ndarray, word_counts: np.ndarray, context_counts: np.ndarray) -> pa.Table:
-    """Step 5: one row per document of a chunk."""
-    _, whole, ids, flags, answers = open_chunk(part)
-    totals, _ = totals_of(whole, answers[TELL_PAIRS], shards)
-    facts = np.concatenate([unplane(b[0], U64) for b in answers[TELL_WORDS]]).reshape(-1, WORD_FACTS).astype(float)
-    seen, as_context, once, twice, more, contexts = facts.T
-    n, vocabulary = int(word_counts[5]), int(word_counts[4])
-    base = np.log10((seen + 0.1) / (n + 0.1 * (vocabulary + 1)))
-    # continuation probabilities, interpolated with the uniform one
-    d, all_contexts = discounts(context_counts), float(context_counts[5])
-    kinds = np.array([0, context_counts[0], context_counts[1], context_counts[4] - context_counts[0] - context_counts[1]], float)
-    if all_contexts:
-        rest = (d @ kinds) / all_contexts
-        single = np.maximum(contexts - d[np.minimum(contexts, 3).astype(int)], 0) / all_contexts + rest / (vocabulary + 1)
-    else:
-        single = np.full(len(seen), 1 / (vocabulary + 1))
-    d = discounts(pair_counts)
-    known = np.maximum(as_context, 1)
-    back = np.where(as_context > 0, (d[1] * once + d[2] * twice + d[3] * more) / known, 1.0)
-    pair = np.maximum(totals - d[np.minimum(totals, 3)], 0) / known[whole.context] + back[whole.context] * single[whole.word]
-    add = partial(np.add.reduceat, indices=whole.starts)
-    score = add(np.log10(pair)[whole.gram])
+def score_chunk(chunk: Chunk, order: int, told: dict[int, list[np.ndarray]], totals: dict[int, list[int]]) -> pa.RecordBatch:
+    """One row per document. told: the facts of the chunk's grams by level; totals: frequencies of all grams."""
+    words = [x.astype(float) for x in told[1]]
+    vocabulary, n = totals[1][10:12]
+    base = np.log10((words[SEEN] + 0.1) / (n + 0.1 * (vocabulary + 1)))
+    # the share of each word among all that follow a word, interpolated with the uniform one
+    one, two, *_, all_kinds, contexts = totals[1][:6]
+    d = discounts(totals[1][:4])
+    p = np.full(len(base), 1 / (vocabulary + 1))
+    if contexts:
+        rest = (d[1] * one + d[2] * two + d[3] * (all_kinds - one - two)) / contexts
+        p = np.maximum(words[BEFORE] - d[np.minimum(told[1][BEFORE], 3).astype(int)], 0) / contexts + rest / (vocabulary + 1)
+    for level in range(2, order + 1):
+        value, shorter = told[level][0 if level == order else BEFORE], told[level - 1]
+        d, followers = discounts(totals[level][:4]), np.maximum(shorter[SUM], 1).astype(float)
+        back = np.where(shorter[SUM] > 0, (d[1] * shorter[ONCE] + d[2] * shorter[TWICE] + d[3] * shorter[MORE]) / followers, 1.0)
+        prefix = chunk.prefix(level)
+        p = np.maximum(value - d[np.minimum(value, 3).astype(int)], 0) / followers[prefix] + back[prefix] * p[chunk.suffix(level)]
+    add = lambda values, level: np.add.reduceat(values[chunk.levels[level].gram[chunk.places]], chunk.starts)
+    score = add(np.log10(p), order)
+    names = [x.split()[0] for x in SCORES.split(", ")]
     columns = [
-        pa.array(ids, mask=(flags & 2).astype(bool)), pa.array(whole.held), pa.array(whole.lengths), pa.array(add((seen > 0).astype(np.int64)[whole.tokens])),
-        pa.array(np.full(len(ids), n, np.int64)), pa.array(add(base[whole.tokens])), pa.array(score), pa.array(10 ** (-score / whole.lengths)),
+        pa.array(chunk.ids, mask=chunk.missing), pa.array(chunk.held), pa.array(chunk.lengths), pa.array(add((words[SEEN] > 0).astype(np.int64), 1)),
+        pa.array(np.full(len(chunk.ids), n, np.int64)), pa.array(add(base, 1)), pa.array(score), pa.array(10 ** (-score / chunk.lengths)),
     ]
-    return pa.Table.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")])
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def score(docs: DataFrame, held: Column, shards: int | None = None, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held: Column, shards: int | None = None, text: str = "text", order: int = ORDER, model: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of each row of docs.
 
-    held: the rows that the model does not learn from. shards: of the model, one task each.
+    held: the rows that the model does not learn from. shards: of the model, by default as many
+    as the tokens need. order: words of the longest grams. model: a folder in which the model
+    stays; else each level is removed once its answers are settled.
     """
+    if order < 2:
+        raise ValueError(f"the order is {order}, but a model needs grams of two words at least")
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = settle(chunk_rows(docs, held, shards, text), "lm-chunks")
-    own = chunks.where(F.col("kind") == DOCS)
-    pairs = settle(chunks.where(F.col("kind") == ASK_PAIRS).groupBy("shard").applyInArrow(answer_pairs, FIELDS), "lm-pairs")
-    told = pairs.where(F.col("kind") == TELL_PAIRS)
-    asked = own.unionByName(told).groupBy("chunk").applyInArrow(lambda part: ask_words(part, shards), FIELDS)
-    words = settle(asked.groupBy("shard").applyInArrow(answer_words, FIELDS), "lm-words")
-
-    def total(df: DataFrame, blob: str) -> np.ndarray:
-        """One row of six numbers for each shard, summed."""
-        rows = df.where(F.col("kind") == TOTALS).select(blob).collect()
-        return sum((np.frombuffer(r[0], np.int64) for r in rows), np.zeros(6, np.int64))
-
-    counts = {"pair_counts": total(pairs, "b0"), "word_counts": total(words, "b0"), "context_counts": total(words, "b1")}
-    every = own.unionByName(told).unionByName(words.where(F.col("kind") == TELL_WORDS))
-    return every.groupBy("chunk").applyInArrow(lambda part: score_chunk(part, shards, **counts), SCORES)
+    folder, keep = work_dir(spark, "lm-texts"), model is not None
+    model = model or work_dir(spark, "lm-model")
+    chunks = settle(write_chunks(docs, held, folder, text), "lm-chunks")
+    parts, tokens = chunks.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    if not parts:
+        return spark.createDataFrame([], SCORES)
+    shards = shards or -(-tokens // SHARD)
+
+    def first_questions(batches):
+        for b in batches:
+            for chunk, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = read_chunk(folder, file, order)
+                yield from questions(chunk, file, order, own.levels[order].hashes, [own.counts(order)], shards)
+
+    def lower_questions(level: int):
+        def run(batches):
+            for rows in runs(batches, 0):
+                own = read_chunk(folder, rows[0][1], order)
+                facts, owned = facts_told([r[4] for r in rows])
+                value = facts[0 if level + 1 == order else BEFORE]
+                yield from questions(rows[0][0], rows[0][1], level, own.levels[level].hashes, own.lower_facts(level, value, owned), shards)
+
+        return run
+
+    def answers(at: str):
+        def run(batches):
+            for rows in runs(batches, 3):
+                yield from answer_shard(rows, at)
+
+        return run
+
+    by_chunk = lambda df: df.where("chunk >= 0").repartition(parts, "chunk").sortWithinPartitions("chunk", "level", "shard")
+    told, totals = {}, {}
+    asked = chunks.select("chunk", "file").repartitionByRange(parts, "chunk").mapInArrow(first_questions, MESSAGES)
+    for level in range(order, 0, -1):
+        by_shard = asked.repartition(shards, "shard").sortWithinPartitions("shard", "chunk")
+        told[level] = settle(by_shard.mapInArrow(answers(f"{model}/order-{level}"), MESSAGES), f"lm-told-{level}")
+        sums = told[level].where("chunk < 0").agg(*(F.sum(F.get("totals", F.lit(k))) for k in range(12))).first()
+        totals[level] = [x or 0 for x in sums]
+        if not keep:
+            discard(spark, f"{model}/order-{level}")
+        if level > 1:
+            asked = by_chunk(told[level]).mapInArrow(lower_questions(level - 1), MESSAGES)
+
+    def scored(batches):
+        for rows in runs(batches, 0):
+            facts = {n: facts_told([r[4] for r in rows if r[2] == n])[0] for n in range(1, order + 1)}
+            yield score_chunk(read_chunk(folder, rows[0][1], order), order, facts, totals)
+
+    every = told[1]
+    for level in range(2, order + 1):
+        every = every.unionByName(told[level])
+    return by_chunk(every).mapInArrow(scored, SCORES)
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -10,49 +11,46 @@ from marlstone.llm import lm
 from marlstone.llm.common import crc_mod
 
 
-def brute(docs):
+def brute(docs, order=3):
     """docs: (doc_id, text) -> rows by interpolated modified Kneser-Ney, with plain dictionaries."""
     tokens = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [" end"]
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
-    unigrams, bigrams = Counter(), Counter()
+    grams = lambda ws, n: zip(*(([" begin"] * (order - 1) + ws)[order - n + i :] for i in range(n)), strict=False)
+    unigrams, values = Counter(), {order: Counter()}
     for d, t in docs:
         if not held(d):
-            ws = tokens(t)
-            unigrams.update(ws)
-            bigrams.update(zip([" begin", *ws], ws, strict=False))
-    n, v = sum(unigrams.values()), len(unigrams)
-    contexts, followers, size = Counter(), defaultdict(Counter), Counter()
-    for (a, b), c in bigrams.items():
-        contexts[b] += 1
-        followers[a][min(c, 3)] += 1
-        size[a] += c
-    freq = lambda cs: lm.discounts(np.array([sum(c == k for c in cs) for k in (1, 2, 3, 4)]))
-    d2, d1, total = freq(bigrams.values()), freq(contexts.values()), sum(contexts.values())
-    kinds = Counter(min(c, 3) for c in contexts.values())
-
-    def single(w):
-        if not total:
-            return 1 / (v + 1)
-        c = contexts[w]
-        return max(c - d1[min(c, 3)], 0) / total + sum(d1[k] * kinds[k] for k in (1, 2, 3)) / total / (v + 1)
-
-    def pair(a, b):
-        if not size[a]:
-            return single(b)
-        c = bigrams[a, b]
-        return max(c - d2[min(c, 3)], 0) / size[a] + sum(d2[k] * followers[a][k] for k in (1, 2, 3)) / size[a] * single(b)
+            unigrams.update(tokens(t))
+            values[order].update(grams(tokens(t), order))
+    for n in range(order - 1, 0, -1):
+        values[n] = Counter(g[1:] for g in values[n + 1])
+    n_train, v = sum(unigrams.values()), len(unigrams)
+    discount, followers, size = {}, {}, {}
+    for n in range(1, order + 1):
+        discount[n] = lm.discounts(np.array([sum(c == k for c in values[n].values()) for k in (1, 2, 3, 4)]))
+        followers[n], size[n] = defaultdict(Counter), Counter()
+        for g, c in values[n].items():
+            followers[n][g[:-1]][min(c, 3)] += 1
+            size[n][g[:-1]] += c
+
+    @lru_cache(None)
+    def p(g):
+        n, context = len(g), g[:-1]
+        lower = p(g[1:]) if n > 1 else 1 / (v + 1)
+        if not size[n][context]:
+            return lower
+        c, d, kinds = values[n][g], discount[n], followers[n][context]
+        return max(c - d[min(c, 3)], 0) / size[n][context] + sum(d[k] * kinds[k] for k in (1, 2, 3)) / size[n][context] * lower
 
     out = []
     for d, t in docs:
         ws = tokens(t)
-        base = sum(math.log10((unigrams[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
-        score = sum(math.log10(pair(a, b)) for a, b in zip([" begin", *ws], ws, strict=False))
-        out.append((d, held(d), len(ws), sum(unigrams[w] > 0 for w in ws), n, base, score))
+        base = sum(math.log10((unigrams[w] + 0.1) / (n_train + 0.1 * (v + 1))) for w in ws)
+        out.append((d, held(d), len(ws), sum(unigrams[w] > 0 for w in ws), n_train, base, sum(math.log10(p(g)) for g in grams(ws, order))))
     return out
 
 
 def same(rows, want):
-    rows, want = (sorted(x, key=lambda r: (r[0] is None, r[0] or 0, r[2])) for x in (rows, want))
+    rows, want = (sorted(x, key=lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 6), round(r[6], 6))) for x in (rows, want))
     assert len(rows) == len(want)
     for r, w in zip(rows, want, strict=True):
         assert tuple(r[:5]) == w[:5] and r[5:7] == pytest.approx(w[5:7], rel=1e-9)
@@ -66,15 +64,48 @@ def test_query_matches_brute_force(spark, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_small_chunks_and_odd_rows(spark, odd, nothing, monkeypatch):
-    rows = odd.where("doc_id is null or doc_id not in (6)")
-    docs = [(r.doc_id, r.text) for r in rows.collect()]
-    same(lm.score(rows, crc_mod("doc_id", 10) == 0, shards=3).collect(), brute(docs))
+def test_odd_rows(spark, odd, nothing):
+    docs = [(r.doc_id, r.text) for r in odd.collect()]
+    for order in (2, 3):
+        same(lm.score(odd, crc_mod("doc_id", 10) == 0, shards=3, order=order).collect(), brute(docs, order))
+    assert lm.score(nothing, crc_mod("doc_id", 10) == 0).count() == 0
+    with pytest.raises(ValueError):
+        lm.score(odd, crc_mod("doc_id", 10) == 0, order=1)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_several_chunks_in_a_partition(spark, monkeypatch, order):
     docs = [(i, " ".join(str((i * k) % 7) for k in range(i % 11))) for i in range(300)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    # chunks are cut in the workers, so the size travels with the function
-    same(lm.score(frame, crc_mod("doc_id", 10) == 0, shards=5).collect(), brute(docs))
-    assert lm.score(nothing, crc_mod("doc_id", 10) == 0).count() == 0
+    folder, most = lm.write_chunks, lm.CHUNK
+    seen = []
+
+    def small(docs, held, at, text="text"):
+        found = folder(docs, held, at, text)
+        seen.append(found)
+        return found
+
+    monkeypatch.setattr(lm, "write_chunks", small)
+    monkeypatch.setattr(lm, "CHUNK", 100)
+    same(lm.score(frame, crc_mod("doc_id", 10) == 0, shards=5, order=order).collect(), brute(docs, order))
+    assert seen[0].where("tokens < 200").count() > 10 and most == 2_000_000
+
+
+def test_model_stays_where_it_is_kept(spark, tmp_path, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 40")
+    rows = lm.score(docs, crc_mod("doc_id", 10) == 0, shards=2, model=f"file://{tmp_path}/model").collect()
+    same(rows, brute([(r.doc_id, r.text) for r in docs.collect()]))
+    for level in (1, 2, 3):
+        names = {p.name.split(".")[0] for p in (tmp_path / "model" / f"order-{level}").glob("*.npy")}
+        shards = [lm.StoredShard(f"file://{tmp_path}/model/order-{level}", n, "") for n in names]
+        assert len(shards) == 2 and all((np.diff(s.hashes) > 0).all() for s in shards)
+        assert shards[0].facts(shards[1].hashes[:5])[0].tolist() == [0] * 5
+
+
+def test_large_counts_are_whole():
+    values = np.array([0, 1, 254, 255, 256, 5_000_000_000, 2], np.uint64)
+    assert lm.counts_from(*lm.counts_bytes(values)).tolist() == values.tolist()
+    assert lm.load(lm.dump(b"", b"abc")) == [b"", b"abc"]
 
 
 def test_held_out_words(spark):
