@@ -1,13 +1,24 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+"""SimHash for near copies: five-word shingles with a Jaccard similarity of at least 0.8.
 
-Candidates come from MinHash values in bands (a pair at 0.8 shares no band with probability
-7e-5) and are compared by all their MinHash values. A bucket over BLOCK texts is cut into parts,
-of which each pair is a block, so no task takes a bucket whole. Of a block FORESTS disjoint
-maximum spanning forests leave, not all its pairs; the exact similarity of each link is then
-computed from the two texts, and only links that reach it count.
+A text's fingerprint has BITS bits of SimHash over its set of shingles. Fingerprints are compared
+as in `simhash`, in blocks of vertical bit planes: carry-save counters hold the distances from a
+fingerprint to 64 lanes at once, and words of lanes are abandoned once all exceed the radius. At
+this similarity that is RADIUS bits, too wide for equal parts of fingerprints to find all pairs,
+so texts meet in buckets of banded minima of their shingles' hashes.
+
+* A bucket's pivot, the text that shares buckets with most others, is compared with each of its
+  texts, in parts of BLOCK, so a large group of copies costs work in proportion to its size.
+* What the pivot did not join is compared with the rest of the bucket, in pairs of parts. Texts
+  that are joined already are not compared.
+* A block emits spanning forests of what is within the radius, nearest first, not its pairs. The
+  similarity of each link is computed from the two texts; blocks with a link that falls short are
+  compared again without it, until none falls short.
+
+So of the pairs that share a bucket and are within the radius none is lost: a pair at 0.8 shares
+no bucket with a probability of 7e-5 and is beyond the radius with one of 1e-5.
 
 A 64-bit hash stands for a set of shingles. A text of fewer words than a shingle is one shingle,
-and texts with no word are alike; A to Z are folded.
+and texts with no word (or null) are alike; A to Z are folded; extra columns go through.
 """
 
 from __future__ import annotations
@@ -25,13 +36,16 @@ from marlstone.llm.components import roots
 from marlstone.llm.simhash import mark_of, without_copies
 
 WORDS, LEAST, SEED = 5, 0.8, 42
+#: At 0.8 fingerprints differ in 78 bits on average, with a standard deviation of 8.
+BITS, RADIUS = 512, 114
 BANDS, DEPTH = 24, 5
-FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * DEPTH, dtype=np.uint32) * 2 + 1
-#: Equal MinHash values of a candidate: over four standard deviations below what 0.8 gives.
-FLOOR = int(0.63 * BANDS * DEPTH)
-#: Texts in a part of a bucket, and shingles or pairs taken at once.
-BLOCK, SLICE = 512, 1 << 12
+RNG = np.random.default_rng(SEED)
+FACTORS = RNG.integers(0, 1 << 31, BANDS * DEPTH, dtype=np.uint32) * 2 + 1
+SPREAD = RNG.integers(0, 1 << 63, BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Texts in a part of a bucket, shingles or links taken at once, and planes between two looks at the radius.
+BLOCK, SLICE, STEP = 512, 1 << 12, 32
 FORESTS = 3
+FULL = ~np.uint64(0)
 
 
 def shingles(text: bytes, words: int = WORDS) -> set[bytes]:
@@ -46,30 +60,86 @@ def jaccard(a: set, b: set) -> float:
 
 
 def signature(text: bytes) -> tuple[int, list[int], bytes]:
-    """Of a text's shingles: a hash of the set, one key a band, and 16 bits of each MinHash value."""
+    """Of a text's shingles: a hash of the set, one key a band, and the fingerprint."""
     found = shingles(text)
     hashes = np.sort(np.fromiter(map(xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found)))
     low = np.full(BANDS * DEPTH, 0xFFFFFFFF, np.uint32)
+    ones = np.zeros(BITS, np.int64)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(short), SLICE):
         np.minimum(low, (FACTORS[:, None] * short[None, at : at + SLICE]).min(axis=1), out=low)
+        mixed = hashes[at : at + SLICE, None] * SPREAD
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint16)
     rows = low.astype("<u4").reshape(BANDS, DEPTH)
     keys = [xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)]
-    return xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED), keys, low.astype("<u2").tobytes()
+    return xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED), keys, np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, sid (the hash of the set), keys, sig; one row per row of docs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("sid", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
+    """doc_id, mark, sid (the hash of the set), keys, fp; one row per row of docs."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("sid", pa.int64()), ("keys", pa.list_(pa.int64())), ("fp", pa.binary())])
 
     def run(batches):
         for b in batches:
             found = [signature(t.as_py()) for t in b.column(2)]
             keys = [np.array(k, np.uint64).view(np.int64) for _, k, _ in found]
-            yield batch(schema, b.column(0), b.column(1), np.array([s for s, _, _ in found], np.uint64).view(np.int64), pa.array(keys, pa.list_(pa.int64())), [g for _, _, g in found])
+            yield batch(schema, b.column(0), b.column(1), np.array([s for s, _, _ in found], np.uint64).view(np.int64), pa.array(keys, pa.list_(pa.int64())), [f for _, _, f in found])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", mark_of().alias("mark"), text_bytes()).mapInArrow(run, "doc_id long, mark long, sid long, keys array<long>, sig binary")
+    return docs.select("doc_id", mark_of().alias("mark"), text_bytes()).mapInArrow(run, "doc_id long, mark long, sid long, keys array<long>, fp binary")
+
+
+def beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """The lanes whose count is over the radius."""
+    over, equal = np.zeros_like(counters[0]), np.full_like(counters[0], FULL)
+    for k in range(len(counters) - 1, -1, -1):
+        if radius >> k & 1:
+            equal &= counters[k]
+        else:
+            over |= equal & counters[k]
+            equal &= ~counters[k]
+    return over
+
+
+def near_lanes(prints: np.ndarray, query: np.ndarray, stop: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, distance: the lanes j from i + 1 to before stop that are within the radius of the query i.
+
+    prints: rows of bytes; query: rows' numbers, each with its stop.
+    """
+    bits = np.unpackbits(prints, axis=1, bitorder="little")
+    padded = np.zeros((-(-len(bits) // 64) * 64, bits.shape[1]), np.uint8)
+    padded[: len(bits)] = bits
+    planes = np.packbits(np.ascontiguousarray(padded.T), axis=1, bitorder="little").view("<u8")
+    some = query + 1 < stop
+    query, stop = query[some], stop[some]
+    first = (query + 1) // 64
+    words = (stop - 1) // 64 - first + 1
+    row = np.repeat(np.arange(len(query)), words)
+    word = np.arange(len(row)) - np.repeat(np.cumsum(words) - words, words) + first[row]
+    low = np.maximum(query[row] + 1 - 64 * word, 0).astype(np.uint64)
+    high = np.minimum(stop[row] - 64 * word, 64).astype(np.uint64)
+    gone = ~((FULL << low) & (FULL >> (np.uint64(64) - high)))
+    query = query[row]
+    counters = [np.zeros_like(gone) for _ in range(radius.bit_length())]
+    for k in range(bits.shape[1]):
+        carry = planes[k, word] ^ (np.uint64(0) - bits[query, k].astype(np.uint64))
+        for c in counters:
+            up = c & carry
+            c ^= carry
+            carry = up
+        gone |= carry
+        if k % STEP == STEP - 1:
+            gone |= beyond(counters, radius)
+            left = np.flatnonzero(gone != FULL)
+            if len(left) < 0.7 * len(gone):
+                query, word, gone, counters = query[left], word[left], gone[left], [c[left] for c in counters]
+    gone |= beyond(counters, radius)
+    row, lane = np.nonzero(np.unpackbits((~gone).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    distance = sum(((c[row] >> lane.astype(np.uint64)) & np.uint64(1)).astype(np.int64) << k for k, c in enumerate(counters))
+    return query[row], word[row] * 64 + lane, distance
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,89 +163,153 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(taken, np.int64)
 
 
-def block_links(sid: np.ndarray, bucket: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the forests over the candidates of a block. Rows in order of bucket."""
-    names, vertex = np.unique(sid, return_inverse=True)
-    at, step, found = np.arange(len(sid)), 1, [np.zeros((3, 0), np.int64)]
-    while True:
-        at = at[at + step < len(sid)]
-        at = at[bucket[at] == bucket[at + step]]
-        if not len(at):
-            break
-        same = (sig[at] == sig[at + step]).sum(axis=1)
-        ok = same >= FLOOR
-        v, w = vertex[at[ok]], vertex[at[ok] + step]
-        found.append(np.stack([np.minimum(v, w), np.maximum(v, w), same[ok]]))
-        step += 1
-    a, b, same = np.concatenate(found, axis=1)
-    _, once = np.unique(a * len(names) + b, return_index=True)
-    order = once[np.argsort(-same[once], kind="stable")]
-    a, b = a[order], b[order]
-    out = []
-    for _ in range(FORESTS):
-        taken = forest(len(names), a, b)
-        out.append((names[a[taken]], names[b[taken]]))
-        a, b = np.delete(a, taken), np.delete(b, taken)
-    return tuple(map(np.concatenate, zip(*out, strict=True)))
-
+def block_links(bucket: np.ndarray, sid: np.ndarray, root: np.ndarray, queries: np.ndarray, prints: np.ndarray, refused: set[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
+    """bucket, a, b: forests of the links within the radius between different roots, for each bucket.
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """a, b: links between sets of shingles that may be alike. distinct: sid (once each), keys, sig."""
-    rows = distinct.select("sid", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / BLOCK)
-    met = rows.join(sizes, "key").select("sid", "key", F.pmod(F.xxhash64("sid"), parts).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-    met = met.select("sid", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"))
-    met = met.join(distinct.select("sid", "sig"), "sid").select("sid", "bucket", "sig")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    Rows in order of bucket, queries first. refused: links (bucket, a, b) that are left out.
+    """
+    ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket))
+    query = np.flatnonzero(queries)
+    i, j, distance = near_lanes(prints, query, ends[np.searchsorted(ends, query, side="right")])
+    apart = root[i] != root[j]
+    i, j, distance = i[apart], j[apart], distance[apart]
+    # one vertex for each bucket and root
+    _, vertex = np.unique(np.stack([bucket, root]), axis=1, return_inverse=True)
+    vertex = vertex.reshape(-1)
+    a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
+    _, once = np.unique(np.stack([bucket[i], a, b]), axis=1, return_index=True)
+    order = once[np.lexsort((b[once], a[once], distance[once]))]
+    if refused:
+        order = np.array([k for k in order.tolist() if (int(bucket[i[k]]), int(a[k]), int(b[k])) not in refused], np.int64)
+    out = [np.zeros(0, np.int64)]
+    for _ in range(FORESTS):
+        taken = forest(len(sid), vertex[i[order]], vertex[j[order]])
+        out.append(order[taken])
+        order = np.delete(order, taken)
+    found = np.concatenate(out)
+    return bucket[i[found]], a[found], b[found]
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """bucket, a, b: links to check. rows: bucket, sid, root, query, fp, and with other set the refused links sid-other."""
+    schema = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def links(held: pa.Table):
+        members = held.filter(held["other"].is_null())
+        gone = held.filter(held["other"].is_valid())
+        refused = set(zip(gone["bucket"].to_pylist(), gone["sid"].to_pylist(), gone["other"].to_pylist(), strict=True))
+        if not members.num_rows:
+            return batch(schema, [], [], [])
+        bucket, sid, root = (members[c].to_numpy() for c in ("bucket", "sid", "root"))
+        prints = np.frombuffer(b"".join(members["fp"].to_pylist()), np.uint8).reshape(-1, BITS // 8)
+        return batch(schema, *map(pa.array, block_links(bucket, sid, root, members["query"].to_numpy(zero_copy_only=False), prints, refused)))
 
     def run(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS * DEPTH), np.uint16)]
+        held = []
         for b in batches:
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(-1, BANDS * DEPTH)
-            held = [np.concatenate(p) for p in zip(held, (b.column(0).to_numpy(), b.column(1).to_numpy(), sig), strict=True)]
-            # the last bucket may go on in the next batch
-            whole = int(np.searchsorted(held[1], held[1][-1])) if len(held[1]) else 0
-            if whole >= BLOCK:
-                yield batch(schema, *map(pa.array, block_links(*(h[:whole] for h in held))))
-                held = [h[whole:] for h in held]
-        yield batch(schema, *map(pa.array, block_links(*held)))
-
-    return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
-
-
-def alike(links: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """The links whose texts have at least that similarity, computed exactly. texts: sid (once each), text."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+            held.append(pa.Table.from_batches([b]))
+            if sum(t.num_rows for t in held) >= 4 * BLOCK:
+                rows = pa.concat_tables(held)
+                bucket = rows["bucket"].to_numpy()
+                # the last bucket may go on in the next batch
+                whole = int(np.searchsorted(bucket, bucket[-1]))
+                if whole:
+                    yield links(rows.slice(0, whole))
+                held = [rows.slice(whole)]
+        if held:
+            yield links(pa.concat_tables(held))
+
+    small_batches(rows.sparkSession)
+    rows = rows.select("bucket", "sid", "other", "root", "query", "fp")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", F.desc("query"), "sid").mapInArrow(run, "bucket long, a long, b long")
+
+
+def checked(links: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """a, b, alike: whether the two texts have at least that similarity. texts: sid (once each), text."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("alike", pa.bool_())])
 
     def run(batches):
         for b in batches:
             x, y = ([shingles(t.as_py()) for t in b.column(k)] for k in (2, 3))
-            yield batch(schema, *b.columns[:2]).filter(pa.array([jaccard(p, q) >= least for p, q in zip(x, y, strict=True)], pa.bool_()))
+            yield batch(schema, *b.columns[:2], [jaccard(p, q) >= least for p, q in zip(x, y, strict=True)])
 
     small_batches(links.sparkSession)
     of = lambda name, text: texts.select(F.col("sid").alias(name), text_bytes().alias(text))
-    return links.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return links.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, alike boolean")
+
+
+def parts_of(n):
+    return F.ceil(n / BLOCK)
+
+
+def pivot_blocks(met: DataFrame) -> DataFrame:
+    """bucket, sid, query: the texts of each key in parts, each part with the key's pivot. met: sid, key, n."""
+    company = met.groupBy("sid").agg(F.sum("n").alias("company"))
+    pivots = met.join(company, "sid").groupBy("key", "n").agg(F.max_by("sid", F.struct("company", "sid")).alias("sid"))
+    lanes = met.select("key", F.pmod(F.xxhash64("sid"), parts_of(F.col("n"))).alias("part"), "sid", F.lit(False).alias("query"))
+    queries = pivots.select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts_of(F.col("n")) - 1)).alias("part"), "sid", F.lit(True).alias("query"))
+    return lanes.unionByName(queries).select(F.xxhash64("key", "part").alias("bucket"), "sid", "query")
 
 
-def near_links(docs: DataFrame, prints: DataFrame, least: float = LEAST) -> DataFrame:
-    """a, b: links between sets of shingles of docs that are alike. prints: the settled signatures of docs."""
+def rest_blocks(met: DataFrame, root: DataFrame) -> DataFrame:
+    """bucket, sid, query: of the keys that hold several roots, what is not of the largest one against all."""
+    rows = met.join(root, "sid", "left").select("sid", "key", F.coalesce("root", "sid").alias("root"))
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    keys = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("n")).where("n > most")
+    few, many = parts_of(F.col("n") - F.col("most")), parts_of(F.col("most"))
+    rows = rows.join(keys, "key").withColumns({"few": few, "many": many, "hash": F.xxhash64("sid")})
+    below = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other")
+    apart = rows.where("root <> main").select("key", "sid", F.pmod("hash", "few").alias("part"), below(F.col("few") + F.col("many")))
+    main = rows.where("root = main").select("key", "sid", (F.col("few") + F.pmod("hash", "many")).alias("part"), below(F.col("few")))
+    bucket = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"), F.lit(1))
+    return apart.unionByName(main).select(bucket.alias("bucket"), "sid", (F.col("part") <= F.col("other")).alias("query"))
+
+
+def root_of(links: DataFrame) -> DataFrame:
+    return roots(links.select("a", "b")).select(F.col("a").alias("sid"), F.col("b").alias("root"))
+
+
+def near_roots(docs: DataFrame, prints: DataFrame, least: float = LEAST) -> DataFrame:
+    """sid, root of the sets of shingles that are not their group's smallest. prints: the settled signatures of docs."""
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("row")
-    distinct = settle(prints.groupBy("sid").agg(least_row, F.first("keys").alias("keys"), F.first("sig").alias("sig")), "distinct-signatures")
-    links = settle(candidates(distinct), "candidates")
-    ends = links.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(distinct, "sid").select("sid", F.col("row.doc_id").alias("of"), F.col("row.mark").alias("mark"))
+    distinct = settle(prints.groupBy("sid").agg(least_row, F.first("keys").alias("keys"), F.first("fp").alias("fp")), "distinct-signatures")
+    rows = distinct.select("sid", F.explode("keys").alias("key"))
+    met = settle(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "shared-buckets")
+    ends = met.select("sid").distinct().join(distinct, "sid").select("sid", F.col("row.doc_id").alias("of"), F.col("row.mark").alias("mark"))
     texts = docs.select("doc_id", mark_of().alias("mark"), "text").join(ends, "mark").where(F.col("doc_id").eqNullSafe(F.col("of")))
     texts = settle(texts.select("sid", "text").dropDuplicates(["sid"]), "candidate-texts")
-    return alike(links, texts, least)
+
+    def tried(members: DataFrame, root: DataFrame, refused: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Good links, and those that fall short with their bucket."""
+        rows = members.join(root, "sid", "left").select("bucket", "sid", F.lit(None).cast("long").alias("other"), F.coalesce("root", "sid").alias("root"), "query", "fp")
+        if refused is not None:
+            rows = rows.unionByName(refused.select("bucket", F.col("a").alias("sid"), F.col("b").alias("other"), F.lit(0).cast("long").alias("root"), F.lit(True).alias("query"), F.lit(None).cast("binary").alias("fp")))
+        links = settle(compared(rows), "candidates")
+        found = settle(checked(links.select("a", "b").distinct(), texts, least), "checked")
+        return found.where("alike").select("a", "b"), settle(links.join(found.where("not alike").select("a", "b"), ["a", "b"]).select("bucket", "a", "b"), "refused")
+
+    with_prints = lambda blocks, name: settle(blocks.join(distinct.select("sid", "fp"), "sid"), name)
+    none = distinct.sparkSession.createDataFrame([], "sid long, root long")
+    good, _ = tried(with_prints(pivot_blocks(met), "pivot-blocks"), none, None)
+    root = root_of(good)
+    members, refused = with_prints(rest_blocks(met, root), "rest-blocks"), None
+    while not members.isEmpty():
+        more, short = tried(members, root, refused)
+        if not more.isEmpty():
+            good = good.unionByName(more)
+            root = root_of(good)
+        members = settle(members.join(short.select("bucket").distinct(), "bucket", "left_semi"), "rest-blocks")
+        refused = short if refused is None else settle(refused.join(short.select("bucket").distinct(), "bucket", "left_semi").unionByName(short), "refused")
+    return root
 
 
 def deduplicate(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group of near copies that with the smallest doc_id.
 
     Groups are connected by links of at least that similarity. Rows with the same doc_id and
-    text count as one row; deduplicate exactly before.
+    text count as one row; deduplicate exactly before. An empty table gives an empty result.
     """
     prints = settle(signatures(docs), "signatures")
-    root = roots(near_links(docs, prints, least)).select(F.col("a").alias("sid"), F.col("b").alias("root"))
+    root = near_roots(docs, prints, least)
     found = prints.select("doc_id", "mark", "sid").join(root, "sid", "left").select("doc_id", "mark", F.coalesce("root", "sid").alias("root"))
     return without_copies(docs, settle(found, "near-components"))

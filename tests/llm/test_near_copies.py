@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from marlstone.llm import near_copies as n
@@ -53,6 +54,47 @@ def test_planted_copies_around_the_threshold(spark, monkeypatch, block):
     assert kept(df) == brute_kept(rows)
 
 
+@pytest.mark.parametrize("block", [7, 512])
+def test_families_around_the_threshold_lose_no_link(spark, monkeypatch, block):
+    """Texts whose neighbours are alike by 0.6 to 0.9: many links fall short, and groups are chains."""
+    monkeypatch.setattr(n, "BLOCK", block)
+    rng = random.Random(8)
+    rows = []
+    for family in range(3):
+        words = [f"f{family}w{i}" for i in range(400)]
+        for step in range(25):
+            start = step * (4 + 2 * family)
+            text = words[start : start + 100]
+            text[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert kept(df) == brute_kept(rows)
+
+
+def test_near_lanes_are_all_pairs():
+    rng = np.random.default_rng(6)
+    for size, radius in ((1, 5), (64, 114), (65, 3), (200, 114)):
+        base = rng.integers(0, 256, (5, 64), dtype=np.uint8)
+        prints = base[rng.integers(0, 5, size)] ^ np.packbits(rng.random((size, 512)) < 0.11, axis=1)
+        stops = np.minimum(rng.integers(1, size + 1, size), size)
+        query = np.sort(rng.choice(size, -(-size // 2), replace=False))
+        want = {(int(i), j, d) for i in query for j in range(i + 1, stops[i]) if (d := int(np.unpackbits(prints[i] ^ prints[j]).sum())) <= radius}
+        found = n.near_lanes(prints, query, stops[query], radius)
+        assert set(zip(*(x.tolist() for x in found), strict=True)) == want
+
+
+def test_a_block_leaves_refused_links_out():
+    prints = np.zeros((4, 64), np.uint8)
+    bucket, sid = np.array([1, 1, 1, 2]), np.array([5, 6, 7, 8])
+    every = np.ones(4, bool)
+    links = lambda root, refused: set(zip(*(x.tolist() for x in n.block_links(bucket, sid, np.array(root), every, prints, refused)), strict=True))
+    assert links([5, 6, 7, 8], set()) == {(1, 5, 6), (1, 5, 7), (1, 6, 7)}
+    assert links([5, 5, 7, 8], set()) == {(1, 5, 7), (1, 6, 7)}
+    assert links([5, 5, 7, 8], {(1, 5, 7)}) == {(1, 6, 7)}
+    assert links([5, 5, 5, 5], set()) == set()
+
+
 def test_odd_rows(odd, nothing):
     assert n.deduplicate(nothing).count() == 0
     out = n.deduplicate(odd.where("doc_id is not null"))
