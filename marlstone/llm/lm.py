@@ -50,10 +50,10 @@ U8, U32, U64 = np.dtype("u1"), np.dtype("<u4"), np.dtype("<u8")
 CHUNKS = "chunk long, file string, tokens long"
 MESSAGES = "chunk long, file string, level int, shard int, payload binary, totals array<long>"
 SCHEMA = pa.schema([("chunk", pa.int64()), ("file", pa.string()), ("level", pa.int32()), ("shard", pa.int32()), ("payload", pa.binary()), ("totals", pa.list_(pa.int64()))])
-#: Facts of an n-gram, and of a shorter gram: its count (of words only), how many words come
-#: before it, the sum of its followers' facts, and how many followers have 1, 2 or more of that.
-FACTS = 6
-SEEN, BEFORE, SUM, ONCE, TWICE, MORE = range(FACTS)
+#: Facts of a gram shorter than the longest: how many words come before it, the sum of its
+#: followers' facts, and how many followers have 1, 2 or more of that. A word has its count
+#: before these, and the longest grams have their count alone.
+BEFORE, SUM, ONCE, TWICE, MORE = range(5)
 
 
 # Bytes ------------------------------------------------------------------------------------
@@ -135,11 +135,15 @@ class Numbers(dict):
 
 
 class Level:
-    """The distinct grams of one length: hashes in order, each place's gram, each gram's first place."""
+    """The distinct grams of one length: hashes in order, each place's gram, and one place of each gram."""
 
     def __init__(self, at_place: np.ndarray):
-        self.hashes, self.first, gram = np.unique(at_place, return_index=True, return_inverse=True)
-        self.gram = gram.astype(np.int32)
+        order = np.argsort(at_place)
+        ordered = at_place[order]
+        new = np.diff(ordered, prepend=~ordered[:1]) != 0
+        self.hashes, self.place = ordered[new], order[new]
+        self.gram = np.empty(len(order), np.int32)
+        self.gram[order] = np.cumsum(new, dtype=np.int32) - 1
 
 
 class Chunk:
@@ -158,31 +162,36 @@ class Chunk:
         self.trained = self.places[~self.held[document]]
         words = np.full(len(tokens) + (order - 1) * len(lengths), BEGIN, U64)
         words[self.places] = hashes[tokens]
-        self.levels, grams = {1: Level(words)}, words
-        for n in range(2, order + 1):
-            grams = gram_hash(np.append(U64.type(0), grams[:-1]), words)
-            self.levels[n] = Level(grams)
+        self.words, self.found = words, {}
+
+    def level(self, n: int) -> Level:
+        """Made when it is first asked for: a step needs one or two lengths."""
+        if n not in self.found:
+            grams = self.words
+            for _ in range(1, n):
+                grams = gram_hash(np.append(U64.type(0), grams[:-1]), self.words)
+            self.found[n] = Level(grams)
+        return self.found[n]
 
     def counts(self, n: int) -> np.ndarray:
         """How often each gram of n words occurs in training."""
-        return np.bincount(self.levels[n].gram[self.trained], minlength=len(self.levels[n].hashes))
+        return np.bincount(self.level(n).gram[self.trained], minlength=len(self.level(n).hashes))
 
     def prefix(self, n: int) -> np.ndarray:
         """For each gram of n words that of n - 1 words that it begins with."""
-        return self.levels[n - 1].gram[np.maximum(self.levels[n].first - 1, 0)]
+        return self.level(n - 1).gram[np.maximum(self.level(n).place - 1, 0)]
 
     def suffix(self, n: int) -> np.ndarray:
-        return self.levels[n - 1].gram[self.levels[n].first]
+        return self.level(n - 1).gram[self.level(n).place]
 
     def lower_facts(self, n: int, values: np.ndarray, owned: np.ndarray) -> list[np.ndarray]:
         """What the owned grams of n + 1 words, with these values, say of those of n words."""
-        size = len(self.levels[n].hashes)
+        size = len(self.level(n).hashes)
         before, value = self.prefix(n + 1)[owned], values[owned]
         count = lambda at: np.bincount(at, minlength=size)
         total = np.zeros(size, U64)
         np.add.at(total, before, value)
-        seen = self.counts(1) if n == 1 else np.zeros(size, np.int64)
-        return [seen, count(self.suffix(n + 1)[owned]), total, count(before[value == 1]), count(before[value == 2]), count(before[value > 2])]
+        return [*([self.counts(1)] if n == 1 else []), count(self.suffix(n + 1)[owned]), total, count(before[value == 1]), count(before[value == 2]), count(before[value > 2])]
 
 
 def write_chunks(docs: DataFrame, held: Column, folder: str, text: str = "text") -> DataFrame:
@@ -271,10 +280,13 @@ def facts_told(payloads: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
 class StoredShard:
     """A shard of the model: a sorted hash array and its facts, mapped from files.
 
-    small has a byte for each fact; where that is 255, large has the count, large_at its place.
+    The array is kept as starts, where each value of the upper 24 bits from that of the first
+    hash begins, and the other bits as low (32 of them) and middle (8). small has a byte for
+    each fact; where that is 255, large has the count, and large_at its place.
     """
 
-    NAMES = ("hashes", "small", "large_at", "large")
+    NAMES = ("starts", "low", "middle", "small", "large_at", "large")
+    UPPER = np.uint64(40)
 
     def __init__(self, folder: str, name: str, local: str):
         fs, top = file_system(folder)
@@ -285,13 +297,18 @@ class StoredShard:
                 with fs.open_input_stream(source, compression=None) as f, open(path, "wb") as out:
                     out.writelines(iter(lambda: f.read(1 << 22), b""))  # noqa: B023
             setattr(self, part, np.load(path, mmap_mode="r"))
+        base, starts = self.starts[0], self.starts[1:].astype(np.int64)
+        upper = np.repeat(np.arange(len(starts) - 1, dtype=U64) + base, np.diff(starts))
+        self.hashes = upper << self.UPPER | self.middle.astype(U64) << U64.type(32) | self.low
 
     @classmethod
     def store(cls, folder: str, name: str, hashes: np.ndarray, columns: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         fs, top = file_system(folder)
         fs.create_dir(top, recursive=True)
         places = [at + U64.type(k * len(hashes)) for k, (_, at, _) in enumerate(columns)]
-        arrays = (hashes, np.stack([c[0] for c in columns]), np.concatenate(places), np.concatenate([c[2] for c in columns]))
+        upper = hashes >> cls.UPPER
+        starts = np.searchsorted(upper, np.arange(upper[0], upper[-1] + U64.type(2), dtype=U64)).astype(U64)
+        arrays = (np.append(upper[:1], starts), hashes.astype(U32), (hashes >> U64.type(32)).astype(U8), np.stack([c[0] for c in columns]), np.concatenate(places), np.concatenate([c[2] for c in columns]))
         for part, values in zip(cls.NAMES, arrays, strict=True):
             with fs.open_output_stream(f"{top}/{name}.{part}.npy", compression=None) as out:
                 np.lib.format.write_array(out, values)
@@ -315,7 +332,10 @@ def frequencies(values: np.ndarray) -> list[int]:
 
 
 def answer_shard(rows: list[tuple], folder: str) -> Iterator[pa.RecordBatch]:
-    """Add up and store a shard's facts, then answer the chunks' questions from the stored arrays."""
+    """Add up and store a shard's facts, then answer the chunks' questions from the stored arrays.
+
+    The first fact of a gram (the second one of a word) is what the gram counts for.
+    """
     level, shard = rows[0][2:4]
     name = f"{shard:08d}-{TaskContext.get().taskAttemptId()}"
     asked = [load(r[4]) for r in rows]
@@ -327,10 +347,10 @@ def answer_shard(rows: list[tuple], folder: str) -> Iterator[pa.RecordBatch]:
     for k in range(1, len(asked[0]), 2):
         sums = np.add.reduceat(np.concatenate([counts_from(*a[k : k + 2]) for a in asked])[order], first)
         columns.append(small_and_large(sums))
-        if len(asked[0]) == 3 or k == 1 + 2 * BEFORE:  # what the discounts of this level are of
-            value = sums
-        if k == 1 + 2 * SEEN:
+        if level == 1 and k == 1:
             totals = frequencies(sums)
+        elif k <= 3 and (k == 1 or level == 1):  # what the discounts of this level are of
+            value = sums
     owned = np.zeros(len(hashes), bool)
     owned[asker[value > 0]] = True
     del hashes, order
@@ -365,27 +385,28 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score_chunk(chunk: Chunk, order: int, told: dict[int, list[np.ndarray]], totals: dict[int, list[int]]) -> pa.RecordBatch:
     """One row per document. told: the facts of the chunk's grams by level; totals: frequencies of all grams."""
-    words = [x.astype(float) for x in told[1]]
+    seen, told = told[1][0], told | {1: told[1][1:]}
     vocabulary, n = totals[1][10:12]
-    base = np.log10((words[SEEN] + 0.1) / (n + 0.1 * (vocabulary + 1)))
+    base = np.log10((seen + 0.1) / (n + 0.1 * (vocabulary + 1)))
     # the share of each word among all that follow a word, interpolated with the uniform one
     one, two, *_, all_kinds, contexts = totals[1][:6]
     d = discounts(totals[1][:4])
     p = np.full(len(base), 1 / (vocabulary + 1))
     if contexts:
         rest = (d[1] * one + d[2] * two + d[3] * (all_kinds - one - two)) / contexts
-        p = np.maximum(words[BEFORE] - d[np.minimum(told[1][BEFORE], 3).astype(int)], 0) / contexts + rest / (vocabulary + 1)
+        before = told[1][BEFORE]
+        p = np.maximum(before - d[np.minimum(before, 3).astype(int)], 0) / contexts + rest / (vocabulary + 1)
     for level in range(2, order + 1):
-        value, shorter = told[level][0 if level == order else BEFORE], told[level - 1]
+        value, shorter = told[level][0], told[level - 1]
         d, followers = discounts(totals[level][:4]), np.maximum(shorter[SUM], 1).astype(float)
         back = np.where(shorter[SUM] > 0, (d[1] * shorter[ONCE] + d[2] * shorter[TWICE] + d[3] * shorter[MORE]) / followers, 1.0)
         prefix = chunk.prefix(level)
         p = np.maximum(value - d[np.minimum(value, 3).astype(int)], 0) / followers[prefix] + back[prefix] * p[chunk.suffix(level)]
-    add = lambda values, level: np.add.reduceat(values[chunk.levels[level].gram[chunk.places]], chunk.starts)
+    add = lambda values, level: np.add.reduceat(values[chunk.level(level).gram[chunk.places]], chunk.starts)
     score = add(np.log10(p), order)
     names = [x.split()[0] for x in SCORES.split(", ")]
     columns = [
-        pa.array(chunk.ids, mask=chunk.missing), pa.array(chunk.held), pa.array(chunk.lengths), pa.array(add((words[SEEN] > 0).astype(np.int64), 1)),
+        pa.array(chunk.ids, mask=chunk.missing), pa.array(chunk.held), pa.array(chunk.lengths), pa.array(add((seen > 0).astype(np.int64), 1)),
         pa.array(np.full(len(chunk.ids), n, np.int64)), pa.array(add(base, 1)), pa.array(score), pa.array(10 ** (-score / chunk.lengths)),
     ]
     return pa.RecordBatch.from_arrays(columns, names=names)
@@ -413,15 +434,14 @@ def score(docs: DataFrame, held: Column, shards: int | None = None, text: str =
         for b in batches:
             for chunk, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = read_chunk(folder, file, order)
-                yield from questions(chunk, file, order, own.levels[order].hashes, [own.counts(order)], shards)
+                yield from questions(chunk, file, order, own.level(order).hashes, [own.counts(order)], shards)
 
     def lower_questions(level: int):
         def run(batches):
             for rows in runs(batches, 0):
                 own = read_chunk(folder, rows[0][1], order)
                 facts, owned = facts_told([r[4] for r in rows])
-                value = facts[0 if level + 1 == order else BEFORE]
-                yield from questions(rows[0][0], rows[0][1], level, own.levels[level].hashes, own.lower_facts(level, value, owned), shards)
+                yield from questions(rows[0][0], rows[0][1], level, own.level(level).hashes, own.lower_facts(level, facts[0], owned), shards)
 
         return run
 
