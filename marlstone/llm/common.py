@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,10 +29,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session has none, as in tests."""
+    """The folder of spark.checkpoint.dir; one of our own only in a local session that has none, as in tests."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir() or path
@@ -48,12 +51,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors.
+    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    return settle_at(df, work_dir(df.sparkSession, name))
 
-    The shuffles that led to the table are removed with the query that writes it.
-    """
+
+def settle_at(df: DataFrame, path: str) -> DataFrame:
+    """As settle, at a path. The shuffles that led to the table are removed with the query that writes it."""
     spark = df.sparkSession
-    path = work_dir(spark, name)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:

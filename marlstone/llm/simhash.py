@@ -5,9 +5,10 @@ fingerprints to a word), the distances from a fingerprint to all lanes are count
 carry-save bitwise counters, and words of lanes are abandoned once all exceed the radius.
 
 Which fingerprints meet: any two within the radius agree on two of four 16-bit quarters, so a
-fingerprint goes to six buckets. Small buckets share blocks; a bucket over BLOCK fingerprints
-is cut into parts, of which each pair is a block, so no task takes a bucket whole. Of a block
-the links that span its groups leave, not all its pairs.
+fingerprint goes to six buckets. Small buckets share blocks; in a bucket over BLOCK fingerprints
+the other two quarters are cut likewise, and again, until eight bits are left, so no bucket's
+work grows with the square of its size. Of a block the links that span its groups leave, not all
+its pairs.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other;
 equal fingerprints are compared once; repeated rows each get their row; null ids never become
@@ -138,18 +139,31 @@ def block_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return values[own].view(np.int64), values[root[own]].view(np.int64)
 
 
+def finer_keys(rows: DataFrame, width: int) -> DataFrame:
+    """fp, key, rest: for each two of the four parts of the rest's width bits a key of those, and the other two as the rest."""
+    part = lambda i: F.shiftrightunsigned("rest", width // 4 * i).bitwiseAND((1 << width // 4) - 1)
+    found = []
+    for t, (i, j) in enumerate(combinations(range(4), 2)):
+        k, m = (x for x in range(4) if x not in (i, j))
+        found.append(F.struct(F.xxhash64("key", F.lit(t), part(i), part(j)).alias("key"), F.shiftleft(part(k), width // 4).bitwiseOR(part(m)).alias("rest")))
+    return rows.select("fp", F.inline(F.array(*found)))
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: links between fingerprints (column fp, distinct) that give the same components as all pairs within the radius."""
     check_radius(radius)
-    quarter = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF)
-    keys = [F.lit(t << 32).bitwiseOR(F.shiftleft(quarter(i), 16)).bitwiseOR(quarter(j)) for t, (i, j) in enumerate(combinations(range(4), 2))]
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / BLOCK)
-    part = F.pmod(F.xxhash64("fp"), parts)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
-    met = rows.join(sizes, "key").select("fp", "key", part.alias("part"), other.alias("other"))
-    met = met.select("fp", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"))
+    # what differs in two bits at most agrees on two of four equal parts, and so does what is left of it
+    large, met = distinct.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest")), None
+    for width in (64, 32, 16):
+        rows = finer_keys(large, width)
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        rows = settle(rows.join(sizes, "key"), "buckets")
+        # after the last level eight bits are left: 256 fingerprints at most
+        small = (rows if width == 16 else rows.where(F.col("n") <= BLOCK)).select("fp", F.col("key").alias("bucket"))
+        met = small if met is None else met.unionByName(small)
+        large = rows.where(F.col("n") > BLOCK).select("fp", "key", "rest")
+        if large.isEmpty():
+            break
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):

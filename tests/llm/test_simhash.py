@@ -99,3 +99,23 @@ def test_near_deduplicate_keeps_one_of_each_component(spark, sf_dir, odd):
     assert s.near_deduplicate(odd.limit(0)).count() == 0
     rows = s.near_deduplicate(odd.where("text is null or text in ('', '\n') or doc_id is null")).collect()
     assert sorted((str(r.doc_id) for r in rows)) == ["2", "None"]
+
+
+def test_hot_buckets_are_cut_by_finer_keys(spark, monkeypatch):
+    """Many fingerprints that agree on half of their bits: no block takes them all, and no link is lost."""
+    monkeypatch.setattr(s, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    base = np.uint64(0x1234_5678_9ABC_DEF0)
+    values = np.unique(base ^ rng.integers(0, 1 << 12, 500, dtype=np.uint64) ^ (rng.integers(0, 1 << 4, 500, dtype=np.uint64) << np.uint64(28)))
+    sizes = []
+    monkeypatch.setattr(s, "settle", lambda df, name, own=s.settle: sizes.append((name, out := own(df, name))) or out)
+    rows = [(i, int(v)) for i, v in enumerate(values.tolist())]
+    prints = spark.createDataFrame(rows, "doc_id long, fp long")
+    assert sorted(((r.doc_id, r.component_id) for r in s.near_components(prints).collect()), key=str) == brute_components(rows)
+    levels = [df for name, df in sizes if name == "buckets"]
+    assert len(levels) == 3 and levels[-1].agg({"n": "max"}).first()[0] <= 256
+
+
+def test_components_of_odd_links(spark):
+    links = spark.createDataFrame([(1, 1), (2, 1), (2, 1), (1, 2), (None, 3), (4, None)], "a long, b long").selectExpr("a", "b", "'x' AS key")
+    assert [tuple(r) for r in components.roots(links).collect()] == [(2, 1)]
