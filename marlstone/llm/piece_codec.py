@@ -2,8 +2,9 @@
 
 No piece of the model holds a white-space marker after another character, so segmentation
 never crosses the start of a marked word. A text is cut into marked words (a run of spaces
-and what follows up to the next space); each distinct marked word is segmented once, kept
-in a table of bounded size, and the ids are joined back by position.
+and what follows up to the next space); each distinct marked word is segmented once, kept for
+the worker's life, over all of its tasks, in a table of two generations of bounded size, and the
+ids are joined back by position. Words over 100 characters are segmented anew each time.
 
 Defined results: null counts as empty; an empty text has the end id alone; a text with a
 literal U+2581 or NUL goes to the library whole; repeated rows each get their own result;
@@ -14,15 +15,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm.common import batch, small_batches, table, text_bytes
+from marlstone.llm.common import WordCache, batch, small_batches, table, text_bytes
 
-#: Marked words kept by one worker; the table is emptied when it is full.
-TABLE_SIZE = 300_000
+#: Marked words kept by one worker in each of two generations.
+TABLE_SIZE = 400_000
 MARKED = re.compile(" +[^ ]*")
 
 
@@ -32,28 +34,25 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class ChunkTable(dict):
+class ChunkTable(WordCache):
     """Marked word (without its first space) -> ids as int32 bytes, ids in decimal, decoded UTF-8."""
 
     def __init__(self, model_path: str, limit: int = TABLE_SIZE):
         import sentencepiece
 
+        super().__init__(limit)
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_path)
         pieces = (self.library.id_to_piece(i) for i in range(self.library.get_piece_size()))
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece of this model crosses a white-space marker")
-        self.limit, self.end = limit, self.library.eos_id()
+        self.end = self.library.eos_id()
         self.blank = self.library.piece_to_id("▁")
         self.lead = self.library.encode("a", num_threads=1)
 
-    def __missing__(self, word: str):
-        if len(self) >= self.limit:
-            self.clear()
+    def make(self, word: str):
         ids = self.library.encode(word, num_threads=1) if word else [self.blank]
         decoded = self.library.decode(self.lead + ids)[1:]
-        row = (np.array(ids, np.int32).tobytes(), " ".join(map(str, ids)).encode(), decoded.encode())
-        self[word] = row
-        return row
+        return np.array(ids, np.int32).tobytes(), " ".join(map(str, ids)).encode(), decoded.encode()
 
     def rows(self, text: str) -> list | None:
         """The table's rows by position; None if the text must go to the library whole."""
@@ -84,12 +83,18 @@ class ChunkTable(dict):
         return listed.count(b" ") + 1, hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
+@lru_cache(maxsize=1)
+def chunk_table(model_path: str) -> ChunkTable:
+    """One for a worker: it outlives the tasks."""
+    return ChunkTable(model_path)
+
+
 def encode(docs: DataFrame, model_path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids array<int> (the end id last), one row per row of docs."""
     model, kind = model_path or default_model(), docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        chunks = ChunkTable(model)
+        chunks = chunk_table(model)
         for b in batches:
             ids = [np.frombuffer(chunks.encode(t.as_py().decode()), np.int32) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
@@ -120,7 +125,7 @@ def round_trip(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
-        chunks = ChunkTable(model)
+        chunks = chunk_table(model)
         for b in batches:
             rows = [chunks.digests(t.as_py().decode()) for t in b.column(1)]
             yield batch(schema, b.column(0), *(list(c) for c in zip(*rows, strict=True))) if rows else batch(schema, [], [], [], [])
