@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import batch, file_system, settle, small_batches, table, text_bytes, work_dir
 
 SMALLEST = 1000
-#: Lines in a block of the index; bytes after which a task starts another archive.
-BLOCK, ARCHIVE_BYTES = 3000, 1 << 30
+#: Lines in a block of the index; bytes after which a task starts another archive; stored bytes that a task reads back.
+BLOCK, ARCHIVE_BYTES, READ_BYTES = 3000, 1 << 30, 4 << 20
 LEVEL = 3
 NO_ID = -(1 << 63)
 DATE = "1970-01-01T00:00:00Z"
@@ -125,11 +125,12 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """The level above the directories: where archives and index files are, and each file's first entry."""
+    """The level above the directories: where archives and index files are, each file's first entry, and the records' bytes."""
 
     archives: str
     path: str
     files: tuple[tuple[tuple[str, int], str], ...]
+    size: int
 
 
 def write_index(captures: DataFrame, archives: str) -> Index:
@@ -167,7 +168,8 @@ def write_index(captures: DataFrame, archives: str) -> Index:
     sorted_ = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "at")
     # one row per index file, not per capture
     files = sorted_.select("key", "page_id", "file", "at", "size").mapInArrow(run, "key string, page_id long, file string").collect()
-    return Index(archives, path, tuple(sorted(((r.key, r.page_id), r.file) for r in files)))
+    size = captures.agg(F.sum("size")).first()[0] or 0
+    return Index(archives, path, tuple(sorted(((r.key, r.page_id), r.file) for r in files)), size)
 
 
 class Reader:
@@ -255,7 +257,9 @@ def read_back(queries: DataFrame, index: Index) -> DataFrame:
         return url.map(surt)
 
     wanted = queries.select(key(F.coalesce("url", F.lit(""))).alias("key"), "page_id").distinct()
-    wanted = wanted.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    # keys are short, but what is read for them is not: the number of tasks follows from the stored bytes
+    tasks = max(1, -(-index.size // READ_BYTES))
+    wanted = wanted.repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id")
     return wanted.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
