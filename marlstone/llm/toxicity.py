@@ -104,7 +104,7 @@ class Lexicon:
             hits = [h for h in hits if not any(a <= h[0] <= b for a, b in excused)]
         if not hits:
             return 0.0, 0.0, 0.0
-        words = text.count(" ") + text.count("\n") + 1
+        words = max(1, len(text.split()))
         times = Counter(h[1] for h in hits)
         distinct = sum(self.weights[e] for e in times)
         repeated = max(self.weights[e] * (k - 1) for e, k in times.items())
@@ -186,15 +186,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 def fit(texts: list[str], labels: list[int], exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     counts = [[Counter(), Counter()], [Counter(), Counter()]]
-    seen = set()
+    n, seen = Counter(), set()
     for text, label in zip(texts, labels, strict=True):
         found = beginnings(text)
         if (mark := sketch(found)) in seen:  # a copy, or nearly one, says nothing new
             continue
         seen.add(mark)
+        n[label] += 1
         counts[label][0].update(found.keys())
         counts[label][1].update(f for f, k in found.items() if k > 1)
-    n = Counter(labels)
     if not n[0] or not n[1]:
         return Lexicon()
     weights = entries(counts[1], counts[0], n[1], n[0])
