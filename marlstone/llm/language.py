@@ -3,8 +3,9 @@
 N-grams of one to three characters over lower-cased letters (anything else is a space) are
 hashed to a fixed number of features for each order. Document frequencies come from every
 training document. The weights are trained with follow-the-regularised-leader and
-elastic-net penalties on at most SAMPLE documents a language, those whose doc_id hashes
-lowest; a fifth of them is set aside to calibrate the temperature of the softmax.
+elastic-net penalties on about SAMPLE documents a language at most (fewer where there are over
+ROWS / SAMPLE languages), chosen by a hash of doc_id; a fifth of them is set aside to calibrate
+the temperature of the softmax.
 
 Defined results: a text that is null or has no letter gets `und` and score 0; without
 training documents every text gets `und`; repeated rows each get their prediction; an empty
@@ -27,8 +28,9 @@ from marlstone.llm.common import batch, crc_mod, hash_sample, small_batches, tab
 
 ORDERS, BITS = 3, 14
 FEATURES = ORDERS << BITS
-#: The bound on the training sample: documents a language, and languages.
-SAMPLE, LANGUAGES = 800, 200
+#: The bounds on the training sample: documents a language, documents and n-grams in all. Every language
+#: has its share of the sample, however many there are.
+SAMPLE, ROWS, ENTRIES = 800, 40_000, 20_000_000
 UNKNOWN = "und"
 #: A filtering stage keeps documents of mixed languages: two halves score about one half each.
 REJECT = 0.4
@@ -166,13 +168,15 @@ def train(docs: DataFrame, rows: Column | None = None, sample: int = SAMPLE) ->
         if f >= 0:
             df[f] = n
     idf = np.log((1 + found.get(-1, 0)) / (1 + df)) + 1
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    # each language at its own rate, so that no window over a language is needed
+    # each language at its own rate, so that no window over a language is needed, and its first row, so that none is left out
+    known_ids = known.where("doc_id is not null")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = max(1, sizes.count())
+    each = max(1, min(sample, ROWS // languages))
     share = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.lit(0.0)
-    for r in sizes:
-        rate = F.when(F.col("lang") == r.lang, min(1.0, sample / r.n)).otherwise(rate)
-    chosen = hash_sample(known.where(share < rate).select("doc_id", "lang"), "doc_id", sample * max(1, len(sizes))).select("doc_id").distinct()
+    near = known_ids.select("doc_id", "lang").join(sizes, "lang").where(share < each / F.col("n"))
+    first = known_ids.groupBy("lang").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("f")).select("f.doc_id")
+    chosen = hash_sample(near.select("doc_id", "lang"), "doc_id", each * languages).select("doc_id").unionByName(first).distinct()
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -183,7 +187,10 @@ def train(docs: DataFrame, rows: Column | None = None, sample: int = SAMPLE) ->
 
     taken = known.join(chosen, "doc_id").select("doc_id", "lang", text_bytes()).mapInArrow(run, "doc_id long, lang string, at array<int>, n array<long>")
     sparse, langs = [], []
-    for r in taken.where(F.size("at") > 0).orderBy(F.xxhash64("doc_id"), "doc_id", "at").limit(sample * max(1, len(sizes))).toLocalIterator():
+    size = 0
+    for r in taken.where(F.size("at") > 0).orderBy(F.xxhash64("doc_id"), "doc_id", "at").limit((each + 1) * languages).toLocalIterator():
+        if (size := size + len(r.at)) > ENTRIES:
+            break
         sparse.append((np.array(r.at, np.int32), np.array(r.n, np.int64)))
         langs.append(r.lang)
     return fit(sparse, langs, idf)
