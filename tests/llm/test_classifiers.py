@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -102,3 +104,98 @@ def test_toxicity_odd_rows(spark, odd, nothing):
     assert toxicity.train(odd, labels).score("anything") < 0.01
     assert toxicity.train(nothing, labels).score("") < 0.01
     assert nothing.select(toxicity.scorer(model)("text")).count() == 0
+
+
+def brute_language(model, text):
+    """The prediction by plain dictionaries of n-grams, one feature at a time."""
+    plain = [c if c.isalpha() else " " for c in text.lower()]
+    if not any(c != " " for c in plain):
+        return "und", 0.0
+    codes, mask, found = [32, 32, *map(ord, plain)], 0xFFFFFFFF, Counter()
+    mix = [int(m) for m in language.MIX]
+    for end in range(2, len(codes)):
+        for order in (1, 2, 3):
+            gram = codes[end - order + 1 : end + 1]
+            key = gram[0] * mix[0] & mask
+            for k, c in enumerate(gram[1:], start=1):
+                key = (key * mix[1] & mask) ^ (c * mix[k] & mask)
+            if order > 1:
+                key = key * mix[2] & mask
+            found[(order - 1) * (1 << language.BITS) + (key >> (32 - language.BITS))] += 1
+    x = {f: (1 + math.log(n)) * model.idf[f] for f, n in found.items()}
+    length = math.sqrt(sum(v * v for v in x.values()))
+    z = [sum(v / length * model.weights[f, k] for f, v in x.items()) / model.temperature for k in range(len(model.labels))]
+    e = [math.exp(v - max(z)) for v in z]
+    return model.labels[e.index(max(e))], max(e) / sum(e)
+
+
+def test_language_predictions_match_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.train(docs)
+    texts = [r.text or "" for r in docs.select("text").limit(120).collect()] + ["", "😀 12", "Ünï 𐐷 中文", "a"]
+    for text in texts:
+        label, score = model.predict(text[:3000])
+        want, likely = brute_language(model, text[:3000])
+        assert label == want and abs(score - likely) < 1e-9
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    """More languages than a fixed table would hold, repeated doc_ids with other languages, and ties between languages."""
+    monkeypatch.setattr(language, "ROWS", 600)
+    rng = random.Random(1)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 4 * 230)]
+    rows = [(k * 3 + i, "".join(rng.choices(alphabet[4 * k : 4 * k + 4], k=40)), f"l{k:03d}") for k in range(230) for i in range(3)]
+    rows += [(0, rows[0][1], "l001"), (None, rows[3][1], "l001")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.labels == [f"l{k:03d}" for k in range(230)]
+    tied = spark.createDataFrame([(i, "abc def", lang) for i, lang in enumerate("ab" * 10)], "doc_id long, text string, lang string")
+    assert language.train(tied).predict("abc")[0] in ("a", "b")
+    assert language.train(tied).predict("abc") == language.train(tied).predict("abc")
+
+
+def brute_score(model, text):
+    """The score by looking for each entry and exception at each place of the folded text."""
+    folded, hits, excused = toxicity.fold(text or ""), [], set()
+    for at in range(len(folded)):
+        for p in model.exceptions:
+            if folded.startswith(f" {p}", at):
+                excused |= set(range(at + 1, at + 1 + len(p)))
+        hits += [(at + 1, e) for e in model.weights if folded.startswith(f" {e}", at)]
+    hits = [e for at, e in hits if at not in excused]
+    x = (1.0, 0.0, 0.0, 0.0)
+    if hits:
+        words, times = max(1, len((text or "").split())), Counter(hits)
+        total, distinct = sum(model.weights[e] for e in hits), sum(model.weights[e] for e in times)
+        x = (1.0, math.log1p(100 * total / words), math.log1p(distinct), math.log1p(max(model.weights[e] * (n - 1) for e, n in times.items())))
+    z = sum(c * v for c, v in zip(model.coefficients, x, strict=True))
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+
+
+def test_toxicity_scores_match_brute_force(spark, sf_dir):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    own, learned = lexicon(), toxicity.train(docs, labels)
+    assert learned.weights and own.exceptions
+    texts = [r.text for r in docs.where("n_chars < 1500").select("text").limit(150).collect()]
+    texts += [None, "", "a paper wretch", "paper wretch wretch", "the\tpaper\nwretch\twr3tch", "cardboard wretch of kindness"]
+    for model in (own, learned):
+        for text in texts:
+            assert abs(model.score(text) - brute_score(model, text)) < 1e-9
+
+
+def test_toxicity_repeated_labels_and_long_texts(spark):
+    rng = random.Random(5)
+    filler = lambda: " ".join("".join(rng.choices("bcdfghkmnp", k=6)) for _ in range(8))
+    docs = [(i, f"you wretch {filler()} wretch" if i % 2 else f"good day {filler()}", "en") for i in range(80)] + [(1, "you wretch again", "en"), (200, "wretch " * 5000, "en")]
+    labels = [(i, 1, i % 2) for i in range(80)] + [(0, 1, None), (1, 0, 0), (200, 1, 1)]
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    # a row that one label calls toxic is; a text over LONGEST is not learned from but scored whole
+    assert model.score("wretch " * 5000) > model.score("good day") and len("wretch " * 5000) > toxicity.LONGEST
+
+
+def test_copies_count_once_in_the_odds():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("bcdfghkmnp", k=7))
+    toxic, clean = [f"{word()} grumph {word()} grumph" for _ in range(40)], [f"{word()} {word()} {word()}" for _ in range(60)]
+    once = toxicity.fit(toxic + clean, [1] * 40 + [0] * 60).weights
+    copied = toxicity.fit(toxic + [toxic[0]] * 500 + clean + [clean[0]] * 500, [1] * 540 + [0] * 560).weights
+    assert once == copied != {}

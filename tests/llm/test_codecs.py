@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from marlstone.llm import media, packing, piece_codec
+from marlstone.llm.common import WordCache
 
 
 def texts_of(spark, sf_dir):
@@ -203,3 +204,45 @@ def test_boundaries_and_their_costs():
     assert [found[p] for p in (0, 300, 700)] == [0, 0, 0] and [found[p] for p in (10, 400)] == [packing.SENTENCE_CUT] * 2
     assert {c for p, c in found.items() if p not in (0, 10, 300, 400, 700)} == {packing.HARD_CUT}
     assert np.diff(places).max() <= packing.GAP
+
+
+def brute_cells(picture, height, width):
+    """The mean of each target cell, pixel by pixel with the share of it that lies in the cell."""
+    rows, columns = picture.shape
+    share = lambda at, k, n, size: max(0.0, min(at + 1, (k + 1) * size / n) - max(at, k * size / n))
+    out = np.zeros((height, width))
+    for i in range(height):
+        for j in range(width):
+            parts = [(share(y, i, height, rows) * share(x, j, width, columns), float(picture[y, x])) for y in range(rows) for x in range(columns)]
+            out[i, j] = sum(w * v for w, v in parts) / sum(w for w, _ in parts)
+    return out
+
+
+def test_media_feature_and_tiles(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars < 400").limit(12).cache()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    found = media.features(media.store(docs))
+    for r in found.collect():
+        picture = media.read_picture(media.to_pgm(texts[r.doc_id].encode()))
+        cells = np.round(brute_cells(picture, 8, 9), 6)
+        bits = "".join("1" if cells[i, j + 1] > cells[i, j] else "0" for i in range(8) for j in range(8))
+        assert r.feature == f"{int(bits, 2):016x}"
+        assert (np.load(io.BytesIO(r.tile)) == np.clip(np.rint(brute_cells(picture, 16, 16)), 0, 255)).mean() > 0.99
+    media.write_tiles(found, f"{tmp_path}/tiles")
+    back = spark.read.parquet(f"{tmp_path}/tiles").collect()
+    assert {r.doc_id for r in back} == set(texts) and all(np.load(io.BytesIO(r.tile)).shape == (16, 16) for r in back)
+
+
+def test_word_cache_forgets_the_oldest_and_long_words():
+    made = []
+
+    class Upper(WordCache):
+        def make(self, word):
+            made.append(word)
+            return word.upper()
+
+    cache = Upper(2, longest=5)
+    assert [cache[w] for w in "abcab"] == list("ABCAB") and made == ["a", "b", "c"]  # a and b came back from the older generation
+    assert len(cache) <= 2 and len(cache.older) <= 2
+    assert cache["abcdef"] == cache["abcdef"] == "ABCDEF" and made.count("abcdef") == 2
+    assert "abcdef" not in cache
