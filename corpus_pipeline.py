@@ -2,6 +2,12 @@
 
 Toxic documents and those in no known language go, then exact and near copies, and what is
 left is packed into windows. Stages but the last return the columns of documents.
+
+Defined results: a null text counts as empty; an empty one is not toxic, and goes in the language
+stage as all texts without a letter do; other nulls do not matter, and of equal texts the row
+with a doc_id and the smallest one stays, once; without labels, or without rows that have a
+language, the model rejects no text as toxic or every text as of no language; empty tables give
+empty results; extra columns go through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
