@@ -10,14 +10,14 @@ so texts meet in buckets of banded minima of their shingles' hashes.
   texts, in parts of BLOCK, so a large group of copies costs work in proportion to its size.
 * What the pivot did not join is compared with the rest of the bucket, in pairs of parts. Texts
   that are joined already are not compared.
-* A block emits spanning forests of what is within the radius, nearest first, not its pairs. The
-  similarity of each link is computed from the two texts; blocks with a link that falls short are
-  compared again without it, until none falls short.
+* The similarity of a pair within the radius is computed from the two sets of shingles, nearest
+  first, unless a good link has joined the two texts already. A block emits its good links, which
+  are a spanning forest, not its pairs.
 
 So of the pairs that share a bucket and are within the radius none is lost: a pair at 0.8 shares
 no bucket with a probability of 7e-5 and is beyond the radius with one of 1e-5.
 
-A 64-bit hash stands for a set of shingles. A text of fewer words than a shingle is one shingle,
+A 64-bit hash stands for a shingle, and one for a set of shingles. A text of fewer words than a shingle is one shingle,
 and texts with no word (or null) are alike; A to Z are folded; extra columns go through.
 """
 
@@ -42,9 +42,8 @@ BANDS, DEPTH = 24, 5
 RNG = np.random.default_rng(SEED)
 FACTORS = RNG.integers(0, 1 << 31, BANDS * DEPTH, dtype=np.uint32) * 2 + 1
 SPREAD = RNG.integers(0, 1 << 63, BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Texts in a part of a bucket, shingles or links taken at once, and planes between two looks at the radius.
-BLOCK, SLICE, STEP = 512, 1 << 12, 32
-FORESTS = 3
+#: Texts in a part of a bucket, shingles taken at once, planes between two looks at the radius, and bytes held.
+BLOCK, SLICE, STEP, HELD = 512, 1 << 12, 32, 64 << 20
 FULL = ~np.uint64(0)
 
 
@@ -55,14 +54,21 @@ def shingles(text: bytes, words: int = WORDS) -> set[bytes]:
     return set(map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)))
 
 
-def jaccard(a: set, b: set) -> float:
-    return len(a & b) / len(a | b) if a or b else 1.0
+def hashed(text: bytes) -> np.ndarray:
+    """The sorted hashes of a text's shingles."""
+    found = shingles(text)
+    return np.sort(np.fromiter(map(xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found)))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repetitions."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
 def signature(text: bytes) -> tuple[int, list[int], bytes]:
     """Of a text's shingles: a hash of the set, one key a band, and the fingerprint."""
-    found = shingles(text)
-    hashes = np.sort(np.fromiter(map(xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found)))
+    hashes = hashed(text)
     low = np.full(BANDS * DEPTH, 0xFFFFFFFF, np.uint32)
     ones = np.zeros(BITS, np.int64)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -142,73 +148,66 @@ def near_lanes(prints: np.ndarray, query: np.ndarray, stop: np.ndarray, radius:
     return query[row], word[row] * 64 + lane, distance
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the links a-b, best first, join two groups of n vertices."""
-    parent, taken = list(range(n)), []
+def pairs_in_buckets(bucket: np.ndarray, root: np.ndarray, queries: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """i, j: rows of a bucket within the radius whose roots differ, nearest first; i is a query.
+
+    Rows in order of bucket, queries first.
+    """
+    ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket))
+    query = np.flatnonzero(queries)
+    i, j, distance = near_lanes(prints, query, ends[np.searchsorted(ends, query, side="right")])
+    apart = np.flatnonzero(root[i] != root[j])
+    order = apart[np.lexsort((j[apart], i[apart], distance[apart]))]
+    return i[order], j[order]
+
+
+def good_links(bucket: np.ndarray, sid: np.ndarray, root: np.ndarray, i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Of the pairs i, j those that are alike and join two groups of their bucket."""
+    # one vertex for each bucket and root
+    _, vertex = np.unique(np.stack([bucket, root]), axis=1, return_inverse=True)
+    vertex, parent, known, out = vertex.reshape(-1).tolist(), list(range(len(sid))), {}, []
 
     def find(v: int) -> int:
         while parent[v] != v:
             parent[v] = v = parent[parent[v]]
         return v
 
-    for at in range(0, len(a), SLICE):
-        root = np.array(parent)
-        while (root != root[root]).any():
-            root = root[root]
-        apart = np.flatnonzero(root[a[at : at + SLICE]] != root[b[at : at + SLICE]]) + at
-        for k, v, w in zip(apart.tolist(), a[apart].tolist(), b[apart].tolist(), strict=True):
-            if (v := find(v)) != (w := find(w)):
+    names = sid.tolist()
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        if (v := find(vertex[x])) != (w := find(vertex[y])):
+            pair = (min(names[x], names[y]), max(names[x], names[y]))
+            if pair not in known:
+                known[pair] = jaccard(sets[x], sets[y]) >= least
+            if known[pair]:
                 parent[v] = w
-                taken.append(k)
-    return np.array(taken, np.int64)
+                out.append(pair)
+    return sorted(set(out))
 
 
-def block_links(bucket: np.ndarray, sid: np.ndarray, root: np.ndarray, queries: np.ndarray, prints: np.ndarray, refused: set[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
-    """bucket, a, b: forests of the links within the radius between different roots, for each bucket.
+def compared(rows: DataFrame, least: float | None = None) -> DataFrame:
+    """a, b: links between the rows of a bucket. rows: bucket, sid, root, query, fp.
 
-    Rows in order of bucket, queries first. refused: links (bucket, a, b) that are left out.
+    With least, and the column hashes of the rows, the links are alike by that much; without, they
+    are within the radius.
     """
-    ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket))
-    query = np.flatnonzero(queries)
-    i, j, distance = near_lanes(prints, query, ends[np.searchsorted(ends, query, side="right")])
-    apart = root[i] != root[j]
-    i, j, distance = i[apart], j[apart], distance[apart]
-    # one vertex for each bucket and root
-    _, vertex = np.unique(np.stack([bucket, root]), axis=1, return_inverse=True)
-    vertex = vertex.reshape(-1)
-    a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
-    _, once = np.unique(np.stack([bucket[i], a, b]), axis=1, return_index=True)
-    order = once[np.lexsort((b[once], a[once], distance[once]))]
-    if refused:
-        order = np.array([k for k in order.tolist() if (int(bucket[i[k]]), int(a[k]), int(b[k])) not in refused], np.int64)
-    out = [np.zeros(0, np.int64)]
-    for _ in range(FORESTS):
-        taken = forest(len(sid), vertex[i[order]], vertex[j[order]])
-        out.append(order[taken])
-        order = np.delete(order, taken)
-    found = np.concatenate(out)
-    return bucket[i[found]], a[found], b[found]
-
-
-def compared(rows: DataFrame) -> DataFrame:
-    """bucket, a, b: links to check. rows: bucket, sid, root, query, fp, and with other set the refused links sid-other."""
-    schema = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(held: pa.Table):
-        members = held.filter(held["other"].is_null())
-        gone = held.filter(held["other"].is_valid())
-        refused = set(zip(gone["bucket"].to_pylist(), gone["sid"].to_pylist(), gone["other"].to_pylist(), strict=True))
-        if not members.num_rows:
-            return batch(schema, [], [], [])
-        bucket, sid, root = (members[c].to_numpy() for c in ("bucket", "sid", "root"))
-        prints = np.frombuffer(b"".join(members["fp"].to_pylist()), np.uint8).reshape(-1, BITS // 8)
-        return batch(schema, *map(pa.array, block_links(bucket, sid, root, members["query"].to_numpy(zero_copy_only=False), prints, refused)))
+        bucket, sid, root = (held[c].to_numpy() for c in ("bucket", "sid", "root"))
+        prints = np.frombuffer(b"".join(held["fp"].to_pylist()), np.uint8).reshape(-1, BITS // 8)
+        i, j = pairs_in_buckets(bucket, root, held["query"].to_numpy(zero_copy_only=False), prints)
+        if least is None:
+            a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
+            return batch(schema, pa.array(a), pa.array(b))
+        sets = [np.frombuffer(h.as_py(), "<u8") for h in held["hashes"]]
+        found = good_links(bucket, sid, root, i, j, sets, least)
+        return batch(schema, [a for a, _ in found], [b for _, b in found])
 
     def run(batches):
         held = []
         for b in batches:
             held.append(pa.Table.from_batches([b]))
-            if sum(t.num_rows for t in held) >= 4 * BLOCK:
+            if sum(t.num_rows for t in held) >= 4 * BLOCK or sum(t.nbytes for t in held) >= HELD:
                 rows = pa.concat_tables(held)
                 bucket = rows["bucket"].to_numpy()
                 # the last bucket may go on in the next batch
@@ -216,26 +215,38 @@ def compared(rows: DataFrame) -> DataFrame:
                 if whole:
                     yield links(rows.slice(0, whole))
                 held = [rows.slice(whole)]
-        if held:
-            yield links(pa.concat_tables(held))
+        if held and (rows := pa.concat_tables(held)).num_rows:
+            yield links(rows)
 
     small_batches(rows.sparkSession)
-    rows = rows.select("bucket", "sid", "other", "root", "query", "fp")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", F.desc("query"), "sid").mapInArrow(run, "bucket long, a long, b long")
+    rows = rows.select("bucket", "sid", "root", "query", "fp", *(["hashes"] if least is not None else []))
+    return rows.repartition("bucket").sortWithinPartitions("bucket", F.desc("query"), "sid").mapInArrow(run, "a long, b long").distinct()
+
+
+def hash_sets(texts: DataFrame) -> DataFrame:
+    """sid, hashes of texts (sid, text)."""
+    schema = pa.schema([("sid", pa.int64()), ("hashes", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            yield batch(schema, b.column(0), [hashed(t.as_py()).astype("<u8").tobytes() for t in b.column(1)])
+
+    small_batches(texts.sparkSession)
+    return texts.select("sid", text_bytes()).mapInArrow(run, "sid long, hashes binary")
 
 
-def checked(links: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """a, b, alike: whether the two texts have at least that similarity. texts: sid (once each), text."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("alike", pa.bool_())])
+def alike(links: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """The links whose sets (sid, hashes) have at least that similarity."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for b in batches:
-            x, y = ([shingles(t.as_py()) for t in b.column(k)] for k in (2, 3))
-            yield batch(schema, *b.columns[:2], [jaccard(p, q) >= least for p, q in zip(x, y, strict=True)])
+            x, y = ([np.frombuffer(h.as_py(), "<u8") for h in b.column(k)] for k in (2, 3))
+            yield batch(schema, *b.columns[:2]).filter(pa.array([jaccard(p, q) >= least for p, q in zip(x, y, strict=True)], pa.bool_()))
 
     small_batches(links.sparkSession)
-    of = lambda name, text: texts.select(F.col("sid").alias(name), text_bytes().alias(text))
-    return links.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, alike boolean")
+    of = lambda name, value: sets.select(F.col("sid").alias(name), F.col("hashes").alias(value))
+    return links.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def parts_of(n):
@@ -277,30 +288,14 @@ def near_roots(docs: DataFrame, prints: DataFrame, least: float = LEAST) -> Data
     met = settle(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "shared-buckets")
     ends = met.select("sid").distinct().join(distinct, "sid").select("sid", F.col("row.doc_id").alias("of"), F.col("row.mark").alias("mark"))
     texts = docs.select("doc_id", mark_of().alias("mark"), "text").join(ends, "mark").where(F.col("doc_id").eqNullSafe(F.col("of")))
-    texts = settle(texts.select("sid", "text").dropDuplicates(["sid"]), "candidate-texts")
-
-    def tried(members: DataFrame, root: DataFrame, refused: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Good links, and those that fall short with their bucket."""
-        rows = members.join(root, "sid", "left").select("bucket", "sid", F.lit(None).cast("long").alias("other"), F.coalesce("root", "sid").alias("root"), "query", "fp")
-        if refused is not None:
-            rows = rows.unionByName(refused.select("bucket", F.col("a").alias("sid"), F.col("b").alias("other"), F.lit(0).cast("long").alias("root"), F.lit(True).alias("query"), F.lit(None).cast("binary").alias("fp")))
-        links = settle(compared(rows), "candidates")
-        found = settle(checked(links.select("a", "b").distinct(), texts, least), "checked")
-        return found.where("alike").select("a", "b"), settle(links.join(found.where("not alike").select("a", "b"), ["a", "b"]).select("bucket", "a", "b"), "refused")
-
-    with_prints = lambda blocks, name: settle(blocks.join(distinct.select("sid", "fp"), "sid"), name)
-    none = distinct.sparkSession.createDataFrame([], "sid long, root long")
-    good, _ = tried(with_prints(pivot_blocks(met), "pivot-blocks"), none, None)
+    sets = settle(hash_sets(texts.select("sid", "text").dropDuplicates(["sid"])), "hash-sets")
+    prints = distinct.select("sid", "fp")
+    stars = pivot_blocks(met).join(prints, "sid").withColumn("root", F.col("sid"))
+    good = settle(alike(settle(compared(stars), "pivot-links"), sets, least), "pivot-good")
     root = root_of(good)
-    members, refused = with_prints(rest_blocks(met, root), "rest-blocks"), None
-    while not members.isEmpty():
-        more, short = tried(members, root, refused)
-        if not more.isEmpty():
-            good = good.unionByName(more)
-            root = root_of(good)
-        members = settle(members.join(short.select("bucket").distinct(), "bucket", "left_semi"), "rest-blocks")
-        refused = short if refused is None else settle(refused.join(short.select("bucket").distinct(), "bucket", "left_semi").unionByName(short), "refused")
-    return root
+    rest = settle(rest_blocks(met, root), "rest-blocks").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    more = settle(compared(rest.join(prints, "sid").join(sets, "sid"), least), "rest-good")
+    return root_of(good.unionByName(more))
 
 
 def deduplicate(docs: DataFrame, least: float = LEAST) -> DataFrame:

@@ -84,15 +84,20 @@ def test_near_lanes_are_all_pairs():
         assert set(zip(*(x.tolist() for x in found), strict=True)) == want
 
 
-def test_a_block_leaves_refused_links_out():
+def test_a_block_checks_what_is_not_joined_yet():
     prints = np.zeros((4, 64), np.uint8)
     bucket, sid = np.array([1, 1, 1, 2]), np.array([5, 6, 7, 8])
-    every = np.ones(4, bool)
-    links = lambda root, refused: set(zip(*(x.tolist() for x in n.block_links(bucket, sid, np.array(root), every, prints, refused)), strict=True))
-    assert links([5, 6, 7, 8], set()) == {(1, 5, 6), (1, 5, 7), (1, 6, 7)}
-    assert links([5, 5, 7, 8], set()) == {(1, 5, 7), (1, 6, 7)}
-    assert links([5, 5, 7, 8], {(1, 5, 7)}) == {(1, 6, 7)}
-    assert links([5, 5, 5, 5], set()) == set()
+    alike, other = np.arange(10, dtype="<u8"), np.arange(5, 15, dtype="<u8")
+
+    def links(root, sets):
+        root = np.array(root)
+        return n.good_links(bucket, sid, root, *n.pairs_in_buckets(bucket, root, np.ones(4, bool), prints), sets, 0.8)
+
+    assert links([5, 6, 7, 8], [alike] * 4) == [(5, 6), (5, 7)]  # (6, 7) is joined by then
+    assert links([5, 6, 7, 8], [alike, other, alike, alike]) == [(5, 7)]
+    assert links([5, 5, 7, 8], [alike, other, other, alike]) == [(6, 7)]
+    assert links([5, 5, 5, 5], [alike] * 4) == []
+    assert n.jaccard(alike, other) == 5 / 15 and n.jaccard(alike[:0], alike[:0]) == 1.0
 
 
 def test_odd_rows(odd, nothing):
