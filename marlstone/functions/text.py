@@ -17,13 +17,25 @@ ACCENTS = {
 
 # Abbreviations, in the order in which they are written out.
 ABBREVIATIONS = [
-    (r"\b(tp hcm|tphcm|hcm|sai gon|sg)\b", "ho chi minh"),
-    (r"\b(ha noi|hanoi|hn)\b", "ha noi"),
-    (r"\b(t p|tp)\b", "thanh pho"),
-    (r"\btt ", "thi tran "),
-    (r"\btx ", "thi xa "),
-    (r"\bq (\d+)\b", "quan $1"),
+    (r"\btp\s*\.?\s*hcm\b", " ho chi minh "),
+    (r"\btphcm\b", " ho chi minh "),
+    (r"\bhcm\b", " ho chi minh "),
+    (r"\bsai\s*gon\b", " ho chi minh "),
+    (r"\bsg\b", " ho chi minh "),
+    (r"\bha\s*noi\b", " ha noi "),
+    (r"\bhn\b", " ha noi "),
+    (r"\bt\s*\.?\s*p\b\s*\.?", " thanh pho "),
+    (r"\btp\s*\.?", " thanh pho "),
+    (r"\btt\s*\.?\s", " thi tran "),
+    (r"\btx\s*\.?\s", " thi xa "),
+    (r"\bq\s*\.?\s*(\d+)\b", " quan $1 "),
+    (r"\bq\s*\.\s*", " quan "),
+    (r"\bh\s*\.\s*", " huyen "),
+    (r"\bp\s*\.\s*", " phuong "),
+    (r"\bx\s*\.\s*", " xa "),
 ]
+# A ward by its number alone, so that it is not taken for a district.
+NUMBERED_WARD = (r"\bp\s*(\d+)\b", " phuong $1 ")
 
 # The units that a place's name can begin with.
 UNIT_PREFIX = r"^((thanh pho|tinh|quan|huyen|thi xa|thi tran|phuong|xa)\s+)+"
@@ -49,11 +61,14 @@ def squeeze(c: Column) -> Column:
 
 
 def norm_text(c: Column) -> Column:
-    """Plain lower-case words, one space between them, abbreviations written out."""
-    out = squeeze(F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]+", " "))
-    for pattern, full in ABBREVIATIONS:
+    """Plain lower-case words, one space between them, abbreviations written out.
+
+    Full stops stay until then, as they tell an abbreviated unit from a letter.
+    """
+    out = F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9.]+", " ")
+    for pattern, full in (*ABBREVIATIONS, NUMBERED_WARD):
         out = F.regexp_replace(out, pattern, full)
-    return squeeze(out)
+    return squeeze(F.regexp_replace(out, "[^a-z0-9]+", " "))
 
 
 def core_name(c: Column) -> Column:

@@ -2,8 +2,8 @@
 
 A token meets the names of a level by its word sequences (exact names and names that it
 contains) and by shared runs of four letters (near spellings, at least 88 % alike: two names
-of nine letters or more that are so alike always share such a run, and shorter ones are alike
-only if equal). Each address is resolved once, however many rows have it. What wins is the
+that are so alike, of eight letters or more and one of them longer, always share such a run, and
+shorter ones are alike only if equal). Each address is resolved once, however many rows have it. What wins is the
 least of (tier, token, kind of match, likeness), taken by a grouped minimum.
 """
 
@@ -20,7 +20,7 @@ from marlstone.session import cut
 
 EXACT, CONTAINED, ALIKE = 100.0, 97.0, 88.0
 DISSOLVED_SCORE, UNIQUE_SCORE = 95.0, 90.0
-MOST_WORDS, RUN = 6, 4
+RUN = 4
 RAW = ("address_raw", "province_raw", "district_raw", "ward_raw")
 # Districts that were merged into another one: province, old core name, successor.
 DISSOLVED = [("79", "2", "769", "Thành phố Thủ Đức"), ("79", "9", "769", "Thành phố Thủ Đức")]
@@ -33,6 +33,8 @@ class Dimensions:
     provinces: DataFrame
     districts: DataFrame
     wards: DataFrame
+    #: Words of the longest name.
+    most_words: int
 
 
 def pad_codes(df: DataFrame, province: str = "province_code", district: str = "district_code", ward: str = "ward_code") -> DataFrame:
@@ -49,7 +51,9 @@ def dimensions(provinces: DataFrame, districts: DataFrame, wards: DataFrame) ->
     districts = with_core(districts)
     same = districts.groupBy("core").agg(F.count("*").alias("n"))
     # each level is read by several tiers; names are normalised once
-    return Dimensions(with_core(provinces).persist(), districts.join(same, "core").persist(), with_core(wards).persist())
+    levels = [cut(with_core(provinces)), cut(districts.join(same, "core")), cut(with_core(wards))]
+    longest = [d.agg(F.max(F.size(F.split("core", " ")))).first()[0] or 1 for d in levels]
+    return Dimensions(*levels, max(longest))
 
 
 def flatten_units(tree: DataFrame) -> Dimensions:
@@ -59,27 +63,28 @@ def flatten_units(tree: DataFrame) -> Dimensions:
     return dimensions(tree.select("code", "name"), d.select("code", "name", "province_code"), w.select("code", "name", "district_code"))
 
 
-def word_runs(core: Column) -> Column:
+def word_runs(core: Column, most: int) -> Column:
     words = F.split(core, " ")
-    runs = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), F.size(words) - i)), lambda n: F.array_join(F.slice(words, i + 1, n), " "))
+    runs = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(words) - i)), lambda n: F.array_join(F.slice(words, i + 1, n), " "))
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), runs)))
 
 
 def letter_runs(core: Column) -> Column:
     """Runs of four letters of names long enough to have near spellings."""
     starts = F.sequence(F.lit(1), F.length(core) - RUN + 1)
-    return F.when(F.length(core) > 2 * RUN, F.array_distinct(F.transform(starts, lambda i: F.substring(core, i, F.lit(RUN))))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(core) >= 2 * RUN, F.array_distinct(F.transform(starts, lambda i: F.substring(core, i, F.lit(RUN))))).otherwise(F.array().cast("array<string>"))
 
 
-def match_tokens(tokens: DataFrame, dim: DataFrame, scope: str | None = None) -> DataFrame:
+def match_tokens(tokens: DataFrame, dim: DataFrame, most_words: int, scope: str | None = None) -> DataFrame:
     """key, code, name and score of the best match of each key.
 
-    tokens: key, prio, core and, with a scope, the code of the parent to look in.
+    tokens: key, prio, core and, with a scope, the code of the parent to look in. most_words: of
+    the longest name.
     """
     on = [scope] if scope else []
     tokens = tokens.where("core <> ''").select("key", "prio", "core", *on)
     names = dim.where("core <> ''").select("code", "name", F.col("core").alias("known"), *on)
-    runs = tokens.withColumn("run", F.explode(word_runs(F.col("core"))))
+    runs = tokens.withColumn("run", F.explode(word_runs(F.col("core"), most_words)))
     held = runs.join(names.withColumnRenamed("known", "run"), ["run", *on])
     held = held.select("key", "prio", (F.col("run") != F.col("core")).cast("int").alias("kind"), F.when(F.col("run") == F.col("core"), EXACT).otherwise(CONTAINED).alias("score"), F.length("run").alias("size"), "code", "name")
     alike = tokens.withColumn("run", F.explode(letter_runs(F.col("core")))).join(names.withColumn("run", F.explode(letter_runs(F.col("known")))), ["run", *on])
@@ -105,7 +110,9 @@ def resolve_addresses(df: DataFrame, dims: Dimensions, bridge: DataFrame | None
     spark = df.sparkSession
     for c in RAW:
         df = df if c in df.columns else df.withColumn(c, F.lit(None).cast("string"))
-    keyed = df.withColumn("_key", address_key())
+    keyed = df.withColumn("_key", F.when(F.coalesce(*RAW).isNotNull(), address_key()))
+    # rows without any address have no key, and are not joined
+    nowhere, keyed = keyed.where("_key is null"), keyed.where("_key is not null")
     tuples = cut(keyed.select(F.col("_key").alias("key"), *RAW).distinct())
     parts = tuples.select("key", F.posexplode(tx.tokens(F.col("address_raw"))).alias("pos", "token"))
     parts = parts.select("key", (F.col("pos") + 1).alias("prio"), tx.core_name(F.col("token")).alias("core"), tx.key_name(F.col("token")).alias("name_key"), tx.norm_text(F.col("token")).rlike(tx.WARD_PREFIX).alias("is_ward"))
@@ -116,14 +123,14 @@ def resolve_addresses(df: DataFrame, dims: Dimensions, bridge: DataFrame | None
 
     some = parts.select("key", "prio", "core")
     whole = tuples.select("key", F.lit(100).alias("prio"), tx.core_name(tx.text(F.col("address_raw"))).alias("core"))
-    province = match_tokens(hint("province_raw").unionByName(some.where("prio <= 3")).unionByName(whole), dims.provinces)
+    province = match_tokens(hint("province_raw").unionByName(some.where("prio <= 3")).unionByName(whole), dims.provinces, dims.most_words)
     province = cut(province.select("key", F.col("code").alias("province_code"), F.col("name").alias("province"), F.col("score").alias("p_score")))
 
     for_district = hint("district_raw").unionByName(parts.where(~F.col("is_ward")).select("key", "prio", "core"))
     within = for_district.join(province.select("key", "province_code"), "key")
     tier = lambda d, n, source: d.select("key", F.lit(n).alias("tier"), F.lit(source).alias("geo_source"), F.col("code").alias("district_code"), F.col("name").alias("district"), F.col("score").alias("d_score"))
     first = lambda d, order: d.groupBy("key").agg(F.min_by(F.struct("code", "name", "score"), F.struct(*order)).alias("b")).select("key", "b.*")
-    found = tier(match_tokens(within, dims.districts, "province_code"), 1, "old")
+    found = tier(match_tokens(within, dims.districts, dims.most_words, "province_code"), 1, "old")
     merged = spark.createDataFrame(list(dissolved), "province_code string, core string, code string, name string").withColumn("score", F.lit(DISSOLVED_SCORE))
     found = found.unionByName(tier(first(within.join(merged, ["province_code", "core"]), ["prio", "code"]), 2, "dissolved"))
     if bridge is not None:
@@ -139,7 +146,7 @@ def resolve_addresses(df: DataFrame, dims: Dimensions, bridge: DataFrame | None
     district = cut(found.groupBy("key").agg(F.min_by(F.struct("geo_source", "district_code", "district", "d_score"), F.struct("tier")).alias("b")).select("key", "b.*"))
 
     for_ward = hint("ward_raw").unionByName(some).join(district.select("key", "district_code"), "key")
-    ward = match_tokens(for_ward, dims.wards, "district_code")
+    ward = match_tokens(for_ward, dims.wards, dims.most_words, "district_code")
     ward = ward.select("key", F.col("code").alias("ward_code"), F.col("name").alias("ward"), F.col("score").alias("w_score"))
 
     parents = dims.districts.select(F.col("code").alias("district_code"), F.col("province_code").alias("its_province"))
@@ -150,8 +157,10 @@ def resolve_addresses(df: DataFrame, dims: Dimensions, bridge: DataFrame | None
         F.col("key").alias("_key"), F.coalesce("its_province", "province_code").alias("province_code"), F.coalesce("its_name", "province").alias("province"), "district_code", "district", "ward_code", "ward",
         F.coalesce("w_score", "d_score", "p_score", F.lit(0.0)).alias("geo_match_score"), F.coalesce("geo_source", F.lit("none")).alias("geo_source"),
     )
-    own = [c for c in keyed.columns if c not in out.columns]
-    return keyed.select("_key", *own).join(out, "_key").drop("_key")
+    own = [c for c in df.columns if c not in out.columns]
+    found = keyed.select("_key", *own).join(out, "_key").drop("_key")
+    blank = {"geo_match_score": F.lit(0.0), "geo_source": F.lit("none")}
+    return found.unionByName(nowhere.select(*own, *(blank.get(c, F.lit(None).cast("string")).alias(c) for c in out.columns if c != "_key")))
 
 
 def build_bridge(moves: DataFrame, units: DataFrame) -> DataFrame:
@@ -169,10 +178,19 @@ def build_bridge(moves: DataFrame, units: DataFrame) -> DataFrame:
     return ranked.where("r = 1").select("new_province_key", "new_ward_key", "province_code", "province", "district_code", "district", F.round(F.col("n") / F.col("all"), 3).alias("confidence"), "n_candidates")
 
 
+UNITS = "code string, name string, districts array<struct<code string, name string, wards array<struct<code string, name string>>>>"
+# The second layout of the hierarchy, with names of its own.
+UNITS_2 = "Id string, Name string, Districts array<struct<Id string, Name string, Wards array<struct<Id string, Name string>>>>"
+
+
 def read_units(spark: SparkSession, path: str) -> Dimensions:
-    """The hierarchy from nested JSON with codes of any width."""
-    tree = spark.read.schema("code string, name string, districts array<struct<code string, name string, wards array<struct<code string, name string>>>>").json(path)
-    padded = tree.select(F.lpad("code", 2, "0").alias("code"), "name", F.transform("districts", lambda d: F.struct(
+    """The hierarchy from nested JSON in either layout, with codes of any width."""
+    lines = spark.read.text(path, wholetext=True)
+    whole = lambda layout: F.from_json("value", f"array<struct<{layout}>>")
+    # the second layout's fields are read in the order of the first one's
+    second = F.transform(whole(UNITS_2), lambda p: F.struct(p["Id"], p["Name"], F.transform(p["Districts"], lambda d: F.struct(d["Id"], d["Name"], F.transform(d["Wards"], lambda w: F.struct(w["Id"], w["Name"]))))))
+    either = F.when(F.exists(whole(UNITS), lambda p: p["code"].isNotNull()), whole(UNITS)).otherwise(second.cast(f"array<struct<{UNITS}>>"))
+    padded = lines.select(F.inline(either)).select(F.lpad("code", 2, "0").alias("code"), "name", F.transform("districts", lambda d: F.struct(
         F.lpad(d["code"], 3, "0").alias("code"), d["name"].alias("name"), F.transform(d["wards"], lambda w: F.struct(F.lpad(w["code"], 5, "0").alias("code"), w["name"].alias("name"))).alias("wards"),
     )).alias("districts"))
     return flatten_units(padded)

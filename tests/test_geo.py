@@ -30,6 +30,35 @@ def test_spellings_of_one_district(spark, dims):
     assert (rows[0].ward_code, rows[0].geo_match_score) == ("26740", 100.0)
 
 
+def test_abbreviated_units(spark, dims):
+    rows = resolve(spark, dims, ["Q10, TP.HCM", "P.1, TP.HCM", "p 10, tphcm", "Q. Bình Thạnh, saigon", "H. Đông Anh, hn", "P. Bến Nghé, Q.1, SG"])
+    assert [r.district_code for r in rows] == ["771", None, None, "765", "017", "760"]
+    assert [r.province_code for r in rows] == ["79", "79", "79", "79", "01", "79"] and rows[5].ward_code == "26740"
+
+
+def test_names_of_eight_letters_and_of_many_words(spark):
+    long = "Khu Bao Ton Thien Nhien Vung Nui Cao"
+    tree = [("01", "Tỉnh A Bê", [("001", "Quận Binhthanh", [("00001", "Phường " + long)])])]
+    small = geo.flatten_units(spark.createDataFrame(tree, SCHEMA))
+    rows = resolve(spark, small, ["Quận Binhtanh, A Bê", f"{long}, Binhthanh, A Bê"])
+    assert [r.district_code for r in rows] == ["001", "001"] and rows[1].ward_code == "00001"
+    assert small.most_words == 8
+
+
+def test_units_in_either_layout(spark, tmp_path):
+    import json
+
+    first = [{"code": c, "name": n, "districts": [{"code": d, "name": m, "wards": [{"code": w, "name": x} for w, x in ws]} for d, m, ws in ds]} for c, n, ds in TREE]
+    second = [{"Id": c, "Name": n, "Districts": [{"Id": d, "Name": m, "Wards": [{"Id": w, "Name": x} for w, x in ws]} for d, m, ws in ds]} for c, n, ds in TREE]
+    first[1]["code"], second[1]["Id"] = "1", "1"  # a code without its zero
+    found = []
+    for k, units in enumerate((first, second)):
+        (tmp_path / f"{k}.json").write_text(json.dumps(units, ensure_ascii=False, indent=1))
+        read = geo.read_units(spark, f"{tmp_path}/{k}.json")
+        found.append([sorted(map(tuple, d.select("code", "name").collect())) for d in (read.provinces, read.districts, read.wards)])
+    assert found[0] == found[1] and ("01", "Thành phố Hà Nội") in found[0][0] and len(found[0][2]) == 10
+
+
 def test_numbers_are_whole_words(spark, dims):
     rows = resolve(spark, dims, ["Quận 1, TP.HCM", "Quận 10, TP.HCM", "Quận 11, TP.HCM", "Quận 12, TP.HCM"])
     assert [r.district_code for r in rows] == ["760", "771", "772", "761"]

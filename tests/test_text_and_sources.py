@@ -23,6 +23,8 @@ def test_numbers(spark):
 def test_names(spark):
     values = ["Thành phố Hồ Chí Minh", "TP.HCM", "Q. 1", "Quận Bình Thạnh", "Đắk Lắk", "Huế", "TT. Củ Chi"]
     assert column(spark, values, tx.norm_text) == ["thanh pho ho chi minh", "ho chi minh", "quan 1", "quan binh thanh", "dak lak", "hue", "thi tran cu chi"]
+    short = {"Q7": "quan 7", "q.7": "quan 7", "Saigon": "ho chi minh", "tpvinh": "thanh pho vinh", "Q. Bình Thạnh": "quan binh thanh", "H. Nhà Bè": "huyen nha be", "P. Đa Kao": "phuong da kao", "P.1": "phuong 1", "p 12": "phuong 12", "X. Tân Nhựt": "xa tan nhut", "T.P. Vinh": "thanh pho vinh", "TP-HCM": "ho chi minh", "hn": "ha noi"}
+    assert column(spark, list(short), tx.norm_text) == list(short.values())
     assert column(spark, ["Quận Bình Thạnh", "Thị xã Thuận An", "Xã Tân Nhựt"], tx.core_name) == ["binh thanh", "thuan an", "tan nhut"]
     assert column(spark, ["Phường Đa Kao"], tx.key_name) == ["phuongdakao"]
     assert column(spark, [" a ", "NaN", "", None], tx.to_text) == ["a", None, None, None]
