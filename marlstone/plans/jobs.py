@@ -7,7 +7,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import geo, gold, lake
+from pyspark.ml.functions import vector_to_array
+
+from marlstone.operators import forecast, geo, gold, lake, learning, outliers, scoring
+from marlstone.operators import series as se
+from marlstone.session import cut
 from marlstone.sources import listings as src
 
 TIES = ("ingested_at", "kafka_timestamp", "partition", "offset")
@@ -22,14 +26,32 @@ def write_serving(df: DataFrame, path: str, name: str, mode: str = "overwrite",
         df.write.mode(mode).option("partitionOverwriteMode", "static").parquet(f"{path}/{name}")
 
 
+def read_serving(spark: SparkSession, path: str, name: str, jdbc: dict | None = None) -> DataFrame | None:
+    """A serving table, over JDBC if options are given, else Parquet; None if it is not there."""
+    if jdbc:
+        try:
+            return spark.read.format("jdbc").options(**jdbc, dbtable=name).load()
+        except Exception as e:
+            if name.lower() in str(e).lower() and ("not exist" in str(e) or "NOT_FOUND" in str(e)):
+                return None
+            raise
+    try:
+        return spark.read.parquet(f"{path}/{name}")
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
 def run_bronze(spark: SparkSession, source: str, path: str, now: datetime, start: str = "earliest") -> dict:
-    """New good events of the log to the bronze table; counts are observed on the write itself."""
-    good, bad = src.decode_events(src.read_log(spark, source, start))
+    """New good events of the log to the bronze table: rows of the log that were read, and rows that are new.
+
+    The log is read once; good and bad rows are counted as they pass.
+    """
     seen = Observation()
-    src.write_bronze(src.stamp(good, now).observe(seen, F.count("*").alias("rows_out")), path)
-    dropped = bad.count()
-    out = seen.get["rows_out"]
-    return {"rows_in": out + dropped, "rows_out": out}
+    rows = src.decoded(src.read_log(spark, source, start)).observe(seen, F.count("*").alias("rows_in"))
+    written = src.write_bronze(src.stamp(src.good_events(rows), now), path)
+    return {"rows_in": seen.get["rows_in"], "rows_out": written}
 
 
 def run_silver(spark: SparkSession, bronze: DataFrame, path: str, dims: geo.Dimensions, bridge: DataFrame | None = None, full: bool = True) -> dict:
@@ -59,21 +81,61 @@ def run_gold(silver: DataFrame, path: str, min_listings: int = gold.MIN_LISTINGS
     return {"rows_in": silver.count(), "rows_out": kept or 0}
 
 
-# Serving ---------------------------------------------------------------------------------
+def run_clusters(districts: DataFrame, path: str, k_max: int = 6) -> dict:
+    """area_cluster: each district's cluster, its name and its place on two axes, by the features that differ enough.
 
+    With one such feature there is one axis, and the second only keeps districts apart.
+    """
+    districts = cut(districts)
+    names = [r.feature for r in learning.cv_screen(districts).where("used").collect()]  # a few features
+    if not names:
+        raise ValueError("the districts do not differ in any feature")
+    k, _, out = learning.choose_k(learning.standardised(districts, names), k_max=k_max)
+    labels = learning.label_by_rank(learning.cluster_summary(out)).select("cluster", "label")
+    if len(names) > 1:
+        out, shares = learning.project_2d(out)
+    else:
+        out, shares = learning.jitter(out.withColumn("x", vector_to_array("z")[0]), order="district_code"), [1.0]
+    write_serving(out.drop("z").join(labels, "cluster"), path, "area_cluster")
+    return {"k": k, "features": names, "explained": sum(shares)}
 
-def read_gold(spark: SparkSession, path: str, name: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{path}/{name}")
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+
+def run_anomalies(rows: DataFrame, path: str, columns: list[str], weights: dict[str, float] = scoring.WEIGHTS, contamination: float = scoring.CONTAMINATION) -> dict:
+    """anomaly: the listings whose blended rank is in the upper share, with the reason.
+
+    rows: listing_id, district_code, district, price, price_per_m2, predicted and the numeric
+    columns. Ranks by residual, isolation forest and local outlier factor are blended by weights.
+    """
+    rows = cut(scoring.residual_scores(rows).withColumnRenamed("score", "r_residual").withColumn("_id", F.xxhash64("listing_id")))
+    forest = scoring.pct_rank(outliers.isolation_forest(rows, columns, "listing_id").withColumnRenamed("score", "forest_score"), "forest_score", "r_forest")
+    vectors = learning.standardised(rows.select("_id", *columns), columns).select(F.col("_id").alias("id"), vector_to_array("z").alias("x"))
+    lof = scoring.pct_rank(outliers.lof(vectors).withColumnRenamed("lof", "lof_score"), "lof_score", "r_lof")
+    ranked = rows.join(forest, "listing_id").join(lof.withColumnRenamed("id", "_id"), "_id", "left")
+    ranked = ranked.withColumn("score", scoring.blend({f"r_{k}": w for k, w in weights.items()}))
+    flagged = scoring.flag(ranked, contamination).withColumn("reason", scoring.reason(ranks=("r_forest", "r_lof")))
+    names = ("listing_id", "district_code", "district", "price", "price_per_m2", "predicted", "residual", "ratio", "forest_score", "lof_score", "score", "reason")
+    written = Observation()
+    write_serving(flagged.select(*names).observe(written, F.count("*").alias("rows_out")), path, "anomaly")
+    return {"rows_in": rows.count(), **written.get}
+
+
+def run_forecasts(history: DataFrame, path: str, h: int = 3) -> None:
+    """price_history, forecast, and forecast_metrics by area and model with the verdict on each area's best one."""
+    tests = cut(forecast.backtest(history, h=h))
+    metrics = se.backtest_summary(se.errors(tests, ("area_code", "model", "cut")), ("area_code", "model"))
+    best = forecast.verdicts(tests).select("area_code", F.col("model").alias("_best"), "beats_naive")
+    metrics = metrics.join(best, "area_code", "left").withColumn("is_best", F.col("model") == F.col("_best")).drop("_best")
+    write_serving(history, path, "price_history")
+    write_serving(forecast.forecast(history, h=h), path, "forecast")
+    write_serving(metrics, path, "forecast_metrics")
+
+
+# Serving ---------------------------------------------------------------------------------
 
 
 def overview(spark: SparkSession, path: str, hot: DataFrame | None = None) -> dict[str, DataFrame | None]:
     """KPIs, the ten dearest districts, clusters and the hot block; a block without a table is None."""
-    areas, kpis, clusters = (read_gold(spark, path, n) for n in ("area_price", "market_summary", "area_cluster"))
+    areas, kpis, clusters = (read_serving(spark, path, n) for n in ("area_price", "market_summary", "area_cluster"))
     return {
         "summary": kpis, "top_districts": gold.top_districts(areas) if areas is not None else None,
         "clusters": clusters.orderBy("cluster", F.desc("median_price_m2")) if clusters is not None else None, "hot": gold.hottest(hot) if hot is not None else None,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -41,9 +42,11 @@ def ship(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the shared folder of spark.checkpoint.dir: later plans begin there.
 
-    A folder of our own is set only where the session has none, as in tests.
+    A folder of our own is set only in a local session that has none, as in tests.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.getConf().get("spark.checkpoint.dir") and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="marlstone-"))
     return df.checkpoint()

@@ -6,12 +6,13 @@ import re
 import unicodedata
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions import text as tx
-from marlstone.functions.listing import listing_id, unit_price
+from marlstone.functions.listing import is_usable, listing_id, unit_price
+from marlstone.session import cut
 
 STRINGS = ("listing_id", "source", "crawled_at", "posted_at", "url", "address_raw", "province_raw", "district_raw", "ward_raw")
 CANONICAL = (
@@ -48,28 +49,45 @@ def read_log(spark: SparkSession, source: str, start: str = "earliest", topic: s
     return spark.read.parquet(source)
 
 
+def decoded(log: DataFrame, schema: T.StructType = LISTING_SCHEMA) -> DataFrame:
+    """The log's rows with the struct d (null fields where the value is not such JSON), as a table or a stream."""
+    return log.withColumn("d", F.from_json(F.col("value").cast("string"), schema)).withColumnRenamed("timestamp", "kafka_timestamp")
+
+
+def good_events(rows: DataFrame) -> DataFrame:
+    """Decoded rows that have a listing_id, with the fields as columns and the log's position."""
+    return rows.where("d.listing_id is not null").select("d.*", *(c for c in (*LOG_COLUMNS, "kafka_timestamp") if c in rows.columns))
+
+
 def decode_events(log: DataFrame, schema: T.StructType = LISTING_SCHEMA) -> tuple[DataFrame, DataFrame]:
     """Good rows with the decoded columns, and bad ones without a listing_id; either keeps the log's position."""
-    rows = log.withColumn("_d", F.from_json(F.col("value").cast("string"), schema))
-    where = [*LOG_COLUMNS, F.col("timestamp").alias("kafka_timestamp")]
-    good = rows.where("_d.listing_id is not null").select("_d.*", *where)
-    return good, rows.where("_d.listing_id is null").select("value", *where)
+    rows = decoded(log, schema)
+    return good_events(rows), rows.where("d.listing_id is null").select("value", *LOG_COLUMNS, "kafka_timestamp")
 
 
 def stamp(df: DataFrame, now: datetime) -> DataFrame:
     return df.withColumns({"ingested_at": F.lit(now), "ingest_date": F.to_date(F.lit(now))})
 
 
-def write_bronze(df: DataFrame, path: str) -> None:
-    """Append what the table does not have yet, by topic, partition and offset."""
-    spark = df.sparkSession
+def write_bronze(df: DataFrame, path: str) -> int:
+    """Append what the table does not have yet, by topic, partition and offset; the number of rows written.
+
+    The new rows are settled first. Of the table only what lies at their offsets or above is
+    read: Parquet's statistics leave the rest of its history out.
+    """
+    spark, rows = df.sparkSession, cut(df)
+    lowest = rows.agg(F.min("offset")).first()[0]
+    if lowest is None:
+        return 0
     try:
-        have = spark.read.parquet(path).select(*LOG_COLUMNS)
-        df = df.join(have, list(LOG_COLUMNS), "left_anti")
+        have = spark.read.parquet(path).where(F.col("offset") >= lowest).select(*LOG_COLUMNS)
+        rows = rows.join(have, list(LOG_COLUMNS), "left_anti")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    df.write.mode("append").partitionBy("ingest_date").parquet(path)
+    written = Observation()
+    rows.observe(written, F.count("*").alias("n")).write.mode("append").partitionBy("ingest_date").parquet(path)
+    return written.get["n"]
 
 
 def normal_key(name: str) -> str:
@@ -133,6 +151,33 @@ def to_events(df: DataFrame) -> DataFrame:
     return df.select(F.col("listing_id").alias("key"), F.to_json(F.struct(*(n for n, _ in CANONICAL))).alias("value"))
 
 
+def alias_coverage(df: DataFrame) -> DataFrame:
+    """field, column, n_null: the source's column of each canonical field (null if it has none), and its rows without a value."""
+    found, rows = resolve_columns(df.columns), canonical_select(df)
+    counts = rows.agg(F.count("*").alias("_n"), *(F.count(f).alias(f) for f in ALIASES))
+    parts = ", ".join(f"'{f}', {chr(39) + found[f].replace(chr(39), chr(92) + chr(39)) + chr(39) if f in found else 'cast(null as string)'}, _n - {f}" for f in ALIASES)
+    return counts.selectExpr(f"stack({len(ALIASES)}, {parts}) as (field, column, n_null)")
+
+
+def replay_csv(spark: SparkSession, path: str, limit: int = 0, source: str = "kaggle", now: str = "") -> tuple[DataFrame, DataFrame]:
+    """Usable rows of a CSV file as log records (key, value), and one row: n_read, n_usable. limit: rows read, 0 for all."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    found = resolve_columns(rows.columns)
+    if "price" not in found or "area" not in found:
+        raise ValueError("the file has no column of prices or areas")
+    listings = from_tabular(rows.limit(limit) if limit else rows, found, source, now).withColumn("_ok", is_usable())
+    return to_events(listings.where("_ok")), listings.agg(F.count("*").alias("n_read"), F.count_if("_ok").alias("n_usable"))
+
+
+def write_log(events: DataFrame, target: str, topic: str = "listings") -> None:
+    """Log records to a topic of a broker (host:port), or appended to a folder of Parquet rows with the log's columns."""
+    if re.fullmatch(r"[\w.,-]+:\d+", target):
+        events.write.format("kafka").option("kafka.bootstrap.servers", target).option("topic", topic).save()
+        return
+    place = {"topic": F.lit(topic), "partition": F.spark_partition_id(), "offset": F.monotonically_increasing_id(), "timestamp": F.current_timestamp()}
+    events.withColumns(place).write.mode("append").parquet(target)
+
+
 def profile(df: DataFrame, columns: tuple[str, ...] = ("area", "price")) -> DataFrame:
     """field, n_null, min, median, max of each numeric column, in one pass."""
     aggs = [f(c).alias(f"{c}_{n}") for c in columns for n, f in (("nulls", lambda c: F.count_if(F.col(c).isNull())), ("min", F.min), ("median", F.median), ("max", F.max))]

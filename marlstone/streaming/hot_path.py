@@ -1,28 +1,74 @@
-"""The hot path: sliding-window velocity per district, and alerts on prices far from the baseline."""
+"""The hot path: sliding-window velocity per district, and alerts on prices far from the baseline.
+
+Events go from the log to placed events (decoded, priced, with their district), a folder of
+micro-batches that is itself a stream's source; velocity and alerts read that stream.
+"""
 
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marlstone.sources.listings import LISTING_SCHEMA
+from marlstone.functions.listing import event_time
+from marlstone.operators import geo, lake
+from marlstone.sources import listings as src
 
+# Windows, and the deviations from which an alert is raised and is worse.
 WINDOW, SLIDE, LATE = "1 hour", "5 minutes", "2 hours"
 DEVIATION, HIGH, MIDDLE = 0.60, 1.5, 1.0
 PER_TRIGGER, TTL_SECONDS, NEWEST = 2000, 900, 200
 
 
-def event_stream(spark: SparkSession, source: str, schema=None, per_trigger: int = PER_TRIGGER, start: str = "earliest") -> DataFrame:
-    """A stream of decoded events with event_time: from a broker (host:port/topic), or from a folder of Parquet files of `schema`."""
-    if ":" in source.split("/")[0] and "/" in source and not source.startswith(("file:", "hdfs:", "/")):
-        host, topic = source.split("/", 1)
-        raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", host).option("subscribe", topic).option("startingOffsets", start).option("maxOffsetsPerTrigger", per_trigger).load()
-        rows = raw.select(F.from_json(F.col("value").cast("string"), LISTING_SCHEMA).alias("d"), F.col("timestamp").alias("kafka_timestamp")).select("d.*", "kafka_timestamp")
-        return rows.withColumn("event_time", F.coalesce(F.try_to_timestamp("crawled_at"), F.col("kafka_timestamp")))
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+def event_stream(spark: SparkSession, source: str, schema, per_trigger: int = 1) -> DataFrame:
+    """A stream of the Parquet files of a folder, so many files in each micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(source)
+
+
+def log_stream(spark: SparkSession, source: str, per_trigger: int = PER_TRIGGER, start: str = "earliest") -> DataFrame:
+    """A log as a stream: of a broker (host:port/topic, per_trigger: records), or of a folder of Parquet rows with the log's columns (per_trigger: files)."""
+    if m := re.fullmatch(r"([\w.-]+:\d+)/([\w.-]+)", source):
+        options = {"kafka.bootstrap.servers": m[1], "subscribe": m[2], "startingOffsets": start, "maxOffsetsPerTrigger": str(per_trigger)}
+        return spark.readStream.format("kafka").options(**options).load()
+    return event_stream(spark, source, "topic string, partition int, offset long, timestamp timestamp, value string", per_trigger)
+
+
+def priced_events(log: DataFrame) -> DataFrame:
+    """Good events of a log, table or stream, with event_time and a unit price."""
+    rows = src.good_events(src.decoded(log))
+    return lake.with_unit_price(rows.withColumn("event_time", event_time()))
+
+
+def placed_events(events: DataFrame, dims: geo.Dimensions, bridge: DataFrame | None = None) -> DataFrame:
+    """Priced events of a table with district (its code) and district_name; those without a district go."""
+    found = geo.resolve_addresses(events, dims, bridge).where("district_code is not null")
+    return found.select(*(c for c in events.columns), F.col("district_code").alias("district"), F.col("district").alias("district_name"))
+
+
+def append_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """A micro-batch as a folder of its own; one that was written whole before is left as it is."""
+    if batch_id not in _versions(batch.sparkSession, path):
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def run_placement(log: DataFrame, dims: geo.Dimensions, out: str, ckpt: str, bridge: DataFrame | None = None, once: bool = True) -> StreamingQuery:
+    """From a log's stream to a folder of placed events: each micro-batch's distinct addresses are resolved once."""
+    place = lambda b, i: append_batch(placed_events(b, dims, bridge), i, out)
+    return priced_events(log).writeStream.foreachBatch(place).option("checkpointLocation", ckpt).trigger(**trigger_of(once)).start()
+
+
+def placed_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
+    """The stream of what run_placement has written."""
+    schema = spark.read.parquet(path).drop("batch").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", "true").parquet(path)
+
+
+def trigger_of(once: bool) -> dict:
+    return {"availableNow": True} if once else {"processingTime": "10 seconds"}
 
 
 def velocity(events: DataFrame, win: str = WINDOW, slide: str = SLIDE, late: str = LATE, key: str = "district") -> DataFrame:
@@ -61,14 +107,14 @@ def alerts_as_events(alerts: DataFrame, key: str = "listing_id") -> DataFrame:
     return alerts.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
 
 
-def load_baseline(spark: SparkSession, path: str) -> DataFrame | None:
-    """District medians of the gold table; None without one, and the stream then runs without alerts."""
-    try:
-        gold = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+def load_baseline(spark: SparkSession, path: str, jdbc: dict | None = None) -> DataFrame | None:
+    """District medians of the gold table (over JDBC: of the table area_price); None without one, and the stream then runs without alerts."""
+    from marlstone.plans.jobs import read_serving
+
+    top, name = path.rstrip("/").rsplit("/", 1) if "/" in path else ("", path)
+    gold = read_serving(spark, top, "area_price" if jdbc else name, jdbc)
+    if gold is None:
+        return None
     return gold.where("level = 'district'").select(F.col("code").alias("district"), "median_price_m2")
 
 
@@ -109,7 +155,17 @@ def merge_state(batch: DataFrame, batch_id: int, path: str, key: str = "district
         names = [c for c in both.columns if c != key]
         # of the same window the later count is the larger one
         new = both.groupBy(key).agg(F.max_by(F.struct(*names), F.struct("win_end", "n", "updated_at")).alias("v")).select(key, "v.*")
-    new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    replace_version(new, batch_id, path)
+
+
+def replace_version(df: DataFrame, version: int, path: str) -> None:
+    """Write a version of a small state table; of the whole ones only the last two stay."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}/batch={version}")
+    jvm = spark.sparkContext._jvm
+    for old in [v for v in _versions(spark, path) if v <= version][:-2]:
+        gone = jvm.org.apache.hadoop.fs.Path(f"{path}/batch={old}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def append_alerts(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -122,13 +178,34 @@ def alert_count(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(*(f"{path}/batch={v}" for v in found)).count() if found else 0
 
 
-def run_hot_path(events: DataFrame, baseline: DataFrame | None, out: str, ckpt: str, once: bool = True) -> list[StreamingQuery]:
+def merge_newest(batch: DataFrame, batch_id: int, path: str, most: int = NEWEST) -> None:
+    """The newest alerts over all batches, a version per batch."""
+    spark = batch.sparkSession
+    before = [v for v in _versions(spark, path) if v < batch_id]
+    rows = spark.read.parquet(f"{path}/batch={before[-1]}").unionByName(batch) if before else batch
+    replace_version(rows.orderBy(F.desc("event_time"), "listing_id").limit(most), batch_id, path)
+
+
+def topic_sink(bootstrap: str, topic: str) -> Callable[[DataFrame, int], None]:
+    """Alert records to a topic of a broker."""
+    return lambda events, batch_id: events.write.format("kafka").option("kafka.bootstrap.servers", bootstrap).option("topic", topic).save()
+
+
+def fan_out(batch: DataFrame, batch_id: int, out: str, sink: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Alerts of a micro-batch to their folder, to the list of the newest, and as records to a sink."""
+    append_alerts(batch, batch_id, f"{out}/alerts")
+    written = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/alerts/batch={batch_id}")
+    merge_newest(written, batch_id, f"{out}/newest")
+    if sink is not None:
+        sink(alerts_as_events(written), batch_id)
+
+
+def run_hot_path(events: DataFrame, baseline: DataFrame | None, out: str, ckpt: str, once: bool = True, sink: Callable[[DataFrame, int], None] | None = None) -> list[StreamingQuery]:
     """Two independent queries, each with its checkpoint: velocity (update) and alerts (append, if there is a baseline)."""
-    trigger = {"availableNow": True} if once else {"processingTime": "10 seconds"}
-    started = [velocity(events).writeStream.outputMode("update").foreachBatch(lambda b, i: merge_state(b, i, f"{out}/velocity")).option("checkpointLocation", f"{ckpt}/velocity").trigger(**trigger).start()]
+    start = lambda df, mode, name, write: df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{ckpt}/{name}").trigger(**trigger_of(once)).start()
+    started = [start(velocity(events), "update", "velocity", lambda b, i: merge_state(b, i, f"{out}/velocity"))]
     if baseline is not None:
-        alerts = price_alerts(events, baseline)
-        started.append(alerts.writeStream.outputMode("append").foreachBatch(lambda b, i: append_alerts(b, i, f"{out}/alerts")).option("checkpointLocation", f"{ckpt}/alerts").trigger(**trigger).start())
+        started.append(start(price_alerts(events, baseline), "append", "alerts", lambda b, i: fan_out(b, i, out, sink)))
     return started
 
 
