@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
+from marlstone.operators.scoring import whole_percentile
 
 # Ranks of legal states and of furniture, by their normalised names.
 LEGAL_RANKS = {
@@ -38,18 +39,19 @@ FEATURES = [f for names in GROUPS.values() for f in names]
 FOLDS = 5
 
 
+def looked_up(c: Column, values: dict[str, float]) -> Column:
+    """The value of a normalised name; null if it has none."""
+    table = F.create_map(*(F.lit(x) for name, value in values.items() for x in (name, float(value))))
+    return F.try_element_at(table, tx.norm_text(c))
+
+
 def rank_of(c: Column, table: dict[int, list[str]]) -> Column:
-    name, out = tx.norm_text(c), F.lit(None).cast("double")
-    for rank, names in table.items():
-        out = F.when(name.isin(names), float(rank)).otherwise(out)
-    return out
+    return looked_up(c, {name: rank for rank, names in table.items() for name in names})
 
 
 def direction(c: Column) -> tuple[Column, Column]:
     """Sine and cosine of a compass name; null if it is none."""
-    name, degrees = tx.norm_text(c), F.lit(None).cast("double")
-    for k, v in DIRECTIONS.items():
-        degrees = F.when(name == k, float(v)).otherwise(degrees)
+    degrees = looked_up(c, DIRECTIONS)
     return F.sin(F.radians(degrees)), F.cos(F.radians(degrees))
 
 
@@ -70,8 +72,8 @@ def encoding_table(df: DataFrame, key: str = "district_code", y: str = "y") -> D
     return df.groupBy(key).agg(F.percentile(y, F.lit(0.5)).alias("level"))
 
 
-def overall(df: DataFrame, y: str = "y") -> float:
-    return df.agg(F.percentile(y, F.lit(0.5))).first()[0]
+def overall(df: DataFrame, y: str = "y") -> float | None:
+    return whole_percentile(df, y, 0.5)
 
 
 def apply_encoding(df: DataFrame, table: DataFrame, default: float, key: str = "district_code", name: str = "district_level") -> DataFrame:
@@ -80,7 +82,10 @@ def apply_encoding(df: DataFrame, table: DataFrame, default: float, key: str = "
 
 
 def oof_encoding(df: DataFrame, key: str = "district_code", y: str = "y", fold: str = "fold", folds: int = FOLDS, name: str = "district_level") -> DataFrame:
-    """Each row's median of y in its district over the other folds; else the median of all rows."""
+    """Each row's median of y in its district over the other folds; else the median of all rows.
+
+    df is read three times; settle it where it is dear to make.
+    """
     others = df.select(key, y, F.explode(F.filter(F.array(*map(F.lit, range(folds))), lambda k: k != F.col(fold))).alias(fold))
     table = others.groupBy(key, fold).agg(F.percentile(y, F.lit(0.5)).alias("_level"))
     return df.join(table, [key, fold], "left").withColumn(name, F.coalesce("_level", F.lit(overall(df, y)))).drop("_level")

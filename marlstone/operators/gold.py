@@ -81,6 +81,11 @@ def top_districts(areas: DataFrame, limit: int = 10) -> DataFrame:
     return areas.where("level = 'district'").orderBy(F.desc("median_price_m2"), "code").limit(limit)
 
 
+def with_details(top: DataFrame, areas: DataFrame, level: str = "district") -> DataFrame:
+    """A ranking (its column code and others) with the name and median price of each area."""
+    return top.join(areas.where(F.col("level") == level).select("code", "name", "median_price_m2"), "code")
+
+
 def area_list(areas: DataFrame, level: str, parent: str | None = None) -> DataFrame:
     found = areas.where(F.col("level") == level)
     if parent is not None:

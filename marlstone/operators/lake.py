@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 MIN_UNIT_PRICE, MAX_UNIT_PRICE = 1.0, 5000.0
 ID_COLUMNS = ("province_code", "district_code", "ward_code")
+# The columns of the silver table.
 SILVER_COLUMNS = (
     "listing_id", "source", "crawled_at", "posted_at", "url", "address_raw", "province", "district", "ward", "province_code", "district_code",
     "ward_code", "geo_match_score", "geo_source", "area", "frontage", "access_road", "house_direction", "balcony_direction", "floors",

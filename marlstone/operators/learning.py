@@ -12,13 +12,14 @@ from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import features as fe
 from marlstone.operators.scoring import price_metrics
 
 SEED = 42
+# What areas are clustered by.
 CLUSTER_FEATURES = ("median_price_m2", "mean_area", "mean_floors", "pct_red_book", "pct_mat_tien")
 # Names of clusters by their number, from the dearest to the cheapest.
 CLUSTER_NAMES = {
@@ -199,16 +200,20 @@ def verdict(mapes: Sequence[float]) -> str:
     return "flat" if gain < 0.15 else "nearly flat" if gain < 0.5 else "still falling"
 
 
+def beside_district(df: DataFrame, areas: DataFrame, unit: Column) -> DataFrame:
+    """df with district_median, and vs_district_pct: how far a unit price is from it."""
+    medians = areas.where("level = 'district'").select(F.col("code").alias("district_code"), F.col("median_price_m2").alias("district_median"))
+    return df.join(medians, "district_code", "left").withColumn("vs_district_pct", (F.try_divide(unit, F.col("district_median")) - 1) * 100)
+
+
 def score_prices(df: DataFrame, fitted: Fitted, encoding: Encoded, areas: DataFrame, mape: float = 19.6) -> DataFrame:
     """Predicted price with an interval, its distance from the district's median, and a note on unknown districts."""
-    medians = areas.where("level = 'district'").select(F.col("code").alias("district_code"), F.col("median_price_m2").alias("district_median"))
     known = encoding.table.select("district_code", F.lit(True).alias("_seen"))
     rows = fitted.predict(fe.build_features(fe.apply_encoding(df, encoding.table, encoding.default)))
-    rows = rows.join(medians, "district_code", "left").join(known, "district_code", "left")
-    unit = F.col("predicted") * 1000 / F.col("area")
+    rows = beside_district(rows, areas, F.col("predicted") * 1000 / F.col("area")).join(known, "district_code", "left")
     note = F.when(F.col("district_code").isNull(), "district unknown").when(F.col("_seen").isNull(), "district not seen in training")
     return rows.withColumns({
-        "low": F.col("predicted") * (1 - mape / 100), "high": F.col("predicted") * (1 + mape / 100), "vs_district_pct": (F.try_divide(unit, F.col("district_median")) - 1) * 100, "note": note,
+        "low": F.col("predicted") * (1 - mape / 100), "high": F.col("predicted") * (1 + mape / 100), "note": note,
     }).drop("_seen")
 
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.session import cut
+
 TREES, SAMPLE, NEIGHBOURS = 300, 256, 20
 EULER = 0.5772156649015329
 NODE = "tree int, node int, feature int, split double, left int, right int, size int, depth int"
@@ -41,15 +43,16 @@ def grow(x: np.ndarray, seed: int) -> list[tuple]:
 def isolation_forest(df: DataFrame, columns: list[str], ident: str = "id", trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """ident and score (0 to 1, higher: easier to isolate). columns: numeric, nulls at 0.
 
-    Each tree takes the rows whose hash with its number is lowest; a tree is grown in a task
-    of its own from at most four times `sample` rows. Trees have a bounded size and are sent
-    with the scoring function.
+    A pool of about 16 samples' rows, those whose hash is lowest, is drawn in one pass; each
+    tree takes the rows of the pool whose hash with its number is lowest, and is grown in a task
+    of its own. Trees have a bounded size and are sent with the scoring function.
     """
     n = df.count()
     values = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns))
     rows = df.select(F.col(ident).alias("id"), values.alias("x"))
     u = lambda t: F.pmod(F.xxhash64(t, "id"), F.lit(1 << 30)) / float(1 << 30)
-    dealt = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(u(F.col("tree")) < 2 * sample / max(n, 1))
+    pool = cut(rows.where(u(F.lit(-1)) < 16 * sample / max(n, 1)))
+    dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(u(F.col("tree")) < 2 * sample / max(1, min(n, 16 * sample)))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -76,26 +79,30 @@ def isolation_forest(df: DataFrame, columns: list[str], ident: str = "id", trees
     return rows.select(F.col("id").alias(ident), score("x").alias("score"))
 
 
-def neighbours(df: DataFrame, k: int = NEIGHBOURS, block: int = 2000, rounds: int = 4, seed: int = 7) -> DataFrame:
-    """id, other, distance: the k nearest rows of each, exactly. df: id, x array<double>, ids distinct.
+def neighbours(df: DataFrame, k: int = NEIGHBOURS, block: int = 2000) -> DataFrame:
+    """id, other, distance: the k nearest rows of each, exactly, the smaller id among equals. df: id, x array<double>, ids distinct.
 
     Rows are dealt by hash into parts of about `block`; each pair of parts is compared in a task
-    of its own, so the work grows with the square of the rows and a task does not. rounds and
-    seed are of an earlier approximate form and have no effect.
+    of its own, so the work grows with the square of the rows and a task does not.
     """
     parts = -(-max(1, df.count()) // block)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         m, ids, part = np.array(pdf["x"].tolist(), float), pdf["id"].to_numpy(), pdf["part"].to_numpy()
         sq = (m * m).sum(axis=1)
-        d = np.sqrt(np.maximum(sq[:, None] + sq[None] - 2 * m @ m.T, 0))
+        d = np.maximum(sq[:, None] + sq[None] - 2 * m @ m.T, 0)
         np.fill_diagonal(d, np.inf)
         if pdf["p"].iloc[0] != pdf["q"].iloc[0]:
             d[part[:, None] == part[None]] = np.inf
-        near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
-        rows = np.repeat(np.arange(len(ids)), near.shape[1])
-        out = pd.DataFrame({"id": ids[rows], "other": ids[near.ravel()], "distance": d[rows, near.ravel()]})
-        return out[np.isfinite(out["distance"])]
+        # the product rounds; what may be among the k nearest is computed again from differences
+        kth = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+        out = []
+        for i, limit in enumerate(kth + 1e-9 * (1 + sq.max(initial=0))):
+            near = np.flatnonzero((d[i] <= limit) & np.isfinite(d[i]))
+            exact = np.sqrt(((m[near] - m[i]) ** 2).sum(axis=1))
+            best = np.lexsort((ids[near], exact))[:k]
+            out.append(pd.DataFrame({"id": ids[i], "other": ids[near[best]], "distance": exact[best]}))
+        return pd.concat(out, ignore_index=True)
 
     part = F.pmod(F.xxhash64("id"), F.lit(parts))
     met = df.select("id", "x", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("against"))
@@ -108,7 +115,7 @@ def neighbours(df: DataFrame, k: int = NEIGHBOURS, block: int = 2000, rounds: in
 
 def lof(df: DataFrame, k: int = NEIGHBOURS, **how) -> DataFrame:
     """id, lof (1 is usual, more is outlying), by joins over each row's k neighbours. df: id, x array<double>."""
-    near = neighbours(df, k, **how).persist()
+    near = cut(neighbours(df, k, **how))  # read by three branches
     reach_of = near.groupBy("id").agg(F.max("distance").alias("k_distance"))
     reach = near.join(reach_of.select(F.col("id").alias("other"), "k_distance"), "other").withColumn("reach", F.greatest("distance", "k_distance"))
     density = reach.groupBy("id").agg((1 / (F.avg("reach") + 1e-10)).alias("density"))

@@ -7,37 +7,59 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.session import cut
+
 CONTAMINATION, FLAG_RANK, FLAG_RATIO = 0.03, 97.0, 0.40
 WEIGHTS = {"residual": 1.0, "forest": 0.0, "lof": 0.0}
 KS = (50, 100, 200)
+#: Ranges of an order over all rows.
+RANGES = 64
 
 
-def ordered_counts(df: DataFrame, column: str) -> DataFrame:
-    """value, n, before (rows with a smaller value) of each distinct value.
+def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
+    """df with, for each of sums, the sum of that column over all rows before a row in the order. The order breaks ties.
 
-    Rows are counted by value first, and values are dealt out by ranges; only one sum per
-    range meets in one task, so no task sorts all rows.
+    Rows are dealt out by ranges of the order that hold about equally many, and settled; only a
+    sum for each of RANGES ranges meets in one task.
     """
+    ranged = cut(df.repartitionByRange(RANGES, *order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_range", *(F.coalesce(F.sum(f"_{n}").over(above), F.lit(0)).alias(f"_{n}") for n in sums))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = {n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}
+    out = ranged.withColumns(within).join(F.broadcast(starts), "_range")
+    return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_range", *(f"_{n}" for n in sums))
+
+
+def ordered_counts(df: DataFrame, column: str) -> DataFrame:
+    """value, n, before (rows with a smaller value) of each distinct value; nulls are left out."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    low, high = counts.agg(F.min("value"), F.max("value")).first()
-    if low is None:
-        return counts.withColumn("before", F.lit(0).cast("long"))
-    width = (high - low) / 1024 or 1.0
-    ranged = counts.withColumn("_range", F.floor((F.col("value") - low) / width))
-    sums = ranged.groupBy("_range").agg(F.sum("n").alias("_size"))  # 1025 rows at most
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_start")
-    within = F.coalesce(F.sum("n").over(Window.partitionBy("_range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("_within", within).join(F.broadcast(starts), "_range").select("value", "n", (F.col("_start") + F.col("_within")).alias("before"))
+    return running_sums(counts, [F.asc("value")], {"before": "n"})
 
 
 def pct_rank(df: DataFrame, column: str, name: str = "pct_rank") -> DataFrame:
     """Rank of each value from 0 to 100, tied values at the mean of their ranks; null stays null."""
     counts = ordered_counts(df, column)
-    total = df.agg(F.count(column)).first()[0]
-    ranks = counts.select(F.col("value").alias(column), ((F.col("before") + 1 + (F.col("n") - 1) / 2) / max(1, total) * 100).alias(name))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    ranks = counts.select(F.col("value").alias(column), ((F.col("before") + 1 + (F.col("n") - 1) / 2) / total * 100).alias(name))
     return df.join(ranks, column, "left")
 
 
+def whole_percentile(df: DataFrame, column: str, share: float) -> float | None:
+    """The exact percentile of a column over all rows, between two values as F.percentile has it; no task holds all values."""
+    counts = ordered_counts(df, column)
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    at = (total - 1) * share
+    low = int(at)
+    ends = counts.where(f"before <= {low + 1} and before + n > {low}").select("value", "before", "n").collect()  # two rows at most
+    value = lambda k: next((float(r.value) for r in ends if r.before <= k < r.before + r.n), None)
+    below, above = value(low), value(min(low + 1, total - 1))
+    return below + (above - below) * (at - low)
+
+
 def residual_scores(df: DataFrame, price: str = "price", predicted: str = "predicted") -> DataFrame:
     """residual |ln p - ln p^|, ratio expm1 of it, and its percentile rank as the score."""
     residual = F.abs(F.ln(price) - F.ln(predicted))
@@ -60,15 +82,15 @@ def reason(price: str = "price", predicted: str = "predicted", ratio: str = "rat
 
 def flag(df: DataFrame, contamination: float = CONTAMINATION, score: str = "score") -> DataFrame:
     """The rows whose score is at least the percentile 1 - contamination."""
-    cut = df.agg(F.percentile(score, F.lit(1 - contamination))).first()[0]
-    return df.where(F.col(score) >= cut) if cut is not None else df.limit(0)
+    least = whole_percentile(df, score, 1 - contamination)
+    return df.where(F.col(score) >= least) if least is not None else df.limit(0)
 
 
 def score_detectors(scores: DataFrame, signals: Sequence[str], truth: str = "is_anomaly", ident: str = "listing_id", ks: Sequence[int] = KS) -> DataFrame:
     """signal, average_precision, roc_auc, precision_at_k, recall_at_k, base_rate of each signal.
 
-    Ties are broken by ident for the first, averaged for the second. The running counts are
-    over distinct values first, so that only the top k rows are ever sorted in one place.
+    Ties are broken by ident (distinct) for the first, averaged for the second. Ranks come from
+    ranges of rows, which may cut through a tie, so only the top k rows are sorted in one place.
     """
     out = None
     spark = scores.sparkSession
@@ -92,20 +114,9 @@ def score_detectors(scores: DataFrame, signals: Sequence[str], truth: str = "is_
 
 def _running(order: DataFrame) -> DataFrame:
     """Each row's rank by (s desc, i), the positives up to it, and the mean ascending rank of its value."""
-    by_value = order.groupBy("s").agg(F.count("*").alias("m"), F.sum("t").alias("p"))
-    low, high = by_value.agg(F.min("s"), F.max("s")).first()
-    width = ((high or 0) - (low or 0)) / 1024 or 1.0
-    ranged = by_value.withColumn("g", F.floor((F.col("s") - (low or 0)) / width))
-    groups = ranged.groupBy("g").agg(F.sum("m").alias("gm"), F.sum("p").alias("gp"))
-    above = Window.orderBy(F.desc("g")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.select("g", F.coalesce(F.sum("gm").over(above), F.lit(0)).alias("sm"), F.coalesce(F.sum("gp").over(above), F.lit(0)).alias("sp"))
-    inside = Window.partitionBy("g").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    values = ranged.withColumns({"im": F.coalesce(F.sum("m").over(inside), F.lit(0)), "ip": F.coalesce(F.sum("p").over(inside), F.lit(0))}).join(F.broadcast(starts), "g")
-    n = order.count()
-    values = values.select("s", (F.col("sm") + F.col("im")).alias("bm"), (F.col("sp") + F.col("ip")).alias("bp"), (n - F.col("sm") - F.col("im") - (F.col("m") - 1) / 2).alias("mean_rank"))
-    tied = Window.partitionBy("s").orderBy("i")
-    rows = order.withColumns({"k": F.row_number().over(tied), "kp": F.sum("t").over(tied.rowsBetween(Window.unboundedPreceding, 0))})
-    return rows.join(values, "s").select("s", "i", "t", (F.col("bm") + F.col("k")).alias("r"), (F.col("bp") + F.col("kp")).alias("cum"), "mean_rank")
+    means = ordered_counts(order, "s").select(F.col("value").alias("s"), (F.col("before") + 1 + (F.col("n") - 1) / 2).alias("mean_rank"))
+    rows = running_sums(order.withColumn("one", F.lit(1).cast("long")), [F.desc("s"), F.asc("i")], {"k": "one", "kp": "t"})
+    return rows.join(means, "s").select("s", "i", "t", (F.col("k") + 1).alias("r"), (F.col("kp") + F.col("t")).alias("cum"), "mean_rank")
 
 
 def price_metrics(df: DataFrame, price: str = "price", predicted: str = "predicted", area: str = "area") -> DataFrame:

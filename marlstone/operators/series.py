@@ -13,6 +13,7 @@ MIN_PERIOD, MIN_POINTS = 5, 12
 # The codes of numbered districts; two of them are parts of a merged one.
 WIDE_CODES = {1: "760", 2: "769_Q2", 3: "770", 4: "773", 5: "774", 6: "775", 7: "778", 8: "776", 9: "769_Q9"}
 WIDE_COLUMN = r"^(district|quan|q)\s*(\d+)$"
+# Names of date, price and area columns.
 DATE_NAMES = ("date", "thang", "month", "time", "period", "ngay", "quarter")
 PRICE_NAMES = ("price", "gia", "value", "index")
 AREA_NAMES = ("district", "quan", "area name", "region", "location")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.fixtures import listings, silver, table, with_listings, with_silver
-from marlstone.operators import gold, lake
+from marlstone.operators import gold, lake, learning
 
 STATS = """count(*) AS n_listings, quantile_disc(price_per_m2, 0.5) AS median_price_m2, quantile_disc(price_per_m2, 0.25) AS p25_price_m2,
     quantile_disc(price_per_m2, 0.75) AS p75_price_m2, round(avg(price_per_m2), 6) AS mean_price_m2,
@@ -16,6 +16,11 @@ AREAS = f"""areas AS (
   UNION ALL SELECT 'ward', ward_code, ward, district_code, {STATS} FROM silver GROUP BY ALL HAVING count(*) >= 30)"""
 
 
+DISTRICTS = """districts AS (SELECT district_code, district, province_code, count(*) AS n_listings, quantile_disc(price_per_m2, 0.5) AS median_price_m2,
+  round(avg(area), 6) AS mean_area, round(avg(floors), 6) AS mean_floors, round(avg(CASE WHEN legal_status = 'Have certificate' THEN 1.0 WHEN legal_status IS NOT NULL THEN 0.0 END), 6) AS pct_red_book,
+  round(avg(CASE WHEN access_road >= 4 THEN 1.0 WHEN access_road IS NOT NULL THEN 0.0 END), 6) AS pct_mat_tien FROM silver GROUP BY ALL HAVING count(*) >= 30)"""
+
+
 def with_areas(body: str) -> str:
     return with_silver(f", {AREAS}\n{body}").replace("\n, areas AS", ",\nareas AS", 1)
 
@@ -59,15 +64,21 @@ def codes_of(spark, sf):
 
 def city_and_median(spark, sf):
     """Listings beside their district's median: how far each is from it."""
-    medians = areas(spark, sf).where("level = 'district'").select(F.col("code").alias("district_code"), "median_price_m2")
-    joined = silver(spark, sf).join(medians, "district_code", "left")
-    return joined.select("listing_id", F.round((F.try_divide(F.col("price_per_m2"), F.col("median_price_m2")) - 1) * 100, 6).alias("vs_district_pct"))
+    joined = learning.beside_district(silver(spark, sf), areas(spark, sf), F.col("price_per_m2"))
+    return joined.select("listing_id", F.round("vs_district_pct", 6).alias("vs_district_pct"))
 
 
 def hot_detail(spark, sf):
     """The districts with most listings, with their details joined by code."""
-    top = silver(spark, sf).groupBy("district_code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "district_code").limit(5)
-    return top.join(areas(spark, sf).where("level = 'district'"), F.col("district_code") == F.col("code")).select("code", "name", "n", "median_price_m2")
+    counts = silver(spark, sf).groupBy(F.col("district_code").alias("code"), F.col("district_code").alias("district")).agg(F.count("*").alias("n"))
+    return gold.with_details(gold.hottest(counts, 5), areas(spark, sf)).select("code", "name", "n", "median_price_m2")
+
+
+def cluster_table(spark, sf):
+    """Districts in clusters by the last digit of their code, summarised and named by the rank of their prices."""
+    rows = gold.district_features(silver(spark, sf)).withColumn("cluster", (F.col("district_code").cast("int") % 3).cast("int"))
+    out = learning.label_by_rank(learning.cluster_summary(rows))
+    return out.select("cluster", "n", *(F.round(c, 6).alias(c) for c in ("median_price", "mean_price", "min_price", "max_price", "share")), "label")
 
 
 QUERIES = {
@@ -86,6 +97,8 @@ QUERIES = {
     "source_breakdown": source_shares,
     "vs_district": city_and_median,
     "hot_detail": hot_detail,
+    "cluster_table": cluster_table,
+    "cluster_screen": lambda s, d: learning.cv_screen(gold.district_features(silver(s, d))).select("feature", F.round("cv", 6).alias("cv"), "used"),
 }
 SQL = {
     "silver_latest": with_silver("SELECT listing_id, price, area, part_key FROM silver"),
@@ -118,5 +131,12 @@ SQL = {
         round(count(*) / sum(count(*)) OVER (), 6) AS share FROM listings GROUP BY 1"""),
     "vs_district": with_areas("""SELECT listing_id, round((price_per_m2 / median_price_m2 - 1) * 100, 6) AS vs_district_pct
         FROM silver LEFT JOIN (SELECT code, median_price_m2 FROM areas WHERE level = 'district') ON code = district_code"""),
+    "cluster_table": with_silver(f""", {DISTRICTS}, c AS (SELECT (district_code::INTEGER % 3)::INTEGER AS cluster, count(*) AS n, round(quantile_cont(median_price_m2, 0.5), 6) AS median_price,
+          round(avg(median_price_m2), 6) AS mean_price, round(min(median_price_m2), 6) AS min_price, round(max(median_price_m2), 6) AS max_price FROM districts GROUP BY 1)
+        SELECT *, round(n / sum(n) OVER (), 6) AS share, list_extract(CASE count(*) OVER () WHEN 3 THEN ['Cao cấp', 'Trung cấp', 'Bình dân'] WHEN 2 THEN ['Cao cấp', 'Phổ thông'] ELSE ['Nhóm 1'] END,
+          row_number() OVER (ORDER BY median_price DESC, cluster)) AS label FROM c""").replace("\n,", ",", 1),
+    "cluster_screen": with_silver(f""", {DISTRICTS}, cv AS (SELECT unnest(['median_price_m2', 'mean_area', 'mean_floors', 'pct_red_book', 'pct_mat_tien']) AS feature,
+          unnest([{", ".join(f"stddev_samp({c}) / nullif(abs(avg({c})), 0)" for c in ("median_price_m2", "mean_area", "mean_floors", "pct_red_book", "pct_mat_tien"))}]) AS cv FROM districts)
+        SELECT feature, round(cv, 6) AS cv, coalesce(cv >= 0.15, false) AS used FROM cv""").replace("\n,", ",", 1),
     "hot_detail": with_areas("""SELECT code, name, n, median_price_m2 FROM (SELECT district_code, count(*) AS n FROM silver GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5) JOIN areas ON code = district_code AND level = 'district'"""),
 }

@@ -40,14 +40,21 @@ def clusters(spark, sf):
 
 
 QUERIES = {
-    "lof": lambda s, d: outliers.lof(vectors(s, d)),
-    "neighbours": lambda s, d: outliers.neighbours(vectors(s, d), k=5),
+    "lof": lambda s, d: outliers.lof(vectors(s, d)).select("id", F.round("lof", 6).alias("lof")),
+    "neighbours": lambda s, d: outliers.neighbours(vectors(s, d), k=5).select("id", "other", F.round("distance", 6).alias("distance")),
     "isolation_forest": forest,
     "score_prices": prices,
     "area_clusters": clusters,
-    "cluster_screen": lambda s, d: learning.cv_screen(gold.district_features(silver(s, d))).select("feature", F.round("cv", 6).alias("cv"), "used"),
     "backtest_models": lambda s, d: forecast.backtest(monthly(s, d)),
     "forecast_models": lambda s, d: forecast.forecast(monthly(s, d)),
     "forecast_verdicts": lambda s, d: forecast.verdicts(forecast.backtest(monthly(s, d))),
 }
-SQL: dict[str, str] = {}
+#: All pairs in DuckDB: exact, and slow beyond a few thousand rows.
+NEAR = """near AS (SELECT a.vec_id AS id, b.vec_id AS other, sqrt(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) ** 2))) AS distance
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY distance, b.vec_id) <= {k})"""
+SQL = {
+    "neighbours": f"WITH {NEAR.format(k=5)} SELECT id, other, round(distance, 6) AS distance FROM near",
+    "lof": f"""WITH {NEAR.format(k=outliers.NEIGHBOURS)}, far AS (SELECT id AS other, max(distance) AS k_distance FROM near GROUP BY 1),
+        density AS (SELECT id, 1 / (avg(greatest(distance, k_distance)) + 1e-10) AS density FROM near JOIN far USING (other) GROUP BY 1)
+        SELECT near.id, round(avg(o.density) / any_value(d.density), 6) AS lof FROM near JOIN density o ON o.id = near.other JOIN density d ON d.id = near.id GROUP BY 1""",
+}

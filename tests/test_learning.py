@@ -128,7 +128,7 @@ def test_lof_is_exact_in_one_block_and_near_beyond(spark):
     want = density[near].mean(axis=1) / density
     got = {r.id: r.lof for r in outliers.lof(points, 10).collect()}
     assert np.allclose([got[i] for i in range(len(x))], want, rtol=1e-5)
-    rough = outliers.neighbours(points, 10, block=60, rounds=12).select("id", "other").collect()
+    rough = outliers.neighbours(points, 10, block=60).select("id", "other").collect()
     found = {(r.id, r.other) for r in rough}
     recall = sum((i, int(j)) in found for i, row in enumerate(near) for j in row) / near.size
     assert recall >= 0.9

@@ -41,5 +41,5 @@ def test_query(spark, duck, sf_dir, name):
 
 def test_every_query_has_sql_or_a_test():
     assert {q for q in QUERIES if q not in SQL} == {
-        "lof", "neighbours", "isolation_forest", "score_prices", "area_clusters", "cluster_screen", "backtest_models", "forecast_models", "forecast_verdicts",
+        "isolation_forest", "score_prices", "area_clusters", "backtest_models", "forecast_models", "forecast_verdicts",
     }
