@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.fixtures import listings, silver, table, with_silver
+from marlstone.fixtures import listings, silver, table, with_listings, with_silver
 from marlstone.operators import features as fe
-from marlstone.operators import gold, scoring, series
+from marlstone.operators import gold, learning, scoring, series
+from marlstone.session import cut
+
+WAYS = ("Đông", "Tây", "Nam", "Bắc", "Đông Nam", "Tây Bắc", "dong bac", "TÂY NAM", "không rõ")
 
 
 def monthly(spark, sf):
@@ -45,7 +48,19 @@ def dates(spark, sf):
 
 def with_target(spark, sf):
     rows = silver(spark, sf).withColumns({"y": fe.target(), "fold": F.pmod("part_key", F.lit(5)).cast("int")})
-    return fe.oof_encoding(rows)
+    return fe.oof_encoding(cut(rows))  # a join of six tables, read three times
+
+
+def varied_features(spark, sf):
+    """Features of listings that have a plot, rooms and directions, and of some that lack them."""
+    number = F.col("part_key")
+    some = {
+        "frontage": F.when(number % 4 > 0, (number % 13).cast("double")), "bedrooms": F.when(number % 7 > 0, (number % 5).cast("double")), "bathrooms": F.when(number % 3 > 0, (number % 4).cast("double")),
+        "house_direction": F.element_at(F.array(*map(F.lit, WAYS)), (number % 9 + 1).cast("int")), "balcony_direction": F.element_at(F.array(*map(F.lit, WAYS)), (number % 8 + 2).cast("int")),
+    }
+    made = fe.build_features(listings(spark, sf).withColumns(some).withColumn("district_level", F.lit(1.0)))
+    names = [*fe.GROUPS["size"], *fe.GROUPS["plot"], *fe.GROUPS["direction"]]
+    return made.select("listing_id", "part_key", "ingested_at", *((F.round(f, 6) + 0.0).alias(f) for f in names))
 
 
 def feature_rows(spark, sf):
@@ -82,10 +97,7 @@ def detectors(spark, sf):
 
 def checked(spark, sf):
     """Listings that are far from their predicted price, with a severity."""
-    gap = F.abs(F.col("price") - F.col("predicted")) / F.col("predicted")
-    level = F.when(gap >= 1.0, "cao").when(gap >= 0.5, "trung bình").otherwise("thấp")
-    rows = predicted(spark, sf).withColumns({"gap": gap, "severity": level})
-    return rows.groupBy("severity").agg(F.count("*").alias("n"), F.count_if(F.col("gap") >= 0.5).alias("n_flagged"))
+    return learning.check_listings(predicted(spark, sf)).groupBy("severity").agg(F.count("*").alias("n"), F.count_if("flagged").alias("n_flagged"))
 
 
 QUERIES = {
@@ -102,6 +114,7 @@ QUERIES = {
     "one_version": versions,
     "parse_dates": dates,
     "features": feature_rows,
+    "varied_features": varied_features,
     "dead_features": lambda s, d: fe.dead_features(listings(s, d), "legal_status", fe.LEGAL_RANKS),
     "residual_scores": residuals,
     "flagged": flagged,
@@ -141,6 +154,14 @@ DETECT = """d AS (SELECT doc_id, (n_chars % 97)::DOUBLE AS by_length, doc_id * 1
 u AS (SELECT 'by_length' AS signal, doc_id, by_length AS s, t FROM d UNION ALL SELECT 'by_id', doc_id, by_id, t FROM d),
 r AS (SELECT *, row_number() OVER w AS r, sum(t::INTEGER) OVER (w ROWS UNBOUNDED PRECEDING) AS cum, rank() OVER (PARTITION BY signal ORDER BY s) + (count(*) OVER (PARTITION BY signal, s) - 1) / 2.0 AS mr
       FROM u WINDOW w AS (PARTITION BY signal ORDER BY s DESC, doc_id))"""
+DEGREES = "[90, 270, 180, 0, 135, 315, 45, 225, NULL]"
+VARIED_INPUT = f"""CASE WHEN part_key % 4 > 0 THEN (part_key % 13)::DOUBLE END AS frontage, CASE WHEN part_key % 7 > 0 THEN (part_key % 5)::DOUBLE END AS bedrooms,
+  CASE WHEN part_key % 3 > 0 THEN (part_key % 4)::DOUBLE END AS bathrooms, radians({DEGREES}[part_key % 9 + 1]) AS house, radians({DEGREES}[part_key % 8 + 2]) AS balcony"""
+VARIED = {
+    "log_area": "ln(1 + area)", "floors": "floors", "bedrooms": "bedrooms", "bathrooms": "bathrooms", "area_per_bedroom": "area / nullif(bedrooms, 0)", "rooms_total": "coalesce(bedrooms, 0) + coalesce(bathrooms, 0)",
+    "frontage": "frontage", "access_road": "access_road", "frontage_ratio": "frontage / nullif(sqrt(area), 0)", "is_mat_tien": "(access_road >= 4)::INTEGER::DOUBLE", "is_wide_road": "(access_road >= 8)::INTEGER::DOUBLE",
+    "house_dir_sin": "sin(house)", "house_dir_cos": "cos(house)", "balcony_dir_sin": "sin(balcony)", "balcony_dir_cos": "cos(balcony)",
+}
 SQL = {
     "period_median": monthly_sql("SELECT * FROM monthly"),
     "infer_freq": freq_sql("SELECT * FROM freq"),
@@ -168,6 +189,8 @@ SQL = {
           NULL::DOUBLE AS house_dir_sin, NULL::DOUBLE AS house_dir_cos, NULL::DOUBLE AS balcony_dir_sin, NULL::DOUBLE AS balcony_dir_cos, district_level FROM target),
         g AS (SELECT *, district_level * log_area AS level_x_log_area, district_level * legal_rank AS level_x_legal FROM f)
         SELECT listing_id, {ROUNDED} FROM g""").replace("\n, f AS", ",\nf AS"),
+    "varied_features": with_listings(f"""SELECT listing_id, part_key, ingested_at, {", ".join(f"round({c}, 6) + 0.0 AS {n}" for n, c in VARIED.items())}
+        FROM (SELECT *, {VARIED_INPUT} FROM listings)"""),
     "dead_features": with_silver("""SELECT count(legal_status) AS n_values, count(legal_status) AS n_hits, false AS dead,
         (SELECT string_agg(legal_status, ', ' ORDER BY n DESC, legal_status) FROM (SELECT legal_status, count(*) AS n FROM listings GROUP BY 1)) AS top FROM listings"""),
     "residual_scores": target_sql("SELECT listing_id, round(residual, 6) AS residual, round(ratio, 6) AS ratio, round(score, 6) AS score FROM ranked"),

@@ -32,6 +32,38 @@ def resolved(spark, sf):
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "province_code", "district_code", "ward_code", "geo_match_score", "geo_source")
 
 
+def word(column: str):
+    """Ten letters for a name: no two are alike."""
+    return F.substring(F.translate(F.sha1(F.col(column).cast("binary")), "0123456789", "ghijklmnop"), 1, 10)
+
+
+def varied(spark, sf):
+    """Every line item's place, spelled by its number in the order so that each tier is reached, and some without a place."""
+    r, n, s = table(spark, sf, "region"), table(spark, sf, "nation"), table(spark, sf, "supplier")
+    code = lambda c, w: F.lpad(F.col(c).cast("string"), w, "0")
+    named = lambda unit, c: F.concat(F.lit(unit), word(c)).alias("name")
+    levels = geo.dimensions(
+        r.select(code("r_regionkey", 2).alias("code"), named("Tỉnh ", "r_name")),
+        n.select(code("n_nationkey", 3).alias("code"), named("Quận ", "n_name"), code("n_regionkey", 2).alias("province_code")),
+        s.select(code("s_suppkey", 5).alias("code"), named("Phường ", "s_name"), code("s_nationkey", 3).alias("district_code")),
+    )
+    ends = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("low"), F.max("n_nationkey").alias("high"))
+    merged = [(x.p, "cu xua", x.c, "old") for x in ends.select(code("n_regionkey", 2).alias("p"), code("low", 3).alias("c")).collect()]  # one row a region
+    wards = ends.select(F.lit("x").alias("new_province_key"), F.concat(F.lit("moi"), code("n_regionkey", 2)).alias("new_ward_key"), code("n_regionkey", 2).alias("province_code"), F.lit("x").alias("province"), code("high", 3).alias("district_code"), F.lit("new").alias("district"), F.lit(0.75).alias("confidence"), F.lit(2).alias("n_candidates"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    p, d, w = word("r_name"), word("n_name"), word("s_name")
+    spelled = {
+        1: F.concat(F.lit("Số 5, P. "), w, F.lit(", Q. "), d, F.lit("; T. "), p), 2: F.concat(F.upper(d), F.lit("/ TỈNH "), p), 3: F.concat(F.lit("quan "), F.substring(d, 1, 9), F.lit(", "), p),
+        4: F.concat(F.lit("Quận "), d), 5: F.concat(F.lit("Quận Cũ Xưa, "), p), 6: F.concat(F.lit("Phường Mới"), code("r_regionkey", 2), F.lit(", "), p),
+    }
+    text = F.lit(None).cast("string")
+    for k, v in spelled.items():
+        text = F.when(F.col("l_linenumber") == k, v).otherwise(text)
+    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", text.alias("address_raw"))
+    found = geo.resolve_addresses(rows, levels, wards, merged)
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "province_code", "district_code", "ward_code", F.round("geo_match_score", 6).alias("geo_match_score"), "geo_source")
+
+
 def bridge(spark, sf):
     """Parts as new wards, suppliers as old ones: the nation that supplies most of a part."""
     moves = table(spark, sf, "lineitem").select(F.lit("p").alias("new_province_key"), F.col("l_partkey").alias("new_ward_key"), F.col("l_suppkey").alias("old_ward_code"))
@@ -76,6 +108,7 @@ def alert_json(spark, sf):
 
 QUERIES = {
     "resolve_addresses": resolved,
+    "resolve_varied": varied,
     "build_bridge": bridge,
     "velocity": windows,
     "hottest": hottest,
@@ -91,6 +124,12 @@ FROM events, range(12) r(i) GROUP BY 1, 2)"""
 SQL = {
     "resolve_addresses": """SELECT l_orderkey, l_linenumber, l_partkey, lpad(n_regionkey::VARCHAR, 2, '0') AS province_code, lpad(n_nationkey::VARCHAR, 3, '0') AS district_code,
         lpad(s_suppkey::VARCHAR, 5, '0') AS ward_code, 100.0::DOUBLE AS geo_match_score, 'old' AS geo_source FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
+    "resolve_varied": """WITH e AS (SELECT n_regionkey, min(n_nationkey) AS low, max(n_nationkey) AS high FROM nation GROUP BY 1)
+        SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber < 7 THEN lpad(n_regionkey::VARCHAR, 2, '0') END AS province_code,
+          CASE l_linenumber WHEN 5 THEN lpad(low::VARCHAR, 3, '0') WHEN 6 THEN lpad(high::VARCHAR, 3, '0') WHEN 7 THEN NULL ELSE lpad(n_nationkey::VARCHAR, 3, '0') END AS district_code,
+          CASE l_linenumber WHEN 1 THEN lpad(s_suppkey::VARCHAR, 5, '0') END AS ward_code, [100, 100, 90, 90, 95, 75, 0][l_linenumber]::DOUBLE AS geo_match_score,
+          ['old', 'old', 'old', 'unique', 'dissolved', 'bridge2025', 'none'][l_linenumber] AS geo_source
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN e USING (n_regionkey)""",
     "build_bridge": """WITH v AS (SELECT DISTINCT l_partkey AS new_ward_key, l_suppkey FROM lineitem), c AS (SELECT new_ward_key, s_nationkey AS district_code, count(*) AS n FROM v JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)
         SELECT new_ward_key, district_code, round(n / sum(n) OVER p, 3) AS confidence, (count(*) OVER p)::INTEGER AS n_candidates FROM c WINDOW p AS (PARTITION BY new_ward_key)
         QUALIFY row_number() OVER (PARTITION BY new_ward_key ORDER BY n DESC, district_code) = 1""",
