@@ -41,8 +41,8 @@ GAP, STEP = 128, 64
 #: Shorter windows that count as full.
 FULL = (256, 512, 1024, 2048)
 END = 2
-#: Words kept by one worker in each of two generations.
-WORDS = 750_000
+#: Words kept by one worker in each of two generations; parts of words: a third as many.
+WORDS = 300_000
 
 
 def default_tokenizer() -> str:
