@@ -185,7 +185,8 @@ def train(docs: DataFrame, rows: Column | None = None, sample: int = SAMPLE) ->
             at = [np.flatnonzero(v) for v in vectors]
             yield batch(schema, b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array([v[a] for v, a in zip(vectors, at, strict=True)], pa.list_(pa.int64())))
 
-    taken = known.join(chosen, "doc_id").select("doc_id", "lang", text_bytes()).mapInArrow(run, "doc_id long, lang string, at array<int>, n array<long>")
+    # a row of the sample has a doc_id; with more languages than ROWS it is no longer small for certain
+    taken = known.join(F.broadcast(chosen) if languages <= ROWS else chosen, "doc_id").select("doc_id", "lang", text_bytes()).mapInArrow(run, "doc_id long, lang string, at array<int>, n array<long>")
     sparse, langs = [], []
     size = 0
     for r in taken.where(F.size("at") > 0).orderBy(F.xxhash64("doc_id"), "doc_id", "at").limit((each + 1) * languages).toLocalIterator():
