@@ -65,9 +65,13 @@ def norm_text(c: Column) -> Column:
 
     Full stops stay until then, as they tell an abbreviated unit from a letter.
     """
-    out = F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9.]+", " ")
-    for pattern, full in (*ABBREVIATIONS, NUMBERED_WARD):
+    plain = F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9.]+", " ")
+    rules = (*ABBREVIATIONS, NUMBERED_WARD)
+    out = plain
+    for pattern, full in rules:
         out = F.regexp_replace(out, pattern, full)
+    # most texts hold no abbreviation: one look tells
+    out = F.when(plain.rlike("|".join(pattern for pattern, _ in rules)), out).otherwise(plain)
     return squeeze(F.regexp_replace(out, "[^a-z0-9]+", " "))
 
 
