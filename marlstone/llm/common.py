@@ -58,7 +58,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def settle_at(df: DataFrame, path: str) -> DataFrame:
     """As settle, at a path. The shuffles that led to the table are removed with the query that writes it."""
     spark = df.sparkSession
-    before = spark.conf.get(CLEANUP)
+    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)

@@ -15,7 +15,7 @@ of hashes) about the distinct grams that it holds, each once:
 Equal grams of a chunk are folded before they are shuffled, and shards are ranges of hashes, so
 neither frequent words nor frequent grams make a large task. Chunks and shards have a bounded
 size, so their numbers grow with the input; a chunk writes a message for each shard, so messages
-grow with the square of it (a message still has about 1,000 grams at 30 GB). Answers are settled
+grow with the square of it (a message has about 400 grams at 30 GB, and 10 at 1 TB). Answers are settled
 at each level; a lost executor repeats a level at most. A word's and a gram's identity is a
 64-bit hash.
 
