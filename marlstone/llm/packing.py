@@ -41,8 +41,8 @@ GAP, STEP = 128, 64
 #: Shorter windows that count as full.
 FULL = (256, 512, 1024, 2048)
 END = 2
-#: Words kept by one worker in each of two generations; parts of words: a third as many.
-WORDS = 300_000
+#: Words and parts of words kept by one worker in each of two generations.
+WORDS, PARTS_KEPT = 500_000, 100_000
 
 
 def default_tokenizer() -> str:
@@ -96,7 +96,7 @@ class WordTable(WordCache):
         split = {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
         steps = ((how["normalizer"] or {}).get("normalizers"), (how["pre_tokenizer"] or {}).get("pretokenizers") or [None])
         known = steps[0] == NORMALIZER and steps[1][0] == split and [s and s["type"] for s in steps[1]] == ["Split", "ByteLevel"]
-        self.parts = PartTable(self.library, limit // 3) if known else None
+        self.parts = PartTable(self.library, min(limit, PARTS_KEPT)) if known else None
 
     def make(self, word: bytes) -> bytes:
         text = word.decode()
