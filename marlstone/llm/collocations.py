@@ -325,7 +325,7 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
     unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
   FROM documents WHERE text IS NOT NULL),
-listed AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), x -> x <> '') AS words FROM pieces),
+listed AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS words FROM pieces),
 placed AS (SELECT lang, words, unnest(generate_series(1, len(words))) AS pos FROM listed WHERE len(words) > 0),
 sized AS (SELECT lang, words, pos, unnest([1, 2, 3, 4, 5]) AS size FROM placed),
 grams AS (
