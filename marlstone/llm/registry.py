@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.llm import alignment, collocations, exact_dedup, language, lm, media, packing, piece_codec, simhash, toxicity, url_filter, warc
+from marlstone.llm import alignment, collocations, exact_dedup, language, lm, media, packing, pii, piece_codec, simhash, toxicity, url_filter, warc
 
-MODULES = (simhash, packing, exact_dedup, media, lm, warc, url_filter, language, piece_codec, toxicity, collocations, alignment)
+MODULES = (simhash, packing, exact_dedup, media, lm, warc, url_filter, language, piece_codec, toxicity, collocations, alignment, pii)
 
 
 def queries() -> dict:
