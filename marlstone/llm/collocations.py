@@ -2,7 +2,7 @@
 
 Texts are lower-cased (A-Z), split into pieces at stops and line ends, and pieces into words.
 Chunks of documents, each a file in the shared folder, take part in two rounds, first with their
-words, then with the n-grams (2 to LONGEST words) all of whose words came through:
+words and pairs of words, then with the n-grams (3 to LONGEST words) all of whose pairs came through:
 
 1. a chunk sends its distinct grams' hashes and counts, cut at the ranges of the hash partitions;
 2. a partition adds the messages up in a Misra-Gries summary. Its capacity exceeds the mass that
@@ -13,7 +13,8 @@ words, then with the n-grams (2 to LONGEST words) all of whose words came throug
 What the chunks count is added up by text, so equal hashes of unlike grams do no harm: they only
 let a rare gram survive until the exact counts drop it. Partitions are ranges of hashes and get
 each gram once from a chunk, so a frequent gram makes no large task. The numbers of chunks and
-partitions grow with the input.
+partitions grow with the input, and a chunk has a message for each partition (about 700 grams at 30 GB,
+20 at 1 TB; beyond that CHUNK and PARTITION have to grow with the executors).
 
 A candidate's parts are as frequent as it is, so the exact counts hold them all. Scores are exact
 in decimals of 38 digits.
@@ -25,11 +26,13 @@ frequent phrase, or without rows, gives an empty result; extra columns are not r
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,7 +45,7 @@ THRESHOLD, LONGEST, KEEP = 100, 5, 2000
 #: A candidate goes if a longer one around it has this percentage of its occurrences.
 REDUNDANT = 100
 #: Words of a chunk, and of all grams for each hash partition.
-CHUNK, PARTITION = 1_000_000, 2_000_000
+CHUNK, PARTITION = 2_000_000, 8_000_000
 #: What splits texts becomes a line end, a tab becomes a blank.
 SPLIT = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\t", b"\n" * 9 + b" ")
 
@@ -84,43 +87,55 @@ class Builder:
         self.pieces.append(lengths[lengths > 0])
         self.size += total
 
-    def blob(self) -> bytes:
-        names = "\0".join(self.names).encode()
+    def blob(self, longest: int = LONGEST) -> tuple[bytes, list[int], list[int]]:
+        """The chunk as bytes, how many grams of each length it has, and how many words of each language."""
         tokens, pieces = (np.concatenate([*x, np.empty(0, U32)]).astype(U32) for x in (self.tokens, self.pieces))
-        return dump(names, b" ".join(self.words), planes(np.array(self.langs), U32), planes(tokens, U32), planes(pieces, U32))
+        langs = np.array(self.langs, np.int64)
+        mass = [int(np.maximum(pieces.astype(np.int64) - n, 0).sum()) for n in range(longest)]
+        data = dump(json.dumps(self.names).encode(), b" ".join(self.words), planes(langs, U32), planes(tokens, U32), planes(pieces, U32))
+        return data, mass, np.bincount(langs[tokens], minlength=len(self.names)).tolist()
 
 
 class Chunk:
-    """A chunk's words and pieces. alive: the words that may stand in a phrase, by number."""
+    """A chunk's words and pieces."""
 
     def __init__(self, data: bytes):
         names, words, langs, tokens, pieces = load(data)
-        self.names, self.words = names.decode().split("\0"), words.split(b" ") if words else []
+        self.names, self.words = json.loads(names), words.split(b" ") if words else []
         self.langs, self.tokens = unplane(langs, U32), unplane(tokens, U32).astype(np.int64)
         ends = np.cumsum(unplane(pieces, U32).astype(np.int64))
         self.left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(self.tokens))
         marks = [x.encode() + b"\n" for x in self.names]
         self.hashes = np.fromiter((xxh64_intdigest(marks[g] + w) for g, w in zip(self.langs.tolist(), self.words, strict=True)), U64, len(self.words))
 
-    def grams(self, n: int, alive: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Where grams of n words begin, all of their words alive, and their hashes."""
+    def grams(self, n: int, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Where grams of n words begin, and their hashes. pairs: the hashes, in order, that all pairs of words in them have."""
         at = np.flatnonzero(self.left >= n)
-        if alive is not None:
-            at = at[np.all([alive[self.tokens[at + k]] for k in range(n)], axis=0)]
+        if pairs is not None:
+            alive = np.zeros(len(self.left), bool)
+            places, hashes = self.grams(2)
+            alive[places] = among(hashes, pairs)
+            at = at[np.all([alive[at + k] for k in range(n - 1)], axis=0)]
         hashes = self.hashes[self.tokens[at]]
         for k in range(1, n):
             hashes = gram_hash(hashes, self.hashes[self.tokens[at + k]])
         return at, hashes
 
-    def counted(self, n: int, at: np.ndarray) -> tuple[list[str], list[str], np.ndarray]:
-        """Languages, phrases and counts of the grams of n words that begin there, told apart by their words."""
+    def counted(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One place and the count of each of the grams of n words that begin there, told apart by their words."""
         same = self.tokens[at]
         for k in range(1, n):
             same = np.unique(same * len(self.words) + self.tokens[at + k], return_inverse=True)[1]
         _, first, counts = np.unique(same, return_index=True, return_counts=True)
-        rows = np.stack([self.tokens[at[first] + k] for k in range(n)], axis=1).tolist()
-        langs = [self.names[g] for g in self.langs[self.tokens[at[first]]].tolist()]
-        return langs, [b" ".join([self.words[w] for w in r]).decode() for r in rows], counts
+        return at[first], counts
+
+    def said(self, n: int, at: np.ndarray) -> list[bytes]:
+        rows = np.stack([self.tokens[at + k] for k in range(n)], axis=1).tolist()
+        return [b" ".join([self.words[w] for w in r]) for r in rows]
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
 def write_chunks(docs: DataFrame, folder: str, longest: int) -> DataFrame:
@@ -133,13 +148,10 @@ def write_chunks(docs: DataFrame, folder: str, longest: int) -> DataFrame:
         chunk, held = task.partitionId() << 32, Builder()
 
         def flush():
-            data, name = held.blob(), f"{chunk}-{task.taskAttemptId()}.chunk"
+            (data, mass, words), name = held.blob(longest), f"{chunk}-{task.taskAttemptId()}.chunk"
             with fs.open_output_stream(f"{top}/{name}", compression=None) as out:
                 out.write(data)
-            own = Chunk(data)
-            mass = [int((own.left >= n).sum()) for n in range(1, longest + 1)]
-            words = np.bincount(own.langs[own.tokens], minlength=len(own.names))
-            return batch(CHUNKS_ARROW, [chunk], [name], [mass], [own.names], [words.tolist()])
+            return batch(CHUNKS_ARROW, [chunk], [name], [mass], [held.names], [words])
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -205,10 +217,9 @@ def survivors(told: pa.Table, threshold: int) -> Iterator[tuple[int, str, np.nda
         summary.merge(hashes, counts)
     kept = summary.frequent(threshold)
     for chunk, file, (hashes, _) in zip(told.column("chunk").to_pylist(), told.column("file").to_pylist(), parts, strict=True):
-        if len(kept):
-            found = hashes[kept[np.minimum(np.searchsorted(kept, hashes), len(kept) - 1)] == hashes]
-            if len(found):
-                yield chunk, file, found
+        found = hashes[among(hashes, kept)]
+        if len(found):
+            yield chunk, file, found
 
 
 # Rounds -----------------------------------------------------------------------------------
@@ -220,74 +231,102 @@ def read_chunk(folder: str, name: str) -> Chunk:
         return Chunk(f.read())
 
 
+def ask(chunk: int, file: str, hashes: np.ndarray, partitions: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's distinct grams with their counts, a message for each hash partition."""
+    hashes, counts = added(hashes, np.ones(len(hashes), np.int64))
+    for s, part in enumerate(slices(hashes, partitions)):
+        if part.stop > part.start:
+            yield batch(MESSAGES_ARROW, [s], [chunk], [file], [dump(rising(hashes[part]), *counts_bytes(counts[part]))])
+
+
+def tell(chunk: int, file: str, own: Chunk, kept: np.ndarray, lengths: range, partitions: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's exact counts of the grams that survived, by their words, a message for each hash partition."""
+    hashes, counts, langs, phrases = [], [], [], []
+    for n in lengths:
+        at, found = own.grams(n)
+        alive = among(found, kept)
+        first, many = own.counted(n, at[alive])
+        hashes.append(found[np.searchsorted(at, first)])
+        counts.append(many)
+        langs.append(own.langs[own.tokens[first]])
+        phrases += own.said(n, first)
+    hashes, counts, langs = (np.concatenate(x) for x in (hashes, counts, langs))
+    order = np.argsort(hashes, kind="stable")
+    for s, part in enumerate(slices(hashes[order], partitions)):
+        mine = order[part]
+        if len(mine):
+            listed = b"\n".join([phrases[k] for k in mine.tolist()])
+            yield batch(MESSAGES_ARROW, [s], [chunk], [file], [dump(json.dumps(own.names).encode(), planes(langs[mine], U32), listed, *counts_bytes(counts[mine]))])
+
+
+def told_counts(payloads: list[bytes], threshold: int) -> pa.Table:
+    """(lang, phrase, f) of a partition's phrases that reach the threshold."""
+    tables = []
+    for data in payloads:
+        names, langs, listed, *counts = load(data)
+        names = pa.array(json.loads(names), pa.string())
+        phrases = pa.array(listed.split(b"\n"), pa.binary())
+        tables.append(pa.table([names.take(pa.array(unplane(langs, U32))), phrases, pa.array(counts_from(*counts).astype(np.int64))], names=["lang", "phrase", "f"]))
+    sums = pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+    sums = sums.filter(pc.greater_equal(sums.column("f_sum"), threshold))
+    return pa.table([sums.column("lang"), sums.column("phrase").cast(pa.string()), sums.column("f_sum")], schema=COUNTS_ARROW)
+
+
 def frequent_grams(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f): all phrases of 1 to longest words with f of at least threshold, exactly; (lang, n): words in all."""
-    if threshold < 1:
-        raise ValueError(f"the threshold is {threshold}, but counts begin at 1")
+    if threshold < 1 or longest < 2:
+        raise ValueError(f"the threshold is {threshold} and the longest phrase has {longest} words, but they are 1 and 2 at least")
     spark = docs.sparkSession
-    folder = work_dir(spark, "phrases")
+    folder, kept = work_dir(spark, "phrases"), work_dir(spark, "phrase-counts")
     chunks = settle_at(write_chunks(docs, f"{folder}/chunks", longest), f"{folder}/table")
     parts, *masses = chunks.agg(F.count("*"), *(F.coalesce(F.sum(F.get("mass", F.lit(k))), F.lit(0)) for k in range(longest))).first()
     totals = chunks.select(F.explode(F.arrays_zip("langs", "words"))).groupBy(F.col("col.langs").alias("lang")).agg(F.sum("col.words").alias("n"))
+    totals = settle_at(totals, f"{kept}/totals")
     if not parts:
         return spark.createDataFrame([], COUNTS), totals
-    buckets = [partitions or -(-masses[0] // PARTITION), partitions or -(-max(1, sum(masses[1:])) // PARTITION)]
-
-    def ask(chunk: int, file: str, own: Chunk, lengths: range, alive: np.ndarray | None, many: int):
-        hashes = np.concatenate([own.grams(n, alive)[1] for n in lengths])
-        hashes, counts = added(hashes, np.ones(len(hashes), np.int64))
-        for s, part in enumerate(slices(hashes, many)):
-            if part.stop > part.start:
-                yield batch(MESSAGES_ARROW, [s], [chunk], [file], [dump(rising(hashes[part]), *counts_bytes(counts[part]))])
+    lengths = range(1, 3), range(3, longest + 1)
+    buckets = [partitions or max(1, -(-sum(masses[n - 1] for n in r) // PARTITION)) for r in lengths]
 
-    def words_of(batches):
+    def first_questions(batches):
         for b in batches:
             for chunk, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield from ask(chunk, file, read_chunk(f"{folder}/chunks", file), range(1, 2), None, buckets[0])
+                own = read_chunk(f"{folder}/chunks", file)
+                yield from ask(chunk, file, np.concatenate([own.grams(n)[1] for n in lengths[0]]), buckets[0])
 
     def answer(told: pa.Table) -> pa.Table:
-        rows = list(survivors(told, threshold))
-        chunk, file, hashes = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.table([pa.array([told.column("bucket")[0].as_py()] * len(rows), pa.int32()), pa.array(chunk, pa.int64()), pa.array(file, pa.string()), pa.array([dump(rising(h)) for h in hashes], pa.binary())], schema=MESSAGES_ARROW)
+        bucket = told.column("bucket")[0].as_py()
+        found = [batch(MESSAGES_ARROW, [bucket], [c], [f], [dump(rising(h))]) for c, f, h in survivors(told, threshold)]
+        return pa.Table.from_batches(found, MESSAGES_ARROW)
 
-    def heard(told: pa.Table) -> tuple[Chunk, np.ndarray]:
-        """The chunk, and what came through of it."""
+    def heard(told: pa.Table) -> tuple[int, str, Chunk, np.ndarray]:
+        """A chunk, and the hashes in order of what came through of it."""
+        file = told.column("file")[0].as_py()
         hashes = np.concatenate([unrising(load(x)[0]) for x in told.column("payload").to_pylist()])
-        return read_chunk(f"{folder}/chunks", told.column("file")[0].as_py()), np.sort(hashes)
+        return told.column("chunk")[0].as_py(), file, read_chunk(f"{folder}/chunks", file), np.sort(hashes)
 
-    def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-        return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-    def phrases_of(told: pa.Table) -> pa.Table:
-        own, kept = heard(told)
-        found = list(ask(told.column("chunk")[0].as_py(), told.column("file")[0].as_py(), own, range(2, longest + 1), among(own.hashes, kept), buckets[1]))
-        return pa.Table.from_batches(found, MESSAGES_ARROW)
+    def later_questions(told: pa.Table) -> pa.Table:
+        chunk, file, own, pairs = heard(told)
+        found = ask(chunk, file, np.concatenate([own.grams(n, pairs)[1] for n in lengths[1]]), buckets[1])
+        return pa.Table.from_batches(list(found), MESSAGES_ARROW)
 
-    def count(lengths: range):
-        def run(told: pa.Table) -> pa.Table:
-            own, kept = heard(told)
-            tables = []
-            for n in lengths:
-                at, hashes = own.grams(n, None)
-                tables.append(pa.table(list(own.counted(n, at[among(hashes, kept)])), schema=COUNTS_ARROW))
-            return pa.concat_tables(tables)
+    def counts_of(k: int):
+        return lambda told: pa.Table.from_batches(list(tell(*heard(told), lengths[k], buckets[k])), MESSAGES_ARROW)
 
-        return run
+    def add_up(told: pa.Table) -> pa.Table:
+        return told_counts(told.column("payload").to_pylist(), threshold)
 
     def by(df: DataFrame, key: str, many: int):
         return df.repartition(many, key).groupBy(key)
 
-    asked = chunks.select("chunk", "file").repartition(parts, "chunk").mapInArrow(words_of, MESSAGES)
-    words = settle_at(by(asked, "bucket", buckets[0]).applyInArrow(answer, MESSAGES), f"{folder}/words")
-    asked = by(words, "chunk", parts).applyInArrow(phrases_of, MESSAGES)
-    phrases = settle_at(by(asked, "bucket", buckets[1]).applyInArrow(answer, MESSAGES), f"{folder}/phrases")
-    counted = by(words, "chunk", parts).applyInArrow(count(range(1, 2)), COUNTS)
-    counted = counted.unionByName(by(phrases, "chunk", parts).applyInArrow(count(range(2, longest + 1)), COUNTS))
-    found = counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= threshold)
-    kept = work_dir(spark, "phrase-counts")
-    out = settle_at(found, f"{kept}/grams"), settle_at(totals, f"{kept}/totals")
+    asked = chunks.select("chunk", "file").repartition(parts, "chunk").mapInArrow(first_questions, MESSAGES)
+    alive = [settle_at(by(asked, "bucket", buckets[0]).applyInArrow(answer, MESSAGES), f"{folder}/alive-1")]
+    if lengths[1]:
+        asked = by(alive[0], "chunk", parts).applyInArrow(later_questions, MESSAGES)
+        alive.append(settle_at(by(asked, "bucket", buckets[1]).applyInArrow(answer, MESSAGES), f"{folder}/alive-2"))
+    found = [by(by(a, "chunk", parts).applyInArrow(counts_of(k), MESSAGES), "bucket", buckets[k]).applyInArrow(add_up, COUNTS) for k, a in enumerate(alive)]
+    grams = settle_at(found[0].unionByName(found[1]) if lengths[1] else found[0], f"{kept}/grams")
     discard(spark, folder)
-    return out
+    return grams, totals
 
 
 # Scores -----------------------------------------------------------------------------------

@@ -98,11 +98,13 @@ def test_equal_hashes_of_unlike_phrases_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(co, "xxh64_intdigest", lambda b: len(b))
     own = co.Builder()
     own.add("en", b"aa bb, cc dd, aa bb")
-    chunk = co.Chunk(own.blob())
-    at, hashes = chunk.grams(2, None)
+    chunk = co.Chunk(own.blob()[0])
+    at, hashes = chunk.grams(2)
     assert len(set(hashes.tolist())) == 1
-    langs, phrases, counts = chunk.counted(2, at)
-    assert dict(zip(phrases, counts.tolist(), strict=True)) == {"aa bb": 2, "cc dd": 1} and set(langs) == {"en"}
+    first, counts = chunk.counted(2, at)
+    assert dict(zip(chunk.said(2, first), counts.tolist(), strict=True)) == {b"aa bb": 2, b"cc dd": 1}
+    told = [m.column("payload")[0].as_py() for m in co.tell(0, "", chunk, hashes[:1], range(2, 3), 2)]
+    assert co.told_counts(told, 2).to_pylist() == [{"lang": "en", "phrase": "aa bb", "f": 2}]
 
 
 def test_odd_rows(spark, odd, nothing):
