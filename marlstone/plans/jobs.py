@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -13,6 +14,7 @@ from marlstone.operators import forecast, geo, gold, lake, learning, outliers, s
 from marlstone.operators import series as se
 from marlstone.session import cut
 from marlstone.sources import listings as src
+from marlstone.sources.ledger import Ledger
 
 TIES = ("ingested_at", "kafka_timestamp", "partition", "offset")
 
@@ -43,15 +45,26 @@ def read_serving(spark: SparkSession, path: str, name: str, jdbc: dict | None =
         raise
 
 
-def run_bronze(spark: SparkSession, source: str, path: str, now: datetime, start: str = "earliest") -> dict:
-    """New good events of the log to the bronze table: rows of the log that were read, and rows that are new.
+def run_bronze(spark: SparkSession, source: str, path: str, now: datetime, topic: str = "listings") -> dict:
+    """The log's new records to the bronze table, a batch a run: records that were read, and good ones that were written.
 
-    The log is read once; good and bad rows are counted as they pass.
+    A batch begins where the ledger's last one ends. It is one partition of the table, said in the
+    ledger before it is written and closed after, so a run after one that broke off writes the
+    same offsets over the same partition.
     """
-    seen = Observation()
-    rows = src.decoded(src.read_log(spark, source, start)).observe(seen, F.count("*").alias("rows_in"))
-    written = src.write_bronze(src.stamp(src.good_events(rows), now), path)
-    return {"rows_in": seen.get["rows_in"], "rows_out": written}
+    ledger = Ledger(spark, path)
+    batch = ledger.open_batch()
+    if batch is None:
+        start, end = src.new_offsets(src.read_log(spark, source, ledger.position(), topic=topic))
+        if not end:
+            return {"rows_in": 0, "rows_out": 0}
+        batch = ledger.begin(start, end, now)
+    seen, written = Observation(), Observation()
+    rows = src.decoded(src.read_log(spark, source, *batch.range, topic=topic)).observe(seen, F.count("*").alias("rows_in"))
+    good = src.stamp(src.good_events(rows), batch.now).withColumn("batch", F.lit(batch.number)).observe(written, F.count("*").alias("rows_out"))
+    good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest_date", "batch").parquet(path)
+    ledger.finish(batch)
+    return {**seen.get, **written.get}
 
 
 def run_silver(spark: SparkSession, bronze: DataFrame, path: str, dims: geo.Dimensions, bridge: DataFrame | None = None, full: bool = True) -> dict:
@@ -100,19 +113,29 @@ def run_clusters(districts: DataFrame, path: str, k_max: int = 6) -> dict:
     return {"k": k, "features": names, "explained": sum(shares)}
 
 
-def run_anomalies(rows: DataFrame, path: str, columns: list[str], weights: dict[str, float] = scoring.WEIGHTS, contamination: float = scoring.CONTAMINATION) -> dict:
+#: The signals of an anomaly beside the residual, and what a reason calls them.
+SIGNALS = {"forest": "isolation forest", "lof": "local density"}
+
+
+def run_anomalies(rows: DataFrame, path: str, columns: list[str], weights: dict[str, float] = scoring.WEIGHTS, contamination: float = scoring.CONTAMINATION, also: Sequence[str] = ()) -> dict:
     """anomaly: the listings whose blended rank is in the upper share, with the reason.
 
     rows: listing_id, district_code, district, price, price_per_m2, predicted and the numeric
-    columns. Ranks by residual, isolation forest and local outlier factor are blended by weights.
+    columns. Ranks by residual, isolation forest and local outlier factor are blended by weights;
+    a signal without weight is computed only if it is named in also, and its score is null else.
     """
-    rows = cut(scoring.residual_scores(rows).withColumnRenamed("score", "r_residual").withColumn("_id", F.xxhash64("listing_id")))
-    forest = scoring.pct_rank(outliers.isolation_forest(rows, columns, "listing_id").withColumnRenamed("score", "forest_score"), "forest_score", "r_forest")
-    vectors = learning.standardised(rows.select("_id", *columns), columns).select(F.col("_id").alias("id"), vector_to_array("z").alias("x"))
-    lof = scoring.pct_rank(outliers.lof(vectors).withColumnRenamed("lof", "lof_score"), "lof_score", "r_lof")
-    ranked = rows.join(forest, "listing_id").join(lof.withColumnRenamed("id", "_id"), "_id", "left")
-    ranked = ranked.withColumn("score", scoring.blend({f"r_{k}": w for k, w in weights.items()}))
-    flagged = scoring.flag(ranked, contamination).withColumn("reason", scoring.reason(ranks=("r_forest", "r_lof")))
+    wanted = [k for k in SIGNALS if weights.get(k) or k in also]
+    ranked = cut(scoring.residual_scores(rows).withColumnRenamed("score", "r_residual").withColumn("_id", F.xxhash64("listing_id")))
+    if "forest" in wanted:
+        forest = outliers.isolation_forest(ranked, columns, "listing_id").withColumnRenamed("score", "forest_score")
+        ranked = ranked.join(scoring.pct_rank(forest, "forest_score", "r_forest"), "listing_id")
+    if "lof" in wanted:
+        vectors = learning.standardised(ranked.select("_id", *columns), columns).select(F.col("_id").alias("id"), vector_to_array("z").alias("x"))
+        lof = scoring.pct_rank(outliers.lof(vectors).withColumnRenamed("lof", "lof_score"), "lof_score", "r_lof")
+        ranked = ranked.join(lof.withColumnRenamed("id", "_id"), "_id", "left")
+    ranked = ranked.withColumn("score", scoring.blend({f"r_{k}": w for k, w in weights.items() if k == "residual" or k in wanted}))
+    flagged = scoring.flag(ranked, contamination).withColumn("reason", scoring.reason(ranks={f"r_{k}": SIGNALS[k] for k in wanted}))
+    flagged = flagged.withColumns({f"{k}_score": F.lit(None).cast("double") for k in SIGNALS if k not in wanted})
     names = ("listing_id", "district_code", "district", "price", "price_per_m2", "predicted", "residual", "ratio", "forest_score", "lof_score", "score", "reason")
     written = Observation()
     write_serving(flagged.select(*names).observe(written, F.count("*").alias("rows_out")), path, "anomaly")

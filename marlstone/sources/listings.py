@@ -6,13 +6,16 @@ import re
 import unicodedata
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions import text as tx
 from marlstone.functions.listing import is_usable, listing_id, unit_price
 from marlstone.session import cut
+from marlstone.sources.ledger import Ledger
+from marlstone.sources.offset_log import Offsets, between, to_json
 
 STRINGS = ("listing_id", "source", "crawled_at", "posted_at", "url", "address_raw", "province_raw", "district_raw", "ward_raw")
 CANONICAL = (
@@ -41,12 +44,19 @@ ALIASES = {
 NUMBERS = {"area", "frontage", "access_road", "floors", "bedrooms", "bathrooms", "price"}
 
 
-def read_log(spark: SparkSession, source: str, start: str = "earliest", topic: str = "listings") -> DataFrame:
-    """A bounded read of a log: of a broker if source is host:port, else of a folder of Parquet rows with the same columns."""
-    if re.fullmatch(r"[\w.,-]+:\d+", source):
-        options = {"kafka.bootstrap.servers": source, "subscribe": topic, "startingOffsets": start, "endingOffsets": "latest"}
+BROKER = r"[\w.,-]+:\d+"
+
+
+def read_log(spark: SparkSession, source: str, start: Offsets | None = None, end: Offsets | None = None, topic: str = "listings") -> DataFrame:
+    """A bounded read of a log: of a broker if source is host:port, else of a folder of Parquet rows with the same columns.
+
+    start, end: offsets by topic and partition, an end is not included; by default all there is.
+    Of a folder Spark scans the row groups whose statistics meet the offsets.
+    """
+    if re.fullmatch(BROKER, source):
+        options = {"kafka.bootstrap.servers": source, "subscribe": topic, "startingOffsets": to_json(start) if start else "earliest", "endingOffsets": to_json(end) if end else "latest"}
         return spark.read.format("kafka").options(**options).load()
-    return spark.read.parquet(source)
+    return between(spark.read.parquet(source), start or {}, end)
 
 
 def decoded(log: DataFrame, schema: T.StructType = LISTING_SCHEMA) -> DataFrame:
@@ -69,25 +79,16 @@ def stamp(df: DataFrame, now: datetime) -> DataFrame:
     return df.withColumns({"ingested_at": F.lit(now), "ingest_date": F.to_date(F.lit(now))})
 
 
-def write_bronze(df: DataFrame, path: str) -> int:
-    """Append what the table does not have yet, by topic, partition and offset; the number of rows written.
+def new_offsets(log: DataFrame) -> tuple[Offsets, Offsets]:
+    """For each topic and partition of the log's rows the first offset, and the one behind the last."""
+    rows = log.groupBy("topic", "partition").agg(F.min("offset").alias("first"), F.max("offset").alias("last")).collect()  # a row for each partition
+    return {(r.topic, r.partition): r.first for r in rows}, {(r.topic, r.partition): r.last + 1 for r in rows}
 
-    The new rows are settled first. Of the table only what lies at their offsets or above is
-    read: Parquet's statistics leave the rest of its history out.
-    """
-    spark, rows = df.sparkSession, cut(df)
-    lowest = rows.agg(F.min("offset")).first()[0]
-    if lowest is None:
-        return 0
-    try:
-        have = spark.read.parquet(path).where(F.col("offset") >= lowest).select(*LOG_COLUMNS)
-        rows = rows.join(have, list(LOG_COLUMNS), "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    written = Observation()
-    rows.observe(written, F.count("*").alias("n")).write.mode("append").partitionBy("ingest_date").parquet(path)
-    return written.get["n"]
+
+def bronze_table(spark: SparkSession, path: str) -> DataFrame:
+    """The batches of the bronze table that are closed."""
+    rows, left = spark.read.parquet(path), Ledger(spark, path).open_batch()
+    return rows.where(F.col("batch").cast("long") != left.number) if left else rows
 
 
 def normal_key(name: str) -> str:
@@ -170,12 +171,26 @@ def replay_csv(spark: SparkSession, path: str, limit: int = 0, source: str = "ka
 
 
 def write_log(events: DataFrame, target: str, topic: str = "listings") -> None:
-    """Log records to a topic of a broker (host:port), or appended to a folder of Parquet rows with the log's columns."""
-    if re.fullmatch(r"[\w.,-]+:\d+", target):
+    """Log records to a topic of a broker (host:port), or appended to a folder of Parquet rows with the log's columns.
+
+    A folder's new records go on behind the last offset of their partition, without gaps. One
+    writer at a time.
+    """
+    if re.fullmatch(BROKER, target):
         events.write.format("kafka").option("kafka.bootstrap.servers", target).option("topic", topic).save()
         return
-    place = {"topic": F.lit(topic), "partition": F.spark_partition_id(), "offset": F.monotonically_increasing_id(), "timestamp": F.current_timestamp()}
-    events.withColumns(place).write.mode("append").parquet(target)
+    spark = events.sparkSession
+    try:
+        before = spark.read.parquet(target).where(F.col("topic") == topic).groupBy("partition").agg((F.max("offset") + 1).alias("_next"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        before = spark.createDataFrame([], "partition int, _next long")
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # of a row in its partition
+    placed = events.withColumns({"topic": F.lit(topic), "partition": F.spark_partition_id(), "offset": number, "timestamp": F.current_timestamp()})
+    # the sums are read before the append begins
+    placed = placed.join(F.broadcast(cut(before)), "partition", "left").withColumn("offset", F.col("offset") + F.coalesce("_next", F.lit(0)))
+    placed.select(*events.columns, "topic", "partition", "offset", "timestamp").write.mode("append").parquet(target)
 
 
 def profile(df: DataFrame, columns: tuple[str, ...] = ("area", "price")) -> DataFrame:

@@ -18,6 +18,7 @@ from marlstone.functions.listing import event_time
 from marlstone.operators import geo, lake
 from marlstone.plans.jobs import read_serving
 from marlstone.sources import listings as src
+from marlstone.sources import offset_log
 
 # Windows, and the deviations from which an alert is raised and is worse.
 WINDOW, SLIDE, LATE = "1 hour", "5 minutes", "2 hours"
@@ -30,12 +31,18 @@ def event_stream(spark: SparkSession, source: str, schema, per_trigger: int = 1)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(source)
 
 
-def log_stream(spark: SparkSession, source: str, per_trigger: int = PER_TRIGGER, start: str = "earliest") -> DataFrame:
-    """A log as a stream: of a broker (host:port/topic, per_trigger: records), or of a folder of Parquet rows with the log's columns (per_trigger: files)."""
+def log_stream(spark: SparkSession, source: str, per_trigger: int = PER_TRIGGER, start: str = "earliest", ckpt: str | None = None) -> DataFrame:
+    """A log as a stream, at most per_trigger records in each micro-batch: of a broker (host:port/topic), or of a folder of Parquet rows with the log's columns.
+
+    start: earliest, latest, or JSON {topic: {partition: offset}}. ckpt: the checkpoint of the query
+    that will read it, from which a folder's stream goes on.
+    """
     if m := re.fullmatch(r"([\w.-]+:\d+)/([\w.-]+)", source):
         options = {"kafka.bootstrap.servers": m[1], "subscribe": m[2], "startingOffsets": start, "maxOffsetsPerTrigger": str(per_trigger)}
         return spark.readStream.format("kafka").options(**options).load()
-    return event_stream(spark, source, "topic string, partition int, offset long, timestamp timestamp, value string", per_trigger)
+    offset_log.register(spark)
+    options = {"path": source, "startingOffsets": start, "maxOffsetsPerTrigger": str(per_trigger)} | ({"checkpoint": ckpt} if ckpt else {})
+    return spark.readStream.format(offset_log.NAME).options(**options).load()
 
 
 def priced_events(log: DataFrame) -> DataFrame:
@@ -57,9 +64,17 @@ def append_batch(batch: DataFrame, batch_id: int, path: str) -> None:
 
 
 def run_placement(log: DataFrame, dims: geo.Dimensions, out: str, ckpt: str, bridge: DataFrame | None = None, once: bool = True) -> StreamingQuery:
-    """From a log's stream to a folder of placed events: each micro-batch's distinct addresses are resolved once."""
+    """From a log's stream to a folder of placed events: each micro-batch's distinct addresses are resolved once.
+
+    once: until the log has no more; the query that found nothing new is returned.
+    """
     place = lambda b, i: append_batch(placed_events(b, dims, bridge), i, out)
-    return priced_events(log).writeStream.foreachBatch(place).option("checkpointLocation", ckpt).trigger(**trigger_of(once)).start()
+    start = lambda: priced_events(log).writeStream.foreachBatch(place).option("checkpointLocation", ckpt).trigger(**trigger_of(once)).start()
+    query = start()
+    # a source with a limit of records gives one micro-batch to a query that takes what is available
+    while once and (query.awaitTermination() or True) and sum(p.numInputRows for p in query.recentProgress):
+        query = start()
+    return query
 
 
 def placed_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:

@@ -95,7 +95,7 @@ def lake_run(spark, tmp_path_factory):
 
 def test_jobs(spark, lake_run):
     top, first, again, silver, found = lake_run
-    assert first == {"rows_in": 82, "rows_out": 81} and again == {"rows_in": 82, "rows_out": 0}
+    assert first == {"rows_in": 82, "rows_out": 81} and again == {"rows_in": 0, "rows_out": 0}
     assert (silver["rows_in"], silver["rows_out"], silver["district_rate"]) == (81, 80, 1.0)
     rows = spark.read.parquet(f"{top}/silver")
     assert set(rows.columns) == set(lake.SILVER_COLUMNS)
@@ -134,7 +134,7 @@ def test_from_the_log_to_districts_and_alerts(spark, tmp_path):
         rows = [("t", 0, part * 100 + i, START + timedelta(days=300), v) for i, v in enumerate(values)]
         records += rows
         spark.createDataFrame(rows, "topic string, partition int, offset long, timestamp timestamp, value string").coalesce(1).write.mode("append").parquet(source)
-        drain([hp.run_placement(hp.log_stream(spark, source, per_trigger=1), dims, f"{out}/placed", f"{ckpt}/placed")])
+        drain([hp.run_placement(hp.log_stream(spark, source, per_trigger=25, ckpt=f"{ckpt}/placed"), dims, f"{out}/placed", f"{ckpt}/placed")])
         drain(hp.run_hot_path(hp.placed_stream(spark, f"{out}/placed"), baseline, out, ckpt, sink=lambda e, i: sent.extend(r.key for r in e.collect())))
     log = spark.createDataFrame(records, "topic string, partition int, offset long, timestamp timestamp, value string")
     table = hp.placed_events(hp.priced_events(log), dims)
@@ -185,7 +185,7 @@ def test_serving_tables_over_jdbc(spark, tmp_path):
     assert sorted(tuple(r) for r in hp.load_baseline(spark, "x", jdbc).collect()) == [("d", 10.0), ("e", 10.0)]
 
 
-def test_model_tables_for_serving(spark, tmp_path):
+def test_clusters_for_serving(spark, tmp_path):
     path = str(tmp_path)
     districts = spark.createDataFrame([(f"{i:03d}", f"D{i}", 20.0 + 100 * (i // 6) + i, 50.0 + i % 2, 2.0 + i // 6, 0.5, 0.1 * (i % 3)) for i in range(18)], "district_code string, district string, median_price_m2 double, mean_area double, mean_floors double, pct_red_book double, pct_mat_tien double")
     found = jobs.run_clusters(districts, path)
@@ -194,12 +194,24 @@ def test_model_tables_for_serving(spark, tmp_path):
     assert len(rows) == 18 and all(r.label and r.x is not None and r.y is not None for r in rows)
     one = jobs.run_clusters(districts.withColumns({"mean_floors": F.lit(2.0), "pct_mat_tien": F.lit(0.5)}), f"{path}/one")
     assert one["features"] == ["median_price_m2"] and one["explained"] == 1.0
-    listings = spark.createDataFrame([(f"l{i}", "001", "D", 5.0 if i else 50.0, 100.0, 5.0, float(i % 7), float(i % 11)) for i in range(120)], "listing_id string, district_code string, district string, price double, price_per_m2 double, predicted double, a double, b double")
+
+
+def test_anomalies_for_serving(spark, tmp_path):
+    path = str(tmp_path)
+    listings = spark.createDataFrame([(f"l{i}", "001", "D", 5.0 if i else 50.0, 100.0, 5.0, float(i % 7) if i else 900.0, float(i % 11)) for i in range(120)], "listing_id string, district_code string, district string, price double, price_per_m2 double, predicted double, a double, b double")
     assert jobs.run_anomalies(listings, path, ["a", "b"], contamination=1 / 120) == {"rows_in": 120, "rows_out": 1}
     worst = spark.read.parquet(f"{path}/anomaly").first()
-    assert worst.listing_id == "l0" and worst.score == 100.0 and worst.reason == "price higher than predicted by 900 %" and worst.lof_score is not None
+    assert worst.listing_id == "l0" and worst.score == 100.0 and worst.reason == "price higher than predicted by 900 %" and worst.lof_score is None
+    jobs.run_anomalies(listings, path, ["a", "b"], contamination=1 / 120, also=("lof",))
+    worst = spark.read.parquet(f"{path}/anomaly").first()
+    assert worst.reason == "price higher than predicted by 900 %; unusual by local density" and worst.lof_score > 1 and worst.forest_score is None
     blended = jobs.run_anomalies(listings, f"{path}/blend", ["a", "b"], {"residual": 0.5, "forest": 0.25, "lof": 0.25}, contamination=0.1)
     assert blended["rows_out"] >= 12
+    assert spark.read.parquet(f"{path}/blend/anomaly").where("forest_score is null or lof_score is null").count() == 0
+
+
+def test_forecasts_for_serving(spark, tmp_path):
+    path = str(tmp_path)
     history = spark.createDataFrame([(a, (START + timedelta(days=31 * i)).date().replace(day=1), 50.0 + i * (a == "A")) for a in "AB" for i in range(24)], "area_code string, ds date, price_m2 double")
     jobs.run_forecasts(history, path)
     tables = [spark.read.parquet(f"{path}/{n}") for n in ("price_history", "forecast", "forecast_metrics")]
