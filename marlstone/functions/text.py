@@ -26,8 +26,8 @@ ABBREVIATIONS = [
     (r"\bhn\b", " ha noi "),
     (r"\bt\s*\.?\s*p\b\s*\.?", " thanh pho "),
     (r"\btp\s*\.?", " thanh pho "),
-    (r"\btt\s*\.?\s", " thi tran "),
-    (r"\btx\s*\.?\s", " thi xa "),
+    (r"\btt(?:\s*\.\s*|\s)", " thi tran "),
+    (r"\btx(?:\s*\.\s*|\s)", " thi xa "),
     (r"\bq\s*\.?\s*(\d+)\b", " quan $1 "),
     (r"\bq\s*\.\s*", " quan "),
     (r"\bh\s*\.\s*", " huyen "),

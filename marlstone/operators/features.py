@@ -12,18 +12,18 @@ from marlstone.operators.scoring import whole_percentile
 
 # Ranks of legal states and of furniture, by their normalised names.
 LEGAL_RANKS = {
-    4: ["so do", "so hong", "sodo", "sohong", "so hong so do", "have certificate", "certificate", "red book", "pink book"],
-    3: ["giay to hop le", "valid documents"],
-    2: ["hop dong mua ban", "hdmb", "sale contract", "contract"],
-    1: ["dang cho so", "cho so", "waiting for certificate"],
-    0: ["giay to viet tay", "chua so", "no certificate", "handwritten documents"],
-}
+    "so do": 4, "so hong": 4, "sodo": 4, "sohong": 4, "so hong so do": 4, "have certificate": 4, "certificate": 4, "red book": 4, "pink book": 4,
+    "giay to hop le": 3, "valid documents": 3,
+    "hop dong mua ban": 2, "hdmb": 2, "sale contract": 2, "contract": 2,
+    "dang cho so": 1, "cho so": 1, "waiting for certificate": 1,
+    "giay to viet tay": 0, "chua so": 0, "no certificate": 0, "handwritten documents": 0,
+}
 FURNITURE_RANKS = {
-    3: ["cao cap", "luxury", "high end"],
-    2: ["day du", "full", "fully furnished"],
-    1: ["co ban", "basic", "partly"],
-    0: ["ban giao tho", "khong noi that", "nha tho", "unfurnished", "bare shell", "none"],
-}
+    "cao cap": 3, "luxury": 3, "high end": 3,
+    "day du": 2, "full": 2, "fully furnished": 2,
+    "co ban": 1, "basic": 1, "partly": 1,
+    "ban giao tho": 0, "khong noi that": 0, "nha tho": 0, "unfurnished": 0, "bare shell": 0, "none": 0,
+}
 # Compass names in degrees.
 DIRECTIONS = {"bac": 0, "dong bac": 45, "dong": 90, "dong nam": 135, "nam": 180, "tay nam": 225, "tay": 270, "tay bac": 315}
 
@@ -45,8 +45,8 @@ def looked_up(c: Column, values: dict[str, float]) -> Column:
     return F.try_element_at(table, tx.norm_text(c))
 
 
-def rank_of(c: Column, table: dict[int, list[str]]) -> Column:
-    return looked_up(c, {name: rank for rank, names in table.items() for name in names})
+def rank_of(c: Column, table: dict[str, int]) -> Column:
+    return looked_up(c, table)
 
 
 def direction(c: Column) -> tuple[Column, Column]:
@@ -118,7 +118,7 @@ def build_features(df: DataFrame) -> DataFrame:
     return df.select(*(c for c in df.columns if c not in made), *(made[f].alias(f) for f in FEATURES))
 
 
-def dead_features(df: DataFrame, column: str, table: dict[int, list[str]]) -> DataFrame:
+def dead_features(df: DataFrame, column: str, table: dict[str, int]) -> DataFrame:
     """One row: values that are not blank, hits in the table, whether the feature is dead, the most common values."""
     values = df.select(tx.to_text(F.col(column)).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
     top = ", ".join(r.v for r in values.orderBy(F.desc("n"), "v").limit(5).collect())

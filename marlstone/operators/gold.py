@@ -7,12 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.features import LEGAL_RANKS, rank_of
+
 MIN_LISTINGS = 30
 #: Exact up to so many values in a group; beyond it an element within 1/accuracy of the rank.
 ACCURACY = 100_000
 LEVELS = ("province", "district", "ward")
-RED_BOOK = ("Have certificate", "certificate", "red book", "pink book", "so do", "so hong")
-WIDE_ROAD = 4
+#: The rank of a full title.
+FULL_TITLE, WIDE_ROAD = 4, 4
 
 
 def quantile(column: str, p: float) -> Column:
@@ -48,9 +50,9 @@ def area_price(df: DataFrame, min_listings: int = MIN_LISTINGS) -> DataFrame:
 
 
 def red_book(column: str = "legal_status") -> Column:
-    """1.0 for full title, 0.0 for other known states, null for none; the negated forms do not count."""
-    c = F.lower(F.trim(column))
-    return F.when(c.isNull() | (c == ""), None).otherwise(c.isin([x.lower() for x in RED_BOOK]).cast("double"))
+    """1.0 for full title in any spelling, 0.0 for other states, null for none; the negated forms do not count."""
+    full = F.coalesce(rank_of(F.col(column), LEGAL_RANKS) == FULL_TITLE, F.lit(False))
+    return F.when(F.trim(column) != "", full.cast("double"))
 
 
 def district_features(df: DataFrame, min_listings: int = MIN_LISTINGS) -> DataFrame:

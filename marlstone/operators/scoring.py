@@ -71,12 +71,12 @@ def blend(weights: dict[str, float] = WEIGHTS) -> Column:
     return sum((F.coalesce(F.col(k), F.lit(0.0)) * (w / total) for k, w in weights.items()), F.lit(0.0))
 
 
-def reason(price: str = "price", predicted: str = "predicted", ratio: str = "ratio", ranks: Sequence[str] = ()) -> Column:
-    """Why a listing stands out. A price below the prediction is said as the share that is missing."""
+def reason(price: str = "price", predicted: str = "predicted", ratio: str = "ratio", ranks: dict[str, str] | None = None) -> Column:
+    """Why a listing stands out. A price below the prediction is said as the share that is missing. ranks: columns of ranks, and what they are called."""
     higher = F.concat(F.lit("price higher than predicted by "), F.round((F.col(price) / F.col(predicted) - 1) * 100).cast("long").cast("string"), F.lit(" %"))
     lower = F.concat(F.lit("price lower than predicted by "), F.round((1 - F.col(price) / F.col(predicted)) * 100).cast("long").cast("string"), F.lit(" %"))
     parts = [F.when(F.col(ratio) >= FLAG_RATIO, F.when(F.col(price) >= F.col(predicted), higher).otherwise(lower))]
-    parts += [F.when(F.col(r) >= FLAG_RANK, F.lit(f"unusual by {r}")) for r in ranks]
+    parts += [F.when(F.col(r) >= FLAG_RANK, F.lit(f"unusual by {name}")) for r, name in (ranks or {}).items()]
     return F.concat_ws("; ", *parts)
 
 

@@ -81,11 +81,20 @@ def cluster_table(spark, sf):
     return out.select("cluster", "n", *(F.round(c, 6).alias(c) for c in ("median_price", "mean_price", "min_price", "max_price", "share")), "label")
 
 
+def spelt_states(spark, sf):
+    """Silver whose legal states come in the spellings of several sources."""
+    spellings = {"Have certificate": ["Have certificate", "Sổ đỏ", "Sổ hồng", "Sổ hồng/ Sổ đỏ", "sodo", " SỔ ĐỎ ", "Pink book"], "Sale contract": ["Sale contract", "Hợp đồng mua bán", "HĐMB"], "No certificate": ["No certificate", "Chưa sổ", "Giấy tờ viết tay"]}
+    state = F.lit(None).cast("string")
+    for name, forms in spellings.items():
+        state = F.when(F.col("legal_status") == name, F.element_at(F.array(*map(F.lit, forms)), (F.col("floors") % len(forms) + 1).cast("int"))).otherwise(state)
+    return silver(spark, sf).withColumn("legal_status", state)
+
+
 QUERIES = {
     "silver_latest": lambda s, d: silver(s, d).select("listing_id", "price", "area", "part_key"),
     "area_price": areas,
     "ward_year": ward_year,
-    "district_features": lambda s, d: gold.district_features(silver(s, d)),
+    "district_features": lambda s, d: gold.district_features(spelt_states(s, d)),
     "market_summary": lambda s, d: gold.market_summary(silver(s, d)),
     "distinct_areas": lambda s, d: gold.distinct_areas(silver(s, d)),
     "top_districts": lambda s, d: gold.top_districts(areas(s, d), 10),

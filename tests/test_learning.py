@@ -186,5 +186,5 @@ def test_ranks_and_reasons(spark):
     ranks = {r.i: r.pct_rank for r in scoring.pct_rank(df, "v").collect()}
     assert ranks == {0: 87.5, 1: 25.0, 2: 87.5, 3: None, 4: 50.0}
     rows = spark.createDataFrame([(10.0, 100.0, 9.0, 98.0), (200.0, 100.0, 1.0, 1.0), (100.0, 100.0, 0.0, 1.0)], "price double, predicted double, ratio double, forest_rank double")
-    assert [r[0] for r in rows.select(scoring.reason(ranks=["forest_rank"])).collect()] == ["price lower than predicted by 90 %; unusual by forest_rank", "price higher than predicted by 100 %", ""]
+    assert [r[0] for r in rows.select(scoring.reason(ranks={"forest_rank": "its neighbours"})).collect()] == ["price lower than predicted by 90 %; unusual by its neighbours", "price higher than predicted by 100 %", ""]
     assert scoring.flag(df.withColumnRenamed("v", "score").limit(0)).count() == 0

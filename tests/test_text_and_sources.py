@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
 from marlstone.functions.listing import is_usable, listing_id, unit_price
-from marlstone.operators import series
+from marlstone.operators import gold, series
 from marlstone.sources import listings as src
 
 
@@ -64,16 +64,12 @@ def log_rows(spark, values, first=0):
     return spark.createDataFrame(rows, "topic string, partition int, offset long, timestamp timestamp, value string")
 
 
-def test_log_to_bronze_is_idempotent(spark, tmp_path):
+def test_good_and_bad_records(spark):
     log = log_rows(spark, ['{"listing_id":"a","price":2.5}', "broken", '{"price":1}', '{"listing_id":"b"}'])
     good, bad = src.decode_events(log)
     assert [r.listing_id for r in good.orderBy("offset").collect()] == ["a", "b"] and bad.count() == 2
     stamped = src.stamp(good, datetime(2025, 1, 2, 3))
-    for _ in range(2):
-        src.write_bronze(stamped, f"{tmp_path}/bronze")
-    more = src.stamp(src.decode_events(log_rows(spark, ['{"listing_id":"c"}'], 9))[0], datetime(2025, 1, 3))
-    src.write_bronze(more, f"{tmp_path}/bronze")
-    assert sorted(r.listing_id for r in spark.read.parquet(f"{tmp_path}/bronze").collect()) == ["a", "b", "c"]
+    assert {(str(r.ingest_date), str(r.ingested_at)) for r in stamped.collect()} == {("2025-01-02", "2025-01-02 03:00:00")}
 
 
 LIST_PAGE = """<div><a itemprop="url" href="/ban-nha-123456.html"><span itemprop="price" content="7000000000">7 ty</span>
@@ -110,3 +106,42 @@ def test_series_files(spark, tmp_path):
     assert series.read_index(spark, f"{tmp_path}/other.csv") is None
     with pytest.raises(ValueError):
         series.wide_to_long(day_first, "d", "x")
+
+
+def test_series_files_of_all_kinds_in_one_plan(spark, tmp_path):
+    """500 files with four headers: columns match by what they contain, and the number of jobs does not grow with the files."""
+    heads = ["Report_Date,Quận 1,Q.3,quan 12", "date,price_m2,area_name", "Thang,Gia,Region", "x,Month of report,Index value"]
+    for i in range(500):
+        k = i % 4
+        body = [f"{m}/15/{1900 + i % 100},{i + m},{m},7" if k == 0 else f"{1900 + i % 100}-{m:02d}-01,\"{i + m} tr\",Khu {i}" if k == 1 else f"1/{m}/{1900 + i % 100},{i + m},Bến {i}" if k == 2 else f"a,{1900 + i % 100}/{m}/1,{i}" for m in range(1, 6)]
+        (tmp_path / f"f{i}.csv").write_text("\n".join([heads[k], *body]) + "\n", encoding="utf-8-sig" if i % 3 == 0 else "utf-8")
+    (tmp_path / "no_dates.csv").write_text("update,price\nx,1\ny,2\nz,3\n")
+    (tmp_path / "no_price.csv").write_text("date,words\n2020-01-01,1\n2020-02-01,2\n2020-03-01,3\n")
+    (tmp_path / "empty.csv").write_text("")
+    sc = spark.sparkContext
+    jobs = {}
+    for many in (20, 502):
+        glob = f"{tmp_path}/f1*.csv" if many == 20 else str(tmp_path)
+        sc.setJobGroup(f"series-{many}", "")
+        rows = series.read_series_dir(spark, glob).collect()
+        jobs[many] = len(sc.statusTracker().getJobIdsForGroup(f"series-{many}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[502] <= jobs[20] + 3
+    assert {r.area_code for r in rows if r.area_code.startswith("7")} == {"760", "770"} and {r.area_name for r in rows if r.area_code == "HCM_D12"} == {"Quận 12"}
+    of = lambda code: sorted((r.ds, r.price_m2) for r in rows if r.area_code == code)
+    assert of("HCM_Khu5") == [(date(1905, m, 1), 5.0 + m) for m in range(1, 6)]
+    assert of("HCM_Bến6") == [(date(1906, 1, m), 6.0 + m) for m in range(1, 6)]  # as many dates either way: months first
+    assert {r.area_name for r in rows if r.area_code == "HCM_TPHồChíMinh"} == {"TP. Hồ Chí Minh"}
+    told = {r.file.rsplit("/", 1)[1]: r.kind for r in series.series_files(series.series_rows(spark, str(tmp_path))).collect()}
+    assert (told["f0.csv"], told["f1.csv"], told["no_dates.csv"], told["no_price.csv"]) == ("wide", "long", "no dates", "no price") and len(told) == 502
+
+
+def test_titles_in_any_spelling(spark):
+    states = ["Sổ đỏ", "Sổ hồng", "Sổ hồng/ Sổ đỏ", "sodo", "SỔ HỒNG", "Have certificate", "pink book", "Chưa sổ", "No certificate", "x", "", " ", None]
+    rows = spark.createDataFrame([(x,) for x in states], "legal_status string")
+    assert [r[0] for r in rows.select(gold.red_book()).collect()] == [1.0] * 7 + [0.0] * 3 + [None] * 3
+
+
+def test_units_before_a_full_stop(spark):
+    rows = spark.createDataFrame([("TT.Nhà Bè, TP.HCM",), ("TT Nhà Bè",), ("TT. Nhà Bè",), ("TX.Thuận An",), ("tx Thuận An",), ("att. x",)], "a string")
+    assert [r[0] for r in rows.select(tx.norm_text(F.col("a"))).collect()] == ["thi tran nha be ho chi minh", "thi tran nha be", "thi tran nha be", "thi xa thuan an", "thi xa thuan an", "att x"]
