@@ -1,4 +1,4 @@
-"""Outliers: isolation forests, and local outlier factors by pairs of blocks."""
+"""Outliers: isolation forests, and local outlier factors by neighbours from an index of pivots."""
 
 from __future__ import annotations
 
@@ -79,38 +79,133 @@ def isolation_forest(df: DataFrame, columns: list[str], ident: str = "id", trees
     return rows.select(F.col("id").alias(ident), score("x").alias("score"))
 
 
-def neighbours(df: DataFrame, k: int = NEIGHBOURS, block: int = 2000) -> DataFrame:
+# Neighbours ------------------------------------------------------------------------------
+
+PIVOTS, SAMPLED = 24, 2000
+#: Most parts (their boxes are sent with a function), parts that a row's first look takes, and queries met with a part in one task.
+MOST_PARTS, FIRST, QUERIES = 20_000, 3, 8192
+FOUND = "id long, other long, distance double"
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T
+    return np.sqrt(np.maximum(square, 0))
+
+
+def spread_pivots(x: np.ndarray, most: int = PIVOTS) -> np.ndarray:
+    """Rows far from each other: each next one is the farthest from those before."""
+    chosen, nearest = [0], distances(x, x[:1])[:, 0]
+    while len(chosen) < min(most, len(x)) and nearest.max() > 0:
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, distances(x, x[chosen[-1:]])[:, 0])
+    return x[chosen]
+
+
+def nearest_of(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int) -> list[pd.DataFrame]:
+    """id, other, distance of the k nearest others of each row, itself left out, the smaller id among equals."""
+    out, sq = [], max((x * x).sum(axis=1).max(initial=0), (y * y).sum(axis=1).max(initial=0))
+    for start in range(0, len(ids), 1000):
+        at = slice(start, start + 1000)
+        d = distances(x[at], y) ** 2
+        d[ids[at][:, None] == others[None]] = np.inf
+        last = min(k, len(others)) - 1
+        # the product rounds; what may be among the k nearest is computed again from differences
+        for i, limit in enumerate(np.partition(d, last, axis=1)[:, last] + 1e-9 * (1 + sq)):
+            near = np.flatnonzero((d[i] <= limit) & np.isfinite(d[i]))
+            exact = np.sqrt(((y[near] - x[start + i]) ** 2).sum(axis=1))
+            best = np.lexsort((others[near], exact))[:k]
+            out.append(pd.DataFrame({"id": ids[start + i], "other": others[near[best]], "distance": exact[best]}))
+    return out
+
+
+def matrix(x: pd.Series) -> np.ndarray:
+    return np.array(x.tolist(), float).reshape(len(x), -1)
+
+
+def k_nearest(found: DataFrame, k: int) -> DataFrame:
+    """id, n: the k nearest of what was found, in order; a row has at most k from each part that it met."""
+    return found.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "other"))), 1, k).alias("n"))
+
+
+def neighbours(df: DataFrame, k: int = NEIGHBOURS, block: int = 2000, probes: int | None = None, stats: dict | None = None) -> DataFrame:
     """id, other, distance: the k nearest rows of each, exactly, the smaller id among equals. df: id, x array<double>, ids distinct.
 
-    Rows are dealt by hash into parts of about `block`; each pair of parts is compared in a task
-    of its own, so the work grows with the square of the rows and a task does not.
+    Rows are dealt into parts of about `block` by their nearest pivot and their distance from it.
+    By the triangle inequality no row of a part is nearer to another row than their distances from a
+    pivot differ, so a part's box of least and greatest distances from all pivots bounds it. A row
+    meets its own part, then the FIRST nearest ones, and then, with the k-th distance so found, only
+    parts that may still hold something as near. Where rows do not cluster at all (many even
+    dimensions), few parts can be left out, and the work grows with the square of the rows; there,
+    probes takes a fixed number of nearest parts instead, which is no longer exact.
+
+    stats, if given, gets the numbers of compared pairs and of all pairs.
     """
-    parts = -(-max(1, df.count()) // block)
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, ids, part = np.array(pdf["x"].tolist(), float), pdf["id"].to_numpy(), pdf["part"].to_numpy()
-        sq = (m * m).sum(axis=1)
-        d = np.maximum(sq[:, None] + sq[None] - 2 * m @ m.T, 0)
-        np.fill_diagonal(d, np.inf)
-        if pdf["p"].iloc[0] != pdf["q"].iloc[0]:
-            d[part[:, None] == part[None]] = np.inf
-        # the product rounds; what may be among the k nearest is computed again from differences
-        kth = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+    n = df.count()
+    if not n:
+        return df.sparkSession.createDataFrame([], FOUND)
+    parts = -(-n // max(block, n // MOST_PARTS))
+    sample = df.select("x").orderBy(F.xxhash64("id")).limit(SAMPLED).toPandas()
+    pivots = spread_pivots(matrix(sample["x"]))
+
+    @F.pandas_udf("array<double>")
+    def to_pivots(x: pd.Series) -> pd.Series:
+        return pd.Series(list(distances(matrix(x), pivots)))
+
+    rows = df.select("id", "x", to_pivots("x").alias("d")).withColumn("own", F.array_min("d"))
+    rows = rows.withColumn("cell", F.array_position("d", F.col("own"))).repartitionByRange(parts, "cell", "own", "id")
+    rows = cut(rows.select("id", "x", "d", F.spark_partition_id().alias("part")))
+    sides = [f(F.get("d", F.lit(p))).alias(f"{name}{p}") for p in range(len(pivots)) for name, f in (("low", F.min), ("high", F.max))]
+    boxes = rows.groupBy("part").agg(F.count("*").alias("rows"), *sides).orderBy("part").toPandas()  # a row for each part
+    numbers = boxes["part"].to_numpy()
+    low, high = (boxes[[f"{side}{p}" for p in range(len(pivots))]].to_numpy() for side in ("low", "high"))
+
+    @F.pandas_udf("array<struct<bound:double,part:int>>")
+    def bounds(part: pd.Series, d: pd.Series, limit: pd.Series) -> pd.Series:
+        """The parts that may hold a row within the limit, the nearest first."""
         out = []
-        for i, limit in enumerate(kth + 1e-9 * (1 + sq.max(initial=0))):
-            near = np.flatnonzero((d[i] <= limit) & np.isfinite(d[i]))
-            exact = np.sqrt(((m[near] - m[i]) ** 2).sum(axis=1))
-            best = np.lexsort((ids[near], exact))[:k]
-            out.append(pd.DataFrame({"id": ids[i], "other": ids[near[best]], "distance": exact[best]}))
-        return pd.concat(out, ignore_index=True)
-
-    part = F.pmod(F.xxhash64("id"), F.lit(parts))
-    met = df.select("id", "x", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("against"))
-    met = met.withColumns({"p": F.least("part", "against"), "q": F.greatest("part", "against")})
-    # a pair of one part's rows is compared in the block of that part alone
-    found = met.groupBy("p", "q").applyInPandas(compare, "id long, other long, distance double")
-    best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "other"))), 1, k)  # parts x k at most
-    return found.groupBy("id").agg(best.alias("n")).select("id", F.inline("n")).select("id", "other", "distance")
+        for own, x, most in zip(part, matrix(d), limit, strict=True):
+            least = np.maximum(low - x, x - high).max(axis=1).clip(0)
+            least = least * (1 - 1e-9) - 1e-9  # distances are rounded
+            at = np.flatnonzero((least <= most) & (numbers != own))
+            out.append([{"bound": float(least[i]), "part": int(numbers[i])} for i in at[np.argsort(least[at], kind="stable")]])
+        return pd.Series(out)
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x = pdf["id"].to_numpy(), matrix(pdf["x"])
+        return pd.concat(nearest_of(ids, x, ids, x, k), ignore_index=True)
+
+    def meet(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asking) or not len(held):
+            return pd.DataFrame({"id": np.empty(0, int), "other": np.empty(0, int), "distance": np.empty(0)})
+        return pd.concat(nearest_of(asking["id"].to_numpy(), matrix(asking["x"]), held["held_id"].to_numpy(), matrix(held["held_x"]), k), ignore_index=True)
+
+    def against(asking: DataFrame) -> DataFrame:
+        """What rows (id, x, target) find in their target parts. A part meets its queries in slices of QUERIES."""
+        counts = cut(asking.groupBy("target").agg(F.count("*").alias("asked")))
+        if stats is not None:
+            pairs = counts.join(rows.groupBy(F.col("part").alias("target")).agg(F.count("*").alias("rows")), "target")
+            stats["compared"] += pairs.agg(F.sum(F.col("asked") * F.col("rows"))).first()[0] or 0
+        slices = counts.select("target", F.ceil(F.col("asked") / QUERIES).cast("int").alias("slices"))
+        left = asking.join(slices, "target").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+        right = rows.select("id", "x", F.col("part").alias("target")).join(slices, "target").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        left, right = left.select("id", "x", "target", "slice"), right.select(*(F.col(c).alias(f"held_{c}") for c in ("id", "x", "target", "slice")))
+        return left.groupBy("target", "slice").cogroup(right.groupBy("held_target", "held_slice")).applyInPandas(meet, FOUND)
+
+    if stats is not None:
+        stats |= {"all": n * n, "compared": int((boxes["rows"].astype(int) ** 2).sum())}
+    limit = F.when(F.size("n") >= k, F.element_at("n", -1)["distance"]).otherwise(F.lit(float("inf")))
+    best = cut(k_nearest(rows.groupBy("part").applyInPandas(inside, FOUND), k))
+    asked = cut(rows.join(best, "id", "left").select("id", "x", bounds("part", "d", F.when(F.col("n").isNull(), F.lit(float("inf"))).otherwise(limit)).alias("parts")))
+    first = FIRST if probes is None else probes
+    found = against(asked.select("id", "x", F.explode(F.slice("parts", 1, first)["part"]).alias("target")))
+    flat = lambda b: b.select("id", F.inline("n")).select("id", "other", "distance")
+    best = cut(k_nearest(flat(best).unionByName(found), k))
+    if probes is None:
+        rest = asked.join(best.select("id", limit.alias("limit")), "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+        rest = rest.select("id", "x", "limit", F.explode(F.slice("parts", first + 1, parts)).alias("p")).where("p.bound <= limit")
+        found = against(rest.select("id", "x", F.col("p.part").alias("target")))
+        best = k_nearest(flat(best).unionByName(found), k)
+    return flat(best)
 
 
 def lof(df: DataFrame, k: int = NEIGHBOURS, **how) -> DataFrame:
