@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
+from marlstone.operators.quantiles import LIMIT, group_percentile
 from marlstone.operators.scoring import whole_percentile
+from marlstone.session import cut
 
 # Ranks of legal states and of furniture, by their normalised names.
 LEGAL_RANKS = {
@@ -69,7 +71,7 @@ def fold_of(ident: str, folds: int = FOLDS) -> Column:
 
 
 def encoding_table(df: DataFrame, key: str = "district_code", y: str = "y") -> DataFrame:
-    return df.groupBy(key).agg(F.percentile(y, F.lit(0.5)).alias("level"))
+    return group_percentile(df, [key], y, name="level").drop("n")
 
 
 def overall(df: DataFrame, y: str = "y") -> float | None:
@@ -84,11 +86,21 @@ def apply_encoding(df: DataFrame, table: DataFrame, default: float, key: str = "
 def oof_encoding(df: DataFrame, key: str = "district_code", y: str = "y", fold: str = "fold", folds: int = FOLDS, name: str = "district_level") -> DataFrame:
     """Each row's median of y in its district over the other folds; else the median of all rows.
 
-    df is read three times; settle it where it is dear to make.
+    Values are counted by district and fold once; how often the other folds have one is all its
+    rows less those of the own fold. df is read three times; settle it where it is dear to make.
     """
-    others = df.select(key, y, F.explode(F.filter(F.array(*map(F.lit, range(folds))), lambda k: k != F.col(fold))).alias(fold))
-    table = others.groupBy(key, fold).agg(F.percentile(y, F.lit(0.5)).alias("_level"))
-    return df.join(table, [key, fold], "left").withColumn(name, F.coalesce("_level", F.lit(overall(df, y)))).drop("_level")
+    own = [F.count_if(F.col(fold) == k).alias(f"_own_{k}") for k in range(folds)]
+    counted = cut(df.where(F.col(y).isNotNull()).groupBy(key, y).agg(F.count("*").alias("_all"), *own))
+    few = counted.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") <= LIMIT).select(key)
+    levels = counted.join(few, key).groupBy(key).agg(*(F.percentile(y, F.lit(0.5), F.col("_all") - F.col(f"_own_{k}")).alias(str(k)) for k in range(folds)))
+    table = levels.unpivot([key], [str(k) for k in range(folds)], "_fold", "_level").withColumn("_fold", F.col("_fold").cast("int"))
+    many = counted.join(few, key, "left_anti").where(F.col(key).isNotNull())
+    if not many.isEmpty():
+        times = F.array(*(F.struct(F.lit(k).alias("_fold"), (F.col("_all") - F.col(f"_own_{k}")).alias("_f")) for k in range(folds)))
+        spread = many.select(key, y, F.inline(times))
+        table = table.unionByName(group_percentile(spread, [key, "_fold"], y, freq="_f", name="_level").select(key, "_fold", "_level"))
+    out = df.join(table.withColumnRenamed("_fold", fold), [key, fold], "left")
+    return out.withColumn(name, F.coalesce("_level", F.lit(overall(df, y)))).drop("_level")
 
 
 def ensure(df: DataFrame, names: Sequence[str], kind: str) -> DataFrame:

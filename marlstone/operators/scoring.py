@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from marlstone.session import cut
@@ -12,17 +12,20 @@ from marlstone.session import cut
 CONTAMINATION, FLAG_RANK, FLAG_RATIO = 0.03, 97.0, 0.40
 WEIGHTS = {"residual": 1.0, "forest": 0.0, "lof": 0.0}
 KS = (50, 100, 200)
-#: Ranges of an order over all rows.
-RANGES = 64
+#: Rows in a range of an order over all rows, and the most ranges: beyond that ranges grow.
+RANGE, MOST_RANGES = 100_000, 20_000
 
 
 def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
     """df with, for each of sums, the sum of that column over all rows before a row in the order. The order breaks ties.
 
-    Rows are dealt out by ranges of the order that hold about equally many, and settled; only a
-    sum for each of RANGES ranges meets in one task.
+    Rows are dealt out by ranges of the order with about RANGE rows each, and settled; only a sum
+    for each of at most MOST_RANGES ranges meets in one task and is broadcast.
     """
-    ranged = cut(df.repartitionByRange(RANGES, *order).withColumn("_range", F.spark_partition_id()))
+    seen = Observation()
+    df = cut(df.observe(seen, F.count("*").alias("n")))
+    ranges = min(MOST_RANGES, -(-max(1, seen.get["n"]) // RANGE))
+    ranged = cut(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
     totals = ranged.groupBy("_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
     above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("_range", *(F.coalesce(F.sum(f"_{n}").over(above), F.lit(0)).alias(f"_{n}") for n in sums))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
+from marlstone.operators.quantiles import group_percentile
+from marlstone.session import cut
 
 MIN_PERIOD, MIN_POINTS = 5, 12
 # The codes of numbered districts; two of them are parts of a merged one.
@@ -26,10 +28,13 @@ AREA_NAMES = ("district", "quan", "area_name", "region", "location")
 
 
 def period_median(df: DataFrame, freq: str = "month", min_n: int = MIN_PERIOD, time: str = "posted_at") -> DataFrame:
-    """area_code, ds, price_m2, n of each district and of the country (VN), in one pass of grouping sets."""
+    """area_code, ds, price_m2, n of each district and of the country (VN); no task holds a large group's prices."""
     rows = df.where("district_code is not null").withColumn("ds", F.to_date(F.date_trunc(freq, F.col(time))))
-    out = rows.groupingSets([("district_code", "ds"), ("ds",)], "district_code", "ds").agg(F.percentile("price_per_m2", F.lit(0.5)).alias("price_m2"), F.count("*").alias("n"))
-    return out.where(F.col("n") >= min_n).select(F.coalesce("district_code", F.lit("VN")).alias("area_code"), "ds", "price_m2", "n")
+    rows = cut(rows.select(F.col("district_code").alias("area_code"), "ds", "price_per_m2"))
+    medians = [group_percentile(r, ["area_code", "ds"], "price_per_m2", name="price_m2") for r in (rows, rows.withColumn("area_code", F.lit("VN")))]
+    counts = [r.groupBy("area_code", "ds").agg(F.count("*").alias("n")) for r in (rows, rows.withColumn("area_code", F.lit("VN")))]
+    out = [c.where(F.col("n") >= min_n).join(m.drop("n"), ["area_code", "ds"], "left") for c, m in zip(counts, medians, strict=True)]
+    return out[0].unionByName(out[1]).select("area_code", "ds", "price_m2", "n")
 
 
 def gaps(series: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from marlstone.functions import text as tx
 from marlstone.functions.listing import is_usable, listing_id, unit_price
+from marlstone.operators.quantiles import group_percentile
 from marlstone.session import cut
 from marlstone.sources.ledger import Ledger
 from marlstone.sources.offset_log import Offsets, between, to_json
@@ -194,10 +195,12 @@ def write_log(events: DataFrame, target: str, topic: str = "listings") -> None:
 
 
 def profile(df: DataFrame, columns: tuple[str, ...] = ("area", "price")) -> DataFrame:
-    """field, n_null, min, median, max of each numeric column, in one pass."""
-    aggs = [f(c).alias(f"{c}_{n}") for c in columns for n, f in (("nulls", lambda c: F.count_if(F.col(c).isNull())), ("min", F.min), ("median", F.median), ("max", F.max))]
-    parts = ", ".join(f"'{c}', cast({c}_nulls as long), cast({c}_min as double), cast({c}_median as double), cast({c}_max as double)" for c in columns)
-    return df.agg(*aggs).selectExpr(f"stack({len(columns)}, {parts}) as (field, n_null, min, median, max)")
+    """field, n_null, min, median, max of each numeric column; no task holds a column's values."""
+    long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], list(columns), "field", "value")
+    out = long.groupBy("field").agg(F.count_if(F.col("value").isNull()).alias("n_null"), F.min("value").alias("min"), F.max("value").alias("max"))
+    medians = group_percentile(long, ["field"], "value", name="median").drop("n")
+    empty = df.sparkSession.createDataFrame([(c,) for c in columns], "field string")  # also of an empty table
+    return empty.join(out, "field", "left").join(medians, "field", "left").select("field", F.coalesce("n_null", F.lit(0)).alias("n_null"), "min", "median", "max")
 
 
 # Pages -----------------------------------------------------------------------------------
