@@ -21,15 +21,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import batch, crc_mod, hash_sample, small_batches, table, text_bytes
 
 ORDERS, BITS = 3, 14
 FEATURES = ORDERS << BITS
-#: The bounds on the training sample: documents a language, documents and n-grams in all. Every language
-#: has its share of the sample, however many there are.
+#: The bounds on the training sample: documents a language, documents and distinct n-grams of documents in
+#: all. Every language has its share of either, and one document at least, however many there are.
 SAMPLE, ROWS, ENTRIES = 800, 40_000, 20_000_000
 UNKNOWN = "und"
 #: A filtering stage keeps documents of mixed languages: two halves score about one half each.
@@ -185,13 +185,14 @@ def train(docs: DataFrame, rows: Column | None = None, sample: int = SAMPLE) ->
             at = [np.flatnonzero(v) for v in vectors]
             yield batch(schema, b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array([v[a] for v, a in zip(vectors, at, strict=True)], pa.list_(pa.int64())))
 
-    # a row of the sample has a doc_id; with more languages than ROWS it is no longer small for certain
-    taken = known.join(F.broadcast(chosen) if languages <= ROWS else chosen, "doc_id").select("doc_id", "lang", text_bytes()).mapInArrow(run, "doc_id long, lang string, at array<int>, n array<long>")
+    # with more languages than ROWS the ids are no longer few for certain; rows with one id and language count once
+    taken = known.join(F.broadcast(chosen) if languages <= ROWS else chosen, "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    taken = taken.select("doc_id", "lang", text_bytes()).mapInArrow(run, "doc_id long, lang string, at array<int>, n array<long>").where(F.size("at") > 0)
+    # about 800 rows a language at most, so the window's groups are small
+    own = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    taken = taken.withColumn("before", F.sum(F.size("at")).over(own)).where(F.col("before").isNull() | (F.col("before") + F.size("at") <= ENTRIES // languages))
     sparse, langs = [], []
-    size = 0
-    for r in taken.where(F.size("at") > 0).orderBy(F.xxhash64("doc_id"), "doc_id", "at").limit((each + 1) * languages).toLocalIterator():
-        if (size := size + len(r.at)) > ENTRIES:
-            break
+    for r in taken.drop("before").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").toLocalIterator():
         sparse.append((np.array(r.at, np.int32), np.array(r.n, np.int64)))
         langs.append(r.lang)
     return fit(sparse, langs, idf)

@@ -199,3 +199,20 @@ def test_copies_count_once_in_the_odds():
     once = toxicity.fit(toxic + clean, [1] * 40 + [0] * 60).weights
     copied = toxicity.fit(toxic + [toxic[0]] * 500 + clean + [clean[0]] * 500, [1] * 540 + [0] * 560).weights
     assert once == copied != {}
+
+
+def test_each_language_has_its_share_of_the_ngrams(spark, monkeypatch):
+    """The bound on n-grams takes documents from all languages, and a class from none."""
+    texts = {"en": "the cat and the other thing", "es": "el gato y las otras cosas", "xx": "zq xk wv zq qx kz"}
+    rows = [(i, f"{texts[lang]} {chr(97 + i % 26) * 3}", lang) for i, lang in enumerate(["en"] * 60 + ["es"] * 30 + ["xx"] * 2)]
+    rows += [(1000, "the same one", "en")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = []
+    real = language.fit
+    monkeypatch.setattr(language, "fit", lambda found, langs, idf: taken.append((found, langs)) or real(found, langs, idf))
+    for entries in (10, 600, 10**6):
+        monkeypatch.setattr(language, "ENTRIES", entries)
+        assert language.train(docs).labels == ["en", "es", "xx"]
+    sizes = [{lang: sum(len(at) for (at, _), own in zip(found, langs, strict=True) if own == lang) for lang in texts} for found, langs in taken]
+    assert [langs.count("en") for _, langs in taken][0] == 1 and all(n <= 200 for n in sizes[1].values())
+    assert {lang: taken[2][1].count(lang) for lang in texts} == {"en": 61, "es": 30, "xx": 2}
