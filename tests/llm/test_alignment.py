@@ -74,6 +74,15 @@ def some_texts(seed, many):
     return ["".join(r.choice(PARTS) for _ in range(r.randrange(0, 25))) for _ in range(many)]
 
 
+def test_ranks_give_what_the_file_gives(tables):
+    assert tables.ranked is not None
+    r = random.Random(12)
+    signs = [chr(c) for c in (*range(0x20, 0x250), 0, 9, 10, 13, 0x85, 0xA0, 0x2003, 0x3000, 0x4E2D, 0x1F600, 0x200B)]
+    for _ in range(20_000):
+        text = "".join(r.choice(signs if r.random() < 0.3 else "abcdefghijkrstu'd l 0.1") for _ in range(r.randrange(1, 25)))
+        assert np.frombuffer(tables.encode_a(text), np.int32).tolist() == tables.first.encode(text, add_special_tokens=False).ids
+
+
 def test_words_give_what_the_libraries_give(tables):
     for text in some_texts(1, 3000):
         a, b, whole = tables.encode_a(" " + text), tables.encode_b(text), (" " + text).encode()
