@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import features as fe
+from marlstone.operators.boosting import BoostedModel, HistogramBoosting
 from marlstone.operators.scoring import price_metrics
 
 SEED = 42
@@ -77,23 +78,29 @@ BASELINES: dict[str, Callable] = {
     "linear": lambda: LinearRegression(regParam=1e-3),
     "forest": lambda: RandomForestRegressor(numTrees=30, maxDepth=8, seed=SEED),
     "boosted": lambda: GBTRegressor(maxIter=20, maxDepth=4, seed=SEED),
+    "histogram": lambda: HistogramBoosting(trees=20),
 }
 
 
 @dataclass
 class Fitted:
-    model: Model
+    model: Model | BoostedModel
     names: list[str]
 
     def predict(self, df: DataFrame) -> DataFrame:
         """df with y_hat and predicted, the price in billion."""
+        if isinstance(self.model, BoostedModel):
+            return self.model.predict(df).withColumn("predicted", fe.inverse(F.col("y_hat"), F.col("area")))
         out = self.model.transform(with_flags(df, self.names))
         drop = ["features", *(f"{f}_{x}" for f in self.names for x in ("filled", "missing"))]
         return out.withColumn("predicted", fe.inverse(F.col("y_hat"), F.col("area"))).drop(*drop)
 
 
 def fit(train: DataFrame, regressor, names: Sequence[str] | None = None) -> Fitted:
+    """A model of y: of MLlib's regressors with missing values filled in, of HistogramBoosting as they are."""
     names = list(names or used_features(train))
+    if isinstance(regressor, HistogramBoosting):
+        return Fitted(regressor.fit(train, names), names)
     return Fitted(pipeline(regressor, names).fit(with_flags(train, names)), names)
 
 
