@@ -1,9 +1,11 @@
 """Free-text addresses to codes of the administrative hierarchy, as tiers of equi-joins.
 
 A token meets the names of a level by its word sequences (exact names and names that it
-contains) and by shared runs of four letters (near spellings, at least 88 % alike: two names
-that are so alike, of eight letters or more and one of them longer, always share such a run, and
-shorter ones are alike only if equal). Each address is resolved once, however many rows have it. What wins is the
+contains). A token without such a match meets near spellings, at least 88 % alike: by what is left
+of both when up to one letter is left out (2M/T of the letters M that they share in order and
+those T of both: names of four letters or more with a letter too many or too few, of nine or more with another
+letter), and from eight letters on by shared runs of four letters (1 less the edit distance over
+the longer one). Each address is resolved once, however many rows have it. What wins is the
 least of (tier, token, kind of match, likeness), taken by a grouped minimum.
 """
 
@@ -75,6 +77,12 @@ def letter_runs(core: Column) -> Column:
     return F.when(F.length(core) >= 2 * RUN, F.array_distinct(F.transform(starts, lambda i: F.substring(core, i, F.lit(RUN))))).otherwise(F.array().cast("array<string>"))
 
 
+def spellings(core: Column) -> Column:
+    """A name of four letters or more, and all that is left of it when one letter is left out."""
+    one_less = F.transform(F.sequence(F.lit(1), F.length(core)), lambda i: F.concat(F.substring(core, F.lit(1), i - 1), F.substring(core, i + 1, F.length(core))))
+    return F.when(F.length(core) >= RUN, F.array_distinct(F.concat(F.array(core), one_less))).otherwise(F.array().cast("array<string>"))
+
+
 def match_tokens(tokens: DataFrame, dim: DataFrame, most_words: int, scope: str | None = None) -> DataFrame:
     """key, code, name and score of the best match of each key.
 
@@ -87,10 +95,14 @@ def match_tokens(tokens: DataFrame, dim: DataFrame, most_words: int, scope: str
     runs = tokens.withColumn("run", F.explode(word_runs(F.col("core"), most_words)))
     held = runs.join(names.withColumnRenamed("known", "run"), ["run", *on])
     held = held.select("key", "prio", (F.col("run") != F.col("core")).cast("int").alias("kind"), F.when(F.col("run") == F.col("core"), EXACT).otherwise(CONTAINED).alias("score"), F.length("run").alias("size"), "code", "name")
-    alike = tokens.withColumn("run", F.explode(letter_runs(F.col("core")))).join(names.withColumn("run", F.explode(letter_runs(F.col("known")))), ["run", *on])
-    alike = alike.drop("run").distinct()
-    likeness = (1 - F.levenshtein("core", "known") / F.greatest(F.length("core"), F.length("known"))) * 100
-    alike = alike.withColumn("score", likeness).where(F.col("score").between(ALIKE, EXACT - 1e-9)).select("key", "prio", F.lit(2).alias("kind"), "score", F.length("known").alias("size"), "code", "name")
+    unmet = tokens.join(held.select("key", "prio").distinct(), ["key", "prio"], "left_anti")
+    met_by = lambda parts: unmet.withColumn("run", F.explode(parts(F.col("core")))).join(names.withColumn("run", F.explode(parts(F.col("known")))), ["run", *on])
+    one = ["key", "prio", "core", "known", "code", "name"]
+    by_letter = met_by(spellings).groupBy(*one).agg((F.max(F.length("run")) * 2).alias("_shared"))
+    by_letter = by_letter.withColumn("score", F.col("_shared") / (F.length("core") + F.length("known")) * 100).drop("_shared")
+    distance = F.levenshtein("core", "known") / F.greatest(F.length("core"), F.length("known"))
+    by_runs = met_by(letter_runs).select(*one).distinct().withColumn("score", (1 - distance) * 100)
+    alike = by_letter.unionByName(by_runs).where(F.col("score").between(ALIKE, EXACT - 1e-9)).select("key", "prio", F.lit(2).alias("kind"), "score", F.length("known").alias("size"), "code", "name")
     order = F.struct("prio", "kind", -F.col("score"), -F.col("size"), "code")
     best = held.unionByName(alike).groupBy("key").agg(F.min_by(F.struct("code", "name", "score"), order).alias("b"))
     return best.select("key", "b.code", "b.name", "b.score")

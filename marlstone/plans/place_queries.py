@@ -101,6 +101,16 @@ def newest(spark, sf):
     return gold.newest_alerts(hot_path.price_alerts(events(spark, sf), baseline(spark, sf))).select("event_id", "severity")
 
 
+def short_names(spark, sf):
+    """Each supplier's nation with a letter too many, its first one missing, or as it is, and the region."""
+    s, n, r = table(spark, sf, "supplier"), table(spark, sf, "nation"), table(spark, sf, "region")
+    rows = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    kind = F.col("s_suppkey") % 3
+    name = F.when(kind == 0, F.concat("n_name", F.lit("x"))).when(kind == 1, F.substring("n_name", 2, 100)).otherwise(F.col("n_name"))
+    found = geo.resolve_addresses(rows.select("s_suppkey", F.concat(F.lit("Số 9, Quận "), name, F.lit(", "), "r_name").alias("address_raw")), dims(spark, sf))
+    return found.select("s_suppkey", "district_code", F.round(F.when(F.col("district_code").isNotNull(), F.col("geo_match_score")), 6).alias("score"))
+
+
 def alert_json(spark, sf):
     found = hot_path.price_alerts(events(spark, sf), baseline(spark, sf)).select("event_id", "district", "severity")
     return hot_path.alerts_as_events(found, "event_id")
@@ -109,6 +119,7 @@ def alert_json(spark, sf):
 QUERIES = {
     "resolve_addresses": resolved,
     "resolve_varied": varied,
+    "resolve_short_names": short_names,
     "build_bridge": bridge,
     "velocity": windows,
     "hottest": hottest,
@@ -124,10 +135,13 @@ FROM events, range(12) r(i) GROUP BY 1, 2)"""
 SQL = {
     "resolve_addresses": """SELECT l_orderkey, l_linenumber, l_partkey, lpad(n_regionkey::VARCHAR, 2, '0') AS province_code, lpad(n_nationkey::VARCHAR, 3, '0') AS district_code,
         lpad(s_suppkey::VARCHAR, 5, '0') AS ward_code, 100.0::DOUBLE AS geo_match_score, 'old' AS geo_source FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
+    "resolve_short_names": """WITH a AS (SELECT s_suppkey, s_nationkey, s_suppkey % 3 AS kind, length(n_name) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+        b AS (SELECT *, CASE kind WHEN 0 THEN 200 * n / (2 * n + 1) WHEN 1 THEN 200 * (n - 1) / (2 * n - 1) ELSE 100 END AS ratio FROM a)
+        SELECT s_suppkey, CASE WHEN ratio >= 88 THEN lpad(s_nationkey::VARCHAR, 3, '0') END AS district_code, round(CASE WHEN ratio >= 88 THEN ratio END, 6)::DOUBLE AS score FROM b""",
     "resolve_varied": """WITH e AS (SELECT n_regionkey, min(n_nationkey) AS low, max(n_nationkey) AS high FROM nation GROUP BY 1)
         SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber < 7 THEN lpad(n_regionkey::VARCHAR, 2, '0') END AS province_code,
           CASE l_linenumber WHEN 5 THEN lpad(low::VARCHAR, 3, '0') WHEN 6 THEN lpad(high::VARCHAR, 3, '0') WHEN 7 THEN NULL ELSE lpad(n_nationkey::VARCHAR, 3, '0') END AS district_code,
-          CASE l_linenumber WHEN 1 THEN lpad(s_suppkey::VARCHAR, 5, '0') END AS ward_code, [100, 100, 90, 90, 95, 75, 0][l_linenumber]::DOUBLE AS geo_match_score,
+          CASE l_linenumber WHEN 1 THEN lpad(s_suppkey::VARCHAR, 5, '0') END AS ward_code, round([100, 100, 200 * 9 / 19, 90, 95, 75, 0][l_linenumber], 6)::DOUBLE AS geo_match_score,
           ['old', 'old', 'old', 'unique', 'dissolved', 'bridge2025', 'none'][l_linenumber] AS geo_source
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN e USING (n_regionkey)""",
     "build_bridge": """WITH v AS (SELECT DISTINCT l_partkey AS new_ward_key, l_suppkey FROM lineitem), c AS (SELECT new_ward_key, s_nationkey AS district_code, count(*) AS n FROM v JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)

@@ -44,6 +44,22 @@ def normalised_whole(spark, sf):
     return table(spark, sf, "documents").select("doc_id", *(F.sha2(c, 256).alias(name) for name, c in forms.items()))
 
 
+# Addresses with each abbreviation, and what they are written out.
+SHORTENED = {
+    "Quận 7, TP. HCM": "quan 7 ho chi minh", "Quận 7 TPHCM": "quan 7 ho chi minh", "Số 2, HCM": "so 2 ho chi minh", "Q 7, Sài Gòn": "quan 7 ho chi minh", "Q7 SG": "quan 7 ho chi minh",
+    "Ba Đình, HàNội": "ba dinh ha noi", "Ba Đình, HN": "ba dinh ha noi", "T.P Thủ Đức": "thanh pho thu duc", "TP.Thủ Đức": "thanh pho thu duc", "TT.Nhà Bè": "thi tran nha be", "TT Nhà Bè": "thi tran nha be",
+    "TX.Thuận An": "thi xa thuan an", "tx. Thuận An": "thi xa thuan an", "Q.3": "quan 3", "Q. Bình Thạnh": "quan binh thanh", "H.Củ Chi": "huyen cu chi", "P.Bến Nghé": "phuong ben nghe", "X. Xuân Nộn": "xa xuan non", "P5, Q10": "phuong 5 quan 10",
+}
+
+
+def normalised_addresses(spark, sf):
+    """Each order's address, one of those with abbreviations and its number, normalised."""
+    forms = F.array(*map(F.lit, SHORTENED))
+    at = (F.col("o_orderkey") % len(SHORTENED) + 1).cast("int")
+    rows = table(spark, sf, "orders").select("o_orderkey", F.concat_ws(" / ", F.element_at(forms, at), F.col("o_custkey").cast("string")).alias("address"))
+    return rows.select("o_orderkey", tx.norm_text(F.col("address")).alias("words"))
+
+
 def numbers(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", tx.first_number(F.col("text")).alias("first_number"), tx.to_text(F.col("source")).alias("source_text"), F.size(tx.tokens(F.col("text"))).alias("n_parts"))
@@ -152,6 +168,7 @@ QUERIES = {
     "decode_events": decoded,
     "normalise_text": normalised,
     "normalise_whole_text": normalised_whole,
+    "normalise_addresses": normalised_addresses,
     "tolerant_fields": numbers,
     "page_text": page_text,
     "page_links": page_links,
@@ -183,6 +200,7 @@ SQL = {
         sha256(regexp_replace(lower({STRIP % "text"}), '[^a-z0-9]', '', 'g')) AS key FROM documents""",
     "normalise_whole_text": f"""SELECT doc_id, sha256({STRIP % "text"}) AS plain, sha256({WORDS % "text"}) AS words,
         sha256(regexp_replace(lower({STRIP % "text"}), '[^a-z0-9]', '', 'g')) AS key FROM documents""",
+    "normalise_addresses": f"""SELECT o_orderkey, [{", ".join(f"'{x}'" for x in SHORTENED.values())}][o_orderkey % {len(SHORTENED)} + 1] || ' ' || o_custkey AS words FROM orders""",
     "tolerant_fields": r"""SELECT doc_id, try_cast(nullif(replace(regexp_extract(text, '(-?\d+(?:[.,]\d+)?)', 1), ',', '.'), '') AS DOUBLE) AS first_number,
         CASE WHEN trim(source) <> '' AND lower(trim(source)) NOT IN ('nan', 'none', 'null') THEN trim(source) END AS source_text,
         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[,;/]'), lambda x: trim(x, ' ') <> ''))::INTEGER AS n_parts FROM documents""",

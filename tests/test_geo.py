@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.operators import geo
 
@@ -99,3 +100,37 @@ def test_build_bridge_takes_the_majority(spark):
 def test_no_python_on_the_path(spark, dims):
     plan = geo.resolve_addresses(spark.createDataFrame([("x",)], "address_raw string"), dims)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_near_spellings_of_short_names(spark):
+    names = ["Quận 1", "Quận 11", "Quận 12", "Huyện Nhà Bè", "Huyện Củ Chi", "Huyện Hóc Môn", "Huyện Cần Giờ", "Thị xã Lái Thiêu", "Quận Bình Thạnh"]
+    tree = [("79", "Thành phố Hồ Chí Minh", [(f"{700 + i}", n, []) for i, n in enumerate(names)])]
+    dims = geo.flatten_units(spark.createDataFrame(tree, SCHEMA))
+    asked = {"Huyện Nhà Bee": "703", "Hóc Monn": "705", "Củ Chii": "704", "Cn Giờ": "706", "Huyện Nhà B": "703", "Bình Thạch": "708", "Quận 1": "700", "Quận 11": "701", "Quận 13": None, "Quận 111": None, "Củ Khi": None, "Nhà": None}
+    rows = spark.createDataFrame([(f"{a}, TP.HCM",) for a in asked], "address_raw string")
+    got = {r.address_raw: (r.district_code, r.geo_match_score) for r in geo.resolve_addresses(rows, dims).collect()}
+    assert {a: got[f"{a}, TP.HCM"][0] for a in asked} == asked
+    ratio = lambda m, t: 200 * m / t
+    assert got["Hóc Monn, TP.HCM"][1] == pytest.approx(ratio(7, 15)) and got["Huyện Nhà Bee, TP.HCM"][1] == pytest.approx(ratio(6, 13))
+
+
+def test_letters_left_out_give_the_ratio(spark):
+    """What two names share when up to one letter of each is left out is their longest common subsequence, if that is so long."""
+    import random
+
+    r = random.Random(3)
+    names = ["".join(r.choice("abc ") for _ in range(r.randrange(4, 11))).strip() or "abcd" for _ in range(60)]
+    pairs = [(a, b) for a in names for b in names]
+    rows = spark.createDataFrame(pairs, "a string, b string").withColumns({"x": geo.spellings(F.col("a")), "y": geo.spellings(F.col("b"))})
+    shared = rows.select("a", "b", F.array_max(F.transform(F.array_intersect("x", "y"), F.length)).alias("m")).collect()
+
+    def common(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    for a, b, m in shared:
+        near = common(a, b) >= max(len(a), len(b)) - 1 and min(len(a), len(b)) >= 4
+        assert m == (common(a, b) if near else None), (a, b)
