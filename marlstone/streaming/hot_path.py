@@ -17,8 +17,10 @@ from pyspark.sql.streaming import StreamingQuery
 from marlstone.functions.listing import event_time
 from marlstone.operators import geo, lake
 from marlstone.plans.jobs import read_serving
+from marlstone.session import ship
 from marlstone.sources import listings as src
 from marlstone.sources import offset_log
+from marlstone.streaming.alert_state import first_alerts, keyed_state
 
 # Windows, and the deviations from which an alert is raised and is worse.
 WINDOW, SLIDE, LATE = "1 hour", "5 minutes", "2 hours"
@@ -214,12 +216,23 @@ def fan_out(batch: DataFrame, batch_id: int, out: str, sink: Callable[[DataFrame
         sink(alerts_as_events(written), batch_id)
 
 
-def run_hot_path(events: DataFrame, baseline: DataFrame | None, out: str, ckpt: str, once: bool = True, sink: Callable[[DataFrame, int], None] | None = None) -> list[StreamingQuery]:
-    """Two independent queries, each with its checkpoint: velocity (update) and alerts (append, if there is a baseline)."""
+def run_hot_path(events: DataFrame, baseline: DataFrame | None, out: str, ckpt: str, once: bool = True, sink: Callable[[DataFrame, int], None] | None = None, quiet: int | None = None) -> list[StreamingQuery]:
+    """Two independent queries, each with its checkpoint: velocity (update) and alerts (append, if there is a baseline).
+
+    quiet: seconds after an alert in which its listing raises no other one, also if its events are
+    replayed; None: each event that is far from the baseline raises one.
+    """
     start = lambda df, mode, name, write: df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{ckpt}/{name}").trigger(**trigger_of(once)).start()
     started = [start(velocity(events), "update", "velocity", lambda b, i: merge_state(b, i, f"{out}/velocity"))]
     if baseline is not None:
-        started.append(start(price_alerts(events, baseline), "append", "alerts", lambda b, i: fan_out(b, i, out, sink)))
+        alerts = price_alerts(events, baseline)
+        write = lambda b, i: fan_out(b, i, out, sink)
+        if quiet is None:
+            started.append(start(alerts, "append", "alerts", write))
+        else:
+            ship(events.sparkSession)
+            with keyed_state(events.sparkSession):
+                started.append(start(first_alerts(alerts, quiet), "append", "alerts", write))
     return started
 
 
