@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import features as fe
 from marlstone.operators.boosting import BoostedModel, HistogramBoosting
 from marlstone.operators.scoring import price_metrics
+from marlstone.session import cut
 
 SEED = 42
 # What areas are clustered by.
@@ -241,7 +242,11 @@ def cv_screen(df: DataFrame, columns: Sequence[str] = CLUSTER_FEATURES, least: f
 
 
 def standardised(df: DataFrame, columns: Sequence[str] = CLUSTER_FEATURES) -> DataFrame:
-    """df with z, the vector of its columns: missing values at the median, mean 0, deviation 1."""
+    """df with z, the vector of its columns: missing values at the median, mean 0, deviation 1.
+
+    Settled: the models fitted to it read it many times.
+    """
+    df = cut(df)
     filled = [f"_{c}" for c in columns]
     rows = Imputer(strategy="median", inputCols=list(columns), outputCols=filled).fit(df).transform(df)
     rows = VectorAssembler(inputCols=filled, outputCol="_v").transform(rows)

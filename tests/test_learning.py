@@ -7,6 +7,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as tx
 from marlstone.operators import features as fe
 from marlstone.operators import forecast, gold, learning, outliers, scoring, series
 from marlstone.plans import learning_queries
@@ -188,3 +189,22 @@ def test_ranks_and_reasons(spark):
     rows = spark.createDataFrame([(10.0, 100.0, 9.0, 98.0), (200.0, 100.0, 1.0, 1.0), (100.0, 100.0, 0.0, 1.0)], "price double, predicted double, ratio double, forest_rank double")
     assert [r[0] for r in rows.select(scoring.reason(ranks={"forest_rank": "its neighbours"})).collect()] == ["price lower than predicted by 90 %; unusual by its neighbours", "price higher than predicted by 100 %", ""]
     assert scoring.flag(df.withColumnRenamed("v", "score").limit(0)).count() == 0
+
+
+def test_clusters_read_their_rows_once(spark):
+    """The models fitted to standardised rows read settled ones."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        seen.add(1)
+        return v
+
+    df = spark.range(12).select("id", F.udf(counted, "double")(F.col("id").cast("double")).alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    _, _, out = learning.choose_k(learning.standardised(df, ["a", "b"]), k_max=3)
+    assert out.count() == 12 and seen.value <= 12
+
+
+def test_names_as_the_table_has_them_are_normal(spark):
+    names = [*fe.LEGAL_RANKS, *fe.FURNITURE_RANKS, *fe.DIRECTIONS]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", tx.norm_text(F.col("n")).alias("normal")).collect()
+    assert all(r.n == r.normal for r in rows)
