@@ -3,50 +3,46 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.features import LEGAL_RANKS, rank_of
+from marlstone.operators.quantiles import discrete, group_values
+from marlstone.session import cut
 
 MIN_LISTINGS = 30
-#: Exact up to so many values in a group; beyond it an element within 1/accuracy of the rank.
-ACCURACY = 100_000
 LEVELS = ("province", "district", "ward")
 #: The rank of a full title.
 FULL_TITLE, WIDE_ROAD = 4, 4
 
 
-def quantile(column: str, p: float) -> Column:
-    return F.percentile_approx(column, F.lit(p), F.lit(ACCURACY))
+# The percentiles of an area's listings, each one of the values.
+MEDIAN = ("price_per_m2", discrete(0.5))
+PERCENTILES = {
+    "median_price_m2": MEDIAN, "p25_price_m2": ("price_per_m2", discrete(0.25)), "p75_price_m2": ("price_per_m2", discrete(0.75)),
+    "median_area": ("area", discrete(0.5)), "median_price": ("price", discrete(0.5)),
+}
 
 
-def area_statistics() -> list[Column]:
-    return [
-        F.count("*").alias("n_listings"),
-        quantile("price_per_m2", 0.5).alias("median_price_m2"),
-        quantile("price_per_m2", 0.25).alias("p25_price_m2"),
-        quantile("price_per_m2", 0.75).alias("p75_price_m2"),
-        F.round(F.avg("price_per_m2"), 6).alias("mean_price_m2"),
-        quantile("area", 0.5).alias("median_area"),
-        quantile("price", 0.5).alias("median_price"),
-    ]
+def area_price(df: DataFrame, min_listings: int = MIN_LISTINGS, levels: Sequence[str] = LEVELS) -> DataFrame:
+    """Statistics of each area of the levels (province, district and ward) with enough listings, settled: a row for each area.
 
-
-def area_price(df: DataFrame, min_listings: int = MIN_LISTINGS) -> DataFrame:
-    """Statistics of each province, district and ward with enough listings, in one pass of grouping sets."""
+    Percentiles are exact in areas of any size. Rows are settled once and read by each level.
+    """
     sets = [("province_code", "province"), ("district_code", "district", "province_code"), ("ward_code", "ward", "district_code")]
-    columns = ["province_code", "province", "district_code", "district", "ward_code", "ward"]
-    rolled = df.groupingSets(sets, *columns).agg(F.grouping_id().alias("_set"), *area_statistics())
-    # grouping_id has a bit for each column that a set leaves out, the first column the highest
-    level = F.when(F.col("_set") == 0b001111, "province").when(F.col("_set") == 0b010011, "district").otherwise("ward")
-    by = lambda *names: F.coalesce(*(F.when(F.col("level") == lv, F.col(n)) for lv, n in zip(LEVELS, names, strict=True) if n))
-    named = rolled.withColumn("level", level).withColumns({
-        "code": by("province_code", "district_code", "ward_code"), "name": by("province", "district", "ward"), "parent_code": by(None, "province_code", "district_code"),
-    })
-    kept = named.where((F.col("n_listings") >= min_listings) & F.col("code").isNotNull())
+    rows, out = cut(df.select("province_code", "province", "district_code", "district", "ward_code", "ward", "price_per_m2", "area", "price")), None
     stats = ("n_listings", "median_price_m2", "p25_price_m2", "p75_price_m2", "mean_price_m2", "median_area", "median_price")
-    return kept.select("level", "code", "name", "parent_code", *stats)
+    for level, keys in zip(LEVELS, sets, strict=True):
+        if level not in levels:
+            continue
+        sizes = [F.count("*").alias("n_listings"), F.round(F.avg("price_per_m2"), 6).alias("mean_price_m2")]
+        found = group_values(rows.where(F.col(keys[0]).isNotNull()), keys, PERCENTILES, sizes).where(F.col("n_listings") >= min_listings)
+        parent = F.col(keys[2]) if len(keys) > 2 else F.lit(None).cast("string")
+        found = found.select(F.lit(level).alias("level"), F.col(keys[0]).alias("code"), F.col(keys[1]).alias("name"), parent.alias("parent_code"), *stats)
+        out = found if out is None else out.unionByName(found)
+    return cut(out)
 
 
 def red_book(column: str = "legal_status") -> Column:
@@ -57,19 +53,20 @@ def red_book(column: str = "legal_status") -> Column:
 
 def district_features(df: DataFrame, min_listings: int = MIN_LISTINGS) -> DataFrame:
     wide = F.when(F.col("access_road").isNotNull(), (F.col("access_road") >= WIDE_ROAD).cast("double"))
-    out = df.where("district_code is not null").groupBy("district_code", "district", "province_code").agg(
-        F.count("*").alias("n_listings"), quantile("price_per_m2", 0.5).alias("median_price_m2"), F.round(F.avg("area"), 6).alias("mean_area"),
-        F.round(F.avg("floors"), 6).alias("mean_floors"), F.round(F.avg(red_book()), 6).alias("pct_red_book"), F.round(F.avg(wide), 6).alias("pct_mat_tien"),
-    )
-    return out.where(F.col("n_listings") >= min_listings)
+    rows = cut(df.where("district_code is not null").select("district_code", "district", "province_code", "price_per_m2", "area", "floors", red_book().alias("red"), wide.alias("wide")))
+    means = {"mean_area": "area", "mean_floors": "floors", "pct_red_book": "red", "pct_mat_tien": "wide"}
+    more = [F.count("*").alias("n_listings"), *(F.round(F.avg(c), 6).alias(name) for name, c in means.items())]
+    out = group_values(rows, ["district_code", "district", "province_code"], {"median_price_m2": MEDIAN}, more).where(F.col("n_listings") >= min_listings)
+    return cut(out.select("district_code", "district", "province_code", "n_listings", "median_price_m2", *means))
 
 
 def market_summary(df: DataFrame) -> DataFrame:
     """Six figures in long form: key, value, text."""
-    one = df.agg(
-        F.count("*").cast("double").alias("total_listings"), quantile("price_per_m2", 0.5).alias("median_price_m2"), quantile("price", 0.5).alias("median_price"),
-        quantile("area", 0.5).alias("median_area"), F.countDistinct("district_code").cast("double").alias("n_districts"), F.countDistinct("province_code").cast("double").alias("n_provinces"),
-    )
+    rows = cut(df.select("price_per_m2", "price", "area", "district_code", "province_code"))
+    counts = rows.agg(F.count("*").cast("double").alias("total_listings"), F.countDistinct("district_code").cast("double").alias("n_districts"), F.countDistinct("province_code").cast("double").alias("n_provinces"))
+    names = ("median_price_m2", "median_price", "median_area")
+    medians = group_values(rows.withColumn("_one", F.lit(1)), ["_one"], {n: PERCENTILES[n] for n in names})
+    one = counts.withColumn("_one", F.lit(1)).join(medians, "_one", "left").select("total_listings", *names, "n_districts", "n_provinces")
     long = one.unpivot([], one.columns, "key", "value")
     return long.select("key", F.round("value", 6).alias("value"), F.format_string("%.2f", "value").alias("text"))
 

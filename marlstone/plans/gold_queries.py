@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from marlstone.fixtures import listings, silver, table, with_listings, with_silver
 from marlstone.operators import gold, lake, learning
+from marlstone.operators.quantiles import group_values
+from marlstone.session import cut
 
 STATS = """count(*) AS n_listings, quantile_disc(price_per_m2, 0.5) AS median_price_m2, quantile_disc(price_per_m2, 0.25) AS p25_price_m2,
     quantile_disc(price_per_m2, 0.75) AS p75_price_m2, round(avg(price_per_m2), 6) AS mean_price_m2,
@@ -29,15 +31,19 @@ def areas(spark, sf):
     return gold.area_price(silver(spark, sf))
 
 
+def districts(spark, sf):
+    return gold.area_price(silver(spark, sf), levels=["district"])
+
+
 def ward_year(spark, sf):
     """Wards by year: small groups, so that the smallest size matters."""
-    by = silver(spark, sf).withColumn("year", F.year("posted_at"))
-    return by.groupBy("ward_code", "year").agg(*gold.area_statistics()[:2]).where("n_listings >= 30")
+    by = cut(silver(spark, sf).select("ward_code", F.year("posted_at").alias("year"), "price_per_m2"))
+    return group_values(by, ["ward_code", "year"], {"median_price_m2": gold.MEDIAN}, [F.count("*").alias("n_listings")]).where("n_listings >= 30").select("ward_code", "year", "n_listings", "median_price_m2")
 
 
 def choropleth(spark, sf):
     """Every nation as a geometry: its class by median price, 0 where there is no data."""
-    found = areas(spark, sf).where("level = 'district'")
+    found = districts(spark, sf)
     shapes = table(spark, sf, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("code"), F.col("n_name").alias("shape"))
     joined = shapes.join(found.select("code", "median_price_m2"), "code", "left")
     return gold.assign_class(joined, gold.class_breaks(found, "median_price_m2"), "median_price_m2")
@@ -64,14 +70,14 @@ def codes_of(spark, sf):
 
 def city_and_median(spark, sf):
     """Listings beside their district's median: how far each is from it."""
-    joined = learning.beside_district(silver(spark, sf), areas(spark, sf), F.col("price_per_m2"))
+    joined = learning.beside_district(silver(spark, sf), districts(spark, sf), F.col("price_per_m2"))
     return joined.select("listing_id", F.round("vs_district_pct", 6).alias("vs_district_pct"))
 
 
 def hot_detail(spark, sf):
     """The districts with most listings, with their details joined by code."""
     counts = silver(spark, sf).groupBy(F.col("district_code").alias("code"), F.col("district_code").alias("district")).agg(F.count("*").alias("n"))
-    return gold.with_details(gold.hottest(counts, 5), areas(spark, sf)).select("code", "name", "n", "median_price_m2")
+    return gold.with_details(gold.hottest(counts, 5), districts(spark, sf)).select("code", "name", "n", "median_price_m2")
 
 
 def cluster_table(spark, sf):
@@ -97,9 +103,9 @@ QUERIES = {
     "district_features": lambda s, d: gold.district_features(spelt_states(s, d)),
     "market_summary": lambda s, d: gold.market_summary(silver(s, d)),
     "distinct_areas": lambda s, d: gold.distinct_areas(silver(s, d)),
-    "top_districts": lambda s, d: gold.top_districts(areas(s, d), 10),
-    "area_list": lambda s, d: gold.area_list(areas(s, d), "district", "01"),
-    "class_breaks": lambda s, d: gold.class_breaks(areas(s, d).where("level = 'district'"), "median_price_m2"),
+    "top_districts": lambda s, d: gold.top_districts(districts(s, d), 10),
+    "area_list": lambda s, d: gold.area_list(districts(s, d), "district", "01"),
+    "class_breaks": lambda s, d: gold.class_breaks(districts(s, d), "median_price_m2"),
     "choropleth": choropleth,
     "reconcile_codes": codes_of,
     "match_quality": match_rates,

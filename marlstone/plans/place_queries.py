@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.fixtures import table
 from marlstone.operators import geo, gold
+from marlstone.operators.quantiles import group_values
 from marlstone.streaming import hot_path
 
 
@@ -79,7 +80,7 @@ def events(spark, sf):
 
 
 def baseline(spark, sf):
-    return events(spark, sf).groupBy("district").agg(gold.quantile("price_per_m2", 0.5).alias("median_price_m2"))
+    return group_values(events(spark, sf), ["district"], {"median_price_m2": gold.MEDIAN})
 
 
 def windows(spark, sf):

@@ -1,5 +1,6 @@
 """Percentiles by bins equal Spark's, and no task holds a large group's values."""
 
+import math
 import random
 from datetime import date
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import features as fe
+from marlstone.operators import gold
 from marlstone.operators import quantiles as q
 from marlstone.operators import scoring, series
 from marlstone.sources import listings as src
@@ -100,3 +102,41 @@ def test_ranks_by_ranges_of_any_size(spark, monkeypatch):
         assert want in (None, got)
         want = got
     assert got[0] == (-1, None) and got[-1][1] < 100
+
+
+@pytest.mark.parametrize("limit", [20, 100_000])
+@pytest.mark.parametrize("freq", [None, "times"])
+def test_values_at_places(spark, monkeypatch, limit, freq):
+    monkeypatch.setattr(q, "BINS", 16)
+    df = rows_of(spark, 3).withColumn("w", F.when(F.col("key") != "two", F.col("v") * -2.0))
+    shares = {"low": ("v", 0.0), "a": ("v", 0.25), "b": ("v", 0.5), "c": ("w", 0.5), "d": ("w", 1.0)}
+    got = q.group_values(df, ["key"], {k: (c, q.discrete(s)) for k, (c, s) in shares.items()}, [F.count("*").alias("n")], freq=freq, limit=limit)
+    rows = df.collect()
+    for r in got.collect():
+        group = [x for x in rows if x.key == r.key and (freq is None or x.times > 0)]
+        assert r.n == len(group)
+        for name, (c, s) in shares.items():
+            values = sorted(x[c] for x in group if x[c] is not None for _ in range(x.times if freq else 1))
+            assert r[name] == (values[max(1, math.ceil(len(values) * s)) - 1] if values else None)
+
+
+def test_values_without_end(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("a", v) for v in [-inf, inf, float("nan"), *map(float, range(40))]], "key string, v double")
+    got = q.group_values(df, ["key"], {"a": ("v", q.discrete(0.0)), "b": ("v", q.discrete(0.5)), "c": ("v", lambda n: n - 2), "d": ("v", lambda n: n - 1)}, limit=5).first()
+    assert (got.a, got.b, got.c) == (-inf, 20.0, inf) and math.isnan(got.d)
+
+
+def test_percentiles_of_large_areas_are_exact(spark, monkeypatch):
+    """Beyond 100,000 listings an approximate percentile is another value."""
+    n = 400_001
+    v = (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 10**6 + 1).alias("price_per_m2")
+    df = spark.range(n).select(*(F.lit("1").alias(c) for c in ("province_code", "province", "district_code", "district", "ward_code", "ward")), v, F.lit(2.0).alias("area"), (v + 1).alias("price"))
+    values = sorted(r[0] for r in df.select("price_per_m2").collect())
+    at = lambda s: values[math.ceil(n * s) - 1]
+    found = gold.area_price(df).collect()
+    assert [r.level for r in found] == ["province", "district", "ward"]
+    assert {(r.p25_price_m2, r.median_price_m2, r.p75_price_m2, r.median_area) for r in found} == {(at(0.25), at(0.5), at(0.75), 2.0)}
+    told = {r.key: r.value for r in gold.market_summary(df).collect()}
+    assert told["median_price_m2"] == round(at(0.5), 6) and told["total_listings"] == n
+    assert [r.value for r in gold.market_summary(df.limit(0)).orderBy("key").collect()] == [None, None, None, 0.0, 0.0, 0.0]
