@@ -196,7 +196,9 @@ def write_log(events: DataFrame, target: str, topic: str = "listings") -> None:
 
 def profile(df: DataFrame, columns: tuple[str, ...] = ("area", "price")) -> DataFrame:
     """field, n_null, min, median, max of each numeric column; no task holds a column's values."""
-    long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], list(columns), "field", "value")
+    # settled: each pass of the percentiles reads the rows
+    rows = cut(df.select(*(F.col(c).cast("double").alias(c) for c in columns)))
+    long = rows.unpivot([], list(columns), "field", "value")
     out = long.groupBy("field").agg(F.count_if(F.col("value").isNull()).alias("n_null"), F.min("value").alias("min"), F.max("value").alias("max"))
     medians = group_percentile(long, ["field"], "value", name="median").drop("n")
     empty = df.sparkSession.createDataFrame([(c,) for c in columns], "field string")  # also of an empty table

@@ -11,6 +11,7 @@ from marlstone.operators import features as fe
 from marlstone.operators import gold
 from marlstone.operators import quantiles as q
 from marlstone.operators import scoring, series
+from marlstone.plans import model_queries
 from marlstone.sources import listings as src
 
 
@@ -140,3 +141,24 @@ def test_percentiles_of_large_areas_are_exact(spark, monkeypatch):
     told = {r.key: r.value for r in gold.market_summary(df).collect()}
     assert told["median_price_m2"] == round(at(0.5), 6) and told["total_listings"] == n
     assert [r.value for r in gold.market_summary(df.limit(0)).orderBy("key").collect()] == [None, None, None, 0.0, 0.0, 0.0]
+
+
+def test_profile_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        seen.add(1)
+        return v
+
+    df = spark.range(30).select(F.udf(counted, "double")(F.col("id").cast("double")).alias("area"), F.lit(1.0).alias("price"))
+    assert {r.field: r.median for r in src.profile(df).collect()} == {"area": 14.5, "price": 1.0} and seen.value <= 30
+
+
+def test_percentile_of_counted_values(spark):
+    df = spark.createDataFrame([(1.0, 3), (2.0, 1), (5.0, 0), (9.0, 2), (None, 4)], "v double, n int")
+    assert scoring.whole_percentile(df, "v", 0.5, "n") == 1.5 and scoring.whole_percentile(df, "v", 0.5) == 3.5
+    assert scoring.whole_percentile(df.limit(0), "v", 0.5) is None
+
+
+def test_scored_rows_hold_what_scores_need(spark, sf_dir):
+    assert model_queries.predicted(spark, sf_dir).columns == ["listing_id", "area", "price", "predicted"]
