@@ -27,18 +27,24 @@ def _named(column: str, names: dict[str, str]):
     return out
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item: a priced listing in a ward, district and province.
+#: Numbers that tell the versions of a listing from other listings, as listing_id does.
+NUMBERS = ["l_orderkey", "l_linenumber"]
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line item: a priced listing in a ward, district and province; and its NUMBERS.
 
-    The dimensions are the star schema's own; Spark broadcasts those that are small.
+    The dimensions are the star schema's own; Spark broadcasts those that are small. Orders come
+    last: rows then lie by order, as the versions of a listing must.
     """
     t = lambda name: table(spark, sf_dir, name)
-    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = rows.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = rows.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select(
+        *NUMBERS,
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("listing_id"),
         code("r_regionkey", 2).alias("province_code"),
         F.col("r_name").alias("province"),
@@ -60,10 +66,14 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(spark, sf_dir).drop(*NUMBERS)
+
+
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings in the physical range, the latest version of each."""
     tie = [F.desc("ingested_at"), F.asc("part_key"), F.asc("price")]
-    return latest_per_key(physical_filter(listings(spark, sf_dir)), ["listing_id"], tie)
+    return latest_per_key(physical_filter(numbered(spark, sf_dir)), NUMBERS, tie).drop(*NUMBERS)
 
 
 LISTINGS = """

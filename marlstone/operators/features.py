@@ -42,9 +42,9 @@ FOLDS = 5
 
 
 def looked_up(c: Column, values: dict[str, float]) -> Column:
-    """The value of a normalised name; null if it has none."""
+    """The value of a normalised name; null if it has none. Names that are written as the table has them are not normalised first."""
     table = F.create_map(*(F.lit(x) for name, value in values.items() for x in (name, float(value))))
-    return F.try_element_at(table, tx.norm_text(c))
+    return F.coalesce(F.try_element_at(table, F.lower(F.trim(c))), F.when(c.isNotNull(), F.try_element_at(table, tx.norm_text(c))))
 
 
 def rank_of(c: Column, table: dict[str, int]) -> Column:
@@ -74,8 +74,8 @@ def encoding_table(df: DataFrame, key: str = "district_code", y: str = "y") -> D
     return group_percentile(df, [key], y, name="level").drop("n")
 
 
-def overall(df: DataFrame, y: str = "y") -> float | None:
-    return whole_percentile(df, y, 0.5)
+def overall(df: DataFrame, y: str = "y", freq: str | None = None) -> float | None:
+    return whole_percentile(df, y, 0.5, freq)
 
 
 def apply_encoding(df: DataFrame, table: DataFrame, default: float, key: str = "district_code", name: str = "district_level") -> DataFrame:
@@ -87,7 +87,7 @@ def oof_encoding(df: DataFrame, key: str = "district_code", y: str = "y", fold:
     """Each row's median of y in its district over the other folds; else the median of all rows.
 
     Values are counted by district and fold once; how often the other folds have one is all its
-    rows less those of the own fold. df is read three times; settle it where it is dear to make.
+    rows less those of the own fold, and all rows' median is of the counts. df is read twice; settle it where it is dear to make.
     """
     own = [F.count_if(F.col(fold) == k).alias(f"_own_{k}") for k in range(folds)]
     counted = cut(df.where(F.col(y).isNotNull()).groupBy(key, y).agg(F.count("*").alias("_all"), *own))
@@ -100,7 +100,7 @@ def oof_encoding(df: DataFrame, key: str = "district_code", y: str = "y", fold:
         spread = many.select(key, y, F.inline(times))
         table = table.unionByName(group_percentile(spread, [key, "_fold"], y, freq="_f", name="_level").select(key, "_fold", "_level"))
     out = df.join(table.withColumnRenamed("_fold", fold), [key, fold], "left")
-    return out.withColumn(name, F.coalesce("_level", F.lit(overall(df, y)))).drop("_level")
+    return out.withColumn(name, F.coalesce("_level", F.lit(overall(counted, y, "_all")))).drop("_level")
 
 
 def ensure(df: DataFrame, names: Sequence[str], kind: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.quantiles import group_values
 from marlstone.session import cut
 
 CONTAMINATION, FLAG_RANK, FLAG_RATIO = 0.03, 97.0, 0.40
@@ -49,18 +50,19 @@ def pct_rank(df: DataFrame, column: str, name: str = "pct_rank") -> DataFrame:
     return df.join(ranks, column, "left")
 
 
-def whole_percentile(df: DataFrame, column: str, share: float) -> float | None:
-    """The exact percentile of a column over all rows, between two values as F.percentile has it; no task holds all values."""
-    counts = ordered_counts(df, column)
-    total = counts.agg(F.sum("n")).first()[0]
-    if not total:
+def whole_percentile(df: DataFrame, column: str, share: float, freq: str | None = None) -> float | None:
+    """The exact percentile of a column over all rows, between two values as F.percentile has it; no task holds or sorts all values.
+
+    freq: a column with how often a row's value counts. df is read a few times.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(F.lit(0).alias("one"), F.col(column).cast("double").alias("value"), (F.col(freq) if freq else F.lit(1)).cast("long").alias("times"))
+    place = lambda n: F.floor((n - 1) * share)
+    ends = {"below": ("value", place), "above": ("value", lambda n: F.least(place(n) + 1, n - 1))}
+    one = group_values(rows, ["one"], ends, [F.sum("times").alias("total")], freq="times" if freq else None).first()
+    if not one:
         return None
-    at = (total - 1) * share
-    low = int(at)
-    ends = counts.where(f"before <= {low + 1} and before + n > {low}").select("value", "before", "n").collect()  # two rows at most
-    value = lambda k: next((float(r.value) for r in ends if r.before <= k < r.before + r.n), None)
-    below, above = value(low), value(min(low + 1, total - 1))
-    return below + (above - below) * (at - low)
+    at = (one.total - 1) * share
+    return one.below + (one.above - one.below) * (at - int(at))
 
 
 def residual_scores(df: DataFrame, price: str = "price", predicted: str = "predicted") -> DataFrame:
@@ -84,7 +86,8 @@ def reason(price: str = "price", predicted: str = "predicted", ratio: str = "rat
 
 
 def flag(df: DataFrame, contamination: float = CONTAMINATION, score: str = "score") -> DataFrame:
-    """The rows whose score is at least the percentile 1 - contamination."""
+    """The rows whose score is at least the percentile 1 - contamination. df is settled: the percentile reads it, too."""
+    df = cut(df)
     least = whole_percentile(df, score, 1 - contamination)
     return df.where(F.col(score) >= least) if least is not None else df.limit(0)
 

@@ -46,9 +46,10 @@ def dates(spark, sf):
     return series.parse_dates(table(spark, sf, "orders").select("o_orderkey", text), "d").select("o_orderkey", "ds")
 
 
-def with_target(spark, sf):
-    rows = silver(spark, sf).withColumns({"y": fe.target(), "fold": F.pmod("part_key", F.lit(5)).cast("int")})
-    return fe.oof_encoding(cut(rows))  # a join of six tables, read three times
+def with_target(spark, sf, *columns):
+    """Listings with these columns, and the level of their district."""
+    rows = silver(spark, sf).select("listing_id", "district_code", *columns, fe.target().alias("y"), F.pmod("part_key", F.lit(5)).cast("int").alias("fold"))
+    return fe.oof_encoding(cut(rows))  # a join of six tables, read twice
 
 
 def varied_features(spark, sf):
@@ -64,13 +65,14 @@ def varied_features(spark, sf):
 
 
 def feature_rows(spark, sf):
-    made = fe.build_features(with_target(spark, sf))
+    made = fe.build_features(with_target(spark, sf, "area", "floors", "access_road", "legal_status", "furniture_state"))
     return made.select("listing_id", *(F.round(f, 6).alias(f) for f in fe.FEATURES))
 
 
 def predicted(spark, sf):
     """Prices by the out-of-fold level of the district."""
-    return with_target(spark, sf).withColumn("predicted", fe.inverse(F.col("district_level"), F.col("area")))
+    rows = with_target(spark, sf, "area", "price").withColumn("predicted", fe.inverse(F.col("district_level"), F.col("area")))
+    return rows.select("listing_id", "area", "price", "predicted")
 
 
 def residuals(spark, sf):
