@@ -23,6 +23,8 @@ from marlstone.session import cut
 EXACT, CONTAINED, ALIKE = 100.0, 97.0, 88.0
 DISSOLVED_SCORE, UNIQUE_SCORE = 95.0, 90.0
 RUN = 4
+#: Rows of moved wards in a part.
+MOVES = 1_000_000
 RAW = ("address_raw", "province_raw", "district_raw", "ward_raw")
 # Districts that were merged into another one: province, old core name, successor.
 DISSOLVED = [("79", "2", "769", "Thành phố Thủ Đức"), ("79", "9", "769", "Thành phố Thủ Đức")]
@@ -181,13 +183,14 @@ def build_bridge(moves: DataFrame, units: DataFrame) -> DataFrame:
     moves: new_province_key, new_ward_key, old_ward_code; units: ward_code, district_code,
     district, province_code, province. confidence is that district's share of the old wards.
     """
-    votes = moves.distinct().join(units, F.col("old_ward_code") == F.col("ward_code"))
-    counts = votes.groupBy("new_province_key", "new_ward_key", "district_code", "district", "province_code", "province").agg(F.count("*").alias("n"))
-    place = Window.partitionBy("new_province_key", "new_ward_key")
-    ranked = counts.withColumns({
-        "r": F.row_number().over(place.orderBy(F.desc("n"), "district_code")), "all": F.sum("n").over(place), "n_candidates": F.count("*").over(place).cast("int"),
-    })
-    return ranked.where("r = 1").select("new_province_key", "new_ward_key", "province_code", "province", "district_code", "district", F.round(F.col("n") / F.col("all"), 3).alias("confidence"), "n_candidates")
+    ward, area = ["new_province_key", "new_ward_key"], ["district_code", "district", "province_code", "province"]
+    # dealt out once, by new ward, in parts of about MOVES rows: a task holds no more when there are more rows
+    dealt = moves.repartition(-(-max(1, moves.count()) // MOVES), *ward)
+    votes = dealt.distinct().join(units, F.col("old_ward_code") == F.col("ward_code"))
+    counts = votes.groupBy(*ward, *area).agg(F.count("*").alias("n"))
+    first = F.min_by(F.struct(*area, "n"), F.struct(-F.col("n"), "district_code")).alias("b")
+    best = counts.groupBy(*ward).agg(first, F.sum("n").alias("all"), F.count("*").cast("int").alias("n_candidates"))
+    return best.select(*ward, "b.province_code", "b.province", "b.district_code", "b.district", F.round(F.col("b.n") / F.col("all"), 3).alias("confidence"), "n_candidates")
 
 
 UNITS = "code string, name string, districts array<struct<code string, name string, wards array<struct<code string, name string>>>>"

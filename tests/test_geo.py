@@ -134,3 +134,17 @@ def test_letters_left_out_give_the_ratio(spark):
     for a, b, m in shared:
         near = common(a, b) >= max(len(a), len(b)) - 1 and min(len(a), len(b)) >= 4
         assert m == (common(a, b) if near else None), (a, b)
+
+
+def test_bridge_is_dealt_out_once(spark, monkeypatch):
+    """In parts of bounded size, without a window over a ward's votes."""
+    monkeypatch.setattr(geo, "MOVES", 10)
+    moves = spark.range(95).select(F.lit("p").alias("new_province_key"), (F.col("id") % 7).alias("new_ward_key"), (F.col("id") % 19).alias("old_ward_code"))
+    units = spark.range(19).select(F.col("id").alias("ward_code"), (F.col("id") % 4).alias("district_code"), F.lit("d").alias("district"), F.lit("1").alias("province_code"), F.lit("p").alias("province"))
+    found = geo.build_bridge(moves, units)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "new_ward_key" in plan and ", 10" in plan
+    votes = {(r.new_ward_key, r.old_ward_code) for r in moves.collect()}
+    for r in found.collect():
+        n = [sum(1 for w, o in votes if w == r.new_ward_key and o % 4 == d) for d in range(4)]
+        assert (r.district_code, r.n_candidates, r.confidence) == (n.index(max(n)), sum(map(bool, n)), round(max(n) / sum(n), 3))
