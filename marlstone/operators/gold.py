@@ -32,7 +32,8 @@ def area_price(df: DataFrame, min_listings: int = MIN_LISTINGS, levels: Sequence
     Percentiles are exact in areas of any size. Rows are settled once and read by each level.
     """
     sets = [("province_code", "province"), ("district_code", "district", "province_code"), ("ward_code", "ward", "district_code")]
-    rows, out = cut(df.select("province_code", "province", "district_code", "district", "ward_code", "ward", "price_per_m2", "area", "price")), None
+    used = sorted({k for level, keys in zip(LEVELS, sets, strict=True) if level in levels for k in keys})
+    rows, out = cut(df.select(*used, "price_per_m2", "area", "price")), None
     stats = ("n_listings", "median_price_m2", "p25_price_m2", "p75_price_m2", "mean_price_m2", "median_area", "median_price")
     for level, keys in zip(LEVELS, sets, strict=True):
         if level not in levels:

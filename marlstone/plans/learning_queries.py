@@ -6,8 +6,9 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from marlstone.fixtures import silver, table
-from marlstone.operators import forecast, gold, learning, outliers
+from marlstone.operators import features, forecast, gold, learning, outliers
 from marlstone.plans.model_queries import monthly
+from marlstone.session import cut
 
 
 def vectors(spark, sf):
@@ -23,10 +24,12 @@ def forest(spark, sf):
 
 def prices(spark, sf):
     """Test rows with a linear model's prices and intervals."""
-    train, test = learning.split(silver(spark, sf))
+    used = ("listing_id", "province_code", "district_code", "district", "area", "price", "price_per_m2", "access_road", "floors", "legal_status", "furniture_state")
+    train, test = learning.split(cut(silver(spark, sf).select(*used)))  # a join of six tables, read by each step below
     encoded = learning.encode(train, test)
-    fitted = learning.fit(encoded.train, LinearRegression(regParam=1e-3))
-    rows = learning.score_prices(test, fitted, encoded, gold.area_price(train))
+    encoded.table = cut(encoded.table)
+    fitted = learning.fit(cut(encoded.train.select("y", *features.FEATURES)), LinearRegression(regParam=1e-3))
+    rows = learning.score_prices(test, fitted, encoded, gold.area_price(train, levels=["district"]))
     return learning.check_listings(rows).select("listing_id", "price", "predicted", "low", "high", "vs_district_pct", "note", "gap", "flagged", "severity")
 
 

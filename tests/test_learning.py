@@ -208,3 +208,8 @@ def test_names_as_the_table_has_them_are_normal(spark):
     names = [*fe.LEGAL_RANKS, *fe.FURNITURE_RANKS, *fe.DIRECTIONS]
     rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", tx.norm_text(F.col("n")).alias("normal")).collect()
     assert all(r.n == r.normal for r in rows)
+
+
+def test_scored_prices_begin_at_settled_rows(spark, sf_dir):
+    """The model's fit and the scores read settled listings, not the tables."""
+    assert learning_queries.prices(spark, sf_dir).inputFiles() == []
