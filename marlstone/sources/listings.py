@@ -219,8 +219,10 @@ def explode_blocks(pages: DataFrame, anchor: str = ANCHOR, html: str = "html") -
 def prop(block: Column, name: str, of: str = "content") -> Column:
     """An attribute of the element with this itemprop, or its text if of is text."""
     if of == "text":
-        return F.nullif(tx.html_text(F.regexp_extract(block, rf'(?s)itemprop="{name}"[^>]*>(.{{0,400}}?)</', 1)), F.lit(""))
-    return F.nullif(F.regexp_extract(block, rf'itemprop="{name}"[^>]{{0,200}}?\b{of}="([^"]*)"', 1), F.lit(""))
+        found = F.nullif(tx.html_text(F.regexp_extract(block, rf'(?s)itemprop="{name}"[^>]*>(.{{0,400}}?)</', 1)), F.lit(""))
+    else:
+        found = F.nullif(F.regexp_extract(block, rf'itemprop="{name}"[^>]{{0,200}}?\b{of}="([^"]*)"', 1), F.lit(""))
+    return F.when(F.contains(block, F.lit(f'itemprop="{name}"')), found)
 
 
 def posted_date(block: Column) -> Column:
@@ -228,7 +230,9 @@ def posted_date(block: Column) -> Column:
     iso = F.regexp_extract(block, r'itemprop="datePosted"[^>]{0,200}?(?:content|datetime)="(\d{4}-\d{2}-\d{2})', 1)
     micro = F.regexp_extract(block, r'(?s)itemprop="datePosted"[^>]{0,200}>\D{0,40}?(\d{1,2}/\d{1,2}/\d{4})', 1)
     classed = F.regexp_extract(block, r'(?s)class="[^"]*date[^"]*"[^>]{0,200}>\D{0,80}?(\d{1,2}/\d{1,2}/\d{4})', 1)
-    return F.coalesce(F.try_to_date(iso, "yyyy-MM-dd"), F.try_to_date(micro, "d/M/yyyy"), F.try_to_date(classed, "d/M/yyyy"))
+    # a text that is not there is not parsed: each failure is dear
+    has, date = F.contains(block, F.lit('itemprop="datePosted"')), lambda text, form: F.try_to_date(F.nullif(text, F.lit("")), form)
+    return F.coalesce(F.when(has, date(iso, "yyyy-MM-dd")), F.when(has, date(micro, "d/M/yyyy")), F.when(F.contains(block, F.lit('class="')), date(classed, "d/M/yyyy")))
 
 
 def listing_fields(blocks: DataFrame, source: str = "site") -> DataFrame:
@@ -237,11 +241,12 @@ def listing_fields(blocks: DataFrame, source: str = "site") -> DataFrame:
     url = F.regexp_extract(b, r'^<a\b[^>]*href="([^"]*)"', 1)
     tail = F.nullif(F.regexp_extract(url, r"-(\d{6,})\.html", 1), F.lit(""))
     number = lambda name: tx.first_number(F.coalesce(prop(b, name), prop(b, name, "text")))
-    rows = blocks.select(
-        "page_id", "pos", url.alias("url"), listing_id(source, F.coalesce(tail, url)).alias("listing_id"), F.round(prop(b, "price").try_cast("double") / 1e9, 6).alias("price"),
+    # as one generated row: the filter below then does not read the block a second time
+    rows = blocks.select("page_id", "pos", F.inline(F.array(F.struct(
+        url.alias("url"), listing_id(source, F.coalesce(tail, url)).alias("listing_id"), F.round(prop(b, "price").try_cast("double") / 1e9, 6).alias("price"),
         number("floorSize").alias("area"), number("numberOfBedrooms").alias("bedrooms"), number("numberOfFloors").alias("floors"), number("streetWidth").alias("access_road"),
         prop(b, "address", "text").alias("address_raw"), posted_date(b).alias("posted_on"),
-    )
+    ))))
     return rows.where("price is not null and area is not null").withColumn("price_per_m2", unit_price(F.col("price"), F.col("area")))
 
 

@@ -145,3 +145,14 @@ def test_titles_in_any_spelling(spark):
 def test_units_before_a_full_stop(spark):
     rows = spark.createDataFrame([("TT.Nhà Bè, TP.HCM",), ("TT Nhà Bè",), ("TT. Nhà Bè",), ("TX.Thuận An",), ("tx Thuận An",), ("att. x",)], "a string")
     assert [r[0] for r in rows.select(tx.norm_text(F.col("a"))).collect()] == ["thi tran nha be ho chi minh", "thi tran nha be", "thi tran nha be", "thi xa thuan an", "thi xa thuan an", "att x"]
+
+
+def test_blocks_without_a_field(spark):
+    """What is not in a block is neither searched by expressions nor parsed."""
+    block = '<a itemprop="url" href="/x-1234567.html"><span itemprop="price" content="2000000000"></span><i itemprop="floorSize">50 m2</i>'
+    dates = ["", '<i itemprop="datePosted">no day</i>', '<b class="ct_date">3/2/2024</b>', '<i itemprop="datePosted">Ngay: 04/02/2024</i>']
+    rows = spark.createDataFrame([("p", i, block + d + "</a>") for i, d in enumerate(dates)], "page_id string, pos int, block string")
+    found = src.listing_fields(rows)
+    assert "CASE WHEN Contains" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.price, r.area, r.floors, r.address_raw, str(r.posted_on)) for r in found.orderBy("pos").collect()]
+    assert got == [(2.0, 50.0, None, None, d) for d in ("None", "None", "2024-02-03", "2024-02-04")]
