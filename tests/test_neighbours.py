@@ -68,3 +68,24 @@ def test_part_meets_its_queries_in_slices(spark, monkeypatch):
     monkeypatch.setattr(outliers, "QUERIES", 17)
     x = clustered(400, dims=6, clusters=3)
     assert got(outliers.neighbours(frame(spark, x), 4, block=50)) == brute(x, 4)
+
+
+def test_a_row_is_sent_once_for_each_group_and_not_for_each_part(spark):
+    x, stats = np.random.default_rng(5).normal(0, 1, (1500, 32)), {}
+    assert got(outliers.neighbours(frame(spark, x), 5, block=25, stats=stats)) == brute(x, 5)
+    assert stats["compared"] > 0.9 * stats["all"]  # nothing to leave out: once for each of 60 parts would be 90,000
+    assert stats["sent"] <= 1500 * (outliers.GROUPS + 1)
+
+
+@pytest.mark.parametrize("k", [3, 40])
+def test_groups_of_parts_and_small_products(spark, monkeypatch, k):
+    for name, value in {"HELD": 0, "PRODUCTS": 900, "PAIRS": 50}.items():
+        monkeypatch.setattr(outliers, name, value)
+    x = np.concatenate([np.random.default_rng(k).normal(0, 1, (200, 8)), np.ones((50, 8))])
+    assert got(outliers.neighbours(frame(spark, x), k, block=20)) == brute(x, k)
+
+
+def test_near_rows_far_from_the_origin_and_from_others(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1e6, (6, 8))[rng.integers(0, 6, 400)] + rng.normal(0, 1e-3, (400, 8)) + 1e7
+    assert got(outliers.neighbours(frame(spark, x), 4, block=30)) == brute(x, 4)
