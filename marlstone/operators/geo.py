@@ -25,6 +25,8 @@ DISSOLVED_SCORE, UNIQUE_SCORE = 95.0, 90.0
 RUN = 4
 #: Rows of moved wards in a part.
 MOVES = 1_000_000
+#: Characters of all distinct addresses up to which these are sent to every task that holds rows.
+SENT = 1 << 26
 RAW = ("address_raw", "province_raw", "district_raw", "ward_raw")
 # Districts that were merged into another one: province, old core name, successor.
 DISSOLVED = [("79", "2", "769", "Thành phố Thủ Đức"), ("79", "9", "769", "Thành phố Thủ Đức")]
@@ -120,14 +122,17 @@ def resolve_addresses(df: DataFrame, dims: Dimensions, bridge: DataFrame | None
     Between tiers one row per distinct address is written to the shared folder, so that the
     plan of a tier does not hold those before it. Tiers of the district: the old hierarchy, merged districts, the bridge from new wards, a
     name that is unique nationwide. A token that names a ward by its unit matches no district.
+    Rows meet their address's result by the raw columns; up to SENT characters of addresses are
+    broadcast, so that rows stay where they are.
     """
     spark = df.sparkSession
+    given = [c for c in RAW if c in df.columns] or list(RAW)
     for c in RAW:
         df = df if c in df.columns else df.withColumn(c, F.lit(None).cast("string"))
-    keyed = df.withColumn("_key", F.when(F.coalesce(*RAW).isNotNull(), address_key()))
-    # rows without any address have no key, and are not joined
-    nowhere, keyed = keyed.where("_key is null"), keyed.where("_key is not null")
-    tuples = cut(keyed.select(F.col("_key").alias("key"), *RAW).distinct())
+    # rows without any address are not joined
+    anywhere = F.coalesce(*given)
+    nowhere, keyed = df.where(anywhere.isNull()), df.where(anywhere.isNotNull())
+    tuples = cut(keyed.select(*RAW).distinct().select(address_key().alias("key"), *RAW))
     parts = tuples.select("key", F.posexplode(tx.tokens(F.col("address_raw"))).alias("pos", "token"))
     parts = parts.select("key", (F.col("pos") + 1).alias("prio"), tx.core_name(F.col("token")).alias("core"), tx.key_name(F.col("token")).alias("name_key"), tx.norm_text(F.col("token")).rlike(tx.WARD_PREFIX).alias("is_ward"))
     parts = cut(parts)
@@ -165,16 +170,19 @@ def resolve_addresses(df: DataFrame, dims: Dimensions, bridge: DataFrame | None
 
     parents = dims.districts.select(F.col("code").alias("district_code"), F.col("province_code").alias("its_province"))
     of_province = dims.provinces.select(F.col("code").alias("its_province"), F.col("name").alias("its_name"))
-    out = tuples.select("key").join(province, "key", "left").join(district, "key", "left").join(ward, "key", "left")
+    out = tuples.select("key", *(F.col(c).alias(f"_{c}") for c in given)).join(province, "key", "left").join(district, "key", "left").join(ward, "key", "left")
     out = out.join(parents, "district_code", "left").join(of_province, "its_province", "left")
     out = out.select(
-        F.col("key").alias("_key"), F.coalesce("its_province", "province_code").alias("province_code"), F.coalesce("its_name", "province").alias("province"), "district_code", "district", "ward_code", "ward",
+        *(f"_{c}" for c in given), F.coalesce("its_province", "province_code").alias("province_code"), F.coalesce("its_name", "province").alias("province"), "district_code", "district", "ward_code", "ward",
         F.coalesce("w_score", "d_score", "p_score", F.lit(0.0)).alias("geo_match_score"), F.coalesce("geo_source", F.lit("none")).alias("geo_source"),
     )
     own = [c for c in df.columns if c not in out.columns]
-    found = keyed.select("_key", *own).join(out, "_key").drop("_key")
+    if (tuples.agg(F.sum(F.length("key"))).first()[0] or 0) <= SENT:
+        out = F.broadcast(out)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in given]
+    found = keyed.select(*own).join(out, same).drop(*(f"_{c}" for c in given))
     blank = {"geo_match_score": F.lit(0.0), "geo_source": F.lit("none")}
-    return found.unionByName(nowhere.select(*own, *(blank.get(c, F.lit(None).cast("string")).alias(c) for c in out.columns if c != "_key")))
+    return found.unionByName(nowhere.select(*own, *(blank.get(c, F.lit(None).cast("string")).alias(c) for c in out.columns if c not in {f"_{g}" for g in given})))
 
 
 def build_bridge(moves: DataFrame, units: DataFrame) -> DataFrame:

@@ -51,8 +51,9 @@ def varied(spark, sf):
     ends = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("low"), F.max("n_nationkey").alias("high"))
     merged = [(x.p, "cu xua", x.c, "old") for x in ends.select(code("n_regionkey", 2).alias("p"), code("low", 3).alias("c")).collect()]  # one row a region
     wards = ends.select(F.lit("x").alias("new_province_key"), F.concat(F.lit("moi"), code("n_regionkey", 2)).alias("new_ward_key"), code("n_regionkey", 2).alias("province_code"), F.lit("x").alias("province"), code("high", 3).alias("district_code"), F.lit("new").alias("district"), F.lit(0.75).alias("confidence"), F.lit(2).alias("n_candidates"))
+    r, n, s = r.withColumn("p", word("r_name")), n.withColumn("d", word("n_name")), s.withColumn("w", word("s_name"))  # once a place, not once a line item
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    p, d, w = word("r_name"), word("n_name"), word("s_name")
+    p, d, w = F.col("p"), F.col("d"), F.col("w")
     spelled = {
         1: F.concat(F.lit("Số 5, P. "), w, F.lit(", Q. "), d, F.lit("; T. "), p), 2: F.concat(F.upper(d), F.lit("/ TỈNH "), p), 3: F.concat(F.lit("quan "), F.substring(d, 1, 9), F.lit(", "), p),
         4: F.concat(F.lit("Quận "), d), 5: F.concat(F.lit("Quận Cũ Xưa, "), p), 6: F.concat(F.lit("Phường Mới"), code("r_regionkey", 2), F.lit(", "), p),

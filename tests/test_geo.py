@@ -148,3 +148,24 @@ def test_bridge_is_dealt_out_once(spark, monkeypatch):
     for r in found.collect():
         n = [sum(1 for w, o in votes if w == r.new_ward_key and o % 4 == d) for d in range(4)]
         assert (r.district_code, r.n_candidates, r.confidence) == (n.index(max(n)), sum(map(bool, n)), round(max(n) / sum(n), 3))
+
+
+def test_rows_meet_their_results_by_raw_columns_where_they_are(spark, monkeypatch):
+    """Few characters of addresses are broadcast, more are shuffled: the same rows, whichever raw columns are null."""
+    dims = geo.dimensions(
+        spark.createDataFrame([("01", "Tỉnh Alpha")], "code string, name string"), spark.createDataFrame([("001", "Quận Bravo", "01")], "code string, name string, province_code string"),
+        spark.createDataFrame([("00001", "Phường Charlie", "001")], "code string, name string, district_code string"),
+    )
+    raw = [("Phường Charlie, Quận Bravo, Alpha", None), (None, "Alpha"), (None, None), ("", "Alpha"), ("", None), ("Quận Bravo", "Alpha")]
+    rows = spark.createDataFrame([(i, *raw[i % 6]) for i in range(60)], "n long, address_raw string, province_raw string")
+    found = {}
+    for most in (geo.SENT, -1):
+        monkeypatch.setattr(geo, "SENT", most)
+        out = geo.resolve_addresses(rows, dims)
+        found[most] = sorted((r.n, r.province_code or "", r.district_code or "", r.ward_code or "", r.geo_source) for r in out.collect())
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == (most > 0)
+    a, b = found.values()
+    assert a == b and len(a) == 60
+    places = [("01", "001", "00001", "old"), ("01", "", "", "none"), ("", "", "", "none"), ("01", "", "", "none"), ("", "", "", "none"), ("01", "001", "", "old")]
+    assert a == [(i, *places[i % 6]) for i in range(60)]
