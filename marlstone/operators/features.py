@@ -42,9 +42,14 @@ FOLDS = 5
 
 
 def looked_up(c: Column, values: dict[str, float]) -> Column:
-    """The value of a normalised name; null if it has none. Names that are written as the table has them are not normalised first."""
+    """The value of a normalised name; null if it has none. Names that are written as the table has them are not normalised first.
+
+    Normalising stands in a lambda, which is not generated into the row's method: with it the method
+    is over 8,000 bytes long, and the JVM does not compile it.
+    """
     table = F.create_map(*(F.lit(x) for name, value in values.items() for x in (name, float(value))))
-    return F.coalesce(F.try_element_at(table, F.lower(F.trim(c))), F.when(c.isNotNull(), F.try_element_at(table, tx.norm_text(c))))
+    normalised = F.get(F.transform(F.array(c), lambda v: F.try_element_at(table, tx.norm_text(v))), F.lit(0))
+    return F.coalesce(F.try_element_at(table, F.lower(F.trim(c))), F.when(c.isNotNull(), normalised))
 
 
 def rank_of(c: Column, table: dict[str, int]) -> Column:

@@ -213,3 +213,15 @@ def test_names_as_the_table_has_them_are_normal(spark):
 def test_scored_prices_begin_at_settled_rows(spark, sf_dir):
     """The model's fit and the scores read settled listings, not the tables."""
     assert learning_queries.prices(spark, sf_dir).inputFiles() == []
+
+
+def test_features_are_generated_as_a_method_that_the_jvm_compiles(spark):
+    """The JVM leaves methods of over 8,000 bytes uncompiled; names that need normalising still get their rank."""
+    names = ["Have certificate", "  SỔ HỒNG ", "Giấy tờ hợp lệ", "Sổ  đỏ", "none of these", "", None]
+    rows = spark.range(len(names)).select("id", F.get(F.array(*(F.lit(n) for n in names)), F.col("id").cast("int")).alias("legal_status"), F.lit(50.0).alias("area"), F.lit(2.0).alias("district_level"), F.lit("Đầy-đủ").alias("furniture_state"))
+    out = fe.build_features(rows)
+    assert [r.legal_rank for r in out.orderBy("id").collect()] == [4, 4, 3, 4, None, None, None]
+    assert {r.furniture_rank for r in out.collect()} == {2}
+    stages = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(out._jdf.queryExecution().executedPlan())
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.length())]
+    assert sizes and max(sizes) < 8000
