@@ -31,8 +31,8 @@ def _named(column: str, names: dict[str, str]):
 NUMBERS = ["l_orderkey", "l_linenumber"]
 
 
-def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item: a priced listing in a ward, district and province; and its NUMBERS.
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line item with its dimensions: what tells and ranks its versions, and the tables' columns that a listing is made of.
 
     The dimensions are the star schema's own; Spark broadcasts those that are small. Orders come
     last: rows then lie by order, as the versions of a listing must.
@@ -44,7 +44,18 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = rows.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select(
-        *NUMBERS,
+        *NUMBERS, "r_regionkey", "r_name", "n_nationkey", "n_name", "s_suppkey", "s_name", "l_tax", "l_returnflag", "l_linestatus", "p_type", "o_orderdate",
+        F.col("l_quantity").cast("double").alias("area"),
+        (F.col("l_extendedprice") / 1000).alias("price"),
+        F.try_divide("l_extendedprice", "l_quantity").alias("price_per_m2"),
+        F.col("l_shipdate").alias("ingested_at"),
+        F.col("l_partkey").alias("part_key"),
+    )
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """Priced line items as listings: ids, codes and names are written out here, after what drops rows and sorts them."""
+    return rows.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("listing_id"),
         code("r_regionkey", 2).alias("province_code"),
         F.col("r_name").alias("province"),
@@ -52,28 +63,28 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("district"),
         code("s_suppkey", 5).alias("ward_code"),
         F.col("s_name").alias("ward"),
-        F.col("l_quantity").cast("double").alias("area"),
-        (F.col("l_extendedprice") / 1000).alias("price"),
-        F.try_divide("l_extendedprice", "l_quantity").alias("price_per_m2"),
+        "area",
+        "price",
+        "price_per_m2",
         F.round(F.col("l_tax") * 100, 4).alias("access_road"),
         F.col("l_linenumber").cast("double").alias("floors"),
         _named("l_returnflag", LEGAL).alias("legal_status"),
         _named("l_linestatus", FURNITURE).alias("furniture_state"),
         F.col("p_type").alias("property_type"),
         F.col("o_orderdate").alias("posted_at"),
-        F.col("l_shipdate").alias("ingested_at"),
-        F.col("l_partkey").alias("part_key"),
+        "ingested_at",
+        "part_key",
     )
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered(spark, sf_dir).drop(*NUMBERS)
+    return listed(priced(spark, sf_dir))
 
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings in the physical range, the latest version of each."""
     tie = [F.desc("ingested_at"), F.asc("part_key"), F.asc("price")]
-    return latest_per_key(physical_filter(numbered(spark, sf_dir)), NUMBERS, tie).drop(*NUMBERS)
+    return listed(latest_per_key(physical_filter(priced(spark, sf_dir)), NUMBERS, tie))
 
 
 LISTINGS = """

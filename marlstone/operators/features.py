@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
-from marlstone.operators.quantiles import LIMIT, group_percentile
+from marlstone.operators.quantiles import LIMIT, group_percentile, sent
 from marlstone.operators.scoring import whole_percentile
-from marlstone.session import cut
+from marlstone.session import cut, settle
 
 # Ranks of legal states and of furniture, by their normalised names.
 LEGAL_RANKS = {
@@ -75,8 +75,8 @@ def fold_of(ident: str, folds: int = FOLDS) -> Column:
     return F.pmod(F.xxhash64(ident), F.lit(folds)).cast("int")
 
 
-def encoding_table(df: DataFrame, key: str = "district_code", y: str = "y") -> DataFrame:
-    return group_percentile(df, [key], y, name="level").drop("n")
+def encoding_table(df: DataFrame, key: str = "district_code", y: str = "y", freq: str | None = None) -> DataFrame:
+    return group_percentile(df, [key], y, freq=freq, name="level").drop("n")
 
 
 def overall(df: DataFrame, y: str = "y", freq: str | None = None) -> float | None:
@@ -84,18 +84,24 @@ def overall(df: DataFrame, y: str = "y", freq: str | None = None) -> float | Non
 
 
 def apply_encoding(df: DataFrame, table: DataFrame, default: float, key: str = "district_code", name: str = "district_level") -> DataFrame:
-    """The table has one row per district; Spark broadcasts it where its size allows."""
-    return df.join(table.withColumnRenamed("level", "_level"), key, "left").withColumn(name, F.coalesce("_level", F.lit(default))).drop("_level")
+    """The table has one row per district, and is broadcast if these are few."""
+    return df.join(sent(table.withColumnRenamed("level", "_level")), key, "left").withColumn(name, F.coalesce("_level", F.lit(default))).drop("_level")
 
 
-def oof_encoding(df: DataFrame, key: str = "district_code", y: str = "y", fold: str = "fold", folds: int = FOLDS, name: str = "district_level") -> DataFrame:
+def fold_counts(df: DataFrame, key: str = "district_code", y: str = "y", fold: str = "fold", folds: int = FOLDS) -> DataFrame:
+    """How often each district has a value: _all, and _own_0 and so on in each fold. Settled."""
+    own = [F.count_if(F.col(fold) == k).alias(f"_own_{k}") for k in range(folds)]
+    return settle(df.where(F.col(y).isNotNull()).groupBy(key, y).agg(F.count("*").alias("_all"), *own))
+
+
+def oof_encoding(df: DataFrame, key: str = "district_code", y: str = "y", fold: str = "fold", folds: int = FOLDS, name: str = "district_level", counted: DataFrame | None = None) -> DataFrame:
     """Each row's median of y in its district over the other folds; else the median of all rows.
 
     Values are counted by district and fold once; how often the other folds have one is all its
     rows less those of the own fold, and all rows' median is of the counts. df is read twice; settle it where it is dear to make.
+    counted: df's fold_counts, if they are there.
     """
-    own = [F.count_if(F.col(fold) == k).alias(f"_own_{k}") for k in range(folds)]
-    counted = cut(df.where(F.col(y).isNotNull()).groupBy(key, y).agg(F.count("*").alias("_all"), *own))
+    counted = fold_counts(df, key, y, fold, folds) if counted is None else counted
     few = counted.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") <= LIMIT).select(key)
     levels = counted.join(few, key).groupBy(key).agg(*(F.percentile(y, F.lit(0.5), F.col("_all") - F.col(f"_own_{k}")).alias(str(k)) for k in range(folds)))
     table = levels.unpivot([key], [str(k) for k in range(folds)], "_fold", "_level").withColumn("_fold", F.col("_fold").cast("int"))
@@ -104,7 +110,7 @@ def oof_encoding(df: DataFrame, key: str = "district_code", y: str = "y", fold:
         times = F.array(*(F.struct(F.lit(k).alias("_fold"), (F.col("_all") - F.col(f"_own_{k}")).alias("_f")) for k in range(folds)))
         spread = many.select(key, y, F.inline(times))
         table = table.unionByName(group_percentile(spread, [key, "_fold"], y, freq="_f", name="_level").select(key, "_fold", "_level"))
-    out = df.join(table.withColumnRenamed("_fold", fold), [key, fold], "left")
+    out = df.join(sent(cut(table.withColumnRenamed("_fold", fold))), [key, fold], "left")
     return out.withColumn(name, F.coalesce("_level", F.lit(overall(counted, y, "_all")))).drop("_level")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import features as fe
 from marlstone.operators.boosting import BoostedModel, HistogramBoosting
+from marlstone.operators.quantiles import sent
 from marlstone.operators.scoring import price_metrics
 from marlstone.session import cut
 
@@ -54,8 +55,9 @@ def encode(train: DataFrame, test: DataFrame) -> Encoded:
     """The split comes before the encoding: a test row's own price never reaches its features."""
     train = train.withColumns({"y": fe.target(), "fold": fe.fold_of("listing_id")})
     test = test.withColumn("y", fe.target())
-    table, default = fe.encoding_table(train), fe.overall(train)
-    return Encoded(fe.build_features(fe.oof_encoding(train)), fe.build_features(fe.apply_encoding(test, table, default)), table, default)
+    counted = fe.fold_counts(train)  # read by all three in place of the rows
+    table, default = cut(fe.encoding_table(counted, freq="_all")), fe.overall(counted, freq="_all")
+    return Encoded(fe.build_features(fe.oof_encoding(train, counted=counted)), fe.build_features(fe.apply_encoding(test, table, default)), table, default)
 
 
 def used_features(df: DataFrame, names: Sequence[str] = fe.FEATURES) -> list[str]:
@@ -211,14 +213,14 @@ def verdict(mapes: Sequence[float]) -> str:
 def beside_district(df: DataFrame, areas: DataFrame, unit: Column) -> DataFrame:
     """df with district_median, and vs_district_pct: how far a unit price is from it."""
     medians = areas.where("level = 'district'").select(F.col("code").alias("district_code"), F.col("median_price_m2").alias("district_median"))
-    return df.join(medians, "district_code", "left").withColumn("vs_district_pct", (F.try_divide(unit, F.col("district_median")) - 1) * 100)
+    return df.join(sent(medians), "district_code", "left").withColumn("vs_district_pct", (F.try_divide(unit, F.col("district_median")) - 1) * 100)
 
 
 def score_prices(df: DataFrame, fitted: Fitted, encoding: Encoded, areas: DataFrame, mape: float = 19.6) -> DataFrame:
     """Predicted price with an interval, its distance from the district's median, and a note on unknown districts."""
     known = encoding.table.select("district_code", F.lit(True).alias("_seen"))
     rows = fitted.predict(fe.build_features(fe.apply_encoding(df, encoding.table, encoding.default)))
-    rows = beside_district(rows, areas, F.col("predicted") * 1000 / F.col("area")).join(known, "district_code", "left")
+    rows = beside_district(rows, areas, F.col("predicted") * 1000 / F.col("area")).join(sent(known), "district_code", "left")
     note = F.when(F.col("district_code").isNull(), "district unknown").when(F.col("_seen").isNull(), "district not seen in training")
     return rows.withColumns({
         "low": F.col("predicted") * (1 - mape / 100), "high": F.col("predicted") * (1 + mape / 100), "note": note,

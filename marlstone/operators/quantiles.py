@@ -53,14 +53,18 @@ def group_percentile(df: DataFrame, keys: Sequence[str], value: str, share: floa
     return small.unionByName(ranks.select(*keys, "n", F.when(F.floor(place) == F.ceil(place), F.col("_a")).otherwise(between).alias(name)))
 
 
+def sent(groups: DataFrame) -> DataFrame:
+    """Groups to join with, sent to all tasks if they are few. They are counted; settle them where they are dear to make."""
+    return F.broadcast(groups) if groups.count() <= BROADCAST else groups
+
+
 def met(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with their group's columns; groups are sent to all tasks if they are few. Null keys are equal."""
     groups = groups.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    few = groups.count() <= BROADCAST
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return rows.join(F.broadcast(groups) if few else groups, same).drop(*(f"_k_{k}" for k in keys))
+    return rows.join(sent(groups), same).drop(*(f"_k_{k}" for k in keys))
 
 
 def value_at(listed: Column, place: Column) -> Column:

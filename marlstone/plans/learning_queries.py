@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.fixtures import silver, table
 from marlstone.operators import features, forecast, gold, learning, outliers
 from marlstone.plans.model_queries import monthly
-from marlstone.session import cut
+from marlstone.session import cut, settle
 
 
 def vectors(spark, sf):
@@ -25,11 +25,11 @@ def forest(spark, sf):
 def prices(spark, sf):
     """Test rows with a linear model's prices and intervals."""
     used = ("listing_id", "province_code", "district_code", "district", "area", "price", "price_per_m2", "access_road", "floors", "legal_status", "furniture_state")
-    train, test = learning.split(cut(silver(spark, sf).select(*used)))  # a join of six tables, read by each step below
+    train, test = learning.split(settle(silver(spark, sf).select(*used)))  # a join of six tables, read by each step below
+    test = cut(test)  # read once, whole
     encoded = learning.encode(train, test)
-    encoded.table = cut(encoded.table)
-    fitted = learning.fit(cut(encoded.train.select("y", *features.FEATURES)), LinearRegression(regParam=1e-3))
-    rows = learning.score_prices(test, fitted, encoded, gold.area_price(train, levels=["district"]))
+    fitted = learning.fit(settle(encoded.train.select("y", *features.FEATURES)), LinearRegression(regParam=1e-3))
+    rows = learning.score_prices(test, fitted, encoded, gold.area_price(train, levels=["district"], percentiles=["median_price_m2"]))
     return learning.check_listings(rows).select("listing_id", "price", "predicted", "low", "high", "vs_district_pct", "note", "gap", "flagged", "severity")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.fixtures import listings, silver, table, with_listings, with_silver
 from marlstone.operators import features as fe
 from marlstone.operators import gold, learning, scoring, series
-from marlstone.session import cut
+from marlstone.session import settle
 
 WAYS = ("Đông", "Tây", "Nam", "Bắc", "Đông Nam", "Tây Bắc", "dong bac", "TÂY NAM", "không rõ")
 
@@ -49,7 +49,7 @@ def dates(spark, sf):
 def with_target(spark, sf, *columns):
     """Listings with these columns, and the level of their district."""
     rows = silver(spark, sf).select("listing_id", "district_code", *columns, fe.target().alias("y"), F.pmod("part_key", F.lit(5)).cast("int").alias("fold"))
-    return fe.oof_encoding(cut(rows))  # a join of six tables, read twice
+    return fe.oof_encoding(settle(rows))  # a join of six tables, read twice
 
 
 def varied_features(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,14 +40,26 @@ def ship(spark: SparkSession) -> None:
     sc._marlstone_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder of spark.checkpoint.dir: later plans begin there.
-
-    A folder of our own is set only in a local session that has none, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(sc) -> str:
+    """The checkpoints' folder in spark.checkpoint.dir. One of our own is set only in a local session that has none, as in tests."""
     if not sc.getCheckpointDir():
         if not sc.getConf().get("spark.checkpoint.dir") and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="marlstone-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder: later plans begin there."""
+    shared_folder(df.sparkSession.sparkContext)
     return df.checkpoint()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df as Parquet files in the shared folder: for rows that are read many times, by a few columns each time.
+
+    A checkpoint's rows are read whole, object by object; these by column. How rows were dealt out is not kept.
+    """
+    path = f"{shared_folder(df.sparkSession.sparkContext)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
