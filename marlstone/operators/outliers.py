@@ -107,6 +107,17 @@ def spread_pivots(x: np.ndarray, most: int = PIVOTS) -> np.ndarray:
     return x[chosen]
 
 
+def places(may: np.ndarray, n: int) -> np.ndarray:
+    """Flat places of the n that are true; few among many are looked for by eight at a time."""
+    flat = may.reshape(-1)
+    if n > len(flat) >> 6:
+        return np.flatnonzero(flat)
+    whole = len(flat) & ~7
+    eights = np.flatnonzero(flat[:whole].view(np.uint64))
+    at, place = np.nonzero(flat[:whole].reshape(-1, 8)[eights])
+    return np.concatenate([8 * eights[at] + place, whole + np.flatnonzero(flat[whole:])])
+
+
 class Nearest:
     """The k nearest others of each row, itself left out, the smaller id among equals, as parts of the others come.
 
@@ -137,15 +148,18 @@ class Nearest:
         limits = (self.limit[rows] / self.scale) ** 2
         kind = np.float32 if rounding * np.finfo(np.float32).eps <= 0.01 * np.median(limits) else np.float64
         margin, z, step = rounding * float(np.finfo(kind).eps), z.astype(kind).T, max(1, PRODUCTS // len(y))
+        products, mays = (np.empty((min(step, len(rows)), len(y)), t) for t in (kind, bool))  # made once: fresh memory costs as much as comparing
         for start in range(0, len(rows), step):
             at = rows[start : start + step]
-            product = self.z[kind][at] @ z  # less half the square of a distance, but for the row's own square
+            product = np.matmul(self.z[kind][at], z, out=products[: len(at)])  # less half the square of a distance, but for the row's own square
             least = ((self.square[at] - (self.limit[at] / self.scale) ** 2) / 2 - margin).astype(kind)
-            may = product >= least[:, None]
-            if np.count_nonzero(may) > 2 * k * len(at) and k + 1 < len(y):
+            may = np.greater_equal(product, least[:, None], out=mays[: len(at)])
+            n = np.count_nonzero(may)
+            if n > 2 * k * len(at) and k + 1 < len(y):
                 kth = np.partition(product, len(y) - 1 - k, axis=1)[:, len(y) - 1 - k]  # one more than k: a row may meet itself
                 may &= product >= (kth - 2 * margin).astype(kind)[:, None]
-            found = np.flatnonzero(may)
+                n = np.count_nonzero(may)
+            found = places(may, n)
             for i in range(0, len(found), PAIRS):
                 row, other = np.divmod(found[i : i + PAIRS], len(y))
                 row = at[row]

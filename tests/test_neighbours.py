@@ -89,3 +89,11 @@ def test_near_rows_far_from_the_origin_and_from_others(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(0, 1e6, (6, 8))[rng.integers(0, 6, 400)] + rng.normal(0, 1e-3, (400, 8)) + 1e7
     assert got(outliers.neighbours(frame(spark, x), 4, block=30)) == brute(x, 4)
+
+
+def test_places_of_few_and_of_many():
+    rng = np.random.default_rng(4)
+    for rows, columns in ((1, 1), (3, 5), (7, 9), (40, 64), (100, 301)):
+        for share in (0, 0.001, 0.01, 0.2, 1):
+            may = rng.random((rows, columns)) < share
+            assert (outliers.places(may, int(may.sum())) == np.flatnonzero(may)).all()
