@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators.lake import latest_per_key, physical_filter
@@ -53,38 +55,52 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def listed(rows: DataFrame) -> DataFrame:
-    """Priced line items as listings: ids, codes and names are written out here, after what drops rows and sorts them."""
-    return rows.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("listing_id"),
-        code("r_regionkey", 2).alias("province_code"),
-        F.col("r_name").alias("province"),
-        code("n_nationkey", 3).alias("district_code"),
-        F.col("n_name").alias("district"),
-        code("s_suppkey", 5).alias("ward_code"),
-        F.col("s_name").alias("ward"),
-        "area",
-        "price",
-        "price_per_m2",
-        F.round(F.col("l_tax") * 100, 4).alias("access_road"),
-        F.col("l_linenumber").cast("double").alias("floors"),
-        _named("l_returnflag", LEGAL).alias("legal_status"),
-        _named("l_linestatus", FURNITURE).alias("furniture_state"),
-        F.col("p_type").alias("property_type"),
-        F.col("o_orderdate").alias("posted_at"),
-        "ingested_at",
-        "part_key",
-    )
+def columns() -> dict[str, Column]:
+    """A listing's columns, of those that priced line items have."""
+    return {
+        "listing_id": F.concat_ws("-", "l_orderkey", "l_linenumber"),
+        "province_code": code("r_regionkey", 2),
+        "province": F.col("r_name"),
+        "district_code": code("n_nationkey", 3),
+        "district": F.col("n_name"),
+        "ward_code": code("s_suppkey", 5),
+        "ward": F.col("s_name"),
+        "area": F.col("area"),
+        "price": F.col("price"),
+        "price_per_m2": F.col("price_per_m2"),
+        "access_road": F.round(F.col("l_tax") * 100, 4),
+        "floors": F.col("l_linenumber").cast("double"),
+        "legal_status": _named("l_returnflag", LEGAL),
+        "furniture_state": _named("l_linestatus", FURNITURE),
+        "property_type": F.col("p_type"),
+        "posted_at": F.col("o_orderdate"),
+        "ingested_at": F.col("ingested_at"),
+        "part_key": F.col("part_key"),
+    }
+
+
+def listed(rows: DataFrame, names: Sequence[str] | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """Priced line items, or groups of them, as listings: ids, codes and names are written out here, after what drops rows, sorts or counts them.
+
+    names: the listing's columns to have, all by default; also: rows' own columns to keep.
+    """
+    made = columns()
+    return rows.select(*also, *(made[n].alias(n) for n in names or made))
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed(priced(spark, sf_dir))
 
 
+def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priced line items in the physical range, the latest version of each."""
+    tie = [F.desc("ingested_at"), F.asc("part_key"), F.asc("price")]
+    return latest_per_key(physical_filter(priced(spark, sf_dir)), NUMBERS, tie)
+
+
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings in the physical range, the latest version of each."""
-    tie = [F.desc("ingested_at"), F.asc("part_key"), F.asc("price")]
-    return listed(latest_per_key(physical_filter(priced(spark, sf_dir)), NUMBERS, tie))
+    return listed(latest(spark, sf_dir))
 
 
 LISTINGS = """

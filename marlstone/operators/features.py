@@ -88,18 +88,18 @@ def apply_encoding(df: DataFrame, table: DataFrame, default: float, key: str = "
     return df.join(sent(table.withColumnRenamed("level", "_level")), key, "left").withColumn(name, F.coalesce("_level", F.lit(default))).drop("_level")
 
 
-def fold_counts(df: DataFrame, key: str = "district_code", y: str = "y", fold: str = "fold", folds: int = FOLDS) -> DataFrame:
-    """How often each district has a value: _all, and _own_0 and so on in each fold. Settled."""
+def fold_counts(df: DataFrame, key: str = "district_code", y: str = "y", fold: str = "fold", folds: int = FOLDS, more: Sequence[str] = ()) -> DataFrame:
+    """How often each district has a value: _all, and _own_0 and so on in each fold. Settled. more: columns that counted rows have in common, too."""
     own = [F.count_if(F.col(fold) == k).alias(f"_own_{k}") for k in range(folds)]
-    return settle(df.where(F.col(y).isNotNull()).groupBy(key, y).agg(F.count("*").alias("_all"), *own))
+    return settle(df.where(F.col(y).isNotNull()).groupBy(key, y, *more).agg(F.count("*").alias("_all"), *own))
 
 
-def oof_encoding(df: DataFrame, key: str = "district_code", y: str = "y", fold: str = "fold", folds: int = FOLDS, name: str = "district_level", counted: DataFrame | None = None) -> DataFrame:
+def oof_encoding(df: DataFrame, key: str = "district_code", y: str = "y", fold: str = "fold", folds: int = FOLDS, name: str = "district_level", counted: DataFrame | None = None, default: float | None = None) -> DataFrame:
     """Each row's median of y in its district over the other folds; else the median of all rows.
 
     Values are counted by district and fold once; how often the other folds have one is all its
     rows less those of the own fold, and all rows' median is of the counts. df is read twice; settle it where it is dear to make.
-    counted: df's fold_counts, if they are there.
+    counted: df's fold_counts, if they are there, and default, the median of all rows.
     """
     counted = fold_counts(df, key, y, fold, folds) if counted is None else counted
     few = counted.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") <= LIMIT).select(key)
@@ -111,7 +111,8 @@ def oof_encoding(df: DataFrame, key: str = "district_code", y: str = "y", fold:
         spread = many.select(key, y, F.inline(times))
         table = table.unionByName(group_percentile(spread, [key, "_fold"], y, freq="_f", name="_level").select(key, "_fold", "_level"))
     out = df.join(sent(cut(table.withColumnRenamed("_fold", fold))), [key, fold], "left")
-    return out.withColumn(name, F.coalesce("_level", F.lit(overall(counted, y, "_all")))).drop("_level")
+    default = overall(counted, y, "_all") if default is None else default
+    return out.withColumn(name, F.coalesce("_level", F.lit(default))).drop("_level")
 
 
 def ensure(df: DataFrame, names: Sequence[str], kind: str) -> DataFrame:

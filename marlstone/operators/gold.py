@@ -26,21 +26,22 @@ PERCENTILES = {
 }
 
 
-def area_price(df: DataFrame, min_listings: int = MIN_LISTINGS, levels: Sequence[str] = LEVELS, percentiles: Sequence[str] = tuple(PERCENTILES)) -> DataFrame:
+def area_price(df: DataFrame, min_listings: int = MIN_LISTINGS, levels: Sequence[str] = LEVELS, percentiles: Sequence[str] = tuple(PERCENTILES), freq: str | None = None) -> DataFrame:
     """Statistics of each area of the levels (province, district and ward) with enough listings, settled: a row for each area.
 
-    Percentiles are exact in areas of any size. Rows are settled once and read by each level.
+    Percentiles are exact in areas of any size. Rows are settled once and read by each level. freq: a column with how many listings a row stands for.
     """
     sets = [("province_code", "province"), ("district_code", "district", "province_code"), ("ward_code", "ward", "district_code")]
     used = sorted({k for level, keys in zip(LEVELS, sets, strict=True) if level in levels for k in keys})
     wanted = {name: PERCENTILES[name] for name in percentiles}
-    rows, out = settle(df.select(*used, *sorted({"price_per_m2", *(c for c, _ in wanted.values())}))), None
+    rows, out = settle(df.select(*used, *([freq] if freq else []), *sorted({"price_per_m2", *(c for c, _ in wanted.values())}))), None
+    number, mean = (F.sum(freq), F.sum(F.col(freq) * F.col("price_per_m2")) / F.sum(F.when(F.col("price_per_m2").isNotNull(), F.col(freq)))) if freq else (F.count("*"), F.avg("price_per_m2"))
     stats = [c for c in ("n_listings", "median_price_m2", "p25_price_m2", "p75_price_m2", "mean_price_m2", "median_area", "median_price") if c in (*wanted, "n_listings", "mean_price_m2")]
     for level, keys in zip(LEVELS, sets, strict=True):
         if level not in levels:
             continue
-        sizes = [F.count("*").alias("n_listings"), F.round(F.avg("price_per_m2"), 6).alias("mean_price_m2")]
-        found = group_values(rows.where(F.col(keys[0]).isNotNull()), keys, wanted, sizes).where(F.col("n_listings") >= min_listings)
+        sizes = [number.alias("n_listings"), F.round(mean, 6).alias("mean_price_m2")]
+        found = group_values(rows.where(F.col(keys[0]).isNotNull()), keys, wanted, sizes, freq).where(F.col("n_listings") >= min_listings)
         parent = F.col(keys[2]) if len(keys) > 2 else F.lit(None).cast("string")
         found = found.select(F.lit(level).alias("level"), F.col(keys[0]).alias("code"), F.col(keys[1]).alias("name"), parent.alias("parent_code"), *stats)
         out = found if out is None else out.unionByName(found)

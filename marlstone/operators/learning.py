@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import features as fe
 from marlstone.operators.boosting import BoostedModel, HistogramBoosting
-from marlstone.operators.quantiles import sent
+from marlstone.operators.quantiles import discrete, group_values, sent
 from marlstone.operators.scoring import price_metrics
-from marlstone.session import cut
+from marlstone.session import cut, settle
 
 SEED = 42
 # What areas are clustered by.
@@ -36,9 +36,13 @@ def uniform(ident: str, seed: int = SEED):
     return F.pmod(F.xxhash64(F.lit(seed), ident), F.lit(1 << 30)) / float(1 << 30)
 
 
+def held_out(test: float = 0.2, ident: str = "listing_id", seed: int = SEED) -> Column:
+    return uniform(ident, seed) < test
+
+
 def split(df: DataFrame, test: float = 0.2, ident: str = "listing_id", seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    u = uniform(ident, seed)
-    return df.where(u >= test), df.where(u < test)
+    out = held_out(test, ident, seed)
+    return df.where(~out), df.where(out)
 
 
 @dataclass
@@ -46,7 +50,7 @@ class Encoded:
     """Rows ready for a regressor: y and the features; training rows have their level out of fold."""
 
     train: DataFrame
-    test: DataFrame
+    test: DataFrame | None
     table: DataFrame = field(repr=False, default=None)
     default: float = 0.0
 
@@ -57,7 +61,26 @@ def encode(train: DataFrame, test: DataFrame) -> Encoded:
     test = test.withColumn("y", fe.target())
     counted = fe.fold_counts(train)  # read by all three in place of the rows
     table, default = cut(fe.encoding_table(counted, freq="_all")), fe.overall(counted, freq="_all")
-    return Encoded(fe.build_features(fe.oof_encoding(train, counted=counted)), fe.build_features(fe.apply_encoding(test, table, default)), table, default)
+    return Encoded(fe.build_features(fe.oof_encoding(train, counted=counted, default=default)), fe.build_features(fe.apply_encoding(test, table, default)), table, default)
+
+
+def encode_alike(few: DataFrame, counted: DataFrame) -> Encoded:
+    """As encode, of training rows as alike has them, within folds; counted: the fold_counts of all. Of test rows there are none."""
+    table, default = cut(fe.encoding_table(counted, freq="_all")), fe.overall(counted, freq="_all")
+    return Encoded(fe.build_features(fe.oof_encoding(few, counted=counted, default=default)), None, table, default)
+
+
+def alike(df: DataFrame, by: Sequence[str], y: str = "y") -> DataFrame:
+    """by, y and weight: rows with the same in by as one row, or two if their y differ; weight is how many rows it stands for.
+
+    The number, mean and deviation of y stay what they are, and least squares depends on nothing else. Rows without y are left out.
+    """
+    n, mean, spread = F.col("_n"), F.col("_mean"), F.col("_spread")
+    groups = df.where(F.col(y).isNotNull()).groupBy(*by).agg(F.count("*").alias("_n"), F.avg(y).alias("_mean"), F.stddev_pop(y).alias("_spread"))
+    above, below = F.ceil(n / 2), F.floor(n / 2)
+    side = lambda value, weight: F.struct(value.alias(y), weight.cast("long").alias("weight"))
+    two = F.array(side(mean + spread * F.sqrt(F.try_divide(below, above)), above), side(mean - spread * F.sqrt(F.try_divide(above, below)), below))
+    return groups.select(*by, F.inline(F.when(spread > 0, two).otherwise(F.array(side(mean, n)))))
 
 
 def used_features(df: DataFrame, names: Sequence[str] = fe.FEATURES) -> list[str]:
@@ -66,11 +89,21 @@ def used_features(df: DataFrame, names: Sequence[str] = fe.FEATURES) -> list[str
     return [f for f in names if counts[f]]
 
 
-def pipeline(regressor, names: Sequence[str]) -> Pipeline:
-    """Missing values become the median, with a flag beside each feature that says so."""
+def medians(df: DataFrame, names: Sequence[str], weight: str) -> DataFrame:
+    """One row: the median of each feature, one of its values, where a row stands for as many as weight says. Values are counted first, all features in one pass."""
+    values = F.array(*(F.struct(F.lit(f).alias("name"), F.col(f).cast("double").alias("value")) for f in names))
+    counted = df.select(weight, F.inline(values)).where("value is not null and not isnan(value)").groupBy("name", "value").agg(F.sum(weight).alias("times"))
+    found = {r.name: r.median for r in group_values(settle(counted), ["name"], {"median": ("value", discrete(0.5))}, freq="times").collect()}  # one row per feature
+    return df.sparkSession.range(1).select(*(F.lit(found.get(f)).cast("double").alias(f) for f in names))
+
+
+def pipeline(regressor, names: Sequence[str], fills: DataFrame | None = None) -> Pipeline:
+    """Missing values become the median, with a flag beside each feature that says so. fills: a row of the medians, if they are not those of the rows to fit."""
     filled = [f"{f}_filled" for f in names]
+    imputer = Imputer(strategy="median", inputCols=list(names), outputCols=filled)
+    imputer = imputer if fills is None else imputer.fit(fills)
     assembler = VectorAssembler(inputCols=[*filled, *(f"{f}_missing" for f in names)], outputCol="features")
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=list(names), outputCols=filled), assembler, regressor.setLabelCol("y").setFeaturesCol("features").setPredictionCol("y_hat")])
+    return Pipeline(stages=[imputer, assembler, regressor.setLabelCol("y").setFeaturesCol("features").setPredictionCol("y_hat")])
 
 
 def with_flags(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -99,9 +132,16 @@ class Fitted:
         return out.withColumn("predicted", fe.inverse(F.col("y_hat"), F.col("area"))).drop(*drop)
 
 
-def fit(train: DataFrame, regressor, names: Sequence[str] | None = None) -> Fitted:
-    """A model of y: of MLlib's regressors with missing values filled in, of HistogramBoosting as they are."""
+def fit(train: DataFrame, regressor, names: Sequence[str] | None = None, weight: str | None = None) -> Fitted:
+    """A model of y: of MLlib's regressors with missing values filled in, of HistogramBoosting as they are.
+
+    weight: how many rows a row stands for, as alike has it; for least squares.
+    """
     names = list(names or used_features(train))
+    if weight:
+        if not isinstance(regressor, LinearRegression):
+            raise ValueError("rows that stand for others are for least squares")
+        return Fitted(pipeline(regressor.setWeightCol(weight), names, medians(train, names, weight)).fit(with_flags(train, names)), names)
     if isinstance(regressor, HistogramBoosting):
         return Fitted(regressor.fit(train, names), names)
     return Fitted(pipeline(regressor, names).fit(with_flags(train, names)), names)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from marlstone.fixtures import silver, table
+from marlstone.fixtures import NUMBERS, columns, latest, listed, silver, table
 from marlstone.operators import features, forecast, gold, learning, outliers
 from marlstone.plans.model_queries import monthly
-from marlstone.session import cut, settle
+from marlstone.session import settle
 
 
 def vectors(spark, sf):
@@ -24,12 +24,21 @@ def forest(spark, sf):
 
 def prices(spark, sf):
     """Test rows with a linear model's prices and intervals."""
-    used = ("listing_id", "province_code", "district_code", "district", "area", "price", "price_per_m2", "access_road", "floors", "legal_status", "furniture_state")
-    train, test = learning.split(settle(silver(spark, sf).select(*used)))  # a join of six tables, read by each step below
-    test = cut(test)  # read once, whole
-    encoded = learning.encode(train, test)
-    fitted = learning.fit(settle(encoded.train.select("y", *features.FEATURES)), LinearRegression(regParam=1e-3))
-    rows = learning.score_prices(test, fitted, encoded, gold.area_price(train, levels=["district"], percentiles=["median_price_m2"]))
+    marks = (features.fold_of("listing_id").alias("fold"), learning.held_out().alias("held_out"))
+    named = ("n_nationkey", "r_regionkey", "n_name")
+    told = ("l_tax", "l_returnflag", "l_linestatus", "area")
+    made_of = ("district_code", "area", "access_road", "floors", "legal_status", "furniture_state")
+    # a join of six tables; training rows are read twice, test rows once
+    rows = settle(latest(spark, sf).withColumn("listing_id", columns()["listing_id"]).select(*NUMBERS, *named, *told, "price", "price_per_m2", *marks))
+    train = rows.where("not held_out").withColumn("y", features.target())
+    counted = features.fold_counts(train, named[0], more=(*named[1:], "price_per_m2"))
+    counted = listed(counted, ("province_code", "district_code", "district", "price_per_m2"), [c for c in counted.columns if c == "y" or c.startswith("_")])
+    few = settle(listed(learning.alike(train, [named[0], "fold", "l_linenumber", *told]), made_of, ("fold", "y", "weight")))
+    encoded = learning.encode_alike(few, counted)
+    fitted = learning.fit(settle(encoded.train.select("y", "weight", *features.FEATURES)), LinearRegression(regParam=1e-3), weight="weight")
+    areas = gold.area_price(counted, levels=["district"], percentiles=["median_price_m2"], freq="_all")
+    test = listed(rows.where("held_out"), ("listing_id", "price", *made_of))
+    rows = learning.score_prices(test, fitted, encoded, areas)
     return learning.check_listings(rows).select("listing_id", "price", "predicted", "low", "high", "vs_district_pct", "note", "gap", "flagged", "severity")
 
 
