@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.fixtures import NUMBERS, columns, latest, listed, silver, table
 from marlstone.operators import features, forecast, gold, learning, outliers
 from marlstone.plans.model_queries import monthly
-from marlstone.session import settle
+from marlstone.session import cut, settle
 
 
 def vectors(spark, sf):
@@ -37,7 +37,8 @@ def prices(spark, sf):
     encoded = learning.encode_alike(few, counted)
     fitted = learning.fit(settle(encoded.train.select("y", "weight", *features.FEATURES)), LinearRegression(regParam=1e-3), weight="weight")
     areas = gold.area_price(counted, levels=["district"], percentiles=["median_price_m2"], freq="_all")
-    test = listed(rows.where("held_out"), ("listing_id", "price", *made_of))
+    test = cut(rows.where("held_out").select(*NUMBERS, named[0], *told, "price"))  # read once, whole
+    test = listed(test, ("listing_id", "price", *made_of))
     rows = learning.score_prices(test, fitted, encoded, areas)
     return learning.check_listings(rows).select("listing_id", "price", "predicted", "low", "high", "vs_district_pct", "note", "gap", "flagged", "severity")
 
